@@ -50,7 +50,7 @@ SEVERITY_WEIGHT_SQL = ("CASE {c} WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN
 def sast_rules_values() -> str:
     rows = []
     for (rid, lang, title, desc, pat, anti, sev, owasp, cwe, cvss, refs, rem, hints, src, ordn) in builtin_rule_rows():
-        rows.append(f"({q(rid)}, {q(lang)}, {q(pat)}, {q(anti)}, {q(sev)}, {q(title)}, {q(owasp)}, {q(cwe)}, {cvss})")
+        rows.append(f"({q(rid)}, {q(lang)}, {q(pat)}, {q(anti)}, {q(sev)}, {q(title)}, {q(owasp)}, {q(cwe)}, CAST({cvss} AS DOUBLE))")
     return ("sast_rules AS (SELECT * FROM (VALUES " + ",\n".join(rows)
             + ") AS r(rule_id, rule_language, pattern, anti_pattern, severity, title, owasp, cwe, cvss))")
 
@@ -99,3 +99,30 @@ def redact_sql(s: str) -> str:
            f"WHEN strlen(left({s}, 1)) <= 3 THEN left({s}, 1) || repeat(chr(65533), 3 - strlen(left({s}, 1))) "
            f"ELSE repeat(chr(65533), 3) END")
     return f"(CASE WHEN strlen({s}) < 20 THEN '***REDACTED***' ELSE {pre} || repeat('*', strlen({s})::INT - 3) END)"
+
+
+# ------------------------------------------------------------------ shared CTEs
+
+FILES_SQL = ("files AS (SELECT repo, path, content, " + LANG_CASE + " AS language, " + EXT_SQL
+             + " AS ext FROM corpus WHERE NOT (" + IGNORED_SQL + "))")
+
+# SAST lines: files with a language; trailing CR removed; lines array kept for snippets
+SAST_LINES_SQL = """sast_split AS (SELECT repo, path, language, string_split(content, chr(10)) AS lines FROM files
+                    WHERE language IS NOT NULL),
+sast_lines AS MATERIALIZED (SELECT repo, path, language, lines, line_no, line,
+                   CASE WHEN suffix(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS sline
+            FROM (SELECT repo, path, language, lines, generate_subscripts(lines, 1) AS line_no, unnest(lines) AS line
+                  FROM sast_split))"""
+
+
+def leak_admit_sql(content: str) -> str:
+    """Text admitted to secret scanning: <= 5 MiB and not binary."""
+    sample = f"left({content}, 8000)"
+    return (f"(strlen({content}) <= 5242880 AND NOT (strlen({content}) > 0 AND (contains({sample}, chr(0)) OR "
+            f"((strlen({sample}) - strlen(regexp_replace({sample}, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')))"
+            f" * 100 // least(strlen({sample}), 8000)) > 30)))")
+
+
+def leak_line_keep_sql(line: str) -> str:
+    t = f"trim({line}, {GO_SPACE})"
+    return f"({t} <> '' AND NOT starts_with({t}, '#') AND strlen({line}) <= 10000)"
