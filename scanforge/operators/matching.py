@@ -60,59 +60,70 @@ def rules_to_specs(rules: DataFrame, kind: str) -> list[Rule]:
 def lower_for_hints(line: Column) -> Column:
     """Lower-case a line the way RE2 case folding reaches ASCII literals
     (KELVIN SIGN lower-cases to 'k'; LONG S is mapped to 's')."""
-    return F.translate(F.lower(line), "ſ", "s")
+    return F.translate(F.lower(line), "\u017f", "s")
 
 
-def _hint_cond(lc: Column, hints) -> Column | None:
+# The match expressions are generated as SQL text and parsed once by the
+# JVM: one call instead of thousands of Python->JVM round trips per rule.
+
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal holding exactly ``s``."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hint_sql(lc: str, hints) -> str | None:
     if not hints:
         return None
-    cond = None
-    for h in hints:
-        c = lc.contains(h)
-        cond = c if cond is None else (cond | c)
-    return cond
+    return "(" + " OR ".join(f"contains({lc}, {sql_str(h)})" for h in hints) + ")"
 
 
-def _sast_item(r: Rule, line: Column, lc: Column) -> Column:
-    pos = F.regexp_instr(line, F.lit(to_java(r.pattern)))
-    item = F.struct(F.lit(r.k).alias("k"), pos.alias("pos"), F.lit(None).cast("string").alias("m"))
-    cond = _hint_cond(lc, r.hints)
+def _sast_item_sql(r: Rule, line: str, lc: str) -> str:
+    item = (f"named_struct('k', {r.k}, 'pos', regexp_instr({line}, {sql_str(to_java(r.pattern))}), "
+            f"'m', CAST(NULL AS STRING))")
+    conds = [c for c in (_hint_sql(lc, r.hints),) if c]
     if r.anti_pattern:
-        not_anti = ~line.rlike(to_java(r.anti_pattern))
-        cond = not_anti if cond is None else (cond & not_anti)
-    return item if cond is None else F.when(cond, item)
+        conds.append(f"NOT ({line} RLIKE {sql_str(to_java(r.anti_pattern))})")
+    return f"CASE WHEN {' AND '.join(conds)} THEN {item} END" if conds else item
+
+
+def _leak_item_sql(r: Rule, line: str, lc: str) -> str:
+    item = (f"named_struct('k', {r.k}, 'pos', CAST(NULL AS INT), "
+            f"'m', regexp_extract({line}, {sql_str(to_java(r.pattern))}, 0))")
+    cond = _hint_sql(lc, r.hints)
+    return f"CASE WHEN {cond} THEN {item} END" if cond else item
 
 
-def _leak_item(r: Rule, line: Column, lc: Column) -> Column:
-    m = F.regexp_extract(line, to_java(r.pattern), 0)
-    item = F.struct(F.lit(r.k).alias("k"), F.lit(None).cast("int").alias("pos"), m.alias("m"))
-    cond = _hint_cond(lc, r.hints)
-    return item if cond is None else F.when(cond, item)
+EMPTY_HITS_SQL = f"CAST(array() AS array<{HIT_TYPE}>)"
 
 
-def sast_hits_expr(specs: list[Rule], line: Column, lc: Column, language: Column) -> Column:
-    """array<struct<k,pos,m>> of candidate SAST hits for one line, choosing the
-    rule subset by the file's language (that language's rules + Generic)."""
+def sast_hits_sql(specs: list[Rule], line: str, lc: str, language: str) -> str:
+    """SQL for array<struct<k,pos,m>> of candidate SAST hits of one line; the
+    rule subset is chosen by the file's language (its rules + Generic)."""
     generic = [r for r in specs if r.language == "Generic"]
     langs = sorted({r.language for r in specs if r.language and r.language != "Generic"})
-    empty = F.array().cast(f"array<{HIT_TYPE}>")
 
     def arr(rs):
         rs = sorted(rs, key=lambda r: r.k)
-        return F.array(*[_sast_item(r, line, lc) for r in rs]) if rs else empty
+        return ("array(" + ", ".join(_sast_item_sql(r, line, lc) for r in rs) + ")") if rs else EMPTY_HITS_SQL
+
+    whens = [f"WHEN {language} = {sql_str(lang)} THEN {arr([r for r in specs if r.language == lang] + generic)}"
+             for lang in langs]
+    whens.append(f"WHEN {language} IS NOT NULL THEN {arr(generic)}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def leak_hits_sql(specs: list[Rule], line: str, lc: str) -> str:
+    if not specs:
+        return EMPTY_HITS_SQL
+    return "array(" + ", ".join(_leak_item_sql(r, line, lc) for r in sorted(specs, key=lambda r: r.k)) + ")"
+
 
-    expr = None
-    for lang in langs:
-        branch = arr([r for r in specs if r.language == lang] + generic)
-        expr = F.when(language == lang, branch) if expr is None else expr.when(language == lang, branch)
-    fallback = arr(generic)
-    if expr is None:
-        return F.when(language.isNotNull(), fallback)
-    return expr.when(language.isNotNull(), fallback)
+def sast_hits_expr(specs: list[Rule], line: str, lc: str, language: str) -> Column:
+    return F.expr(sast_hits_sql(specs, line, lc, language))
 
 
-def leak_hits_expr(specs: list[Rule], line: Column, lc: Column) -> Column:
-    return F.array(*[_leak_item(r, line, lc) for r in sorted(specs, key=lambda r: r.k)])
+def leak_hits_expr(specs: list[Rule], line: str, lc: str) -> Column:
+    return F.expr(leak_hits_sql(specs, line, lc))
 
 
 def sast_line(line: Column) -> Column:
@@ -177,14 +188,14 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
         lower_for_hints(F.col("line")).alias("lc"),
         sast_line(F.col("line")).alias("sline"),
     )
-    line, lc, sline = F.col("line"), F.col("lc"), F.col("sline")
+    line = F.col("line")
     parts = []
     if sast_specs:
         sast_ok = F.col("language").isNotNull() & ((F.col("cut") == 0) | (F.col("line_no") < F.col("cut")))
-        parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, sline, lc, F.col("language"))))
+        parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, "sline", "lc", "language")))
     if leak_specs:
         leak_ok = F.col("leak_ok") & ~skip_leak_line(line, leak_line_cap)
-        parts.append(F.when(leak_ok, leak_hits_expr(leak_specs, line, lc)))
+        parts.append(F.when(leak_ok, leak_hits_expr(leak_specs, "line", "lc")))
     empty = F.array().cast(f"array<{HIT_TYPE}>")
     all_hits = F.concat(*[F.coalesce(p, empty) for p in parts]) if len(parts) > 1 else F.coalesce(parts[0], empty)
     hits = prepared.select(

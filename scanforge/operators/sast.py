@@ -22,8 +22,7 @@ def match_rules(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     cat = Catalog(lines.sparkSession, sast_rules=rules, leaks=False)
     line = sast_line(F.col("line"))
     pre = lines.select("*", lower_for_hints(F.col("line")).alias("_lc"), line.alias("_sline"))
-    hits = pre.select("*", F.explode(sast_hits_expr(cat.sast_specs, F.col("_sline"), F.col("_lc"),
-                                                    F.col("language"))).alias("_h"))
+    hits = pre.select("*", F.explode(sast_hits_expr(cat.sast_specs, "_sline", "_lc", "language")).alias("_h"))
     hits = hits.where(F.col("_h").isNotNull() & (F.col("_h.pos") > 0))
     hits = hits.join(cat.df().select("k", "rule_id"), F.col("_h.k") == F.col("k"))
     col = F.octet_length(F.col("_sline").substr(F.lit(1), F.col("_h.pos") - 1)) + 1

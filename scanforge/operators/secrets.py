@@ -23,7 +23,7 @@ def match_secrets(lines: DataFrame, rules: DataFrame | None = None, line_col: st
     description, entropy_gated, match) — match is the first match text."""
     cat = Catalog(lines.sparkSession, leak_rules=rules, sast=False)
     pre = lines.select("*", lower_for_hints(F.col(line_col)).alias("_lc"))
-    hits = pre.select("*", F.explode(leak_hits_expr(cat.leak_specs, F.col(line_col), F.col("_lc"))).alias("_h"))
+    hits = pre.select("*", F.explode(leak_hits_expr(cat.leak_specs, f"`{line_col}`", "_lc")).alias("_h"))
     hits = hits.where(F.col("_h").isNotNull() & (F.col("_h.m") != ""))
     c = cat.df().select("k", "rule_id", "leak_type", "severity", "description", "entropy_gated")
     return hits.join(c, F.col("_h.k") == F.col("k")).withColumn("match", F.col("_h.m")).drop("_lc", "_h", "k")

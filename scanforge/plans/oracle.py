@@ -10,7 +10,7 @@ from __future__ import annotations
 from scanforge.operators.rules import builtin_rule_rows, leak_rule_rows
 from scanforge.sources.views import (ADVISORIES_SQL, BLOBS_SQL, CORPUS_SQL, DEPS_SQL,
                                      MANIFESTS_SQL, PUSHES_SQL, SEED_SQL)
-from scanforge.constants import EXTENSION_LANGUAGE, DEFAULT_IGNORE_PATHS, LEAK_ONLY_EXTENSIONS
+from scanforge.constants import DEFAULT_IGNORE_PATHS, EXTENSION_LANGUAGE, LEAK_ONLY_EXTENSIONS, MEDIA_EXTENSIONS
 
 
 def q(s: str | None) -> str:

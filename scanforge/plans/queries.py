@@ -177,7 +177,7 @@ def q_shannon_entropy(spark, sf):
     return b.select("item_id", F.round(shannon_entropy("text"), 6).alias("entropy"))
 
 
-_LEAK_FILES = (O.with_views("corpus") + ",\n" + O.leak_rules_values() + ",\n" + O.FILES_SQL + """,
+_LEAK_TAIL = (""",
 leak_files AS (SELECT * FROM files WHERE (language IS NOT NULL OR ext IN ("""
                + ", ".join(O.q(x) for x in O.LEAK_ONLY_EXTENSIONS) + ")) AND " + O.leak_admit_sql("content") + """),
 leak_lines AS MATERIALIZED (SELECT repo, path, line_no, line FROM (
@@ -194,6 +194,7 @@ leaks AS (SELECT repo, path AS file, line_no AS line, rule_id, severity, leak_ty
                  """ + O.redact_sql("m") + """ AS match, round(entropy, 6) AS entropy
           FROM gated WHERE NOT gated_rule OR entropy >= 3.5)
 """)
+_LEAK_FILES = O.with_views("corpus") + ",\n" + O.leak_rules_values() + ",\n" + O.FILES_SQL + _LEAK_TAIL
 
 
 def _leak_cols(df):
@@ -267,3 +268,225 @@ def q_redact_corpus(spark, sf):
     return lines.groupBy("conv_id", "turn").agg(
         F.count(F.when(F.col("line").contains("***REDACTED***"), 1)).alias("masked_lines"),
         F.sum(F.octet_length("line")).alias("n_bytes"))
+
+
+# ===================================================================== §2.6 findings / flagship
+
+_SCAN_SQL = (_SAST_FINDINGS.replace(O.sast_rules_values(), O.sast_rules_values() + ",\n" + O.leak_rules_values())
+             + _LEAK_TAIL + """,
+all_findings AS (
+  SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, "column", title, NULL AS match, NULL::DOUBLE AS entropy
+  FROM findings
+  UNION ALL
+  SELECT repo, 'Leaks' AS engine, rule_id, severity, file, line, NULL AS "column", title, match, entropy FROM leaks)
+""")
+
+
+def _scan_cols(df):
+    return df.select("repo", "engine", "rule_id", "severity", "file", *_long("line", "column"), "title", "match",
+                     "entropy")
+
+
+def flagship(spark, sf, **kw):
+    from scanforge.plans.scan import scan
+    return scan(corpus(spark, sf), **kw)
+
+
+@register("scan", _SCAN_SQL + "SELECT * FROM all_findings")
+def q_scan(spark, sf):
+    return _scan_cols(flagship(spark, sf))
+
+
+@register("combine_findings", _SCAN_SQL + "SELECT engine, count(*) AS n FROM all_findings GROUP BY ALL")
+def q_combine_findings(spark, sf):
+    return flagship(spark, sf).groupBy("engine").agg(F.count(F.lit(1)).alias("n"))
+
+
+_STATS_SQL = _SCAN_SQL + """, stats AS (
+  SELECT repo, count(*) AS total_findings,
+         count(*) FILTER (WHERE severity = 'CRITICAL') AS critical,
+         count(*) FILTER (WHERE severity = 'HIGH') AS high,
+         count(*) FILTER (WHERE severity = 'MEDIUM') AS medium,
+         count(*) FILTER (WHERE severity = 'LOW') AS low,
+         count(*) FILTER (WHERE severity NOT IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')) AS info,
+         count(*) FILTER (WHERE engine = 'SAST') AS sast_count,
+         count(*) FILTER (WHERE engine = 'SCA') AS sca_count,
+         count(*) FILTER (WHERE engine = 'Leaks') AS leaks_count
+  FROM all_findings GROUP BY repo)
+"""
+
+_STAT_COLS = ["total_findings", "critical", "high", "medium", "low", "info", "sast_count", "sca_count",
+              "leaks_count"]
+
+
+def _stats(spark, sf):
+    from scanforge.operators.findings import finding_stats
+    st = finding_stats(flagship(spark, sf))
+    return st.select("repo", *_long(*_STAT_COLS))
+
+
+@register("finding_stats", _STATS_SQL + "SELECT * FROM stats")
+def q_finding_stats(spark, sf):
+    return _stats(spark, sf)
+
+
+@register("verdict", _STATS_SQL + """SELECT repo, CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'high'
+    WHEN total_findings = 0 THEN 'clean' ELSE 'low/medium' END AS verdict FROM stats""")
+def q_verdict(spark, sf):
+    from scanforge.operators.findings import verdict
+    return verdict(_stats(spark, sf)).select("repo", "verdict")
+
+
+@register("gate", _STATS_SQL + "SELECT repo, critical > 0 OR high > 0 AS failed FROM stats")
+def q_gate(spark, sf):
+    from scanforge.operators.findings import gate
+    return gate(_stats(spark, sf))
+
+
+@register("severity_weight", _SCAN_SQL + "SELECT repo, engine, rule_id, file, line, "
+          + O.SEVERITY_WEIGHT_SQL.format(c="severity") + " AS weight FROM all_findings")
+def q_severity_weight(spark, sf):
+    from scanforge.functions.text import severity_weight
+    f = flagship(spark, sf)
+    return f.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"),
+                    severity_weight("severity").alias("weight"))
+
+
+@register("min_severity", _SCAN_SQL + "SELECT repo, engine, rule_id, file, line FROM all_findings "
+          "WHERE engine = 'Leaks' OR severity IN ('CRITICAL', 'HIGH')")
+def q_min_severity(spark, sf):
+    f = flagship(spark, sf, min_severity="HIGH")
+    return f.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))
+
+
+@register("engine_toggles", _SCAN_SQL + "SELECT repo, engine, rule_id, file, line FROM all_findings "
+          "WHERE engine = 'Leaks'")
+def q_engine_toggles(spark, sf):
+    f = flagship(spark, sf, enable_sast=False, enable_sca=False)
+    return f.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))
+
+
+# ===================================================================== §2.1 sources
+
+@register("read_corpus", O.with_views("corpus") + "\nSELECT repo, path, strlen(content) AS size FROM corpus")
+def q_read_corpus(spark, sf):
+    return corpus(spark, sf).select("repo", "path", F.octet_length("content").cast("long").alias("size"))
+
+
+@register("ignore_paths", O.with_views("corpus") + "\nSELECT repo, path FROM corpus WHERE NOT (" + O.IGNORED_SQL + ")")
+def q_ignore_paths(spark, sf):
+    from scanforge.sources.files import ignore_paths
+    return ignore_paths(corpus(spark, sf)).select("repo", "path")
+
+
+@register("admit_files", O.with_views("corpus") + ",\n" + O.FILES_SQL + "\nSELECT repo, path FROM files WHERE language "
+          "IS NOT NULL OR ext IN (" + ", ".join(O.q(x) for x in O.LEAK_ONLY_EXTENSIONS) + ")")
+def q_admit_files(spark, sf):
+    from scanforge.sources.files import admit_files, ignore_paths
+    return admit_files(ignore_paths(corpus(spark, sf))).select("repo", "path")
+
+
+@register("detect_language", O.with_views("corpus") + "\nSELECT repo, path, " + O.LANG_CASE + " AS language FROM corpus")
+def q_detect_language(spark, sf):
+    from scanforge.sources.files import detect_language
+    return detect_language(corpus(spark, sf)).select("repo", "path", "language")
+
+
+@register("language_inventory", O.with_views("corpus") + ",\n" + O.FILES_SQL + """,
+adm AS (SELECT * FROM files WHERE language IS NOT NULL OR ext IN (""" + ", ".join(O.q(x) for x in O.LEAK_ONLY_EXTENSIONS) + """))
+SELECT repo, count(*) AS files_scanned,
+       coalesce(array_to_string(list_sort(list_distinct(list(language) FILTER (WHERE language IS NOT NULL))), ','), '')
+         AS languages_found
+FROM adm GROUP BY repo""")
+def q_language_inventory(spark, sf):
+    from scanforge.sources.files import admit_files, ignore_paths, language_inventory
+    inv = language_inventory(admit_files(ignore_paths(corpus(spark, sf))), group_cols=("repo",))
+    return inv.select("repo", F.col("files_scanned").cast("long"),
+                      F.array_join("languages_found", ",").alias("languages_found"))
+
+
+@register("size_cap", "SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE strlen(text) <= 4096")
+def q_size_cap(spark, sf):
+    from scanforge.sources.files import size_cap
+    d = documents(spark, sf)
+    return size_cap(d, 4096, content_col="text").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+_BINARY_SQL = """SELECT doc_id, NOT (""" + O.leak_admit_sql("text").replace("strlen(text) <= 5242880 AND ", "") + """) AS is_binary
+FROM (SELECT doc_id, text FROM documents UNION ALL SELECT page_id + 1000000000 AS doc_id, html AS text FROM pages)"""
+
+
+@register("drop_binary", _BINARY_SQL)
+def q_drop_binary(spark, sf):
+    from scanforge.sources.files import is_binary
+    d = documents(spark, sf).select("doc_id", "text")
+    p = V.table(spark, sf, "pages").select((F.col("page_id") + 1000000000).alias("doc_id"), F.col("html").alias("text"))
+    return d.unionByName(p).select("doc_id", is_binary(F.col("text")).alias("is_binary"))
+
+
+@register("drop_media_extensions", O.with_views("blobs") + "\nSELECT repo, commit_hash, path FROM blobs WHERE "
+          "lower(regexp_extract(path, '\\.[^./]*$')) NOT IN (" + ", ".join(O.q(x) for x in O.MEDIA_EXTENSIONS) + ")")
+def q_drop_media_extensions(spark, sf):
+    from scanforge.sources.files import drop_media_extensions
+    return drop_media_extensions(V.blobs(spark, sf)).select("repo", "commit_hash", "path")
+
+
+@register("explode_lines", "WITH " + _DOC_LINES + "\nSELECT doc_id, line_no, line FROM doc_lines")
+def q_explode_lines(spark, sf):
+    return _doc_lines(spark, sf).select("doc_id", F.col("line_no").cast("long"), "line")
+
+
+@register("stop_at_overlong_line", "WITH " + _DOC_LINES + """,
+cut AS (SELECT doc_id, min(line_no) FILTER (WHERE strlen(line) >= 2000) AS c FROM doc_lines GROUP BY doc_id)
+SELECT l.doc_id, l.line_no FROM doc_lines l JOIN cut USING (doc_id) WHERE c IS NULL OR l.line_no < c""")
+def q_stop_at_overlong_line(spark, sf):
+    from scanforge.operators.sast import stop_at_overlong_line
+    kept = stop_at_overlong_line(_doc_lines(spark, sf), limit=2000, key_cols=("doc_id",))
+    return kept.select("doc_id", F.col("line_no").cast("long"))
+
+
+# ===================================================================== §2.4 ignore file, history
+
+# ignore-file patterns per repository, derived for every repository of the corpus
+IGNORE_LINES = ["# secrets", ".env", "*.env", "!f9.env", "config/", "lib/*.sh", "/app/**/f1*.py", "", "*.TXT"]
+# the same patterns as regular expressions over the relative path, written out by hand
+IGNORE_RX = [None, ("(^|/)\\.env(/|$)", False), ("(^|/)[^/]*\\.env(/|$)", False), ("(^|/)f9\\.env(/|$)", True),
+             ("(^|/)config/", False), ("^lib/[^/]*\\.sh(/|$)", False), ("^app/([^/]+/)*f1[^/]*\\.py(/|$)", False),
+             None, ("(^|/)[^/]*\\.TXT(/|$)", False)]
+
+
+def _patterns(spark, sf):
+    repos = corpus(spark, sf).select("repo").distinct()
+    pats = spark.createDataFrame(list(enumerate(IGNORE_LINES)), "ord int, pattern string")
+    return repos.crossJoin(F.broadcast(pats))  # 9 literal lines per repository
+
+
+_IGNORE_SQL = (O.with_views("corpus") + ",\npats AS (SELECT * FROM (VALUES "
+               + ", ".join(f"({i}, {O.q(rx)}, {str(neg).upper()})" for i, p in enumerate(IGNORE_RX) if p for rx, neg in [p])
+               + ") AS t(ord, rx, neg)),\n"
+               + """dec AS (SELECT c.repo, c.path,
+         coalesce(arg_max(NOT p.neg, p.ord) FILTER (WHERE regexp_matches(c.path, p.rx)), false) AS ignored
+  FROM corpus c, pats p GROUP BY c.repo, c.path)
+""")
+
+
+@register("gitignore_match", _IGNORE_SQL + "SELECT repo, path, ignored FROM dec")
+def q_gitignore_match(spark, sf):
+    from scanforge.operators.secrets import gitignore_match
+    return gitignore_match(corpus(spark, sf).select("repo", "path"), _patterns(spark, sf))
+
+
+@register("downgrade_ignored", _IGNORE_SQL + ",\n" + O.leak_rules_values() + ",\n" + O.FILES_SQL
+          + _LEAK_TAIL.replace("\nleaks AS", "\nleaks0 AS") + """,
+leaks AS (SELECT l.repo, l.file, l.line, l.rule_id,
+                 CASE WHEN d.ignored THEN 'INFO' ELSE l.severity END AS severity,
+                 CASE WHEN d.ignored THEN '[.gitignore] ' || l.description || """ + O.q(
+    __import__("scanforge.operators.secrets", fromlist=["x"]).IGNORED_SUFFIX) + """ ELSE l.description END AS description
+          FROM leaks0 l LEFT JOIN dec d ON l.repo = d.repo AND l.file = d.path)
+SELECT * FROM leaks""")
+def q_downgrade_ignored(spark, sf):
+    from scanforge.operators.secrets import leak_scan
+    from scanforge.sources.files import admit_files, ignore_paths
+    c = corpus(spark, sf)
+    f = leak_scan(admit_files(ignore_paths(c)), patterns=_patterns(spark, sf))
+    return f.select("repo", "file", F.col("line").cast("long"), "rule_id", "severity", "description")
