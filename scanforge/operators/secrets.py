@@ -126,14 +126,14 @@ def downgrade_ignored(leaks: DataFrame, ignored: DataFrame | None) -> DataFrame:
     ``ignored`` is the output of ``gitignore_match`` (repo, path, ignored)."""
     if ignored is None:
         return leaks
-    ig_paths = ignored.where("ignored").select("repo", F.col("path").alias("_ig_path"), F.lit(True).alias("_ig"))
-    j = leaks.join(ig_paths, (leaks.repo == ig_paths.repo) & (leaks.file == ig_paths._ig_path), "left") \
-        .drop(ig_paths.repo)
+    ig_paths = ignored.where("ignored").select(F.col("repo").alias("_ig_repo"), F.col("path").alias("_ig_path"),
+                                               F.lit(True).alias("_ig"))
+    j = leaks.join(ig_paths, (F.col("repo") == F.col("_ig_repo")) & (F.col("file") == F.col("_ig_path")), "left")
     ig = F.coalesce(F.col("_ig"), F.lit(False)) & (F.col("engine") == "Leaks")
     return (j.withColumn("severity", F.when(ig, F.lit("INFO")).otherwise(F.col("severity")))
             .withColumn("description", F.when(ig, F.concat(F.lit("[.gitignore] "), F.col("description"),
                                                            F.lit(IGNORED_SUFFIX))).otherwise(F.col("description")))
-            .drop("_ig_path", "_ig"))
+            .drop("_ig_repo", "_ig_path", "_ig"))
 
 
 # ------------------------------------------------------------ findings
