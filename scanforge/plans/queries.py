@@ -490,3 +490,274 @@ def q_downgrade_ignored(spark, sf):
     c = corpus(spark, sf)
     f = leak_scan(admit_files(ignore_paths(c)), patterns=_patterns(spark, sf))
     return f.select("repo", "file", F.col("line").cast("long"), "rule_id", "severity", "description")
+
+
+_HISTORY_SQL = (O.with_views("blobs") + ",\n" + O.leak_rules_values() + """,
+capped AS (SELECT * FROM blobs WHERE (repo, commit_seq) IN (
+    SELECT repo, commit_seq FROM (SELECT repo, commit_seq,
+           row_number() OVER (PARTITION BY repo ORDER BY commit_seq DESC, commit_hash DESC) AS r
+      FROM (SELECT DISTINCT repo, commit_seq, commit_hash FROM blobs)) WHERE r <= 10000)),
+hfiles AS (SELECT * FROM capped WHERE lower(regexp_extract(path, '\\.[^./]*$')) NOT IN ("""
+               + ", ".join(O.q(x) for x in O.MEDIA_EXTENSIONS) + ") AND "
+               + O.leak_admit_sql("content").replace("5242880", "1048576") + """),
+hlines AS MATERIALIZED (SELECT repo, path, commit_seq, commit_hash, line_no, line FROM (
+    SELECT repo, path, commit_seq, commit_hash, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS line
+    FROM (SELECT repo, path, commit_seq, commit_hash, string_split(content, chr(10)) AS arr FROM hfiles))
+  WHERE """ + O.leak_line_keep_sql("line") + "),\nhh AS ("
+               + O.leak_line_hits("hlines").replace("SELECT repo, path, line_no,", "SELECT repo, path, line_no, commit_seq, commit_hash,")
+               + """),
+dedup AS (SELECT repo, rule_id, path, line_no, arg_min(commit_hash, commit_seq) AS commit_hash,
+                 arg_min(m, commit_seq) AS m
+          FROM hh GROUP BY repo, rule_id, path, line_no, left(m, 20)),
+hist AS (SELECT d.*, r.leak_type, CASE WHEN contains(r.leak_type, 'Generic') OR contains(r.leak_type, 'High Entropy')
+                 THEN """ + O.entropy_sql("d.m") + """ ELSE 0.0 END AS entropy,
+                 contains(r.leak_type, 'Generic') OR contains(r.leak_type, 'High Entropy') AS gated_rule
+         FROM dedup d JOIN leak_rules r USING (rule_id))
+""")
+
+
+@register("history_scan", _HISTORY_SQL + "SELECT repo, path AS file, line_no AS line, rule_id, left(commit_hash, 8) AS "
+          "commit_hash, " + O.redact_sql("m") + " AS match, round(entropy, 6) AS entropy FROM hist "
+          "WHERE NOT gated_rule OR entropy >= 3.5")
+def q_history_scan(spark, sf):
+    from scanforge.operators.secrets import history_scan
+    h = history_scan(ensure_parallelism(V.blobs(spark, sf)))
+    return h.select("repo", "file", F.col("line").cast("long"), "rule_id", "commit_hash", "match", "entropy")
+
+
+@register("history_dedup", _HISTORY_SQL + "SELECT repo, rule_id, path, line_no, commit_hash FROM dedup")
+def q_history_dedup(spark, sf):
+    from scanforge.operators.catalog import Catalog
+    from scanforge.operators.matching import match_files
+    from scanforge.operators.secrets import history_dedup
+    from scanforge.sources.files import drop_media_extensions, is_binary
+    cat = Catalog(spark, sast=False)
+    b = drop_media_extensions(ensure_parallelism(V.blobs(spark, sf)))
+    b = b.select("repo", "path", "commit_seq", "commit_hash", "content", F.lit(None).cast("string").alias("language"),
+                 ((F.octet_length("content") <= 1048576) & ~is_binary(F.col("content"))).alias("leak_ok"))
+    hits = match_files(b.where("leak_ok"), None, cat.leak_specs, ["repo", "path", "commit_seq", "commit_hash"],
+                       with_snippet=False)
+    d = history_dedup(hits).join(cat.df().select("k", "rule_id"), "k")
+    return d.select("repo", "rule_id", "path", F.col("line_no").cast("long"),
+                    F.col("commit_hash_full").alias("commit_hash"))
+
+
+# ===================================================================== §2.5 SCA
+
+def _deps_df(spark, sf):
+    return ensure_parallelism(V.deps(spark, sf))
+
+
+# Manifest texts of every format, built from the deps view the same way in
+# both engines (entries sorted; each order is one manifest).
+def _manifest_df(spark, sf, fmt):
+    d = _deps_df(spark, sf)
+    li = V.table(spark, sf, "lineitem")
+    key = F.col("manifest")
+    if fmt == "npm":
+        entry = F.concat(F.lit('"'), F.col("name"), F.lit("-"), F.col("ln").cast("string"), F.lit('": "^'),
+                         F.col("version"), F.lit('"'))
+        name, head, tail, sep = "package.json", '{"name": "app", "dependencies": {', "}}", ", "
+    elif fmt == "composer":
+        entry = F.concat(F.lit('"'), F.col("name"), F.lit("-"), F.col("ln").cast("string"), F.lit('": ">='),
+                         F.col("version"), F.lit('"'))
+        name, head, tail, sep = "composer.json", '{"require": {"php": ">=8.1", ', "}}", ", "
+    elif fmt == "gomod":
+        entry = F.concat(F.lit("\t"), F.col("name"), F.lit(" v"), F.col("version"))
+        name, head, tail, sep = "go.mod", "module example.com/app\n\ngo 1.22\n\nrequire (\n", "\n)\n", "\n"
+    elif fmt == "gemfile":
+        entry = F.concat(F.lit("    "), F.col("name"), F.lit(" ("), F.col("version"), F.lit(")"))
+        name, head, tail, sep = "Gemfile.lock", "GIT\n  remote: x\n\nGEM\n  remote: https://rubygems.org/\n  specs:\n", "\n", "\n"
+    else:  # pom
+        entry = F.concat(F.lit("    <dependency>\n      <groupId>g</groupId>\n      <artifactId>"), F.col("name"),
+                         F.lit("</artifactId>\n      <version>"), F.col("version"), F.lit("</version>\n    </dependency>"))
+        name, head, tail, sep = "pom.xml", "<project>\n  <artifactId>app</artifactId>\n  <version>${revision}</version>\n  <dependencies>\n", "\n  </dependencies>\n</project>\n", "\n"
+    d = d.withColumn("ln", F.regexp_extract("version", r"^1\.([0-9]+)\.", 1))
+    m = d.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(entry)), sep).alias("body"))
+    path = F.regexp_replace(key, "requirements\\.txt$", name)
+    return m.select(F.lit("r").alias("repo"), path.alias("path"), F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("content"))
+
+
+def _manifest_sql(fmt):
+    if fmt == "npm":
+        entry, name, head, tail, sep = ("'\"' || name || '-' || regexp_extract(version, '^1\\.([0-9]+)\\.', 1) || '\": \"^' || version || '\"'",
+                                        "package.json", '{"name": "app", "dependencies": {', "}}", ", ")
+    elif fmt == "composer":
+        entry, name, head, tail, sep = ("'\"' || name || '-' || regexp_extract(version, '^1\\.([0-9]+)\\.', 1) || '\": \">=' || version || '\"'",
+                                        "composer.json", '{"require": {"php": ">=8.1", ', "}}", ", ")
+    elif fmt == "gomod":
+        entry, name, head, tail, sep = ("chr(9) || name || ' v' || version", "go.mod",
+                                        "module example.com/app\n\ngo 1.22\n\nrequire (\n", "\n)\n", "\n")
+    elif fmt == "gemfile":
+        entry, name, head, tail, sep = ("'    ' || name || ' (' || version || ')'", "Gemfile.lock",
+                                        "GIT\n  remote: x\n\nGEM\n  remote: https://rubygems.org/\n  specs:\n", "\n", "\n")
+    else:
+        entry, name, head, tail, sep = ("'    <dependency>' || chr(10) || '      <groupId>g</groupId>' || chr(10) || '      <artifactId>' || name || '</artifactId>' || chr(10) || '      <version>' || version || '</version>' || chr(10) || '    </dependency>'",
+                                        "pom.xml", "<project>\n  <artifactId>app</artifactId>\n  <version>${revision}</version>\n  <dependencies>\n",
+                                        "\n  </dependencies>\n</project>\n", "\n")
+
+    def lit(x):
+        return "(" + " || ".join(("chr(10)" if part == "\n" else "chr(9)" if part == "\t" else O.q(part))
+                                 for part in _split_nl(x)) + ")" if x else "''"
+    return (f"mf_{fmt} AS (SELECT 'r' AS repo, regexp_replace(manifest, 'requirements\\.txt$', {O.q(name)}) AS path, "
+            f"{lit(head)} || array_to_string(list_sort(list({entry})), {lit(sep)}) || {lit(tail)} AS content "
+            f"FROM deps GROUP BY manifest)")
+
+
+def _split_nl(s):
+    out, cur = [], ""
+    for ch in s:
+        if ch in "\n\t":
+            if cur:
+                out.append(cur)
+            out.append(ch)
+            cur = ""
+        else:
+            cur += ch
+    if cur:
+        out.append(cur)
+    return out
+
+
+_DEPS_EXPECTED = {
+    "npm": "SELECT 'r' AS repo, name || '-' || regexp_extract(version, '^1\\.([0-9]+)\\.', 1) AS name, version, 'npm' AS ecosystem, regexp_replace(manifest, 'requirements\\.txt$', 'package.json') AS file FROM deps",
+    "composer": "SELECT 'r' AS repo, name || '-' || regexp_extract(version, '^1\\.([0-9]+)\\.', 1) AS name, version, 'packagist' AS ecosystem, regexp_replace(manifest, 'requirements\\.txt$', 'composer.json') AS file FROM deps",
+    "gomod": "SELECT 'r' AS repo, name, 'v' || version AS version, 'go' AS ecosystem, regexp_replace(manifest, 'requirements\\.txt$', 'go.mod') AS file FROM deps",
+    "gemfile": "SELECT 'r' AS repo, name, version, 'rubygems' AS ecosystem, regexp_replace(manifest, 'requirements\\.txt$', 'Gemfile.lock') AS file FROM deps",
+    "pom": "SELECT 'r' AS repo, name, version, 'maven' AS ecosystem, regexp_replace(manifest, 'requirements\\.txt$', 'pom.xml') AS file FROM deps",
+}
+
+
+def _deps_query(fmt):
+    fn_name = {"npm": "deps_npm", "composer": "deps_composer", "gomod": "deps_gomod", "gemfile": "deps_gemfile",
+               "pom": "deps_pom"}[fmt]
+
+    def q(spark, sf):
+        from scanforge.operators import sca
+        d = getattr(sca, fn_name)(_manifest_df(spark, sf, fmt))
+        return d.select("repo", "name", "version", "ecosystem", "file")
+    # the parser applied to the manifests must give back every dependency
+    sql = O.with_views("deps") + ",\n" + _manifest_sql(fmt) + "\n" + _DEPS_EXPECTED[fmt].replace(
+        "FROM deps", f"FROM deps WHERE EXISTS (SELECT 1 FROM mf_{fmt})")
+    register(fn_name, sql)(q)
+
+
+for _fmt in ("npm", "composer", "gomod", "gemfile", "pom"):
+    _deps_query(_fmt)
+
+
+def _manifests(spark, sf):
+    m = V.manifests(spark, sf)
+    return ensure_parallelism(m.select(F.lit("r").alias("repo"), "path", "content"))
+
+
+@register("deps_requirements", O.with_views("manifests") + "\nSELECT 'r' AS repo, name, version, 'pypi' AS ecosystem, "
+          "manifest AS file FROM deps")
+def q_deps_requirements(spark, sf):
+    from scanforge.operators.sca import deps_requirements
+    return deps_requirements(_manifests(spark, sf)).select("repo", "name", "version", "ecosystem", "file")
+
+
+@register("find_manifests", O.with_views("manifests") + "\nSELECT path FROM manifests")
+def q_find_manifests(spark, sf):
+    from scanforge.operators.sca import find_manifests
+    return find_manifests(_manifests(spark, sf)).select("path")
+
+
+@register("dependency_inventory", O.with_views("manifests") + """
+SELECT ecosystem, count(*) AS dependencies, count(DISTINCT file) AS manifest_files FROM (
+  SELECT name, version, 'pypi' AS ecosystem, manifest AS file FROM deps
+  UNION ALL SELECT name, 'v' || version, 'go', regexp_replace(manifest, 'requirements\\.txt$', 'go.mod') FROM deps)
+GROUP BY ecosystem""")
+def q_dependency_inventory(spark, sf):
+    from scanforge.operators.sca import dependency_inventory
+    m = _manifests(spark, sf).unionByName(_manifest_df(spark, sf, "gomod"))
+    d = dependency_inventory(m)
+    return d.groupBy("ecosystem").agg(F.count(F.lit(1)).alias("dependencies"),
+                                      F.countDistinct("file").alias("manifest_files"))
+
+
+_ECO_MAP_SQL = "CASE lower(ecosystem) " + " ".join(
+    f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in __import__("scanforge.constants", fromlist=["x"]).ECOSYSTEM_DB_NAME.items()) + " END"
+
+
+@register("map_ecosystem", O.with_views("deps") + "\nSELECT manifest, name, version, db_ecosystem FROM (SELECT *, "
+          + _ECO_MAP_SQL + " AS db_ecosystem FROM deps) WHERE db_ecosystem IS NOT NULL")
+def q_map_ecosystem(spark, sf):
+    from scanforge.operators.sca import map_ecosystem
+    return map_ecosystem(_deps_df(spark, sf)).select("manifest", "name", "version", "db_ecosystem")
+
+
+def _vkey_sql(c):
+    return (f"list_transform(string_split(regexp_replace({c}, '^[vV]', ''), '.'), "
+            "lambda p: coalesce(TRY_CAST(nullif(regexp_extract(p, '^([0-9]+)', 1), '') AS BIGINT), 0))")
+
+
+_ADV_MATCH_SQL = O.with_views("deps", "advisories") + """,
+vuln AS (SELECT d.*, a.id AS adv_id, a.fixed, a.score
+         FROM deps d JOIN advisories a ON lower(d.ecosystem) = lower(a.ecosystem) AND d.name = a.name
+         WHERE """ + _vkey_sql("d.version") + " >= " + _vkey_sql("a.introduced") + " AND " + _vkey_sql("d.version") + " < " + _vkey_sql("a.fixed") + """)
+"""
+
+_CVSS_SEV_SQL = ("CASE WHEN {s} >= 9.0 THEN 'CRITICAL' WHEN {s} >= 7.0 THEN 'HIGH' WHEN {s} >= 4.0 THEN 'MEDIUM' "
+                 "WHEN {s} > 0 THEN 'LOW' ELSE 'HIGH' END")
+
+
+@register("match_advisories", _ADV_MATCH_SQL + "SELECT manifest AS file, name AS package_name, version AS package_version, "
+          "fixed AS fixed_version, adv_id AS cve, score AS cvss, " + _CVSS_SEV_SQL.format(s="score") + " AS severity FROM vuln")
+def q_match_advisories(spark, sf):
+    from scanforge.operators.sca import match_advisories
+    d = _deps_df(spark, sf).withColumnRenamed("manifest", "file").withColumn("repo", F.lit("r"))
+    f = match_advisories(d, V.advisories(spark, sf))
+    return f.select("file", "package_name", "package_version", "fixed_version", "cve", "cvss", "severity")
+
+
+@register("cvss_severity", O.with_views("advisories") + "\nSELECT id, score, " + _CVSS_SEV_SQL.format(s="score")
+          + " AS severity FROM advisories")
+def q_cvss_severity(spark, sf):
+    from scanforge.functions.text import cvss_severity
+    a = V.advisories(spark, sf)
+    return a.select("id", "score", cvss_severity(F.col("score")).alias("severity"))
+
+
+@register("sca_scan", _ADV_MATCH_SQL.replace("lower(d.ecosystem) = lower(a.ecosystem)", "lower(a.ecosystem) = 'pypi'")
+          + "SELECT manifest AS file, name AS package_name, cve, severity FROM ("
+          "SELECT *, adv_id AS cve, " + _CVSS_SEV_SQL.format(s="score") + " AS severity FROM vuln) "
+          "WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')")
+def q_sca_scan(spark, sf):
+    from scanforge.operators.sca import sca_scan
+    f = sca_scan(_manifests(spark, sf), V.advisories(spark, sf))
+    return f.select("file", "package_name", "cve", "severity")
+
+
+# built-in table: dependencies whose names and versions are drawn from it
+from scanforge.operators.sca import KNOWN_VULNERABLE as _KV  # noqa: E402
+
+_KV_NAMES = sorted({r[0] for r in _KV}) + ["leftpad", "Django"]
+_KV_VERSIONS = sorted({r[1] for r in _KV})
+
+
+def _kv_deps_sql():
+    names = "[" + ", ".join(O.q(n) for n in _KV_NAMES) + "]"
+    vers = "[" + ", ".join(O.q(v) for v in _KV_VERSIONS) + "]"
+    return (f"kvdeps AS (SELECT concat('m', CAST(l_orderkey AS VARCHAR), '/requirements.txt') AS file, "
+            f"{names}[1 + l_partkey % {len(_KV_NAMES)}] AS name, {vers}[1 + l_suppkey % {len(_KV_VERSIONS)}] AS version "
+            f"FROM lineitem)")
+
+
+@register("match_known_vulnerable", "WITH " + _kv_deps_sql() + ",\nkv AS (SELECT * FROM (VALUES "
+          + ", ".join(f"({O.q(a)}, {O.q(b)}, {O.q(c)}, {O.q(d)}, CAST({e} AS DOUBLE), {O.q(f)})" for a, b, c, d, e, f, g in _KV)
+          + ") AS t(kn, kver, cve, severity, cvss, fixed))\nSELECT file, name AS package_name, version AS package_version, cve, "
+          "severity, cvss, fixed AS fixed_version FROM kvdeps JOIN kv ON lower(name) = kn AND version = kver")
+def q_match_known_vulnerable(spark, sf):
+    from scanforge.operators.sca import match_known_vulnerable
+    li = ensure_parallelism(V.table(spark, sf, "lineitem"))
+    names = F.array(*[F.lit(n) for n in _KV_NAMES])
+    vers = F.array(*[F.lit(v) for v in _KV_VERSIONS])
+    d = li.select(F.lit("r").alias("repo"),
+                  F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("/requirements.txt")).alias("file"),
+                  F.element_at(names, (F.col("l_partkey") % len(_KV_NAMES) + 1).cast("int")).alias("name"),
+                  F.element_at(vers, (F.col("l_suppkey") % len(_KV_VERSIONS) + 1).cast("int")).alias("version"),
+                  F.lit("pypi").alias("ecosystem"))
+    f = match_known_vulnerable(d)
+    return f.select("file", "package_name", "package_version", "cve", "severity", "cvss", "fixed_version")
