@@ -173,3 +173,15 @@ def cache_key(*parts) -> Column:
     cols = [_c(p) if not isinstance(p, (int, float)) else F.lit(p) for p in parts]
     joined = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in cols])
     return F.substring(F.sha2(joined, 256), 1, 16)
+
+
+_PARTIAL_UTF8_TAIL = "(?:[À-ß]|[à-ï][\u0080-¿]?|[ð-÷][\u0080-¿]{0,2})$"
+
+
+def utf8_byte_prefix(c, nbytes: int) -> Column:
+    """At most ``nbytes`` bytes of a string, never splitting a character (a
+    cut trailing character is dropped). Bytes are handled as ISO-8859-1
+    characters, so no decoding step can fail."""
+    raw = F.substring(F.encode(_c(c), "UTF-8"), 1, nbytes)
+    latin = F.regexp_replace(F.decode(raw, "ISO-8859-1"), _PARTIAL_UTF8_TAIL, "")
+    return F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8")

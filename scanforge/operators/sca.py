@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from scanforge.constants import DEFAULT_IGNORE_PATHS, ECOSYSTEM_DB_NAME, MANIFEST_FILE_CAP, MANIFEST_NAMES
 from scanforge.functions.text import (base_name, cvss_score, cvss_severity, strip_version_prefix,
-                                      trim_space)
+                                      trim_space, utf8_byte_prefix)
 from scanforge.operators.findings import min_severity as _min_severity
 from scanforge.operators.rules_data import OWASP_NAMES
 
@@ -343,7 +343,7 @@ def normalize_advisory(raw: DataFrame, json_col: str = "json") -> DataFrame:
                                              lambda x: x.isNotNull() & (x != "")), 1), F.lit(""))
     details = F.coalesce(F.col("details"), F.lit(""))
     cut = F.when(F.octet_length(details) > 200,
-                 F.concat(F.decode(F.substring(F.encode(details, "UTF-8"), 1, 200), "UTF-8"), F.lit("..."))
+                 F.concat(utf8_byte_prefix(details, 200), F.lit("..."))
                  ).otherwise(details)
     desc = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.col("summary")).otherwise(cut)
     score = cvss_score(F.coalesce(F.col("severity"), F.array().cast("array<struct<type:string,score:string>>")))

@@ -761,3 +761,214 @@ def q_match_known_vulnerable(spark, sf):
                   F.lit("pypi").alias("ecosystem"))
     f = match_known_vulnerable(d)
     return f.select("file", "package_name", "package_version", "cve", "severity", "cvss", "fixed_version")
+
+
+# ===================================================================== §2.7 reports
+
+_SCAN_FULL = _SCAN_SQL.replace(
+    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy\n  FROM findings",
+    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy\n  FROM findings")
+
+_LEVEL_SQL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
+
+
+@register("sarif_level", _SCAN_SQL + "SELECT repo, engine, rule_id, file, line, " + _LEVEL_SQL + " AS level FROM all_findings")
+def q_sarif_level(spark, sf):
+    from scanforge.functions.text import sarif_level
+    f = flagship(spark, sf)
+    return f.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"), sarif_level("severity").alias("level"))
+
+
+_REM_SQL = "rem AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({O.q(r[0])}, {O.q(r[11])})" for r in __import__("scanforge.operators.rules", fromlist=["x"]).builtin_rule_rows()
+) + ") AS t(rule_id, remediation))"
+
+
+@register("write_sarif", _SAST_FINDINGS + ",\n" + _REM_SQL + """
+SELECT repo, rule_id, """ + _LEVEL_SQL + """ AS level, file AS uri, line AS start_line, "column" AS start_column,
+       title || ' - ' || coalesce(remediation, '') AS message FROM findings JOIN rem USING (rule_id)""")
+def q_write_sarif(spark, sf):
+    from scanforge.sinks.reports import sarif_results
+    f = flagship(spark, sf, enable_leaks=False, enable_sca=False)
+    r = sarif_results(f)
+    j = "json"
+    return r.select("repo", "rule_id", F.get_json_object(j, "$.level").alias("level"),
+                    F.get_json_object(j, "$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"),
+                    F.get_json_object(j, "$.locations[0].physicalLocation.region.startLine").cast("long").alias("start_line"),
+                    F.get_json_object(j, "$.locations[0].physicalLocation.region.startColumn").cast("long").alias("start_column"),
+                    F.get_json_object(j, "$.message.text").alias("message"))
+
+
+@register("write_json", _STATS_SQL + """SELECT repo, '{"version":"0.1.0","scan_time":"2026-01-01T00:00:00Z","target":"' || repo
+  || '","stats":{"total_findings":' || total_findings || ',"critical":' || critical || ',"high":' || high
+  || ',"medium":' || medium || ',"low":' || low || ',"info":' || info || ',"sast_count":' || sast_count
+  || ',"sca_count":' || sca_count || ',"leaks_count":' || leaks_count || '}}' AS json FROM stats""")
+def q_write_json(spark, sf):
+    from scanforge.operators.findings import finding_stats
+    from scanforge.sinks.reports import json_headers
+    return json_headers(finding_stats(flagship(spark, sf)), scan_time="2026-01-01 00:00:00").select("repo", "json")
+
+
+@register("relative_path", O.with_views("corpus") + "\nSELECT '/scan/root/' || path AS abs_path, path AS rel FROM corpus")
+def q_relative_path(spark, sf):
+    from scanforge.functions.text import relative_path
+    c = corpus(spark, sf).select(F.concat(F.lit("/scan/root/"), F.col("path")).alias("abs_path"))
+    return c.select("abs_path", relative_path(F.col("abs_path"), "/scan/root").alias("rel"))
+
+
+_URL_VARIANT_SQL = """CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN '  ' || url
+   WHEN 3 THEN 'javascript:alert(' || page_id || ')' WHEN 4 THEN '/path/' || page_id ELSE 'data:text/html,' || page_id END"""
+
+
+@register("safe_url", "SELECT page_id, u, CASE WHEN regexp_matches(trim(u, " + O.GO_SPACE + "), '^(?i)https?:') THEN trim(u, "
+          + O.GO_SPACE + ") ELSE '#' END AS safe FROM (SELECT page_id, " + _URL_VARIANT_SQL + " AS u FROM pages)")
+def q_safe_url(spark, sf):
+    from scanforge.functions.text import safe_url
+    p = V.table(spark, sf, "pages")
+    pid = F.col("page_id")
+    u = (F.when(pid % 6 == 0, F.col("url")).when(pid % 6 == 1, F.upper("url"))
+         .when(pid % 6 == 2, F.concat(F.lit("  "), F.col("url")))
+         .when(pid % 6 == 3, F.concat(F.lit("javascript:alert("), pid.cast("string"), F.lit(")")))
+         .when(pid % 6 == 4, F.concat(F.lit("/path/"), pid.cast("string")))
+         .otherwise(F.concat(F.lit("data:text/html,"), pid.cast("string"))))
+    return p.select("page_id", u.alias("u")).select("page_id", "u", safe_url("u").alias("safe"))
+
+
+# ===================================================================== §2.9 monitoring
+
+SECRET = "monitor-secret"
+
+
+def _hmac_sql(msg: str, key: str) -> str:
+    k = key.encode().ljust(64, b"\0")
+    ipad = bytes(b ^ 0x36 for b in k).hex()
+    opad = bytes(b ^ 0x5C for b in k).hex()
+    return f"sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({msg}))))"
+
+
+_SIGNED_PUSHES_SQL = O.with_views("pushes") + """,
+signed AS (SELECT *, CASE WHEN event_id % 5 = 4 THEN 'gitlab' ELSE 'github' END AS platform,
+  CASE WHEN event_id % 5 = 4 THEN (CASE WHEN event_id % 2 = 0 THEN '""" + SECRET + """' ELSE 'nope' END)
+       WHEN event_id % 3 = 0 THEN 'sha256=' || """ + _hmac_sql("payload", SECRET) + """
+       WHEN event_id % 3 = 1 THEN 'sha256=' || """ + _hmac_sql("payload || 'x'", SECRET) + """
+       ELSE '' END AS signature FROM pushes)
+"""
+
+
+def _signed_pushes(spark, sf):
+    from scanforge.functions.text import hmac_sha256_hex
+    p = ensure_parallelism(V.pushes(spark, sf))
+    e = F.col("event_id")
+    plat = F.when(e % 5 == 4, "gitlab").otherwise("github")
+    sig = (F.when(e % 5 == 4, F.when(e % 2 == 0, F.lit(SECRET)).otherwise(F.lit("nope")))
+           .when(e % 3 == 0, F.concat(F.lit("sha256="), hmac_sha256_hex(SECRET, F.col("payload"))))
+           .when(e % 3 == 1, F.concat(F.lit("sha256="), hmac_sha256_hex(SECRET, F.concat("payload", F.lit("x")))))
+           .otherwise(F.lit("")))
+    return p.withColumn("platform", plat).withColumn("signature", sig)
+
+
+@register("hmac_sha256", "SELECT event_id, " + _hmac_sql("props", "k3y") + " AS tag FROM events")
+def q_hmac_sha256(spark, sf):
+    from scanforge.functions.text import hmac_sha256_hex
+    e = ensure_parallelism(V.table(spark, sf, "events"))
+    return e.select("event_id", hmac_sha256_hex("k3y", F.col("props")).alias("tag"))
+
+
+@register("verify_push", _SIGNED_PUSHES_SQL + """SELECT event_id FROM signed WHERE
+  (platform = 'gitlab' AND signature = '""" + SECRET + """')
+  OR (platform = 'github' AND starts_with(signature, 'sha256=') AND lower(substring(signature, 8)) = """
+          + _hmac_sql("payload", SECRET) + ")")
+def q_verify_push(spark, sf):
+    from scanforge.streaming.monitor import verify_push
+    return verify_push(_signed_pushes(spark, sf), SECRET).select("event_id")
+
+
+_BRANCH_SQL = """CASE WHEN starts_with(json_extract_string(payload, '$.ref'), 'refs/heads/')
+  THEN substring(json_extract_string(payload, '$.ref'), 12) END"""
+_VALID_BRANCH = """(coalesce({b}, '') <> '' AND strlen({b}) <= 255 AND regexp_matches({b}, '^[a-zA-Z0-9._/\\-]+$')
+  AND NOT contains({b}, '..') AND NOT starts_with({b}, '/') AND NOT suffix({b}, '/'))"""
+
+
+@register("push_branch", O.with_views("pushes") + "\nSELECT event_id, branch FROM (SELECT event_id, " + _BRANCH_SQL
+          + " AS branch FROM pushes) WHERE " + _VALID_BRANCH.format(b="branch"))
+def q_push_branch(spark, sf):
+    from scanforge.streaming.monitor import push_branch
+    return push_branch(ensure_parallelism(V.pushes(spark, sf))).select("event_id", "branch")
+
+
+_CAND_SQL = """CASE event_id % 7 WHEN 0 THEN 'main' WHEN 1 THEN 'feature/x' || event_id WHEN 2 THEN ''
+  WHEN 3 THEN repeat('b', 250 + event_id % 10) WHEN 4 THEN 'a b' WHEN 5 THEN 'a..b' ELSE
+  CASE WHEN event_id % 2 = 0 THEN '/lead' ELSE 'trail/' END END"""
+
+
+@register("valid_branch", "SELECT event_id, cand, " + _VALID_BRANCH.format(b="cand") + " AS ok FROM (SELECT event_id, "
+          + _CAND_SQL + " AS cand FROM events)")
+def q_valid_branch(spark, sf):
+    from scanforge.streaming.monitor import valid_branch
+    e = V.table(spark, sf, "events")
+    i = F.col("event_id")
+    cand = (F.when(i % 7 == 0, "main").when(i % 7 == 1, F.concat(F.lit("feature/x"), i.cast("string")))
+            .when(i % 7 == 2, "").when(i % 7 == 3, F.repeat(F.lit("b"), (F.lit(250) + i % 10).cast("int")))
+            .when(i % 7 == 4, "a b").when(i % 7 == 5, "a..b")
+            .otherwise(F.when(i % 2 == 0, "/lead").otherwise("trail/")))
+    return e.select("event_id", cand.alias("cand")).select("event_id", "cand", valid_branch("cand").alias("ok"))
+
+
+@register("valid_repo", O.with_views("pushes") + """
+SELECT event_id, r, regexp_matches(r, '^[a-zA-Z0-9._\\-]+/[a-zA-Z0-9._\\-]+$') AS ok FROM (SELECT event_id,
+  repo || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/x' WHEN 2 THEN ' bad' ELSE '.git' END AS r FROM pushes)""")
+def q_valid_repo(spark, sf):
+    from scanforge.streaming.monitor import valid_repo
+    p = V.pushes(spark, sf)
+    i = F.col("event_id")
+    r = F.concat("repo", F.when(i % 4 == 0, "").when(i % 4 == 1, "/x").when(i % 4 == 2, " bad").otherwise(".git"))
+    return p.select("event_id", r.alias("r")).select("event_id", "r", valid_repo("r").alias("ok"))
+
+
+@register("target_branch", O.with_views("pushes") + "\nSELECT event_id, repo FROM (SELECT event_id, repo, " + _BRANCH_SQL
+          + " AS branch FROM pushes) WHERE branch = 'main'")
+def q_target_branch(spark, sf):
+    from scanforge.streaming.monitor import push_branch, target_branch
+    return target_branch(push_branch(ensure_parallelism(V.pushes(spark, sf))), "main").select("event_id", "repo")
+
+
+@register("rate_limit", """SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id,
+  time_bucket(INTERVAL 1 MINUTE, ts) ORDER BY ts, event_id) AS r FROM events) WHERE r <= 1""")
+def q_rate_limit(spark, sf):
+    from scanforge.streaming.monitor import rate_limit
+    e = ensure_parallelism(V.table(spark, sf, "events")).withColumnRenamed("user_id", "source")
+    return rate_limit(e.select("event_id", "ts", "source"), n=1, key_cols=("source",)).select("event_id")
+
+
+@register("head_changes", """SELECT event_id, repo, sha FROM (SELECT event_id, 'org/repo' || user_id AS repo,
+  json_extract_string(props, '$.k') AS sha,
+  lag(json_extract_string(props, '$.k')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+  WHERE sha IS DISTINCT FROM prev""")
+def q_head_changes(spark, sf):
+    from scanforge.streaming.monitor import head_changes
+    e = ensure_parallelism(V.table(spark, sf, "events"))
+    obs = e.select("event_id", "ts", F.concat(F.lit("org/repo"), F.col("user_id").cast("string")).alias("repo"),
+                   F.lit("main").alias("branch"), F.get_json_object("props", "$.k").alias("sha"))
+    return head_changes(obs).select("event_id", "repo", "sha")
+
+
+_IP_SQL = """CASE event_id % 9 WHEN 0 THEN '10.' || (user_id % 256) || '.' || (event_id % 256) || '.1'
+  WHEN 1 THEN '172.' || (10 + user_id % 15) || '.0.' || (event_id % 256)
+  WHEN 2 THEN '192.168.' || (user_id % 256) || '.' || (event_id % 256)
+  WHEN 3 THEN '127.0.0.' || (event_id % 256)
+  WHEN 4 THEN '169.' || (253 + event_id % 3) || '.1.1'
+  WHEN 5 THEN '8.8.' || (user_id % 256) || '.' || (event_id % 256)
+  WHEN 6 THEN CASE WHEN event_id % 2 = 0 THEN '::1' ELSE '::2' END
+  WHEN 7 THEN CASE WHEN event_id % 2 = 0 THEN 'fd12:3456::' || (event_id % 100) ELSE '2001:db8::' || (event_id % 100) END
+  ELSE CASE WHEN event_id % 2 = 0 THEN 'fe80::1' ELSE 'fec0::1' END END"""
+
+
+@register("private_address", "SELECT event_id, ip, (ip LIKE '10.%' OR (ip LIKE '172.%' AND TRY_CAST(split_part(ip, '.', 2) AS INT) "
+          "BETWEEN 16 AND 31) OR ip LIKE '192.168.%' OR ip LIKE '127.%' OR ip LIKE '169.254.%' OR ip = '::1' "
+          "OR ip LIKE 'fc%' OR ip LIKE 'fd%' OR ip LIKE 'fe8%' OR ip LIKE 'fe9%' OR ip LIKE 'fea%' OR ip LIKE 'feb%') AS private "
+          "FROM (SELECT event_id, " + _IP_SQL + " AS ip FROM events)")
+def q_private_address(spark, sf):
+    from scanforge.streaming.monitor import private_address
+    e = ensure_parallelism(V.table(spark, sf, "events"))
+    ips = e.select("event_id", F.expr(_IP_SQL.replace("||", "||")).alias("ip"))
+    return private_address(ips).select("event_id", "ip", "private")
