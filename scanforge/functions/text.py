@@ -115,7 +115,7 @@ def cvss_score_from_text(c) -> Column:
 def cvss_score(severity_array) -> Column:
     """First CVSS_V3/CVSS_V2 entry of an array<struct<type,score>>; 0 if none."""
     arr = _c(severity_array)
-    first = F.element_at(F.filter(arr, lambda e: e["type"].isin("CVSS_V3", "CVSS_V2")), 1)
+    first = F.try_element_at(F.filter(arr, lambda e: e["type"].isin("CVSS_V3", "CVSS_V2")), F.lit(1))
     return F.when(first.isNull(), F.lit(0.0)).otherwise(cvss_score_from_text(first["score"]))
 
 

@@ -337,10 +337,10 @@ def normalize_advisory(raw: DataFrame, json_col: str = "json") -> DataFrame:
     non-empty fixed event in array order), description (summary, else details
     cut to 200 bytes + '...'), cvss and severity."""
     v = raw.select(F.from_json(F.col(json_col), OSV_SCHEMA).alias("v")).select("v.*")
-    cve = F.coalesce(F.element_at(F.filter("aliases", lambda a: a.startswith("CVE-")), 1), F.col("id"))
+    cve = F.coalesce(F.try_element_at(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(1)), F.col("id"))
     events = F.flatten(F.flatten(F.transform("affected", lambda af: F.transform(af["ranges"], lambda r: r["events"]))))
-    fixed = F.coalesce(F.element_at(F.filter(F.transform(events, lambda e: e["fixed"]),
-                                             lambda x: x.isNotNull() & (x != "")), 1), F.lit(""))
+    fixed = F.coalesce(F.try_element_at(F.filter(F.transform(events, lambda e: e["fixed"]),
+                                                 lambda x: x.isNotNull() & (x != "")), F.lit(1)), F.lit(""))
     details = F.coalesce(F.col("details"), F.lit(""))
     cut = F.when(F.octet_length(details) > 200,
                  F.concat(utf8_byte_prefix(details, 200), F.lit("..."))

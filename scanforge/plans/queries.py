@@ -972,3 +972,307 @@ def q_private_address(spark, sf):
     e = ensure_parallelism(V.table(spark, sf, "events"))
     ips = e.select("event_id", F.expr(_IP_SQL.replace("||", "||")).alias("ip"))
     return private_address(ips).select("event_id", "ip", "private")
+
+
+# ===================================================================== §2.8 remediation
+
+PROVIDER, MODEL = "provider-a", "model-x"
+
+
+def _cache_key_sql(*parts):
+    return "left(sha256(" + " || chr(10) || ".join(f"coalesce({p}, '')" for p in parts) + "), 16)"
+
+
+_KEYED_SQL = _SCAN_SQL.replace(
+    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy\n  FROM findings",
+    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy, code\n  FROM findings"
+).replace("SELECT repo, 'Leaks' AS engine, rule_id, severity, file, line, NULL AS \"column\", title, match, entropy FROM leaks",
+          "SELECT repo, 'Leaks' AS engine, rule_id, severity, file, line, NULL AS \"column\", title, match, entropy, NULL AS code FROM leaks") + """,
+keyed AS (SELECT *, CASE WHEN engine = 'SAST' THEN """ + _cache_key_sql(f"'{PROVIDER}'", f"'{MODEL}'", "rule_id", "severity", "code") + """
+                   ELSE """ + _cache_key_sql(f"'{PROVIDER}'", f"'{MODEL}'", "title", "file", "''") + """ END AS cache_key
+          FROM all_findings)
+"""
+
+
+def _keyed(spark, sf):
+    from scanforge.operators.remediation import finding_cache_key
+    return flagship(spark, sf).withColumn("cache_key", finding_cache_key(PROVIDER, MODEL))
+
+
+@register("cache_key", _KEYED_SQL + "SELECT repo, engine, rule_id, file, line, cache_key FROM keyed")
+def q_cache_key(spark, sf):
+    return _keyed(spark, sf).select("repo", "engine", "rule_id", "file", F.col("line").cast("long"), "cache_key")
+
+
+@register("remediation_worklist", _SCAN_SQL + """SELECT repo, engine, rule_id, file, line FROM all_findings
+WHERE engine = 'SAST' AND severity IN ('CRITICAL', 'HIGH')
+UNION ALL
+SELECT repo, engine, rule_id, file, line FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY
+  """ + O.SEVERITY_WEIGHT_SQL.format(c="severity") + """ DESC, file, line, rule_id) AS r FROM all_findings WHERE engine = 'Leaks')
+WHERE r <= 5""")
+def q_remediation_worklist(spark, sf):
+    from scanforge.operators.remediation import remediation_worklist
+    w = remediation_worklist(flagship(spark, sf))
+    return w.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))
+
+
+# cache entries derived from the findings: every third finding is cached,
+# created some days before NOW, with a good, a tampered or no integrity tag
+NOW = "2026-01-08 00:00:00"
+CACHE_SECRET = "cache-key"
+
+
+def _cache_sql():
+    return """cache AS (SELECT cache_key AS key, TIMESTAMP '2026-01-08 00:00:00' - to_days(CAST(line % 12 AS INT)) AS created,
+       168 AS ttl_hours, 'answer for ' || rule_id || ' at ' || file AS response,
+       CASE line % 4 WHEN 0 THEN """ + _hmac_sql("'answer for ' || rule_id || ' at ' || file", CACHE_SECRET) + """
+                     WHEN 1 THEN 'bad' ELSE '' END AS integrity
+  FROM keyed WHERE line % 3 = 0),
+valid AS (SELECT key, response FROM cache WHERE created + to_hours(ttl_hours) >= TIMESTAMP '""" + NOW + """'
+          AND (integrity = '' OR integrity = """ + _hmac_sql("response", CACHE_SECRET) + """))
+"""
+
+
+def _cache_df(keyed):
+    from scanforge.functions.text import hmac_sha256_hex
+    resp = F.concat(F.lit("answer for "), F.col("rule_id"), F.lit(" at "), F.col("file"))
+    line = F.col("line")
+    return keyed.where(line % 3 == 0).select(
+        F.col("cache_key").alias("key"),
+        (F.lit(NOW).cast("timestamp") - F.make_interval(days=(line % 12).cast("int"))).alias("created"),
+        F.lit(168).alias("ttl_hours"), resp.alias("response"),
+        F.when(line % 4 == 0, hmac_sha256_hex(CACHE_SECRET, resp)).when(line % 4 == 1, F.lit("bad"))
+        .otherwise(F.lit("")).alias("integrity"))
+
+
+@register("cache_lookup", _KEYED_SQL + "," + _cache_sql() + """SELECT repo, engine, rule_id, file, line,
+  cache_key IN (SELECT key FROM valid) AS hit FROM keyed""")
+def q_cache_lookup(spark, sf):
+    from scanforge.operators.remediation import cache_lookup
+    keyed = _keyed(spark, sf)
+    hits, misses = cache_lookup(keyed, _cache_df(keyed), NOW, integrity_key=CACHE_SECRET)
+    cols = ["repo", "engine", "rule_id", "file", F.col("line").cast("long").alias("line")]
+    return hits.select(*cols, F.lit(True).alias("hit")).unionByName(misses.select(*cols, F.lit(False).alias("hit")))
+
+
+@register("attach_remediation", _KEYED_SQL + "," + _cache_sql() + """SELECT repo, engine, rule_id, file, line,
+  coalesce((SELECT any_value(response) FROM valid WHERE valid.key = keyed.cache_key), '') AS ai_remediation FROM keyed""")
+def q_attach_remediation(spark, sf):
+    from scanforge.operators.remediation import attach_remediation, cache_lookup
+    keyed = _keyed(spark, sf)
+    hits, _ = cache_lookup(keyed, _cache_df(keyed), NOW, integrity_key=CACHE_SECRET)
+    answers = hits.select("cache_key", F.col("cached_response").alias("response")).distinct()
+    out = attach_remediation(keyed, answers)
+    return out.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"), "ai_remediation")
+
+
+@register("render_prompts", _SAST_FINDINGS + """
+SELECT finding_id, '## Security Vulnerability Found' || chr(10) || chr(10)
+  || '**Vulnerability:** ' || title || chr(10) || '**Severity:** ' || severity || chr(10)
+  || '**Language:** ' || language || chr(10) || '**OWASP Category:** ' || owasp || chr(10)
+  || '**CWE:** ' || cwe || chr(10) || '**CVSS Score:** ' || printf('%.1f', cvss) || chr(10) || chr(10)
+  || CASE WHEN code <> '' THEN '**Vulnerable Code:**' || chr(10) || '```' || chr(10) || code || chr(10) || '```' || chr(10) || chr(10) ELSE '' END
+  || '**File:** ' || file || ' (line ' || line || ')' || chr(10) || chr(10)
+  || 'Please provide:' || chr(10)
+  || '1. Why this vulnerability is dangerous in this specific context' || chr(10)
+  || '2. A corrected code example' || chr(10)
+  || '3. Any additional security controls to add' || chr(10) AS prompt
+FROM findings""")
+def q_render_prompts(spark, sf):
+    from scanforge.operators.remediation import render_prompt
+    f = flagship(spark, sf, enable_leaks=False, enable_sca=False)
+    return render_prompt(f).select("finding_id", "prompt")
+
+
+def _answers_sql():
+    return """answers AS (SELECT conv_id, turn, CASE turn % 5
+    WHEN 0 THEN 'Sure, here is the fix:' || chr(10) || text
+    WHEN 1 THEN '<|im_start|>' || text || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || text || '<|im_end|>'
+    WHEN 2 THEN repeat(text || chr(9) || chr(10), 3)
+    WHEN 3 THEN '  Here are steps' || chr(10) || chr(10) || chr(10) || text || ' ' || chr(10)
+    ELSE text END AS raw FROM conversations WHERE role = 'assistant')"""
+
+
+def _answers_df(spark, sf):
+    c = ensure_parallelism(V.table(spark, sf, "conversations")).where(F.col("role") == "assistant")
+    t, turn = F.col("text"), F.col("turn")
+    raw = (F.when(turn % 5 == 0, F.concat(F.lit("Sure, here is the fix:\n"), t))
+           .when(turn % 5 == 1, F.concat(F.lit("<|im_start|>"), t, F.lit("  \n\n\n\n"), t, F.lit("<|im_end|>")))
+           .when(turn % 5 == 2, F.repeat(F.concat(t, F.lit("\t\n")), 3))
+           .when(turn % 5 == 3, F.concat(F.lit("  Here are steps\n\n\n"), t, F.lit(" \n")))
+           .otherwise(t))
+    return c.select("conv_id", "turn", raw.alias("raw"))
+
+
+def _clean_sql(x):
+    from scanforge.operators.remediation import FILLER_PREFIXES, GARBAGE_TOKENS
+    t = x
+    for g in GARBAGE_TOKENS:
+        t = f"replace({t}, {O.q(g)}, '')"
+    first = f"trim(split_part({t}, chr(10), 1), {O.GO_SPACE})"
+    filler = " OR ".join(f"starts_with({first}, {O.q(p)})" for p in FILLER_PREFIXES)
+    t = f"(CASE WHEN {filler} THEN regexp_replace({t}, '^[^\\n]*(\\n|$)', '') ELSE {t} END)"
+    t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    t = f"regexp_replace({t}, '[ \\t]+(\\n|$)', '\\1', 'g')"
+    return t
+
+
+@register("clean_responses", "WITH " + _answers_sql() + """,
+s1 AS (SELECT conv_id, turn, """ + _clean_sql("raw") + """ AS t FROM answers),
+s2 AS (SELECT conv_id, turn, t, len(list_filter(range(1, length(t) + 1), lambda i: strlen(left(t, i)) <= 3000)) AS k FROM s1),
+s3 AS (SELECT conv_id, turn, CASE WHEN strlen(t) > 3000 THEN
+          (CASE WHEN strlen(left(t, k)) - strpos(reverse(left(t, k)), chr(10)) + 1 > 2501 AND contains(left(t, k), chr(10))
+                THEN left(left(t, k), length(left(t, k)) - strpos(reverse(left(t, k)), chr(10)))
+                ELSE left(t, k) END) || chr(10) || chr(10) || '[... output truncated]'
+        ELSE t END AS t FROM s2)
+SELECT conv_id, turn, trim(t, """ + O.GO_SPACE + """) AS cleaned FROM s3""")
+def q_clean_responses(spark, sf):
+    from scanforge.operators.remediation import clean_response
+    return _answers_df(spark, sf).select("conv_id", "turn", clean_response("raw").alias("cleaned"))
+
+
+# ===================================================================== §2.5 advisories as JSON
+
+def _adv_json_sql():
+    return """adv_json AS (SELECT p_partkey, '{"id":"ADV-' || p_partkey || '","aliases":['
+  || CASE p_partkey % 3 WHEN 0 THEN '"GHSA-' || p_partkey || '","CVE-2024-' || p_partkey || '"'
+                        WHEN 1 THEN '"GHSA-' || p_partkey || '"' ELSE '' END
+  || '],"summary":"' || CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END
+  || '","details":"' || repeat(p_name || ' ' || p_brand || ' ', 1 + p_size % 20)
+  || '","severity":[' || CASE p_size % 4 WHEN 0 THEN '{"type":"CVSS_V3","score":"' || (p_size % 10) || '.5"}'
+       WHEN 1 THEN '{"type":"CVSS_V3","score":"CVSS:3.1/AV:N/AC:L/PR:N/UI:N"}'
+       WHEN 2 THEN '{"type":"CVSS_V2","score":"AV:N/AC:H/Au:N"}' ELSE '' END
+  || '],"affected":[{"package":{"name":"pkg' || p_partkey || '","ecosystem":"PyPI"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"}'
+  || CASE WHEN p_size % 5 = 0 THEN '' ELSE ',{"fixed":"1.' || p_size || '"}' END || ']}]}]}' AS json FROM part)"""
+
+
+def _adv_json_df(spark, sf):
+    p = ensure_parallelism(V.table(spark, sf, "part"))
+    k, size, name = F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_name")
+    aliases = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"GHSA-'), k, F.lit('","CVE-2024-'), k, F.lit('"')))
+               .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('"GHSA-'), k, F.lit('"'))).otherwise(F.lit("")))
+    sev = (F.when(size % 4 == 0, F.concat(F.lit('{"type":"CVSS_V3","score":"'), (size % 10).cast("string"), F.lit('.5"}')))
+           .when(size % 4 == 1, F.lit('{"type":"CVSS_V3","score":"CVSS:3.1/AV:N/AC:L/PR:N/UI:N"}'))
+           .when(size % 4 == 2, F.lit('{"type":"CVSS_V2","score":"AV:N/AC:H/Au:N"}')).otherwise(F.lit("")))
+    fixed = F.when(size % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(',{"fixed":"1.'), size.cast("string"), F.lit('"}')))
+    j = F.concat(F.lit('{"id":"ADV-'), k, F.lit('","aliases":['), aliases, F.lit('],"summary":"'),
+                 F.when(F.col("p_partkey") % 2 == 0, name).otherwise(F.lit("")), F.lit('","details":"'),
+                 F.repeat(F.concat(name, F.lit(" "), F.col("p_brand"), F.lit(" ")), (1 + size % 20).cast("int")),
+                 F.lit('","severity":['), sev,
+                 F.lit('],"affected":[{"package":{"name":"pkg'), k,
+                 F.lit('","ecosystem":"PyPI"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"}'), fixed,
+                 F.lit("]}]}]}"))
+    return p.select("p_partkey", j.alias("json"))
+
+
+_CVSS_NUM_SQL = """(CASE WHEN TRY_CAST(regexp_extract(s, '^[\\t\\n\\f\\r ]*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1) AS DOUBLE) > 0
+   AND TRY_CAST(regexp_extract(s, '^[\\t\\n\\f\\r ]*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1) AS DOUBLE) <= 10
+  THEN TRY_CAST(regexp_extract(s, '^[\\t\\n\\f\\r ]*([+-]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][+-]?[0-9]+)?)', 1) AS DOUBLE)
+  WHEN contains(upper(s), 'AV:N') AND contains(upper(s), 'AC:L') AND contains(upper(s), 'PR:N') THEN 9.0
+  WHEN contains(upper(s), 'AV:N') THEN 7.5 ELSE 5.0 END)"""
+
+_NORM_SQL = "WITH " + _adv_json_sql() + """,
+parsed AS (SELECT p_partkey, json_extract_string(json, '$.id') AS id,
+    json_extract_string(json, '$.aliases[*]') AS aliases, json_extract_string(json, '$.summary') AS summary,
+    json_extract_string(json, '$.details') AS details,
+    json_extract_string(json, '$.affected[*].ranges[*].events[*].fixed') AS fixes,
+    json_extract_string(json, '$.severity[*].type') AS stypes, json_extract_string(json, '$.severity[*].score') AS sscores
+  FROM adv_json),
+scored AS (SELECT *, list_filter(list_zip(stypes, sscores), lambda z: z[1] IN ('CVSS_V3', 'CVSS_V2'))[1][2] AS s FROM parsed)
+SELECT id, coalesce(list_filter(aliases, lambda a: starts_with(a, 'CVE-'))[1], id) AS cve,
+       coalesce(list_filter(fixes, lambda f: f IS NOT NULL AND f <> '')[1], '') AS fixed,
+       CASE WHEN coalesce(summary, '') <> '' THEN summary WHEN strlen(details) > 200 THEN left(details, 200) || '...' ELSE details END AS description,
+       CASE WHEN s IS NULL THEN 0.0 ELSE """ + _CVSS_NUM_SQL + """ END AS cvss
+FROM scored"""
+
+
+@register("normalize_advisory", _NORM_SQL)
+def q_normalize_advisory(spark, sf):
+    from scanforge.operators.sca import normalize_advisory
+    return normalize_advisory(_adv_json_df(spark, sf)).select("id", "cve", "fixed", "description", "cvss")
+
+
+@register("cvss_score", "SELECT id, cvss, " + _CVSS_SEV_SQL.format(s="cvss") + " AS severity FROM (" + _NORM_SQL.replace(
+    "WITH adv_json", "WITH adv_json", 1) + ")")
+def q_cvss_score(spark, sf):
+    from scanforge.operators.sca import normalize_advisory
+    return normalize_advisory(_adv_json_df(spark, sf)).select("id", "cvss", "severity")
+
+
+@register("stamped_output", O.with_views("pushes") + """
+SELECT event_id, 'report_' || branch || '_' || strftime(ts, '%Y%m%d-%H%M%S') || '.json' AS report_name
+FROM (SELECT event_id, ts, """ + _BRANCH_SQL + " AS branch FROM pushes) WHERE " + _VALID_BRANCH.format(b="branch"))
+def q_stamped_output(spark, sf):
+    from scanforge.sinks.reports import stamped_name
+    from scanforge.streaming.monitor import push_branch
+    p = push_branch(ensure_parallelism(V.pushes(spark, sf)))
+    return p.select("event_id", stamped_name("report.json", F.col("branch"), F.col("ts")).alias("report_name"))
+
+
+# ===================================================================== YAML manifests, streaming
+
+def _pubspec_df(spark, sf):
+    d = _deps_df(spark, sf)
+    entry = F.concat(F.lit("  "), F.col("name"), F.lit("@"), F.col("version"), F.lit(": ^"), F.col("version"))
+    m = d.groupBy("manifest").agg(F.array_join(F.array_sort(F.collect_set(entry)), "\n").alias("body"))
+    content = F.concat(F.lit("name: app\nenvironment:\n  sdk: '>=3.0.0'\ndependencies:\n  flutter:\n    sdk: flutter\n"),
+                       F.col("body"), F.lit("\ndev_dependencies:\n  lints: {path: ../lints}\n"))
+    return m.select(F.lit("r").alias("repo"),
+                    F.regexp_replace("manifest", r"requirements\.txt$", "pubspec.yaml").alias("path"), content.alias("content"))
+
+
+@register("deps_pubspec", O.with_views("deps") + """
+SELECT DISTINCT 'r' AS repo, name || '@' || version AS name, version, 'pub' AS ecosystem,
+       regexp_replace(manifest, 'requirements\\.txt$', 'pubspec.yaml') AS file FROM deps
+UNION ALL SELECT 'r', 'lints', '', 'pub', regexp_replace(manifest, 'requirements\\.txt$', 'pubspec.yaml') FROM deps GROUP BY manifest""")
+def q_deps_pubspec(spark, sf):
+    from scanforge.operators.sca import deps_pubspec
+    return deps_pubspec(_pubspec_df(spark, sf)).select("repo", "name", "version", "ecosystem", "file")
+
+
+def _scratch(spark, name):
+    import uuid
+
+    from scanforge.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("incremental_scan", _SCAN_SQL + """, pushed AS (SELECT DISTINCT 'repo' || (user_id % 20) AS repo FROM events
+  WHERE event_type = 'click')
+SELECT repo, engine, rule_id, file, line FROM all_findings WHERE repo IN (SELECT repo FROM pushed)""")
+def q_incremental_scan(spark, sf):
+    """Push events arrive as a file stream; each micro-batch keeps pushes to
+    the watched branch and scans those repositories' files in foreachBatch."""
+    from scanforge.streaming.monitor import incremental_scan, push_branch, target_branch
+    events = V.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    pushes = stream.select("event_id", "ts", F.concat(F.lit("repo"), (F.col("user_id") % 20).cast("string")).alias("repo"),
+                           F.concat(F.lit('{"ref": "'), F.when(F.col("event_type") == "click", "refs/heads/main")
+                                    .otherwise("refs/heads/dev"), F.lit('"}')).alias("payload"))
+    changes = target_branch(push_branch(pushes), "main")
+    files = corpus(spark, sf)
+
+    def files_for(batch):
+        return files.join(F.broadcast(batch.select("repo").distinct()), "repo", "left_semi")
+
+    sink, ckpt = _scratch(spark, "incremental-sink"), _scratch(spark, "incremental-ckpt")
+    q = incremental_scan(changes, files_for, sink, ckpt, available_now=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))
+
+
+@register("rate_limit_stream")
+def q_rate_limit_stream(spark, sf):
+    """Exact limiter (window restarts at the first request after expiry),
+    keyed state per source, over the events as a file stream."""
+    from scanforge.streaming.monitor import rate_limit_stream
+    events = V.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    src = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("source"))
+    limited = rate_limit_stream(src, n=2, window_seconds=3600, key="source")
+    sink, ckpt = _scratch(spark, "ratelimit-sink"), _scratch(spark, "ratelimit-ckpt")
+    q = (limited.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "source")

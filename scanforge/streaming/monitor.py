@@ -167,7 +167,7 @@ def _ipv6_bits(ip: Column) -> Column:
 
 
 def incremental_scan(changes: DataFrame, files_for, sink_dir: str, checkpoint: str,
-                     trigger_seconds: int = 30, scan_fn=None):
+                     trigger_seconds: int = 30, scan_fn=None, available_now: bool = False):
     """Stream of accepted pushes / HEAD changes -> per micro-batch scan of the
     changed branches -> stamped findings written under ``sink_dir``.
 
@@ -190,5 +190,7 @@ def incremental_scan(changes: DataFrame, files_for, sink_dir: str, checkpoint: s
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "repo", "branch").parquet(sink_dir))
 
-    return (changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=f"{max(trigger_seconds, 30)} seconds"))
+    w = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if available_now:
+        return w.trigger(availableNow=True)
+    return w.trigger(processingTime=f"{max(trigger_seconds, 30)} seconds")
