@@ -48,9 +48,11 @@ def redact_corpus(files: DataFrame, rules: DataFrame | None = None, content_col:
     c = F.col(content_col)
     df = files.withColumn("_lines", F.split(c, "\n", -1)).withColumn("_lc", lower_for_hints(c))
     lc = F.col("_lc")
+    def masker(rx):
+        return lambda line: F.regexp_replace(line, rx, mask)
+
     for r in cat.leak_specs:
-        rx = to_java(r.pattern)
-        replaced = F.transform(F.col("_lines"), lambda l, rx=rx: F.regexp_replace(l, rx, mask))
+        replaced = F.transform(F.col("_lines"), masker(to_java(r.pattern)))
         if r.hints:
             cond = None
             for h in r.hints:

@@ -256,16 +256,15 @@ def _nested_redact_sql(col: str) -> str:
     return expr
 
 
-@register("redact_corpus", "WITH " + _CONV_LINES + ",\nrl AS (SELECT conv_id, turn, line_no, "
-          + _nested_redact_sql("line") + " AS line FROM conv_lines)\n"
-          "SELECT conv_id, turn, count(*) FILTER (WHERE contains(line, '***REDACTED***')) AS masked_lines, "
+@register("redact_corpus", O.with_views("corpus") + ",\n" + _CORPUS_LINES + ",\nrl AS (SELECT repo, path, line_no, "
+          + _nested_redact_sql("line") + " AS line FROM corpus_lines)\n"
+          "SELECT repo, path, count(*) FILTER (WHERE contains(line, '***REDACTED***')) AS masked_lines, "
           "sum(strlen(line)) AS n_bytes FROM rl GROUP BY ALL")
 def q_redact_corpus(spark, sf):
     from scanforge.operators.secrets import redact_corpus
-    c = ensure_parallelism(V.table(spark, sf, "conversations"))
-    r = redact_corpus(c, content_col="text")
-    lines = r.select("conv_id", "turn", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.groupBy("conv_id", "turn").agg(
+    r = redact_corpus(corpus(spark, sf))
+    lines = r.select("repo", "path", F.explode(F.split("content", "\n", -1)).alias("line"))
+    return lines.groupBy("repo", "path").agg(
         F.count(F.when(F.col("line").contains("***REDACTED***"), 1)).alias("masked_lines"),
         F.sum(F.octet_length("line")).alias("n_bytes"))
 
