@@ -215,12 +215,39 @@ def deps_pubspec(manifests: DataFrame) -> DataFrame:
     return m.mapInPandas(parse, "repo string, name string, version string, ecosystem string, file string")
 
 
+def manifest_format(path_col="path") -> Column:
+    """Manifest format from the base name (NULL if not a manifest)."""
+    name = base_name(F.col(path_col) if isinstance(path_col, str) else path_col)
+    out = F.lit(None).cast("string")
+    for fmt, names in MANIFEST_NAMES.items():
+        out = F.when(name.isin(*names), F.lit(fmt)).otherwise(out)
+    return out
+
+
+_PARSERS = {
+    "npm": lambda m: deps_npm(m), "composer": lambda m: deps_composer(m),
+    "requirements": lambda m: deps_requirements(m), "gemfile": lambda m: deps_gemfile(m),
+    "gomod": lambda m: deps_gomod(m), "maven": lambda m: deps_pom(m), "pubspec": lambda m: deps_pubspec(m),
+}
+
+DEPS_SCHEMA = "repo string, name string, version string, ecosystem string, file string"
+
+
 def dependency_inventory(manifests: DataFrame, include_pubspec: bool = True) -> DataFrame:
-    """Union of all manifest jobs -> (repo, name, version, ecosystem, file)."""
-    parts = [deps_npm(manifests), deps_composer(manifests), deps_requirements(manifests),
-             deps_gemfile(manifests), deps_gomod(manifests), deps_pom(manifests)]
-    if include_pubspec:
-        parts.append(deps_pubspec(manifests))
+    """Union of the manifest jobs -> (repo, name, version, ecosystem, file).
+
+    Manifests are a small slice of a corpus and every format job reads them,
+    so they are persisted once (recomputed from lineage if an executor is
+    lost); only the jobs of formats actually present (a <= 7-row distinct)
+    enter the plan."""
+    from pyspark import StorageLevel
+    m = manifests.select("repo", "path", "content").persist(StorageLevel.MEMORY_AND_DISK)
+    present = {r[0] for r in m.select(manifest_format("path")).distinct().collect() if r[0]}
+    if not include_pubspec:
+        present.discard("pubspec")
+    parts = [_PARSERS[f](m) for f in MANIFEST_NAMES if f in present]
+    if not parts:
+        return m.sparkSession.createDataFrame([], DEPS_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -31,11 +31,11 @@ def register(name: str, sql: str | None = None):
 
 
 def corpus(spark, sf):
-    return ensure_parallelism(V.corpus(spark, sf))
+    return V.corpus(spark, sf)
 
 
 def documents(spark, sf):
-    return ensure_parallelism(V.table(spark, sf, "documents"))
+    return V.table(spark, sf, "documents")
 
 
 def _long(*names):
@@ -114,7 +114,7 @@ SELECT h.path AS file, h.line_no AS line, h.rule_id, r.severity, h.col AS "colum
 @register("sast_scan_pages", _PAGES_SAST)
 def q_sast_scan_pages(spark, sf):
     from scanforge.operators.sast import sast_scan
-    p = ensure_parallelism(V.table(spark, sf, "pages"))
+    p = V.table(spark, sf, "pages")
     files = p.select(F.lit("pages").alias("repo"),
                      F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
                      F.col("html").alias("content"))
@@ -173,7 +173,7 @@ def q_redact(spark, sf):
 @register("shannon_entropy", "SELECT item_id, round(" + O.entropy_sql("text") + ", 6) AS entropy FROM benchmark")
 def q_shannon_entropy(spark, sf):
     from scanforge.functions.text import shannon_entropy
-    b = ensure_parallelism(V.table(spark, sf, "benchmark"))
+    b = V.table(spark, sf, "benchmark")
     return b.select("item_id", F.round(shannon_entropy("text"), 6).alias("entropy"))
 
 
@@ -244,7 +244,7 @@ _CONV_LINES = """conv_lines AS MATERIALIZED (SELECT conv_id, turn, line_no,
           + ")\nSELECT path AS id, line_no, rule_id, " + O.redact_sql("m") + " AS match FROM lh")
 def q_scan_lines(spark, sf):
     from scanforge.operators.secrets import scan_lines
-    c = ensure_parallelism(V.table(spark, sf, "conversations"))
+    c = V.table(spark, sf, "conversations")
     c = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
     return scan_lines(c).select("id", F.col("line_no").cast("long"), "rule_id", "match")
 
@@ -520,7 +520,7 @@ hist AS (SELECT d.*, r.leak_type, CASE WHEN contains(r.leak_type, 'Generic') OR
           "WHERE NOT gated_rule OR entropy >= 3.5")
 def q_history_scan(spark, sf):
     from scanforge.operators.secrets import history_scan
-    h = history_scan(ensure_parallelism(V.blobs(spark, sf)))
+    h = history_scan(V.blobs(spark, sf))
     return h.select("repo", "file", F.col("line").cast("long"), "rule_id", "commit_hash", "match", "entropy")
 
 
@@ -531,7 +531,7 @@ def q_history_dedup(spark, sf):
     from scanforge.operators.secrets import history_dedup
     from scanforge.sources.files import drop_media_extensions, is_binary
     cat = Catalog(spark, sast=False)
-    b = drop_media_extensions(ensure_parallelism(V.blobs(spark, sf)))
+    b = drop_media_extensions(V.blobs(spark, sf))
     b = b.select("repo", "path", "commit_seq", "commit_hash", "content", F.lit(None).cast("string").alias("language"),
                  ((F.octet_length("content") <= 1048576) & ~is_binary(F.col("content"))).alias("leak_ok"))
     hits = match_files(b.where("leak_ok"), None, cat.leak_specs, ["repo", "path", "commit_seq", "commit_hash"],
@@ -544,7 +544,7 @@ def q_history_dedup(spark, sf):
 # ===================================================================== §2.5 SCA
 
 def _deps_df(spark, sf):
-    return ensure_parallelism(V.deps(spark, sf))
+    return V.deps(spark, sf)
 
 
 # Manifest texts of every format, built from the deps view the same way in
@@ -647,7 +647,7 @@ for _fmt in ("npm", "composer", "gomod", "gemfile", "pom"):
 
 def _manifests(spark, sf):
     m = V.manifests(spark, sf)
-    return ensure_parallelism(m.select(F.lit("r").alias("repo"), "path", "content"))
+    return m.select(F.lit("r").alias("repo"), "path", "content")
 
 
 @register("deps_requirements", O.with_views("manifests") + "\nSELECT 'r' AS repo, name, version, 'pypi' AS ecosystem, "
@@ -750,7 +750,7 @@ def _kv_deps_sql():
           "severity, cvss, fixed AS fixed_version FROM kvdeps JOIN kv ON lower(name) = kn AND version = kver")
 def q_match_known_vulnerable(spark, sf):
     from scanforge.operators.sca import match_known_vulnerable
-    li = ensure_parallelism(V.table(spark, sf, "lineitem"))
+    li = V.table(spark, sf, "lineitem")
     names = F.array(*[F.lit(n) for n in _KV_NAMES])
     vers = F.array(*[F.lit(v) for v in _KV_VERSIONS])
     d = li.select(F.lit("r").alias("repo"),
@@ -856,7 +856,7 @@ signed AS (SELECT *, CASE WHEN event_id % 5 = 4 THEN 'gitlab' ELSE 'github' END
 
 def _signed_pushes(spark, sf):
     from scanforge.functions.text import hmac_sha256_hex
-    p = ensure_parallelism(V.pushes(spark, sf))
+    p = V.pushes(spark, sf)
     e = F.col("event_id")
     plat = F.when(e % 5 == 4, "gitlab").otherwise("github")
     sig = (F.when(e % 5 == 4, F.when(e % 2 == 0, F.lit(SECRET)).otherwise(F.lit("nope")))
@@ -869,7 +869,7 @@ def _signed_pushes(spark, sf):
 @register("hmac_sha256", "SELECT event_id, " + _hmac_sql("props", "k3y") + " AS tag FROM events")
 def q_hmac_sha256(spark, sf):
     from scanforge.functions.text import hmac_sha256_hex
-    e = ensure_parallelism(V.table(spark, sf, "events"))
+    e = V.table(spark, sf, "events")
     return e.select("event_id", hmac_sha256_hex("k3y", F.col("props")).alias("tag"))
 
 
@@ -892,7 +892,7 @@ _VALID_BRANCH = """(coalesce({b}, '') <> '' AND strlen({b}) <= 255 AND regexp_ma
           + " AS branch FROM pushes) WHERE " + _VALID_BRANCH.format(b="branch"))
 def q_push_branch(spark, sf):
     from scanforge.streaming.monitor import push_branch
-    return push_branch(ensure_parallelism(V.pushes(spark, sf))).select("event_id", "branch")
+    return push_branch(V.pushes(spark, sf)).select("event_id", "branch")
 
 
 _CAND_SQL = """CASE event_id % 7 WHEN 0 THEN 'main' WHEN 1 THEN 'feature/x' || event_id WHEN 2 THEN ''
@@ -928,14 +928,14 @@ def q_valid_repo(spark, sf):
           + " AS branch FROM pushes) WHERE branch = 'main'")
 def q_target_branch(spark, sf):
     from scanforge.streaming.monitor import push_branch, target_branch
-    return target_branch(push_branch(ensure_parallelism(V.pushes(spark, sf))), "main").select("event_id", "repo")
+    return target_branch(push_branch(V.pushes(spark, sf)), "main").select("event_id", "repo")
 
 
 @register("rate_limit", """SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id,
   time_bucket(INTERVAL 1 MINUTE, ts) ORDER BY ts, event_id) AS r FROM events) WHERE r <= 1""")
 def q_rate_limit(spark, sf):
     from scanforge.streaming.monitor import rate_limit
-    e = ensure_parallelism(V.table(spark, sf, "events")).withColumnRenamed("user_id", "source")
+    e = V.table(spark, sf, "events").withColumnRenamed("user_id", "source")
     return rate_limit(e.select("event_id", "ts", "source"), n=1, key_cols=("source",)).select("event_id")
 
 
@@ -945,7 +945,7 @@ def q_rate_limit(spark, sf):
   WHERE sha IS DISTINCT FROM prev""")
 def q_head_changes(spark, sf):
     from scanforge.streaming.monitor import head_changes
-    e = ensure_parallelism(V.table(spark, sf, "events"))
+    e = V.table(spark, sf, "events")
     obs = e.select("event_id", "ts", F.concat(F.lit("org/repo"), F.col("user_id").cast("string")).alias("repo"),
                    F.lit("main").alias("branch"), F.get_json_object("props", "$.k").alias("sha"))
     return head_changes(obs).select("event_id", "repo", "sha")
@@ -968,7 +968,7 @@ _IP_SQL = """CASE event_id % 9 WHEN 0 THEN '10.' || (user_id % 256) || '.' || (e
           "FROM (SELECT event_id, " + _IP_SQL + " AS ip FROM events)")
 def q_private_address(spark, sf):
     from scanforge.streaming.monitor import private_address
-    e = ensure_parallelism(V.table(spark, sf, "events"))
+    e = V.table(spark, sf, "events")
     ips = e.select("event_id", F.expr(_IP_SQL.replace("||", "||")).alias("ip"))
     return private_address(ips).select("event_id", "ip", "private")
 
@@ -1093,7 +1093,7 @@ def _answers_sql():
 
 
 def _answers_df(spark, sf):
-    c = ensure_parallelism(V.table(spark, sf, "conversations")).where(F.col("role") == "assistant")
+    c = V.table(spark, sf, "conversations").where(F.col("role") == "assistant")
     t, turn = F.col("text"), F.col("turn")
     raw = (F.when(turn % 5 == 0, F.concat(F.lit("Sure, here is the fix:\n"), t))
            .when(turn % 5 == 1, F.concat(F.lit("<|im_start|>"), t, F.lit("  \n\n\n\n"), t, F.lit("<|im_end|>")))
@@ -1146,7 +1146,7 @@ def _adv_json_sql():
 
 
 def _adv_json_df(spark, sf):
-    p = ensure_parallelism(V.table(spark, sf, "part"))
+    p = V.table(spark, sf, "part")
     k, size, name = F.col("p_partkey").cast("string"), F.col("p_size"), F.col("p_name")
     aliases = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"GHSA-'), k, F.lit('","CVE-2024-'), k, F.lit('"')))
                .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('"GHSA-'), k, F.lit('"'))).otherwise(F.lit("")))
@@ -1204,7 +1204,7 @@ FROM (SELECT event_id, ts, """ + _BRANCH_SQL + " AS branch FROM pushes) WHERE "
 def q_stamped_output(spark, sf):
     from scanforge.sinks.reports import stamped_name
     from scanforge.streaming.monitor import push_branch
-    p = push_branch(ensure_parallelism(V.pushes(spark, sf)))
+    p = push_branch(V.pushes(spark, sf))
     return p.select("event_id", stamped_name("report.json", F.col("branch"), F.col("ts")).alias("report_name"))
 
 

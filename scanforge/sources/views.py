@@ -34,7 +34,10 @@ SEED_LINES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; spread over the cluster when the file gives fewer
+    splits than there are cores (a single row group reads as one task)."""
+    from scanforge.sources.files import ensure_parallelism
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def seed(spark: SparkSession) -> DataFrame:
