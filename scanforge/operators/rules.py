@@ -151,7 +151,8 @@ def load_rules(spark: SparkSession, rules_dir: str, max_bytes: int | None = None
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    doc = yaml.safe_load(bytes(content).decode("utf-8")) or {}
+                    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+                    doc = yaml.load(bytes(content).decode("utf-8"), Loader=loader) or {}
                     entries = doc.get("rules") or [] if isinstance(doc, dict) else []
                 except Exception as e:  # noqa: BLE001 - reported as a row
                     out.append((path, None, None, None, None, None, None, None, None, None, None, None,

@@ -192,11 +192,12 @@ def deps_pubspec(manifests: DataFrame) -> DataFrame:
                 if v.startswith(op):
                     return v[len(op):].strip()
             return v
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)   # libyaml when present
         for pdf in batches:
             out = []
             for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
                 try:
-                    doc = yaml.safe_load(content)
+                    doc = yaml.load(content, Loader=loader)
                 except Exception:  # noqa: BLE001 - unparsable manifest gives no rows
                     continue
                 if not isinstance(doc, dict):

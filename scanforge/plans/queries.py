@@ -238,14 +238,17 @@ _CONV_LINES = """conv_lines AS MATERIALIZED (SELECT conv_id, turn, line_no,
     FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS arr FROM conversations)))"""
 
 
-@register("scan_lines", "WITH " + O.leak_rules_values() + ",\n" + _CONV_LINES + ",\nlh AS ("
-          + O.leak_line_hits("(SELECT 'c' AS repo, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS path, "
-                             "line_no, line FROM conv_lines)")
+@register("scan_lines", O.with_views("corpus") + ",\n" + O.leak_rules_values() + """,
+text_lines AS MATERIALIZED (SELECT repo || ':' || path AS id, line_no,
+       CASE WHEN suffix(raw, chr(13)) THEN left(raw, length(raw) - 1) ELSE raw END AS line FROM (
+    SELECT repo, path, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS raw
+    FROM (SELECT repo, path, string_split(content, chr(10)) AS arr FROM corpus))),
+lh AS (""" + O.leak_line_hits("(SELECT 'c' AS repo, id AS path, line_no, line FROM text_lines)")
           + ")\nSELECT path AS id, line_no, rule_id, " + O.redact_sql("m") + " AS match FROM lh")
 def q_scan_lines(spark, sf):
+    """Every secret rule on every line of free text (here: the corpus texts)."""
     from scanforge.operators.secrets import scan_lines
-    c = V.table(spark, sf, "conversations")
-    c = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    c = corpus(spark, sf).select(F.concat_ws(":", "repo", "path").alias("id"), F.col("content").alias("text"))
     return scan_lines(c).select("id", F.col("line_no").cast("long"), "rule_id", "match")
 
 
