@@ -216,3 +216,8 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     if with_snippet:
         out.append(F.when(is_sast, F.array_join(F.slice(F.col("lines"), lo, hi - lo + 1), "\n")).alias("code"))
     return hits.select(*out)
+
+
+def skip_leak_lines(lines: DataFrame, line_col: str = "line", max_bytes: int = 10000) -> DataFrame:
+    """Drop the lines secret scanning skips (blank, '#' comments, long)."""
+    return lines.where(~skip_leak_line(F.col(line_col), max_bytes))

@@ -123,5 +123,13 @@ def attach_remediation(findings: DataFrame, answers: DataFrame) -> DataFrame:
     return j.withColumn("ai_remediation", F.coalesce(F.col("_resp"), F.col("ai_remediation"), F.lit(""))).drop("_k", "_resp")
 
 
-__all__ = ["remediation_worklist", "finding_cache_key", "cache_lookup", "render_prompt", "clean_response",
+def render_prompts(items: DataFrame) -> DataFrame:
+    return render_prompt(items)
+
+
+def clean_responses(texts: DataFrame, text_col: str = "text", out_col: str = "cleaned") -> DataFrame:
+    return texts.withColumn(out_col, clean_response(F.col(text_col)))
+
+
+__all__ = ["render_prompts", "clean_responses", "remediation_worklist", "finding_cache_key", "cache_lookup", "render_prompt", "clean_response",
            "attach_remediation", "CACHE_TTL_HOURS"]

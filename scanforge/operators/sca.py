@@ -322,12 +322,14 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
         opt("last_affected").alias("last_affected"), opt("versions", "array<string>").alias("versions"),
         opt("score", "double").alias("score"), opt("cve").alias("a_cve"), opt("summary").alias("summary"),
     )
-    distinct = d.select("eco_key", "name", "version").distinct()
-    vk = version_key(F.col("version"))
+    # keys computed once per row on each side, not per candidate pair
+    distinct = d.select("eco_key", "name", "version").distinct().withColumn("vk", version_key(F.col("version")))
+    adv = (adv.withColumn("ik", version_key(F.col("introduced"))).withColumn("fk", version_key(F.col("fixed")))
+           .withColumn("lk", version_key(F.col("last_affected"))))
     affected = (
-        (F.col("introduced").isNull() | (vk >= version_key(F.col("introduced"))))
-        & (F.col("fixed").isNull() | (vk < version_key(F.col("fixed"))))
-        & (F.col("last_affected").isNull() | (vk <= version_key(F.col("last_affected"))))
+        (F.col("introduced").isNull() | (F.col("vk") >= F.col("ik")))
+        & (F.col("fixed").isNull() | (F.col("vk") < F.col("fk")))
+        & (F.col("last_affected").isNull() | (F.col("vk") <= F.col("lk")))
     ) | F.coalesce(F.array_contains(F.col("versions"), F.col("version")), F.lit(False))
     vuln = distinct.join(adv, (distinct.eco_key == adv.a_eco) & (distinct.name == adv.a_name)).where(affected)
     vuln = vuln.select("eco_key", "name", "version", "adv_id", "fixed", "score", "a_cve", "summary")

@@ -1278,3 +1278,23 @@ def q_rate_limit_stream(spark, sf):
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink).select("event_id", "source")
+
+
+@register("monitor_heads", _SCAN_SQL + """, observed AS (SELECT DISTINCT 'repo' || (user_id % 20) AS repo FROM events)
+SELECT repo, engine, rule_id, file, line FROM all_findings WHERE repo IN (SELECT repo FROM observed)""")
+def q_monitor_heads(spark, sf):
+    """HEAD observations (events as a file stream) -> scans of changed
+    branches, branch state advanced after each successful batch."""
+    from scanforge.streaming.monitor import monitor_heads
+    events = V.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    obs = stream.select(F.concat(F.lit("repo"), (F.col("user_id") % 20).cast("string")).alias("repo"),
+                        F.lit("main").alias("branch"), F.col("ts"), F.get_json_object("props", "$.k").alias("sha"))
+    files = corpus(spark, sf)
+
+    def files_for(changed):
+        return files.join(F.broadcast(changed.select("repo").distinct()), "repo", "left_semi")
+
+    sink, state, ckpt = _scratch(spark, "heads-sink"), _scratch(spark, "heads-state"), _scratch(spark, "heads-ckpt")
+    monitor_heads(obs, files_for, sink, state, ckpt, available_now=True).start().awaitTermination()
+    return spark.read.parquet(sink).select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))

@@ -46,7 +46,10 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        # hash of the leading (id) column: deterministic placement (safe on
+        # task retry) without the local sort a round-robin repartition needs,
+        # and the other columns can still be pruned below the exchange
+        return df.repartition(want, F.xxhash64(F.col(df.columns[0])))
     return df
 
 

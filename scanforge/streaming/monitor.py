@@ -194,3 +194,63 @@ def incremental_scan(changes: DataFrame, files_for, sink_dir: str, checkpoint: s
     if available_now:
         return w.trigger(availableNow=True)
     return w.trigger(processingTime=f"{max(trigger_seconds, 30)} seconds")
+
+
+def monitor_heads(observations: DataFrame, files_for, sink_dir: str, state_dir: str, checkpoint: str,
+                  trigger_seconds: int = 30, scan_fn=None, available_now: bool = False):
+    """Polling monitor as a stream: observations (repo, branch, ts, sha) ->
+    scan of every branch whose HEAD differs from the last *successfully
+    scanned* SHA.
+
+    The branch state is a small table (one row per repo/branch) versioned by
+    batch id under ``state_dir``. Inside one ``foreachBatch`` call the batch's
+    changes are found against the previous state version, the changed
+    branches are scanned and written, and only then the next state version is
+    written; a failed batch leaves the state untouched, so the change is
+    found again when the batch is retried (the checkpoint has not advanced).
+    """
+    from pyspark.sql.utils import AnalysisException
+
+    from scanforge.plans.scan import scan as default_scan
+    fn = scan_fn or default_scan
+    keys = ["repo", "branch"]
+
+    def previous_state(spark, batch_id):
+        try:
+            st = spark.read.parquet(state_dir)
+        except AnalysisException:
+            return None
+        st = st.where(F.col("batch_id") < batch_id)
+        last = st.groupBy().agg(F.max("batch_id").alias("b")).collect()[0]["b"]   # one scalar
+        return None if last is None else st.where(F.col("batch_id") == last).select(*keys, "sha")
+
+    def run(batch: DataFrame, batch_id: int):
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        # last observation per branch in this batch
+        w = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
+        latest = batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, "ts", "sha")
+        prev = previous_state(spark, batch_id)
+        if prev is None:
+            changed = latest
+            new_state = latest.select(*keys, "sha")
+        else:
+            p = prev.withColumnRenamed("sha", "_prev")
+            changed = latest.join(p, keys, "left").where(~F.col("sha").eqNullSafe(F.col("_prev"))).drop("_prev")
+            new_state = (p.join(latest.select(*keys, "sha"), keys, "full")
+                         .select(*keys, F.coalesce(F.col("sha"), F.col("_prev")).alias("sha")))
+        if not changed.isEmpty():
+            files = files_for(changed)
+            findings = fn(files).join(changed.select("repo", "branch", F.col("ts").alias("scan_ts"),
+                                                     F.col("sha").alias("head_sha")), "repo")
+            (findings.withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id", "repo", "branch").parquet(sink_dir))
+        (new_state.withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(state_dir))
+
+    w = observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if available_now:
+        return w.trigger(availableNow=True)
+    return w.trigger(processingTime=f"{max(trigger_seconds, 30)} seconds")

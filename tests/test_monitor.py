@@ -68,3 +68,33 @@ def test_rate_limit_stream_exact_anchor(spark, tmp_path):
     q.awaitTermination()
     kept = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert kept == [0, 1, 3, 4]
+
+
+def test_monitor_heads_advances_after_scan(spark, tmp_path):
+    from scanforge.streaming.monitor import monitor_heads
+    t0 = dt.datetime(2024, 1, 1)
+    obs_dir = tmp_path / "obs"
+    schema = "repo string, branch string, ts timestamp, sha string"
+
+    def add(rows, name):
+        spark.createDataFrame(rows, schema).write.parquet(str(obs_dir / name))
+
+    files = spark.createDataFrame([("r1", "a.py", "pickle.loads(x)"), ("r2", "b.py", "ok")],
+                                  "repo string, path string, content string")
+
+    def files_for(changed):
+        return files.join(changed.select("repo").distinct(), "repo", "left_semi")
+
+    def run_once():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(obs_dir))
+        q = monitor_heads(stream, files_for, str(tmp_path / "sink"), str(tmp_path / "state"),
+                          str(tmp_path / "ck"), available_now=True, scan_fn=lambda f: f.select("repo", "path")).start()
+        q.awaitTermination()
+
+    add([("r1", "main", t0, "a"), ("r2", "main", t0, "x")], "b0")
+    run_once()
+    add([("r1", "main", t0 + dt.timedelta(minutes=5), "a"), ("r2", "main", t0 + dt.timedelta(minutes=5), "y")], "b1")
+    run_once()
+    out = spark.read.parquet(str(tmp_path / "sink"))
+    got = sorted((r.batch_id, r.repo, r.head_sha) for r in out.collect())
+    assert got == [(0, "r1", "a"), (0, "r2", "x"), (1, "r2", "y")]
