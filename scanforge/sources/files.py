@@ -40,12 +40,22 @@ def read_corpus(spark: SparkSession, root: str, repo: str | None = None,
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a corpus read from few splits (e.g. one Parquet row group) over
-    the cluster before the per-line work. Large inputs already have enough
-    splits and are left alone (no extra shuffle)."""
+    """Spread a table that arrives in fewer files than there are cores before
+    the per-line work.
+
+    The split count is not a safe signal: a Parquet file with one row group
+    is cut into several splits, but only one of them reads rows. The number
+    of input files is: a large dataset has many files (and is left alone, no
+    extra shuffle); the small tables of a test run have one each.
+    """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - not a file-based relation
+        n_files = 0
+    n = n_files if n_files else df.rdd.getNumPartitions()
+    if n < want:
         # hash of the leading (id) column: deterministic placement (safe on
         # task retry) without the local sort a round-robin repartition needs,
         # and the other columns can still be pruned below the exchange
