@@ -109,12 +109,27 @@ def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: int = 60,
 
 
 def head_changes(observations: DataFrame, key_cols=("repo", "branch"), ts_col: str = "ts",
-                 sha_col: str = "sha") -> DataFrame:
-    """Batch form: observations where the SHA differs from the previous one
-    of the same repo/branch (the first observation counts)."""
-    w = Window.partitionBy(*key_cols).orderBy(ts_col)
-    prev = F.lag(sha_col).over(w)
-    return observations.withColumn("prev_sha", prev).where(~F.col(sha_col).eqNullSafe(F.col("prev_sha")))
+                 sha_col: str = "sha", bucket: str = "1 day") -> DataFrame:
+    """Batch form: observations whose SHA differs from the previous
+    observation of the same repo/branch (the first observation counts).
+
+    Exact global ``lag`` computed in two levels so that one very active
+    branch is not a single task: the lag inside (key, time bucket) windows,
+    and for each bucket's first row the last SHA of the key's previous
+    non-empty bucket (a one-row-per-bucket table)."""
+    keys = list(key_cols)
+    b = F.window(F.col(ts_col), bucket).start
+    obs = observations.withColumn("_bucket", b)
+    order = [F.col(ts_col)] + [F.col(c) for c in observations.columns if c not in keys + [ts_col]][:1]
+    w_in = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    obs = obs.withColumn("_prev_in", F.lag(sha_col).over(w_in)).withColumn("_rn", F.row_number().over(w_in))
+    last = obs.groupBy(*keys, "_bucket").agg(F.max_by(F.col(sha_col), F.struct(*order)).alias("_last"))
+    w_b = Window.partitionBy(*keys).orderBy("_bucket")
+    carry = last.withColumn("_prev_bucket", F.lag("_last").over(w_b)).select(*keys, "_bucket", "_prev_bucket")
+    j = obs.join(carry, keys + ["_bucket"], "left")
+    prev = F.when(F.col("_rn") == 1, F.col("_prev_bucket")).otherwise(F.col("_prev_in"))
+    return (j.withColumn("prev_sha", prev).where(~F.col(sha_col).eqNullSafe(F.col("prev_sha")))
+            .drop("_bucket", "_prev_in", "_rn", "_prev_bucket"))
 
 
 def _ip_to_long(c: Column) -> Column:

@@ -98,3 +98,12 @@ def test_monitor_heads_advances_after_scan(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "sink"))
     got = sorted((r.batch_id, r.repo, r.head_sha) for r in out.collect())
     assert got == [(0, "r1", "a"), (0, "r2", "x"), (1, "r2", "y")]
+
+
+def test_head_changes_across_buckets(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("r", "main", t0 + dt.timedelta(minutes=i, seconds=5 * (i % 2)), s)
+            for i, s in enumerate(["a", "a", "b", "b", "a", "a"])]
+    df = spark.createDataFrame(rows, "repo string, branch string, ts timestamp, sha string")
+    for bucket in ("1 minute", "2 minutes", "1 day"):
+        assert [r.sha for r in head_changes(df, bucket=bucket).orderBy("ts").collect()] == ["a", "b", "a"]
