@@ -34,7 +34,9 @@ def read_corpus(spark: SparkSession, root: str, repo: str | None = None,
     return df.select(
         F.lit(repo or prefix).alias("repo"),
         rel.alias("path"),
-        F.decode(F.col("content"), "UTF-8").alias("content"),
+        # bytes -> text without failing on invalid UTF-8 (binary files):
+        # invalid sequences become U+FFFD; NUL bytes survive for the binary test
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size"),
     )
 

@@ -72,3 +72,12 @@ def test_clean_response(spark):
     long = ("x" * 99 + "\n") * 40
     out = spark.createDataFrame([(long,)], "t string").select(clean_response("t")).collect()[0][0]
     assert out.endswith("[... output truncated]") and len(out.encode()) < 3100
+
+
+def test_read_corpus_survives_binary_files(spark, tmp_path):
+    from scanforge.plans.scan import scan
+    (tmp_path / "img.png").write_bytes(b"\x89PNG\r\n\x1a\n\x00\x00\xff\xfe")
+    (tmp_path / "blob.json").write_bytes(b"\x00\x01\x02\xff" * 100)
+    (tmp_path / "a.py").write_text("pickle.loads(x)\n")
+    f = scan(read_corpus(spark, str(tmp_path), repo="r")).collect()
+    assert [(r.file, r.rule_id) for r in f] == [("a.py", "PY-007")]
