@@ -1264,7 +1264,16 @@ def q_incremental_scan(spark, sf):
     return out.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))
 
 
-@register("rate_limit_stream")
+@register("rate_limit_stream", """WITH RECURSIVE ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS source, epoch(ts) AS t,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT source, rn, event_id, t + 3600 AS wend, 1 AS used, true AS keep FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.source, e.rn, e.event_id,
+         CASE WHEN e.t > r.wend THEN e.t + 3600 ELSE r.wend END,
+         CASE WHEN e.t > r.wend THEN 1 ELSE r.used + CASE WHEN r.used < 2 THEN 1 ELSE 0 END END,
+         CASE WHEN e.t > r.wend THEN true ELSE r.used < 2 END
+  FROM r JOIN ev e ON e.source = r.source AND e.rn = r.rn + 1)
+SELECT event_id, source FROM r WHERE keep""")
 def q_rate_limit_stream(spark, sf):
     """Exact limiter (window restarts at the first request after expiry),
     keyed state per source, over the events as a file stream."""

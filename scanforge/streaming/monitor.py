@@ -77,7 +77,9 @@ def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: int = 60,
                       ts_col: str = "ts", watermark: str = "10 minutes") -> DataFrame:
     """Streaming form with the exact semantics: the window restarts at the
     first request after expiry. Per-key state is (tokens used, window end);
-    events of a key are processed in time order inside each micro-batch."""
+    events of a key are processed in time order inside each micro-batch; the
+    state of a source times out (event time) once the watermark passes its
+    window end, which bounds the state to the active sources."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -86,26 +88,34 @@ def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: int = 60,
     state_schema = "used long, window_end double"
 
     def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            # the watermark passed this source's window end: a later request
+            # starts a new window anyway, so the state can go
+            state.remove()
+            return
         used, end = (state.get if state.exists else (0, float("-inf")))
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(ts_col)
-            keep = []
-            for t in pdf[ts_col]:
-                sec = pd.Timestamp(t).timestamp()
-                if sec > end:
-                    used, end = 0, sec + window_seconds
-                ok = used < n
-                used += 1 if ok else 0
-                keep.append(ok)
-            outs.append(pdf[keep])
+        chunks = [p for p in pdfs if len(p)]
+        if not chunks:
+            return
+        # a key's rows of one micro-batch may come in several Arrow chunks
+        pdf = pd.concat(chunks).sort_values([ts_col] + [c for c in chunks[0].columns if c != ts_col][:1])
+        keep = []
+        for t in pdf[ts_col]:
+            sec = pd.Timestamp(t).timestamp()
+            if sec > end:
+                used, end = 0, sec + window_seconds
+            ok = used < n
+            used += 1 if ok else 0
+            keep.append(ok)
+        outs = [pdf[keep]]
         state.update((used, end))
+        state.setTimeoutTimestamp(int(end * 1000))
         for o in outs:
             if len(o):
                 yield o
 
     return (events.withWatermark(ts_col, watermark).groupBy(key)
-            .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def head_changes(observations: DataFrame, key_cols=("repo", "branch"), ts_col: str = "ts",
