@@ -1,8 +1,8 @@
 """Rule catalog: the rule tables of one scan with a global position ``k``.
 
-Matching produces ``k``; findings get their rule columns from a broadcast
-join with the catalog. The catalog is bounded by ``MAX_INLINE_RULES`` (it is
-also what the match expressions are built from), so broadcasting it is safe.
+Matching produces ``k``; findings get their rule columns from a join with the
+catalog, broadcast when its exact size (computed on the driver, where the
+rule rows are) is below ``BROADCAST_CATALOG_BYTES``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanforge.operators.matching import MAX_INLINE_RULES, Rule
+from scanforge.operators.matching import Rule
+
+# The catalog is broadcast when its exact size (known on the driver) is below
+# this bound; otherwise the (small) hit table joins it with a regular join.
+BROADCAST_CATALOG_BYTES = 64 * 1024 * 1024
 from scanforge.operators.rules import builtin_rule_rows, leak_rule_rows
 
 CATALOG_SCHEMA = T.StructType([
@@ -40,9 +44,6 @@ def _rows(rules: DataFrame | None, kind: str) -> list[dict]:
             return [dict(zip(names, r)) for r in builtin_rule_rows()]
         names = ["rule_id", "name", "pattern", "severity", "description", "confidence", "hints", "rule_ord"]
         return [dict(zip(names, r)) for r in leak_rule_rows()]
-    n = rules.count()
-    if n > MAX_INLINE_RULES:
-        raise ValueError(f"{n} rules exceed the inline limit {MAX_INLINE_RULES}")
     ordered = rules.orderBy("rule_ord") if "rule_ord" in rules.columns else rules
     return [r.asDict() for r in ordered.collect()]
 
@@ -78,5 +79,9 @@ class Catalog:
                 k += 1
         self.rows = rows
 
+    def approx_bytes(self) -> int:
+        return sum(len(str(v).encode()) for row in self.rows for v in row if v is not None)
+
     def df(self) -> DataFrame:
-        return F.broadcast(self.spark.createDataFrame(self.rows, CATALOG_SCHEMA))
+        d = self.spark.createDataFrame(self.rows, CATALOG_SCHEMA)
+        return F.broadcast(d) if self.approx_bytes() <= BROADCAST_CATALOG_BYTES else d

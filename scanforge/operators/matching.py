@@ -8,9 +8,10 @@ the whole pass (split, explode, match) is one narrow, code-generated stage
 with no shuffle and no Python in the executors. A ``contains`` test on the
 lower-cased line (``rule_hints``) keeps most lines away from the regex engine.
 
-For rule tables too large to inline (``MAX_INLINE_RULES``) the same contract
-is met by a broadcast nested-loop join ``line RLIKE pattern`` (equi-key on
-language for SAST rules).
+Rule tables larger than ``MAX_INLINE_RULES`` are split into chunks and
+matched in one inline pass per chunk (the passes are unioned): the work grows
+linearly with the number of rules and no expression or broadcast grows
+without bound.
 """
 
 from __future__ import annotations
@@ -37,26 +38,6 @@ class Rule:
     hints: tuple | None
 
 
-def rules_to_specs(rules: DataFrame, kind: str) -> list[Rule]:
-    """Collect a (small) rule table to the driver as match specifications."""
-    n = rules.count()
-    if n > MAX_INLINE_RULES:
-        raise ValueError(f"{n} rules: too many to inline; use strategy='join'")
-    cols = rules.columns
-    rows = rules.orderBy("rule_ord").collect() if "rule_ord" in cols else rules.collect()
-    out = []
-    for i, r in enumerate(rows):
-        d = r.asDict()
-        out.append(Rule(
-            k=i, rule_id=d["rule_id"],
-            language=d.get("language") if kind == "sast" else None,
-            pattern=d["pattern"],
-            anti_pattern=d.get("anti_pattern") if kind == "sast" else None,
-            hints=tuple(d["hints"]) if d.get("hints") else None,
-        ))
-    return out
-
-
 def lower_for_hints(line: Column) -> Column:
     """Lower-case a line the way RE2 case folding reaches ASCII literals
     (KELVIN SIGN lower-cases to 'k'; LONG S is mapped to 's')."""

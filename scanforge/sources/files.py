@@ -135,7 +135,3 @@ def drop_binary(files: DataFrame, content_col: str = "content") -> DataFrame:
 
 def drop_media_extensions(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.where(~extension(F.col(path_col)).isin(*MEDIA_EXTENSIONS))
-
-
-def file_name(path_col="path") -> Column:
-    return base_name(path_col)

@@ -31,3 +31,20 @@ def test_sarif_documents_parse(spark):
     assert [r["id"] for r in head["tool"]["driver"]["rules"]] == ["PY-007", "LEAK-121"]   # SAST first
     docs = [json.loads(r.json) for r in json_findings(f).collect()]
     assert len(docs) == 3
+
+
+def test_writers_roundtrip(spark, tmp_path):
+    from scanforge.operators.findings import finding_stats
+    from scanforge.sinks.reports import stamped_output, write_json, write_sarif
+    rows = [("a.py", "pickle.loads(x)"), ("b.env", 'api_key = "a1B2c3D4e5F6g7H8i9J0"')]
+    f = scan(files_df(spark, rows))
+    write_json(f, finding_stats(f), str(tmp_path / "json"))
+    write_sarif(f, str(tmp_path / "sarif"))
+    head = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "json" / "header")).collect()]
+    assert head[0]["stats"]["total_findings"] == 2
+    sec = {r.section for r in spark.read.text(str(tmp_path / "json" / "findings")).select("section").collect()}
+    assert sec == {"sast_findings", "leak_findings"}
+    assert spark.read.text(str(tmp_path / "sarif" / "results")).count() == 2
+    stamped = f.withColumn("branch", F.lit("main")).withColumn("scan_ts", F.lit("20260101-000000"))
+    stamped_output(stamped, str(tmp_path / "stamped"))
+    assert spark.read.json(str(tmp_path / "stamped")).where("branch = 'main'").count() == 2

@@ -77,3 +77,13 @@ def test_stats_add_up(spark):
     assert st.total_findings == st.critical + st.high + st.medium + st.low + st.info
     assert st.total_findings == st.sast_count + st.sca_count + st.leaks_count
     assert st.sast_count == 2 and st.leaks_count == 2
+
+
+def test_rule_chunks_give_same_hits(spark, monkeypatch):
+    from scanforge.operators import matching
+    rows = [("a.py", "pickle.loads(x)\nexcept:\neval(y)"), ("b.js", "eval(x)\n// TODO: fix auth"),
+            ("c.env", 'api_key = "a1B2c3D4e5F6g7H8i9J0"')]
+    base = sorted((r.file, r.line, r.rule_id) for r in scan(files_df(spark, rows)).collect())
+    monkeypatch.setattr(matching, "MAX_INLINE_RULES", 7)
+    chunked = sorted((r.file, r.line, r.rule_id) for r in scan(files_df(spark, rows)).collect())
+    assert chunked == base and len(base) >= 5
