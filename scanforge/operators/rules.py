@@ -122,8 +122,9 @@ def load_rules(spark: SparkSession, rules_dir: str, max_bytes: int | None = None
     Returns ``(rules, errors)``. Files are read by ``binaryFile`` (size filter
     pushed into the scan) and parsed in the executors with PyYAML via
     ``mapInPandas``; each entry needs an id and a pattern that compiles. The
-    compile check is RE2 syntax approximated by Python ``re`` on the driver-free
-    path; bad entries become rows of ``errors``.
+    compile check is Python ``re`` plus a rejection of what RE2 does not
+    accept (look-arounds, back-references, atomic groups, possessive
+    quantifiers); bad entries become rows of ``errors``.
     """
     from scanforge.constants import RULE_FILE_CAP
     cap = RULE_FILE_CAP if max_bytes is None else max_bytes
@@ -170,6 +171,9 @@ def load_rules(spark: SparkSession, rules_dir: str, max_bytes: int | None = None
                     else:
                         try:
                             _re.compile(pat)
+                            bad = _re.search(r"\(\?<?[=!]|\(\?>|\\[1-9]|(?<!\\)[*+?}][+]", pat)
+                            if bad:   # valid for Python, not for RE2
+                                raise _re.error(f"unsupported construct {bad.group(0)!r}")
                         except _re.error as ex:
                             err = f"invalid pattern {pat!r}: {ex}"
                     refs = e.get("references")

@@ -81,3 +81,10 @@ def test_read_corpus_survives_binary_files(spark, tmp_path):
     (tmp_path / "a.py").write_text("pickle.loads(x)\n")
     f = scan(read_corpus(spark, str(tmp_path), repo="r")).collect()
     assert [(r.file, r.rule_id) for r in f] == [("a.py", "PY-007")]
+
+
+def test_load_rules_rejects_non_re2(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text('rules:\n  - id: LA\n    pattern: "a(?=b)"\n  - id: OK\n    pattern: "a+b"\n')
+    rules, errors = load_rules(spark, str(tmp_path))
+    assert [r.rule_id for r in rules.collect()] == ["OK"]
+    assert [e.rule_id for e in errors.collect()] == ["LA"]
