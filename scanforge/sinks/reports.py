@@ -30,8 +30,10 @@ SCA_JSON_FIELDS = ["package_name", "package_version", "fixed_version", "ecosyste
 
 def json_headers(stats: DataFrame, scan_time=None) -> DataFrame:
     """One JSON header per scan: version, scan time, target, stats."""
-    ts = F.date_format(F.coalesce(F.lit(scan_time).cast("timestamp"), F.current_timestamp()),
-                       "yyyy-MM-dd'T'HH:mm:ssXXX")
+    # UTC wall time, independent of the session time zone
+    utc = (F.lit(scan_time).cast("timestamp_ntz") if scan_time is not None
+           else F.convert_timezone(None, F.lit("UTC"), F.current_timestamp()))
+    ts = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     stat_cols = [c for c in stats.columns if c != "repo"]
     doc = F.to_json(F.struct(F.lit(TOOL_VERSION).alias("version"), ts.alias("scan_time"),
                              F.col("repo").alias("target"), F.struct(*stat_cols).alias("stats")))
