@@ -127,9 +127,14 @@ def strip_version_prefix(c) -> Column:
 
 
 def safe_url(c) -> Column:
-    """Keep http/https URLs (scheme case-insensitive), else '#'."""
-    u = trim_space(_c(c))
-    return F.when(F.coalesce(u, F.lit("")).rlike(r"^(?i)https?:"), u).otherwise(F.lit("#"))
+    """Keep http/https URLs (scheme case-insensitive, written lower-case as a
+    URL parser prints it), else '#'. Unparsable text (control characters,
+    bad percent escapes) also gives '#'."""
+    u = F.coalesce(trim_space(_c(c)), F.lit(""))
+    scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    bad = u.rlike(r"[\x00-\x1f\x7f]|%(?![0-9A-Fa-f]{2})")
+    ok = F.lower(scheme).isin("http", "https") & ~bad
+    return F.when(ok, F.concat(F.lower(scheme), F.substring(u, F.length(scheme) + 1, 1 << 30))).otherwise(F.lit("#"))
 
 
 def relative_path(c, root: str) -> Column:

@@ -818,17 +818,23 @@ def q_relative_path(spark, sf):
     return c.select("abs_path", relative_path(F.col("abs_path"), "/scan/root").alias("rel"))
 
 
-_URL_VARIANT_SQL = """CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN '  ' || url
-   WHEN 3 THEN 'javascript:alert(' || page_id || ')' WHEN 4 THEN '/path/' || page_id ELSE 'data:text/html,' || page_id END"""
+_URL_VARIANT_SQL = """CASE WHEN page_id % 7 = 6 THEN url || '%zz' ELSE CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN '  ' || url
+   WHEN 3 THEN 'javascript:alert(' || page_id || ')' WHEN 4 THEN '/path/' || page_id ELSE 'data:text/html,' || page_id END END"""
 
 
-@register("safe_url", "SELECT page_id, u, CASE WHEN regexp_matches(trim(u, " + O.GO_SPACE + "), '^(?i)https?:') THEN trim(u, "
-          + O.GO_SPACE + ") ELSE '#' END AS safe FROM (SELECT page_id, " + _URL_VARIANT_SQL + " AS u FROM pages)")
+_SAFE_URL_SQL = """SELECT page_id, u, CASE WHEN lower(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) IN ('http', 'https')
+    AND NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') AND NOT regexp_matches(t, '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)')
+  THEN lower(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) || substring(t, length(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) + 1)
+  ELSE '#' END AS safe
+FROM (SELECT page_id, u, trim(u, """ + O.GO_SPACE + """) AS t FROM (SELECT page_id, """ + _URL_VARIANT_SQL + """ AS u FROM pages))"""
+
+
+@register("safe_url", _SAFE_URL_SQL)
 def q_safe_url(spark, sf):
     from scanforge.functions.text import safe_url
     p = V.table(spark, sf, "pages")
     pid = F.col("page_id")
-    u = (F.when(pid % 6 == 0, F.col("url")).when(pid % 6 == 1, F.upper("url"))
+    u = (F.when(pid % 7 == 6, F.concat(F.col("url"), F.lit("%zz"))).when(pid % 6 == 0, F.col("url")).when(pid % 6 == 1, F.upper("url"))
          .when(pid % 6 == 2, F.concat(F.lit("  "), F.col("url")))
          .when(pid % 6 == 3, F.concat(F.lit("javascript:alert("), pid.cast("string"), F.lit(")")))
          .when(pid % 6 == 4, F.concat(F.lit("/path/"), pid.cast("string")))

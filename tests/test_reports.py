@@ -10,10 +10,13 @@ from tests.conftest import files_df
 
 
 @pytest.mark.parametrize("url,out", [
-    ("https://example.com/a", "https://example.com/a"), ("http://x.org", "http://x.org"),
-    ("javascript:alert(1)", "#"), ("data:text/html,x", "#"), ("vbscript:x", "#"), ("file:///etc/passwd", "#"),
-    ("HTTPS://EXAMPLE.COM", "HTTPS://EXAMPLE.COM"), ("  https://padded.example  ", "https://padded.example"),
-    ("", "#"), ("/path", "#"), ("//host/x", "#"),
+    ("https://osv.dev/vulnerability/GHSA-xxxx", "https://osv.dev/vulnerability/GHSA-xxxx"),
+    ("http://example.com/advisory", "http://example.com/advisory"),
+    ("javascript:alert(1)", "#"), ("data:text/html,<script>alert(1)</script>", "#"), ("vbscript:msgbox(1)", "#"),
+    ("file:///etc/passwd", "#"), ("JaVaScRiPt:alert(1)", "#"), ("  javascript:alert(1)  ", "#"),
+    ("", "#"), ("/path/only", "#"), ("//evil.com/x", "#"),
+    ("HTTPS://EXAMPLE.COM", "https://EXAMPLE.COM"), ("  https://padded.example  ", "https://padded.example"),
+    ("http://x/%zz", "#"),
 ])
 def test_safe_url(spark, url, out):
     assert spark.createDataFrame([(url,)], "u string").select(safe_url("u")).collect()[0][0] == out
