@@ -51,12 +51,16 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     extra shuffle); the small tables of a test run have one each.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
+    want = min_partitions or _default_parallelism(spark)
     try:
-        n_files = len(df.inputFiles())
+        n = len(df.inputFiles())
     except Exception:  # noqa: BLE001 - not a file-based relation
-        n_files = 0
-    n = n_files if n_files else df.rdd.getNumPartitions()
+        n = 0
+    if not n:
+        try:
+            n = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session)
+            n = 0
     if n < want:
         # hash of the leading (id) column: deterministic placement (safe on
         # task retry) without the local sort a round-robin repartition needs,
@@ -65,6 +69,13 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     return df
 
 
+def _default_parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - remote session: use the configured value
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 def ignore_paths(files: DataFrame, extra: list[str] | tuple = (), path_col: str = "path") -> DataFrame:
     """Drop files with an ignored name as a path segment (defaults + ``extra``)."""
     names = list(DEFAULT_IGNORE_PATHS) + [e for e in extra if e]
