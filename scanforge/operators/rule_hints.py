@@ -109,7 +109,7 @@ HINTS: dict[str, tuple[str, ...]] = {
     "K8S-001": ("runasuser:",),
     "K8S-002": ("privileged:",),
     "K8S-004": ("value", "password", "secret", "token"),
-    "HTML-001": ("on",),
+    "HTML-001": (" on", "\ton", "\ron", "\x0con"),   # \s before "on" (no LF inside a line)
     "HTML-002": ("<html",),
     "HTML-003": ("<input",),
     "GEN-001": ("-----begin ",),
