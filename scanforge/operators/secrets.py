@@ -14,6 +14,8 @@ from scanforge.operators.catalog import Catalog
 from scanforge.operators.matching import leak_hits_expr, lower_for_hints, match_files, sast_line
 from scanforge.sources.files import drop_media_extensions, is_binary
 
+MAX_BROADCAST_REPOS = 2_000_000
+
 IGNORED_SUFFIX = (" — file is listed in .gitignore; severity downgraded to INFO. "
                   "If this file was ever committed historically, run the history scan to check.")
 
@@ -203,19 +205,26 @@ def history_scan(blobs: DataFrame, rules: DataFrame | None = None, max_commits:
     per (rule, path, line, first 20 bytes of match), credited to the first
     commit, dedup applied before the entropy gate.
 
-    The commit cap is a one-row-per-repo threshold joined back (broadcast:
-    bounded by the number of repositories), so file contents never shuffle.
+    The commit cap is a one-row-per-repo threshold joined back: broadcast
+    when the number of repositories is proven small, otherwise applied to the
+    hits. File contents never shuffle.
     """
     spark = blobs.sparkSession
     cat = Catalog(spark, leak_rules=rules, sast=False)
-    thr = _commit_threshold(blobs, max_commits)
+    thr = _commit_threshold(blobs, max_commits).cache()
     b = drop_media_extensions(blobs)
-    b = b.join(F.broadcast(thr), "repo").where(F.struct("commit_seq", "commit_hash") >= F.col("_min_commit"))
+    # one small row per repository: broadcast while the count is proven small;
+    # beyond that the cap is applied to the hits, so contents never shuffle
+    small = thr.count() <= MAX_BROADCAST_REPOS
+    if small:
+        b = b.join(F.broadcast(thr), "repo").where(F.struct("commit_seq", "commit_hash") >= F.col("_min_commit"))
     f = b.select("repo", "path", "commit_seq", "commit_hash", "content",
                  F.lit(None).cast("string").alias("language"),
                  ((F.octet_length("content") <= max_bytes) & ~is_binary(F.col("content"))).alias("leak_ok"))
     f = f.where("leak_ok")
     hits = match_files(f, None, cat.leak_specs, ["repo", "path", "commit_seq", "commit_hash"], with_snippet=False)
+    if not small:
+        hits = hits.join(thr, "repo").where(F.struct("commit_seq", "commit_hash") >= F.col("_min_commit"))
     hits = history_dedup(hits)
     out = leak_findings_from_hits(hits, cat.df(), min_entropy, extra_cols=("commit_hash_full",))
     return (out.withColumn("in_git_history", F.lit(True))

@@ -107,3 +107,12 @@ def test_redact_corpus(spark):
     df = files_df(spark, [("a", "x\nkey = " + AWS + "\ny")])
     out = redact_corpus(df).collect()[0].content
     assert AWS not in out and out.startswith("x\nkey = ***REDACTED***")
+
+
+def test_history_commit_cap_without_broadcast(spark, monkeypatch):
+    from scanforge.operators import secrets
+    monkeypatch.setattr(secrets, "MAX_BROADCAST_REPOS", 0)
+    rows = [("r", "c%012d" % i, i, f"f{i}.py", "key = " + AWS) for i in range(5)]
+    b = spark.createDataFrame(rows, "repo string, commit_hash string, commit_seq long, path string, content string")
+    files = sorted(r.file for r in secrets.history_scan(b, max_commits=2).collect())
+    assert files == ["f3.py", "f4.py"]
