@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanforge.constants import DEFAULT_IGNORE_PATHS, ECOSYSTEM_DB_NAME, MANIFEST_FILE_CAP, MANIFEST_NAMES
-from scanforge.functions.text import (base_name, cvss_score, cvss_severity, strip_version_prefix,
-                                      trim_space, utf8_byte_prefix)
+from scanforge.functions.text import (UNICODE_SPACES, base_name, cvss_score, cvss_severity,
+                                      strip_version_prefix, trim_space, utf8_byte_prefix)
 from scanforge.operators.findings import min_severity as _min_severity
 from scanforge.operators.rules_data import OWASP_NAMES
 
@@ -49,9 +49,12 @@ ADVISORY_URL = "https://osv.dev/vulnerability/"
 SUPPLY_CHAIN = OWASP_NAMES["A03"]
 
 
+_SPACE_RUN = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in UNICODE_SPACES) + "]+"
+
+
 def _fields(c: Column) -> Column:
-    """Whitespace-separated fields (no empty strings)."""
-    return F.filter(F.split(trim_space(c), r"[\t\n\x0B\f\r \u0085 ]+"), lambda x: x != "")
+    """Fields separated by runs of Unicode white space (no empty strings)."""
+    return F.filter(F.split(trim_space(c), _SPACE_RUN), lambda x: x != "")
 
 
 def _lines(manifests: DataFrame) -> DataFrame:
