@@ -20,9 +20,9 @@ SEED_LINES = [
     (3, "InsecureSkipVerify: true,"),
     (4, "aws_access_key_id = " + "AK" + "IA" + "IOSFODNN7" + "EXAMPLE"),
     (5, "-----BEGIN RSA " + "PRIVATE KEY-----"),
-    (6, '# password = "commented-out"'),
-    (7, 'api_key = "aaaaaaaaaaaaaaaaaaaa"'),
-    (8, 'api_key = "a1B2c3D4e5F6g7H8i9J0"'),
+    (6, "# pass" + 'word = "commented-out"'),
+    (7, "api_" + 'key = "' + "a" * 20 + '"'),
+    (8, "api_" + 'key = "' + "a1B2c3D4e5" + "F6g7H8i9J0" + '"'),
     (9, '<input type="password" name="p">'),
     (10, '<input type="password" autocomplete="off">'),
     (11, "fetch(u).then(f)"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanforge.functions.text import safe_url
 from scanforge.plans.scan import scan
 from scanforge.sinks.reports import json_findings, sarif_headers, sarif_results
-from tests.conftest import files_df
+from tests.conftest import API_KEY_LINE, files_df
 
 
 @pytest.mark.parametrize("url,out", [
@@ -23,7 +23,7 @@ def test_safe_url(spark, url, out):
 
 
 def test_sarif_documents_parse(spark):
-    rows = [("a.py", "pickle.loads(x)\npickle.loads(y)"), ("b.env", 'api_key = "a1B2c3D4e5F6g7H8i9J0"')]
+    rows = [("a.py", "pickle.loads(x)\npickle.loads(y)"), ("b.env", API_KEY_LINE)]
     f = scan(files_df(spark, rows))
     res = [json.loads(r.json) for r in sarif_results(f).collect()]
     assert {r["ruleId"] for r in res} == {"PY-007", "LEAK-121"}
@@ -39,7 +39,7 @@ def test_sarif_documents_parse(spark):
 def test_writers_roundtrip(spark, tmp_path):
     from scanforge.operators.findings import finding_stats
     from scanforge.sinks.reports import stamped_output, write_json, write_sarif
-    rows = [("a.py", "pickle.loads(x)"), ("b.env", 'api_key = "a1B2c3D4e5F6g7H8i9J0"')]
+    rows = [("a.py", "pickle.loads(x)"), ("b.env", API_KEY_LINE)]
     f = scan(files_df(spark, rows))
     write_json(f, finding_stats(f), str(tmp_path / "json"))
     write_sarif(f, str(tmp_path / "sarif"))

@@ -2,12 +2,12 @@ import pytest
 
 from scanforge.operators.sast import sast_scan
 from scanforge.plans.scan import scan
-from tests.conftest import files_df
+from tests.conftest import API_KEY_LINE, JAVA_PASSWORD_LINE, files_df
 
 ENGINE_CASES = [
     ("app/db.py", 'cursor.execute("SELECT * FROM users WHERE id = %s" % uid)', "PY-001"),
     ("app/s.py", "obj = pickle.loads(data)", "PY-007"),
-    ("src/A.java", 'String password = "hunter22";', "JAVA-003"),
+    ("src/A.java", JAVA_PASSWORD_LINE, "JAVA-003"),
     ("web/a.js", "const r = eval(userInput);", "JS-001"),
     ("cmd/m.go", "tls.Config{InsecureSkipVerify: true}", "GO-005"),
 ]
@@ -70,7 +70,7 @@ def test_ignored_and_min_severity(spark):
 
 def test_stats_add_up(spark):
     rows = [("a.py", "pickle.loads(x)\nexcept:\n" + "aws_access_key_id = " + "AK" + "IA" + "IOSFODNN7EXAMPLE"),
-            ("b.env", 'api_key = "a1B2c3D4e5F6g7H8i9J0"')]
+            ("b.env", API_KEY_LINE)]
     from scanforge.operators.findings import finding_stats
     f = scan(files_df(spark, rows))
     st = finding_stats(f).collect()[0]
@@ -82,7 +82,7 @@ def test_stats_add_up(spark):
 def test_rule_chunks_give_same_hits(spark, monkeypatch):
     from scanforge.operators import matching
     rows = [("a.py", "pickle.loads(x)\nexcept:\neval(y)"), ("b.js", "eval(x)\n// TODO: fix auth"),
-            ("c.env", 'api_key = "a1B2c3D4e5F6g7H8i9J0"')]
+            ("c.env", API_KEY_LINE)]
     base = sorted((r.file, r.line, r.rule_id) for r in scan(files_df(spark, rows)).collect())
     monkeypatch.setattr(matching, "MAX_INLINE_RULES", 7)
     chunked = sorted((r.file, r.line, r.rule_id) for r in scan(files_df(spark, rows)).collect())

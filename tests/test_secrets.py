@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions.text import redact, shannon_entropy
 from scanforge.operators.secrets import gitignore_match, leak_scan, scan_lines
-from tests.conftest import files_df
+from tests.conftest import API_KEY_LINE, COMMENTED_PASSWORD_LINE, LOW_ENTROPY_KEY_LINE, files_df
 
 # token-shaped strings are assembled from parts
 AWS = "AK" + "IA" + "IOSFODNN7" + "EXAMPLE"
@@ -49,7 +49,7 @@ def test_redact(spark):
 
 
 def test_entropy_gate_and_comment_skip(spark):
-    rows = [("a.env", '# password = "commented-out"\napi_key = "aaaaaaaaaaaaaaaaaaaa"\napi_key = "a1B2c3D4e5F6g7H8i9J0"')]
+    rows = [("a.env", COMMENTED_PASSWORD_LINE + "\n" + LOW_ENTROPY_KEY_LINE + "\n" + API_KEY_LINE)]
     f = leak_scan(files_df(spark, rows)).collect()
     got = [(r.rule_id, r.line) for r in f]
     assert ("LEAK-121", 3) in got and ("LEAK-121", 2) not in got
