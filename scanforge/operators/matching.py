@@ -144,7 +144,8 @@ def skip_leak_line(line: Column, max_bytes: int = 10000) -> Column:
 
 def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: list[Rule] | None,
                 key_cols: list[str], overlong_limit: int | None = 65536,
-                leak_line_cap: int = 10000, with_snippet: bool = True, context: int = 3) -> DataFrame:
+                leak_line_cap: int = 10000, with_snippet: bool = True, context: int = 3,
+                sast_max_line_bytes: int | None = None) -> DataFrame:
     """One pass over file contents producing every rule hit.
 
     ``files`` carries ``key_cols``, ``content``, ``language`` (NULL: no SAST)
@@ -152,6 +153,10 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     ``line_no``, ``engine`` ('sast'/'leak'), ``k`` (catalog position),
     ``col`` (1-based byte column, SAST), ``m`` (first match, leaks),
     ``code`` (+/- ``context`` lines, SAST).
+
+    ``sast_max_line_bytes`` (off by default, as in the reference) skips SAST
+    matching on longer lines: java.util.regex backtracks where RE2 is
+    linear, so adversarial minified lines can be kept from stalling a task.
     """
     content = F.col("content")
     arr = F.split(content, "\n", -1)
@@ -173,6 +178,8 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     parts = []
     if sast_specs:
         sast_ok = F.col("language").isNotNull() & ((F.col("cut") == 0) | (F.col("line_no") < F.col("cut")))
+        if sast_max_line_bytes is not None:
+            sast_ok = sast_ok & (F.octet_length("line") <= sast_max_line_bytes)
         parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, "sline", "lc", "language")))
     if leak_specs:
         leak_ok = F.col("leak_ok") & ~skip_leak_line(line, leak_line_cap)

@@ -47,7 +47,8 @@ def sast_findings_from_hits(hits: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def sast_scan(files: DataFrame, rules: DataFrame | None = None, min_severity: str = "LOW",
-              extension_map: dict | None = None, extra_ignores=(), overlong_limit: int | None = 65536) -> DataFrame:
+              extension_map: dict | None = None, extra_ignores=(), overlong_limit: int | None = 65536,
+              max_line_bytes: int | None = None) -> DataFrame:
     """files(repo, path, content) -> SAST findings.
 
     One narrow stage: language lookup (literal map), split + explode, literal
@@ -57,7 +58,8 @@ def sast_scan(files: DataFrame, rules: DataFrame | None = None, min_severity: st
     f = ignore_paths(files, extra_ignores)
     f = detect_language(f, extension_map).where(F.col("language").isNotNull())
     f = f.select("repo", "path", "content", "language", F.lit(False).alias("leak_ok"))
-    hits = match_files(f, cat.sast_specs, None, ["repo", "path", "language"], overlong_limit=overlong_limit)
+    hits = match_files(f, cat.sast_specs, None, ["repo", "path", "language"], overlong_limit=overlong_limit,
+                       sast_max_line_bytes=max_line_bytes)
     return _min_severity(sast_findings_from_hits(hits, cat.df()), min_severity)
 
 

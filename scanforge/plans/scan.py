@@ -49,13 +49,14 @@ def prepare_files(files: DataFrame, sast: bool = True, leaks: bool = True, extra
 def code_findings(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: DataFrame | None = None,
                   sast: bool = True, leaks: bool = True, min_severity: str = "LOW",
                   patterns: DataFrame | None = None, extra_ignores=(), languages=None,
-                  min_entropy: float = ENTROPY_MIN, overlong_limit: int | None = 65536) -> DataFrame:
+                  min_entropy: float = ENTROPY_MIN, overlong_limit: int | None = 65536,
+                  sast_max_line_bytes: int | None = None) -> DataFrame:
     """SAST and secret findings of a file table, from one matching pass."""
     spark = files.sparkSession
     cat = Catalog(spark, sast_rules, leak_rules, sast=sast, leaks=leaks)
     f = prepare_files(files, sast, leaks, extra_ignores, languages)
     hits = match_files(f, cat.sast_specs, cat.leak_specs, ["repo", "path", "language"],
-                       overlong_limit=overlong_limit)
+                       overlong_limit=overlong_limit, sast_max_line_bytes=sast_max_line_bytes)
     j = hits.join(cat.df().drop("engine"), "k")
     is_sast = F.col("engine") == "sast"
     gated = F.coalesce(F.col("entropy_gated"), F.lit(False))
@@ -89,14 +90,14 @@ def code_findings(files: DataFrame, sast_rules: DataFrame | None = None, leak_ru
 def scan(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: DataFrame | None = None,
          enable_sast: bool = True, enable_leaks: bool = True, enable_sca: bool = True,
          min_severity: str = "LOW", patterns: DataFrame | None = None, advisories: DataFrame | None = None,
-         extra_ignores=(), languages=None) -> DataFrame:
+         extra_ignores=(), languages=None, sast_max_line_bytes: int | None = None) -> DataFrame:
     """Flagship: every enabled engine over a file table -> unified findings.
 
     Engines that are off are simply not part of the plan."""
     parts = []
     if enable_sast or enable_leaks:
         parts.append(code_findings(files, sast_rules, leak_rules, enable_sast, enable_leaks, min_severity,
-                                   patterns, extra_ignores, languages))
+                                   patterns, extra_ignores, languages, sast_max_line_bytes=sast_max_line_bytes))
     if enable_sca:
         from scanforge.operators.sca import sca_scan
         parts.append(sca_scan(files, advisories, min_severity=min_severity, extra_ignores=extra_ignores))

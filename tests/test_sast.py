@@ -87,3 +87,10 @@ def test_rule_chunks_give_same_hits(spark, monkeypatch):
     monkeypatch.setattr(matching, "MAX_INLINE_RULES", 7)
     chunked = sorted((r.file, r.line, r.rule_id) for r in scan(files_df(spark, rows)).collect())
     assert chunked == base and len(base) >= 5
+
+
+def test_optional_sast_line_guard(spark):
+    content = "eval(a)\n" + "x" * 5000 + " eval(b)"
+    f = files_df(spark, [("a.js", content)])
+    assert sorted(r.line for r in sast_scan(f).where("rule_id = 'JS-001'").collect()) == [1, 2]
+    assert [r.line for r in sast_scan(f, max_line_bytes=1000).where("rule_id = 'JS-001'").collect()] == [1]
