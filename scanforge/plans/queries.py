@@ -262,7 +262,7 @@ def _nested_redact_sql(col: str) -> str:
 @register("redact_corpus", O.with_views("corpus") + ",\n" + _CORPUS_LINES + ",\nrl AS (SELECT repo, path, line_no, "
           + _nested_redact_sql("line") + " AS line FROM corpus_lines)\n"
           "SELECT repo, path, count(*) FILTER (WHERE contains(line, '***REDACTED***')) AS masked_lines, "
-          "sum(strlen(line)) AS n_bytes FROM rl GROUP BY ALL")
+          "CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM rl GROUP BY ALL")
 def q_redact_corpus(spark, sf):
     from scanforge.operators.secrets import redact_corpus
     r = redact_corpus(corpus(spark, sf))
