@@ -109,19 +109,21 @@ def gitignore_match(paths: DataFrame, patterns: DataFrame, path_col: str = "path
     the repository's ignore file decides (negated -> not ignored); blank and
     ``#`` lines are skipped; no ignore file -> False.
 
-    Only keys move: patterns join on ``repo`` and the decision per path is an
-    aggregation over its (few) matching patterns. Pass a cheap key-only
-    projection (e.g. the path column of the file scan, no content)."""
+    The patterns of a repository become one ordered array (an ignore file is
+    capped in size, so the array is bounded); every path row joins its
+    repository's array and folds over it, so no (path, pattern) pairs are
+    materialised and only keys move."""
     t = trim_space(F.col("pattern"))
     pats = patterns.where((t != "") & ~t.startswith("#"))
     rx, neg = glob_to_regex(F.col("pattern"))
-    pats = pats.select(F.col("repo").alias("_repo"), F.col("ord").alias("_ord"), rx.alias("_rx"), neg.alias("_neg"))
+    per_repo = (pats.select("repo", F.struct(F.col("ord").alias("ord"), rx.alias("rx"), neg.alias("neg")).alias("p"))
+                .groupBy("repo").agg(F.sort_array(F.collect_list("p")).alias("_pats")))
     keys = paths.select("repo", F.col(path_col).alias("path")).distinct()
-    m = keys.join(pats, keys.repo == pats._repo, "left")
-    hit = F.col("_rx").isNotNull() & F.expr("path RLIKE _rx")
-    dec = m.groupBy("repo", "path").agg(
-        F.max_by(F.when(hit, ~F.col("_neg")), F.when(hit, F.col("_ord"))).alias("ignored"))
-    return dec.select("repo", "path", F.coalesce(F.col("ignored"), F.lit(False)).alias("ignored"))
+    j = keys.join(per_repo, "repo", "left")
+    empty = F.array().cast("array<struct<ord:int,rx:string,neg:boolean>>")
+    decide = F.aggregate(F.coalesce(F.col("_pats"), empty), F.lit(False),
+                         lambda acc, p: F.when(F.regexp(F.col("path"), p["rx"]), ~p["neg"]).otherwise(acc))
+    return j.select("repo", "path", decide.alias("ignored"))
 
 
 def downgrade_ignored(leaks: DataFrame, ignored: DataFrame | None) -> DataFrame:

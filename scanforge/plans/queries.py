@@ -459,8 +459,8 @@ IGNORE_RX = [None, ("(^|/)\\.env(/|$)", False), ("(^|/)[^/]*\\.env(/|$)", False)
 
 def _patterns(spark, sf):
     repos = corpus(spark, sf).select("repo").distinct()
-    pats = spark.createDataFrame(list(enumerate(IGNORE_LINES)), "ord int, pattern string")
-    return repos.crossJoin(F.broadcast(pats))  # 9 literal lines per repository
+    lines = F.array(*[F.lit(x) for x in IGNORE_LINES])
+    return repos.select("repo", F.posexplode(lines).alias("ord", "pattern"))   # one ignore file per repository
 
 
 _IGNORE_SQL = (O.with_views("corpus") + ",\npats AS (SELECT * FROM (VALUES "
@@ -1261,7 +1261,7 @@ def q_incremental_scan(spark, sf):
     files = corpus(spark, sf)
 
     def files_for(batch):
-        return files.join(F.broadcast(batch.select("repo").distinct()), "repo", "left_semi")
+        return files.join(batch.select("repo").distinct(), "repo", "left_semi")
 
     sink, ckpt = _scratch(spark, "incremental-sink"), _scratch(spark, "incremental-ckpt")
     q = incremental_scan(changes, files_for, sink, ckpt, available_now=True).start()
@@ -1308,7 +1308,7 @@ def q_monitor_heads(spark, sf):
     files = corpus(spark, sf)
 
     def files_for(changed):
-        return files.join(F.broadcast(changed.select("repo").distinct()), "repo", "left_semi")
+        return files.join(changed.select("repo").distinct(), "repo", "left_semi")
 
     sink, state, ckpt = _scratch(spark, "heads-sink"), _scratch(spark, "heads-state"), _scratch(spark, "heads-ckpt")
     monitor_heads(obs, files_for, sink, state, ckpt, available_now=True).start().awaitTermination()
