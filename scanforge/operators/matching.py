@@ -78,8 +78,8 @@ EMPTY_HITS_SQL = f"CAST(array() AS array<{HIT_TYPE}>)"
 
 
 def sast_hits_sql(specs: list[Rule], line: str, lc: str, language: str) -> str:
-    """SQL for array<struct<k,pos,m>> of candidate SAST hits of one line; the
-    rule subset is chosen by the file's language (its rules + Generic)."""
+    """SQL for array<struct<k,pos,m>> of candidate SAST hits of one line: the
+    rules of the file's language, then the Generic rules (written once)."""
     generic = [r for r in specs if r.language == "Generic"]
     langs = sorted({r.language for r in specs if r.language and r.language != "Generic"})
 
@@ -87,10 +87,10 @@ def sast_hits_sql(specs: list[Rule], line: str, lc: str, language: str) -> str:
         rs = sorted(rs, key=lambda r: r.k)
         return ("array(" + ", ".join(_sast_item_sql(r, line, lc) for r in rs) + ")") if rs else EMPTY_HITS_SQL
 
-    whens = [f"WHEN {language} = {sql_str(lang)} THEN {arr([r for r in specs if r.language == lang] + generic)}"
+    whens = [f"WHEN {language} = {sql_str(lang)} THEN {arr([r for r in specs if r.language == lang])}"
              for lang in langs]
-    whens.append(f"WHEN {language} IS NOT NULL THEN {arr(generic)}")
-    return "CASE " + " ".join(whens) + " END"
+    own = ("CASE " + " ".join(whens) + f" ELSE {EMPTY_HITS_SQL} END") if whens else EMPTY_HITS_SQL
+    return f"CASE WHEN {language} IS NOT NULL THEN concat({own}, {arr(generic)}) END"
 
 
 def leak_hits_sql(specs: list[Rule], line: str, lc: str) -> str:
