@@ -50,3 +50,15 @@ def test_valid_repo_and_watch_table(spark):
     pushes = spark.createDataFrame([("a/x", "main"), ("a/x", "dev"), ("b/y", "main")], "repo string, branch string")
     watch = spark.createDataFrame([("a/x", "dev"), ("b/y", "main")], "repo string, branch string")
     assert sorted(map(tuple, target_branch(pushes, watch).collect())) == [("a/x", "dev"), ("b/y", "main")]
+
+
+def test_is_binary(spark):
+    from scanforge.sources.files import is_binary
+    cases = [("abc\x00def", True), ("", False), ("héllo wörld", False),
+             ("\x01" * 31 + "a" * 69, True),      # 31 % non-printable
+             ("\x01" * 30 + "a" * 70, False),     # exactly 30 % is not more than 30
+             ("\t\r\n" * 10, False),
+             ("a" * 9000 + "\x00", False)]        # NUL beyond the first 8000 bytes
+    df = spark.createDataFrame([(s,) for s, _ in cases], "s string")
+    got = [r[0] for r in df.select(is_binary(F.col("s"))).collect()]
+    assert got == [e for _, e in cases]
