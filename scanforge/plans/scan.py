@@ -90,14 +90,19 @@ def code_findings(files: DataFrame, sast_rules: DataFrame | None = None, leak_ru
 def scan(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: DataFrame | None = None,
          enable_sast: bool = True, enable_leaks: bool = True, enable_sca: bool = True,
          min_severity: str = "LOW", patterns: DataFrame | None = None, advisories: DataFrame | None = None,
-         extra_ignores=(), languages=None, sast_max_line_bytes: int | None = None) -> DataFrame:
+         extra_ignores=(), languages=None, sast_max_line_bytes: int | None = None,
+         min_entropy: float = ENTROPY_MIN) -> DataFrame:
     """Flagship: every enabled engine over a file table -> unified findings.
 
-    Engines that are off are simply not part of the plan."""
+    Engines that are off are simply not part of the plan. ``languages``
+    restricts SAST to those languages, ``extra_ignores`` adds ignored path
+    names, ``min_entropy`` sets the secret entropy gate: settings the
+    original tool documents but does not apply are real parameters here."""
     parts = []
     if enable_sast or enable_leaks:
         parts.append(code_findings(files, sast_rules, leak_rules, enable_sast, enable_leaks, min_severity,
-                                   patterns, extra_ignores, languages, sast_max_line_bytes=sast_max_line_bytes))
+                                   patterns, extra_ignores, languages, min_entropy=min_entropy,
+                                   sast_max_line_bytes=sast_max_line_bytes))
     if enable_sca:
         from scanforge.operators.sca import sca_scan
         parts.append(sca_scan(files, advisories, min_severity=min_severity, extra_ignores=extra_ignores))

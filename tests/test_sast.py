@@ -94,3 +94,12 @@ def test_optional_sast_line_guard(spark):
     f = files_df(spark, [("a.js", content)])
     assert sorted(r.line for r in sast_scan(f).where("rule_id = 'JS-001'").collect()) == [1, 2]
     assert [r.line for r in sast_scan(f, max_line_bytes=1000).where("rule_id = 'JS-001'").collect()] == [1]
+
+
+def test_scan_parameters(spark):
+    rows = [("a.py", "pickle.loads(x)"), ("b.js", "eval(x)"), ("c.env", API_KEY_LINE)]
+    f = files_df(spark, rows)
+    only_py = {(r.file, r.rule_id) for r in scan(f, languages=["Python"], enable_leaks=False).collect()}
+    assert only_py == {("a.py", "PY-007")}
+    strict = [r for r in scan(f, min_entropy=5.0).collect() if r.engine == "Leaks"]
+    assert strict == []
