@@ -145,7 +145,7 @@ def skip_leak_line(line: Column, max_bytes: int = 10000) -> Column:
 def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: list[Rule] | None,
                 key_cols: list[str], overlong_limit: int | None = 65536,
                 leak_line_cap: int = 10000, with_snippet: bool = True, context: int = 3,
-                sast_max_line_bytes: int | None = None) -> DataFrame:
+                sast_max_line_bytes: int | None = None, rule_language_col: str = "language") -> DataFrame:
     """One pass over file contents producing every rule hit.
 
     ``files`` carries ``key_cols``, ``content``, ``language`` (NULL: no SAST)
@@ -160,10 +160,10 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     """
     content = F.col("content")
     arr = F.split(content, "\n", -1)
-    sel = [F.col(c) for c in key_cols] + [F.col("language"), F.col("leak_ok")]
+    sel = [F.col(c) for c in key_cols] + [F.col(rule_language_col).alias("_rule_lang"), F.col("leak_ok")]
     cut = overlong_cut(F.col("lines"), content, overlong_limit) if (sast_specs and overlong_limit) else F.lit(0)
     base = files.select(*sel, arr.alias("lines"), content)
-    base = base.select(*[F.col(c) for c in key_cols], "language", "leak_ok", "lines",
+    base = base.select(*[F.col(c) for c in key_cols], "_rule_lang", "leak_ok", "lines",
                        F.size("lines").alias("n_lines"), cut.alias("cut"))
     exploded = base.select("*", F.posexplode("lines").alias("pos0", "line"))
     # separate projection: the lower-cased line is computed once per line
@@ -177,10 +177,10 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     line = F.col("line")
     parts = []
     if sast_specs:
-        sast_ok = F.col("language").isNotNull() & ((F.col("cut") == 0) | (F.col("line_no") < F.col("cut")))
+        sast_ok = F.col("_rule_lang").isNotNull() & ((F.col("cut") == 0) | (F.col("line_no") < F.col("cut")))
         if sast_max_line_bytes is not None:
             sast_ok = sast_ok & (F.octet_length("line") <= sast_max_line_bytes)
-        parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, "sline", "lc", "language")))
+        parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, "sline", "lc", "_rule_lang")))
     if leak_specs:
         leak_ok = F.col("leak_ok") & ~skip_leak_line(line, leak_line_cap)
         parts.append(F.when(leak_ok, leak_hits_expr(leak_specs, "line", "lc")))

@@ -50,13 +50,23 @@ def code_findings(files: DataFrame, sast_rules: DataFrame | None = None, leak_ru
                   sast: bool = True, leaks: bool = True, min_severity: str = "LOW",
                   patterns: DataFrame | None = None, extra_ignores=(), languages=None,
                   min_entropy: float = ENTROPY_MIN, overlong_limit: int | None = 65536,
-                  sast_max_line_bytes: int | None = None) -> DataFrame:
+                  sast_max_line_bytes: int | None = None, rule_language_aliases: dict | None = None) -> DataFrame:
     """SAST and secret findings of a file table, from one matching pass."""
     spark = files.sparkSession
     cat = Catalog(spark, sast_rules, leak_rules, sast=sast, leaks=leaks)
     f = prepare_files(files, sast, leaks, extra_ignores, languages)
+    sel_col = "language"
+    if rule_language_aliases:
+        # e.g. {"TypeScript": "JavaScript"}: which rules a file gets; findings
+        # keep the file's own language
+        sel = F.col("language")
+        for src, dst in rule_language_aliases.items():
+            sel = F.when(F.col("language") == src, F.lit(dst)).otherwise(sel)
+        f = f.withColumn("_sel_lang", sel)
+        sel_col = "_sel_lang"
     hits = match_files(f, cat.sast_specs, cat.leak_specs, ["repo", "path", "language"],
-                       overlong_limit=overlong_limit, sast_max_line_bytes=sast_max_line_bytes)
+                       overlong_limit=overlong_limit, sast_max_line_bytes=sast_max_line_bytes,
+                       rule_language_col=sel_col)
     j = hits.join(cat.df().drop("engine"), "k")
     is_sast = F.col("engine") == "sast"
     gated = F.coalesce(F.col("entropy_gated"), F.lit(False))
@@ -91,7 +101,7 @@ def scan(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: Data
          enable_sast: bool = True, enable_leaks: bool = True, enable_sca: bool = True,
          min_severity: str = "LOW", patterns: DataFrame | None = None, advisories: DataFrame | None = None,
          extra_ignores=(), languages=None, sast_max_line_bytes: int | None = None,
-         min_entropy: float = ENTROPY_MIN) -> DataFrame:
+         min_entropy: float = ENTROPY_MIN, rule_language_aliases: dict | None = None) -> DataFrame:
     """Flagship: every enabled engine over a file table -> unified findings.
 
     Engines that are off are simply not part of the plan. ``languages``
@@ -102,7 +112,8 @@ def scan(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: Data
     if enable_sast or enable_leaks:
         parts.append(code_findings(files, sast_rules, leak_rules, enable_sast, enable_leaks, min_severity,
                                    patterns, extra_ignores, languages, min_entropy=min_entropy,
-                                   sast_max_line_bytes=sast_max_line_bytes))
+                                   sast_max_line_bytes=sast_max_line_bytes,
+                                   rule_language_aliases=rule_language_aliases))
     if enable_sca:
         from scanforge.operators.sca import sca_scan
         parts.append(sca_scan(files, advisories, min_severity=min_severity, extra_ignores=extra_ignores))

@@ -103,3 +103,10 @@ def test_scan_parameters(spark):
     assert only_py == {("a.py", "PY-007")}
     strict = [r for r in scan(f, min_entropy=5.0).collect() if r.engine == "Leaks"]
     assert strict == []
+
+
+def test_rule_language_aliases(spark):
+    f = files_df(spark, [("a.ts", "const r = eval(userInput);")])
+    assert {r.rule_id for r in scan(f).collect()} == set()           # default: TypeScript has no rules
+    got = [(r.rule_id, r.language) for r in scan(f, rule_language_aliases={"TypeScript": "JavaScript"}).collect()]
+    assert got == [("JS-001", "TypeScript")]
