@@ -62,3 +62,15 @@ def test_is_binary(spark):
     df = spark.createDataFrame([(s,) for s, _ in cases], "s string")
     got = [r[0] for r in df.select(is_binary(F.col("s"))).collect()]
     assert got == [e for _, e in cases]
+
+
+def test_ensure_parallelism_by_file_count(spark, tmp_path):
+    from scanforge.sources.files import ensure_parallelism
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.range(1000).coalesce(1).write.parquet(one)
+    spark.range(1000).repartition(12).write.parquet(many)
+    a = ensure_parallelism(spark.read.parquet(one), 6)
+    b = ensure_parallelism(spark.read.parquet(many), 6)
+    assert "Exchange" in a._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in b._jdf.queryExecution().executedPlan().toString()
+    assert a.count() == b.count() == 1000
