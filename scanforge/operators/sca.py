@@ -125,10 +125,11 @@ def deps_requirements(manifests: DataFrame, fmt: str = "requirements") -> DataFr
     return _deps(ln, name, version, "pypi")
 
 
-def deps_gemfile(manifests: DataFrame) -> DataFrame:
+def deps_gemfile(manifests: DataFrame, strict: bool = False) -> DataFrame:
     """After the line 'GEM', every line with '(' and ')': field 1 is the name,
     field 2 stripped of parentheses is the version. The start line is found
-    per file with an array function, so no shuffle is needed."""
+    per file with an array function, so no shuffle is needed. ``strict``
+    drops entries whose "version" is a constraint operator (``>=``, ``~>``...)."""
     m = _of(manifests, "gemfile")
     arr = F.split("content", "\n", -1)
     start = F.array_position(F.transform(arr, lambda l: trim_space(l) == "GEM"), True)
@@ -137,12 +138,16 @@ def deps_gemfile(manifests: DataFrame) -> DataFrame:
     ln = ln.where((F.col("pos") + 1 >= F.col("gem_at")) & F.col("line").contains("(") & F.col("line").contains(")"))
     ln = ln.select("repo", "path", _fields(F.col("line")).alias("fs")).where(F.size("fs") >= 2)
     version = F.regexp_replace(F.col("fs")[1], r"^[()]+|[()]+$", "")
-    return _deps(ln, F.col("fs")[0], version, "rubygems")
+    out = _deps(ln, F.col("fs")[0], version, "rubygems")
+    if strict:
+        out = out.where(~F.col("version").rlike(r"^[<>=~!]+$"))
+    return out
 
 
-def deps_gomod(manifests: DataFrame) -> DataFrame:
+def deps_gomod(manifests: DataFrame, strict: bool = False) -> DataFrame:
     """'require x v' lines and 'require ( ... )' blocks; the block state is the
-    last marker line before each line (window over the file's lines)."""
+    last marker line before each line (window over the file's lines).
+    ``strict`` drops comment lines inside a block (names starting ``//``)."""
     ln = _lines(_of(manifests, "gomod")).select("repo", "path", "line_no", trim_space(F.col("line")).alias("t"))
     marker = F.when(F.col("t") == "require (", F.lit(True)).when(F.col("t") == ")", F.lit(False))
     w = Window.partitionBy("repo", "path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,7 +156,10 @@ def deps_gomod(manifests: DataFrame) -> DataFrame:
     ln = ln.where(F.col("in_req") | F.col("t").startswith("require "))
     body = F.when(F.col("t").startswith("require "), F.col("t").substr(F.lit(9), F.lit(1 << 30))).otherwise(F.col("t"))
     ln = ln.select("repo", "path", _fields(body).alias("fs")).where(F.size("fs") >= 2)
-    return _deps(ln, F.col("fs")[0], F.col("fs")[1], "go")
+    out = _deps(ln, F.col("fs")[0], F.col("fs")[1], "go")
+    if strict:
+        out = out.where(~F.col("name").startswith("//"))
+    return out
 
 
 def _xml_tag(line: Column, tag: str) -> Column:

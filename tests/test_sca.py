@@ -94,3 +94,10 @@ def test_normalize_advisory(spark):
     r = sca.normalize_advisory(spark.createDataFrame([(j,)], "json string")).collect()[0]
     assert (r.cve, r.fixed, r.cvss, r.severity) == ("CVE-2021-1", "2.0", 9.0, "CRITICAL")
     assert r.description == "d" * 200 + "..."
+
+
+def test_strict_manifest_flags(spark):
+    gm = files_df(spark, [("go.mod", "require (\n\tgithub.com/c/d v0.1.0\n\t// note here\n)\n")])
+    assert _deps(sca.deps_gomod(gm, strict=True)) == [("github.com/c/d", "v0.1.0", "go")]
+    gl = files_df(spark, [("Gemfile.lock", "GEM\n  specs:\n    rails (7.0.4)\n    rack (>= 2.2)\n")])
+    assert _deps(sca.deps_gemfile(gl, strict=True)) == [("rails", "7.0.4", "rubygems")]
