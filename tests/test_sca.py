@@ -101,3 +101,10 @@ def test_strict_manifest_flags(spark):
     assert _deps(sca.deps_gomod(gm, strict=True)) == [("github.com/c/d", "v0.1.0", "go")]
     gl = files_df(spark, [("Gemfile.lock", "GEM\n  specs:\n    rails (7.0.4)\n    rack (>= 2.2)\n")])
     assert _deps(sca.deps_gemfile(gl, strict=True)) == [("rails", "7.0.4", "rubygems")]
+
+
+def test_q6_map_ecosystem_both_spellings(spark):
+    d = spark.createDataFrame([("a", "pypi"), ("b", "pip"), ("c", "packagist"), ("d", "Composer"), ("e", "cobol")],
+                              "name string, ecosystem string")
+    got = {r.name: r.db_ecosystem for r in sca.map_ecosystem(d).collect()}
+    assert got == {"a": "PyPI", "b": "PyPI", "c": "Packagist", "d": "Packagist"}
