@@ -50,3 +50,27 @@ def test_custom_rules_merge_and_fire(spark, tmp_path):
                                   "repo string, path string, content string")
     got = sorted((r.file, r.rule_id, r.severity) for r in sast_scan(files, merged).collect())
     assert got == [("a.py", "PY-007", "CRITICAL"), ("a.py", "PY-007", "HIGH"), ("b.rb", "RB-1", "CRITICAL")]
+
+
+def _py_key(v):
+    import re as _re
+    v = _re.sub(r"^[vV]", "", v)
+    out = []
+    for part in v.split("."):
+        m = _re.match(r"^([0-9]+)", part)
+        out.append(int(m.group(1)) if m else 0)
+    return out
+
+
+VERSION = st.lists(st.one_of(st.integers(0, 30).map(str), st.sampled_from(["0-beta", "rc1", "x", "10a"])),
+                   min_size=1, max_size=4).map(".".join)
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.tuples(VERSION, VERSION), min_size=30, max_size=60))
+def test_version_key_order(spark, pairs):
+    from scanforge.operators.sca import version_key
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = df.select("a", "b", (version_key(F.col("a")) < version_key(F.col("b"))).alias("lt")).collect()
+    for r in rows:
+        assert r.lt == (_py_key(r.a) < _py_key(r.b)), (r.a, r.b)
