@@ -74,3 +74,10 @@ def test_ensure_parallelism_by_file_count(spark, tmp_path):
     assert "Exchange" in a._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in b._jdf.queryExecution().executedPlan().toString()
     assert a.count() == b.count() == 1000
+
+
+def test_explode_lines_keeps_pieces(spark):
+    from scanforge.operators.matching import explode_lines
+    df = spark.createDataFrame([("r", "a", "x\r\ny\n")], "repo string, path string, content string")
+    got = [(r.line_no, r.line) for r in explode_lines(df).orderBy("line_no").collect()]
+    assert got == [(1, "x\r"), (2, "y"), (3, "")]
