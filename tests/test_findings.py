@@ -35,3 +35,12 @@ def test_stop_at_overlong_line_standalone(spark):
     lines = spark.createDataFrame(rows, "repo string, path string, line_no int, line string")
     kept = sorted((r.path, r.line_no) for r in stop_at_overlong_line(lines, limit=50).collect())
     assert kept == [("a", 1), ("b", 1)]
+
+
+def test_levels_and_weights(spark):
+    from scanforge.functions.text import sarif_level, severity_weight
+    sev = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO", "other", None]
+    df = spark.createDataFrame([(s,) for s in sev], "s string")
+    rows = df.select(sarif_level("s").alias("l"), severity_weight("s").alias("w")).collect()
+    assert [r.l for r in rows] == ["error", "error", "warning", "note", "note", "note", "note"]
+    assert [r.w for r in rows] == [4, 3, 2, 1, 0, 0, 0]
