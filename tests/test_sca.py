@@ -108,3 +108,11 @@ def test_q6_map_ecosystem_both_spellings(spark):
                               "name string, ecosystem string")
     got = {r.name: r.db_ecosystem for r in sca.map_ecosystem(d).collect()}
     assert got == {"a": "PyPI", "b": "PyPI", "c": "Packagist", "d": "Packagist"}
+
+
+def test_cvss_score_entries(spark):
+    from scanforge.functions.text import cvss_score
+    rows = [([],), ([("CVSS_V4", "9.9"), ("CVSS_V2", "6.4")],), ([("CVSS_V3", "AV:N/AC:H")],)]
+    df = spark.createDataFrame(rows, "sev array<struct<type:string,score:string>>")
+    got = [r[0] for r in df.select(cvss_score(F.col("sev"))).collect()]
+    assert got == [0.0, 6.4, 7.5]
