@@ -110,3 +110,13 @@ def test_rule_language_aliases(spark):
     assert {r.rule_id for r in scan(f).collect()} == set()           # default: TypeScript has no rules
     got = [(r.rule_id, r.language) for r in scan(f, rule_language_aliases={"TypeScript": "JavaScript"}).collect()]
     assert got == [("JS-001", "TypeScript")]
+
+
+def test_scan_includes_dependency_findings(spark):
+    rows = [("svc/requirements.txt", "django==3.2.12\nrequests>=2.31.0\n"),
+            ("web/package.json", '{"dependencies": {"lodash": "^4.17.15"}}'),
+            ("node_modules/x/package.json", '{"dependencies": {"lodash": "4.17.15"}}')]
+    f = scan(files_df(spark, rows))
+    sca = sorted((r.file, r.package_name, r.cve, r.severity) for r in f.where("engine = 'SCA'").collect())
+    assert sca == [("svc/requirements.txt", "django", "CVE-2022-28347", "HIGH"),
+                   ("web/package.json", "lodash", "CVE-2021-23337", "HIGH")]
