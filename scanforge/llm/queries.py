@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from scanforge.llm import op9_quality, op10_line_dedup
+from scanforge.llm import (
+    op1_exact_dedup,
+    op2_language_id,
+    op3_jaccard_join,
+    op4_sharding,
+    op5_mixing,
+    op7_sentencepiece,
+    op8_packed_ids,
+    op9_quality,
+    op10_line_dedup,
+)
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup.op1_exact_dedup,
+    "op2_language_id": op2_language_id.op2_language_id,
+    "op3_jaccard_join": op3_jaccard_join.op3_jaccard_join,
+    "op4_sharding": op4_sharding.op4_sharding,
+    "op5_mixing": op5_mixing.op5_mixing,
+    "op7_sentencepiece": op7_sentencepiece.op7_sentencepiece,
+    "op8_packed_ids": op8_packed_ids.op8_packed_ids,
     "op9_compression_bands": op9_quality.op9_compression_bands,
     "op10_line_dedup": op10_line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op1_exact_dedup": op1_exact_dedup.ORACLE,
     "op10_line_dedup": op10_line_dedup.ORACLE,
 }
