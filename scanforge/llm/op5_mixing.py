@@ -204,9 +204,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken / size is rounded up or down by a hash of the document, so the
     expected words stay the target's; a document that the mix passes over goes.
     """
-    taken = taken_words(docs).groupBy("doc_id", "_th").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
+    taken = taken_words(docs).groupBy(F.col("doc_id").alias("_d"), F.col("_th").alias("_h")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
     keyed = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_th", F.xxhash64(text_or_empty()))
-    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["doc_id"]) & (keyed["_th"] == taken["_th"])).select(keyed["*"], "_times")
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")))
     luck = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "_th"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.col("_times") + luck).cast("int")
     out = joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

@@ -8,6 +8,7 @@ from scanforge.llm import (
     op3_jaccard_join,
     op4_sharding,
     op5_mixing,
+    op6_repeats,
     op7_sentencepiece,
     op8_packed_ids,
     op9_quality,
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join.op3_jaccard_join,
     "op4_sharding": op4_sharding.op4_sharding,
     "op5_mixing": op5_mixing.op5_mixing,
+    "op6_repeats": op6_repeats.op6_repeats,
     "op7_sentencepiece": op7_sentencepiece.op7_sentencepiece,
     "op8_packed_ids": op8_packed_ids.op8_packed_ids,
     "op9_compression_bands": op9_quality.op9_compression_bands,
