@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from scanforge.llm.common import checkpointed, documents, with_text_key
 from scanforge.session import checkpoint_dir
 
-END_ID, BLOCK_IDS, MAX_CACHED = 2, 1 << 16, 400_000
+END_ID, BLOCK_IDS, MAX_CACHED, MAX_CORES = 2, 1 << 16, 500_000, 500_000
+MARKS = b".,;:!?"
 _MAGIC, _TRAILER = b"PKID1\0\0\0", struct.Struct("<8sQQQQIB3x")
 _NO_ID = -(1 << 63)
 _encoders: dict[str, WordEncoder] = {}
@@ -133,8 +134,19 @@ class PackedReader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def plain_core(letters: bytes) -> bytes | None:
+    """Lower case of a word of Latin letters only; None for any other."""
+    text = letters.decode()
+    return text.lower().encode() if text.isalpha() and max(text) < "\u0100" else None
+
+
 class WordEncoder:
-    """Ids of a text, as little-endian uint32 bytes, through a cache of words."""
+    """Ids of a text, as little-endian uint32 bytes, through a cache of words.
+
+    A word of Latin letters with marks behind it is encoded as its lower-case
+    letters and its marks, which the tokenizer keeps apart, so the forms of a
+    word share one entry.
+    """
 
     def __init__(self, path: str):
         import os
@@ -144,10 +156,47 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = bits_for(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        #: tokens that end a word; empty if the model doesn't mark word ends
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:  # else words are encoded one by one
+            self.final[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        cache = self.cache
+        self.cores: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        split, other = [], []
+        for w in words:
+            letters = w.rstrip(MARKS)
+            core = letters.lower() if letters.isalpha() else plain_core(letters)
+            if core is None:
+                other.append(w)
+            else:
+                split.append((w, core, w[len(letters):]))
+        cores, marks = {x[1] for x in split}, {x[2] for x in split}
+        if len(self.cores) + len(cores) > MAX_CORES:
+            self.cores.clear()
+        known, cache = self.cores, self.cache
+        self._learn_cores(list(cores.difference(known)))
+        self._learn_each(list(marks.difference(known)), known)
+        self._learn_each(other, cache)
+        for w, core, rest in split:
+            cache[w] = known[core] + known[rest] if rest else known[core]
+
+    def _learn_cores(self, cores: list[bytes]) -> None:
+        parts = [cores[i:i + 1000] for i in range(0, len(cores), 1000)]
+        found = self.tokenizer.encode_batch_fast([b"\n".join(p).decode() for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(part) and len(ids) == ends[-1]:  # one last token a word
+                data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+                self.cores.update(zip(part, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            else:
+                self._learn_each(part, self.cores)
+
+    def _learn_each(self, words: list[bytes], into: dict) -> None:
         for i in range(0, len(words), 8192):
             part = words[i:i + 8192]
             e = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -155,7 +204,7 @@ class WordEncoder:
             ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))
             data = ids.tobytes()
             for w, a, b in zip(part, (ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist(), strict=True):
-                cache[w] = data[a:b]
+                into[w] = data[a:b]
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         held, n = [], 0
@@ -173,7 +222,7 @@ class WordEncoder:
             if len(self.cache) + len(fresh) > MAX_CACHED:
                 self.cache.clear()
                 fresh = set().union(*docs)
-            self.learn(sorted(fresh))
+            self.learn(fresh)
         get = self.cache.__getitem__
         for words in docs:
             yield np.frombuffer(b"".join(map(get, words)), "<u4")
