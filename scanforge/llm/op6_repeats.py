@@ -11,11 +11,13 @@ out as one string of its windows and no others.
 
 1. Anchors found once in the whole corpus are dropped. Equal stretches of an
    anchor form one class with a weight; a class of two or more is repeated over
-   its full length.
+   its full length, and an anchor with one class needs no index. A stretch that
+   follows itself (periodic text) is one row with a count.
 2. An anchor with more than ``GROUP`` classes (the border of a passage that a
-   third of all documents share, say) is split: each stretch is halved, and the
-   halves regroup by the longer string that all their windows share, until the
-   groups are small or a half is one window. Nothing is left out.
+   third of all documents share, say) is split: each class is halved, equal
+   halves become one class again, and they regroup by the longer string that
+   all their windows share, until the groups are small or a half is one window.
+   Nothing is left out.
 3. Each task joins groups to a text of about a megabyte and builds its index:
    the Burrows-Wheeler transform as runs, with the text positions of both ends
    of every run and the match lengths there. Inside a run the longest match
@@ -45,8 +47,8 @@ from pyspark.sql import functions as F
 from scanforge.llm.common import documents, mix64, slices, with_text_key
 from scanforge.session import checkpoint_dir
 
-LENGTH, GRAM, GROUP = 200, 32, 256
-_INDEX_BYTES, _SLICE = 1 << 20, 1 << 20
+LENGTH, GRAM, GROUP = 200, 32, 1024
+_INDEX_BYTES, _SLICE = 1 << 19, 1 << 20
 _BLOCK, _PLACE_BITS = 1 << 23, 24
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,11 +91,14 @@ class Hashes:
 # --- anchors ------------------------------------------------------------------------------------------------------------------
 
 def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor, content, text number, first window, windows, place of the anchor) of the texts that end at ``ends`` in ``data``."""
+    """(anchor, content, text number, first window, windows, place of the anchor, times) of the texts that end at ``ends`` in ``data``.
+
+    ``times`` counts a stretch that stands that often one right behind the other.
+    """
     n, width = len(data), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return (none,) * 6
+        return (none,) * 7
     hashes = Hashes(data)
     with np.errstate(over="ignore"):
         h = mix64((hashes.sums[gram:] - hashes.sums[:-gram]) * hashes.inverse[:n - gram + 1])
@@ -113,18 +118,22 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     np.add.at(inside, ends[some] - length + 1, -1)
     windows = np.flatnonzero(np.cumsum(inside[:len(at)]) > 0)
     if not len(windows):
-        return (none,) * 6
+        return (none,) * 7
     anchor = at[windows]
     text = np.searchsorted(ends, windows, "right")
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(windows)]]))
     begin, text = windows[first], text[first]
-    content = hashes.of(begin, begin + count + length - 1)
-    return h[anchor[first]].view(np.int64), content.view(np.int64), text, begin - starts[text], count, anchor[first] - begin
+    content, gram_hash = hashes.of(begin, begin + count + length - 1), h[anchor[first]]
+    same = (gram_hash[1:] == gram_hash[:-1]) & (content[1:] == content[:-1]) & (text[1:] == text[:-1]) & (count[1:] == count[:-1])
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    times = np.diff(np.concatenate([head, [len(first)]]))
+    out = (gram_hash.view(np.int64), content.view(np.int64), text, begin - starts[text], count, anchor[first] - begin)
+    return (*(x[head] for x in out), times)
 
 
-_PLACES = "_a bigint, _x bigint, doc_id bigint, _th bigint, _p bigint, _n int, _o int"
+_PLACES = "_a bigint, _x bigint, doc_id bigint, _th bigint, _p bigint, _n int, _o int, _r int"
 
 
 def _blocks(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -151,28 +160,31 @@ def _find(only_anchor: bool):
                     yield found(part, rows, shift, texts)
 
     def found(part: pa.RecordBatch, rows: list[int], shift: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        a, x, text, p, n, o = stretches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+        a, x, text, p, n, o, times = stretches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
         if only_anchor:
-            return pa.RecordBatch.from_arrays([pa.array(a)], names=["_a"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(times.astype(np.int32))], names=["_a", "_r"])
         row = pa.array(np.array(rows, np.int64)[text])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(x), part.column("doc_id").take(row), part.column("_th").take(row),
-                                           pa.array(p + np.array(shift, np.int64)[text]), pa.array(n.astype(np.int32)), pa.array(o.astype(np.int32))],
-                                          names=["_a", "_x", "doc_id", "_th", "_p", "_n", "_o"])
+                                           pa.array(p + np.array(shift, np.int64)[text]), pa.array(n.astype(np.int32)), pa.array(o.astype(np.int32)),
+                                           pa.array(times.astype(np.int32))],
+                                          names=["_a", "_x", "doc_id", "_th", "_p", "_n", "_o", "_r"])
 
     return run
 
 
 # --- classes and their bytes --------------------------------------------------------------------------------------------------
 
-# a piece: windows of a class, from its window _lo on; the anchor stands at _o of its bytes, and the windows start _c0 to _c1 - 1 bytes
-# before the anchor
-_PIECES = "_key bigint, _a bigint, _x bigint, _lo int, _w bigint, _hot boolean, _bytes binary, _o int, _c0 int, _c1 int"
+# a class: the bytes of some windows; _key names its group and _tag its bytes, _w counts its places; the anchor stands at _o of the bytes,
+# and the windows start _c0 to _c1 - 1 bytes before the anchor
+_CLASSES = "_key bigint, _tag bigint, _w bigint, _hot boolean, _bytes binary, _o int, _c0 int, _c1 int"
+# a half of a class (_pk, _pt), from its window _lo on
+_HALVES = "_pk bigint, _pt bigint, _lo int, _key bigint, _tag bigint, _w bigint, _bytes binary, _o int, _c0 int, _c1 int"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                                      names=[x.split()[0] for x in _PIECES.split(", ")])
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +193,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for text, wanted in zip(part.column("text"), part.column("_wanted"), strict=True):
                 raw = text.as_buffer()
-                rows += [(w["_a"], w["_a"], w["_x"], 0, w["_w"], w["_hot"], raw.slice(w["_p"], w["_n"] + LENGTH - 1).to_pybytes(), w["_o"], 0,
+                rows += [(w["_a"], w["_x"], w["_w"], w["_hot"], raw.slice(w["_p"], w["_n"] + LENGTH - 1).to_pybytes(), w["_o"], 0,
                           LENGTH - GRAM + 1) for w in wanted.as_py()]
             if rows:
-                yield _pieces(rows)
+                yield _batch(_CLASSES, rows)
 
 
 def halves(data: bytes, o: int, c0: int, c1: int) -> Iterator[tuple[int, int, int, int]]:
@@ -199,17 +211,19 @@ def halves(data: bytes, o: int, c0: int, c1: int) -> Iterator[tuple[int, int, in
             yield i, j, a, b
 
 
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b" ".join(parts), digest_size=8).digest(), "big", signed=True)
+
+
 def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for a, x, lo, w, data, o, c0, c1 in zip(*(batch.column(c).to_pylist() for c in ("_a", "_x", "_lo", "_w", "_bytes", "_o", "_c0", "_c1")), strict=True):
+        for key, tag, w, data, o, c0, c1 in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "_w", "_bytes", "_o", "_c0", "_c1")), strict=True):
             for i, j, left, right in halves(data, o, c0, c1):
-                shared = data[o - left:o - right + 1 + LENGTH]
-                name = b"%d %d %d " % (a, left, right) + shared
-                key = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "big", signed=True)
-                rows.append((key, a, x, lo + i, w, False, data[i:j + LENGTH], o - i, left, right))
+                shared, part = data[o - left:o - right + 1 + LENGTH], data[i:j + LENGTH]
+                rows.append((key, tag, i, _hash(b"%d %d" % (left, right), shared), _hash(part), w, part, o - i, left, right))
         if rows:
-            yield _pieces(rows)
+            yield _batch(_HALVES, rows)
 
 
 # --- the index ----------------------------------------------------------------------------------------------------------------
@@ -329,30 +343,30 @@ def repeated_windows(strings: list[bytes], weights: list[int], length: int = LEN
     return out
 
 
-_FOUND = "_a bigint, _x bigint, _runs array<int>"
+_FOUND = "_key bigint, _tag bigint, _runs array<int>"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of pieces sorted by key; whole groups are joined until a text is long enough."""
+    """Groups of classes sorted by key; whole groups are joined until a text is long enough."""
 
     def solve() -> pa.RecordBatch | None:
-        found = repeated_windows([h[4] for h in held], [h[3] for h in held])
-        rows = [(h[0], h[1], (runs + h[2]).ravel()) for h, runs in zip(held, found, strict=True) if len(runs)]
+        found = repeated_windows([h[3] for h in held], [h[2] for h in held])
+        rows = [(h[0], h[1], runs.ravel()) for h, runs in zip(held, found, strict=True) if len(runs)]
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                           pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["_a", "_x", "_runs"])
+                                           pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["_key", "_tag", "_runs"])
 
     held, n, current = [], 0, None
     for batch in batches:
-        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_a", "_x", "_lo", "_w", "_bytes")), strict=True):
-            if key != current and n > _INDEX_BYTES:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "_w", "_bytes")), strict=True):
+            if row[0] != current and n > _INDEX_BYTES:
                 if (out := solve()) is not None:
                     yield out
                 held, n = [], 0
-            current = key
-            held.append(tuple(row))
-            n += len(row[4])
+            current = row[0]
+            held.append(row)
+            n += len(row[3])
     if held and (out := solve()) is not None:
         yield out
 
@@ -363,37 +377,44 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, _th, _spans): the repeated windows of every document that has some, as (first byte, runs) per stretch."""
     rows = with_text_key(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "_th", F.col("text").cast("binary").alias("text"))
     long = rows.filter(F.octet_length("text") >= LENGTH)
-    often = long.mapInArrow(_find(True), "_a bigint").groupBy("_a").agg(F.count(F.lit(1)).alias("_n_a")).filter("_n_a > 1").select("_a")
+    often = long.mapInArrow(_find(True), "_a bigint, _r int").groupBy("_a").agg(F.sum("_r").alias("_n_a")).filter("_n_a > 1").select("_a")
     places = stored(long.mapInArrow(_find(False), _PLACES).join(often, "_a"))
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "_p", "_n", "_o")).alias("_rep")
-    classes = stored(places.groupBy("_a", "_x").agg(F.count(F.lit(1)).alias("_w"), first))
+    classes = places.groupBy("_a", "_x").agg(F.sum("_r").alias("_w"), first)
     groups = classes.groupBy("_a").agg(F.count(F.lit(1)).alias("_d"))
-    wanted = classes.join(groups, "_a").select(F.col("_rep.doc_id").alias("_doc"), F.col("_rep._th").alias("_h"), F.struct(
+    classes = stored(classes.join(groups, "_a"))
+    alone = classes.filter("_d = 1").select(F.col("_a").alias("_key"), F.col("_x").alias("_tag"), F.array(F.lit(0), F.col("_rep._n") - 1).alias("_runs"))
+    wanted = classes.filter("_d > 1").select(F.col("_rep.doc_id").alias("_doc"), F.col("_rep._th").alias("_h"), F.struct(
         "_a", "_x", "_w", (F.col("_d") > GROUP).alias("_hot"), F.col("_rep._p").alias("_p"), F.col("_rep._n").alias("_n"), F.col("_rep._o").alias("_o")).alias("_one"))
     wanted = wanted.groupBy("_doc", "_h").agg(F.collect_list("_one").alias("_wanted"))
-    cut = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["_th"] == wanted["_h"])).select("text", "_wanted").mapInArrow(_cut, _PIECES)
-
-    pieces = stored(cut)
-    small, whole = [pieces.filter("not _hot")], []
-    hot = pieces.filter("_hot")
-    while not hot.isEmpty():
-        parts = hot.mapInArrow(_halve, _PIECES).drop("_hot").withColumn("_one", F.col("_c1") - F.col("_c0") == 1)
-        parts = parts.withColumn("_tag", F.when(F.col("_one"), F.xxhash64("_bytes")).otherwise(0))  # one window is judged by its key alone
-        groups = parts.groupBy("_key", "_tag").agg(F.count(F.lit(1)).alias("_d"), F.sum("_w").alias("_all"))
-        parts = stored(parts.join(groups, ["_key", "_tag"]).withColumn("_hot", (F.col("_d") > GROUP) & ~F.col("_one")))
-        # a half of one window is repeated if its group has a second one
-        whole.append(parts.filter("_one and _all > 1").select("_a", "_x", F.array("_lo", "_lo").alias("_runs")))
-        small.append(parts.filter("not _one and not _hot").select(*pieces.columns))
-        hot = parts.filter("_hot").select(*pieces.columns)
-    ready = small[0]
-    for x in small[1:]:
-        ready = ready.unionByName(x)
-    found = ready.repartition("_key").sortWithinPartitions("_key").mapInArrow(_index, _FOUND)
-    for x in whole:
-        found = found.unionByName(x)
-    found = found.groupBy("_a", "_x").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
-    return places.join(found, ["_a", "_x"]).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("_p", "_runs")).alias("_spans"))
+    cut = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["_th"] == wanted["_h"])).select("text", "_wanted").mapInArrow(_cut, _CLASSES)
+
+    level, ready, halvings = stored(cut), [], []
+    while True:
+        ready.append(level.filter("not _hot").select("_key", "_tag", "_w", "_bytes"))
+        hot = level.filter("_hot")
+        if hot.isEmpty():
+            break
+        parts = stored(hot.mapInArrow(_halve, _HALVES))
+        halvings.append(parts.select("_pk", "_pt", "_lo", "_key", "_tag"))
+        merged_parts = parts.groupBy("_key", "_tag").agg(F.sum("_w").alias("_w"), *[F.first(c).alias(c) for c in ("_bytes", "_o", "_c0", "_c1")])
+        groups = merged_parts.groupBy("_key").agg(F.count(F.lit(1)).alias("_d"))
+        level = merged_parts.join(groups, "_key").filter((F.col("_d") > 1) | (F.col("_w") > 1))  # the rest stands alone
+        level = level.withColumn("_hot", (F.col("_d") > GROUP) & (F.col("_c1") - F.col("_c0") > 1))
+        level = stored(level.select("_key", "_tag", "_w", "_hot", "_bytes", "_o", "_c0", "_c1"))
+    indexed = ready[0]
+    for x in ready[1:]:
+        indexed = indexed.unionByName(x)
+    found = indexed.repartition("_key").sortWithinPartitions("_key").mapInArrow(_index, _FOUND)
+    found = stored(found) if halvings else found
+    for parts in reversed(halvings):  # from the halves back to their classes
+        shifted = F.transform("_runs", lambda x: x + F.col("_lo"))
+        whole = parts.join(found, ["_key", "_tag"]).groupBy("_pk", "_pt").agg(F.flatten(F.collect_list(shifted)).alias("_runs"))
+        found = found.unionByName(whole.withColumnsRenamed({"_pk": "_key", "_pt": "_tag"}))
+    found = found.unionByName(alone).withColumnsRenamed({"_key": "_a", "_tag": "_x"})
+    runs = F.when(F.col("_r") > 1, F.array(F.lit(0), F.col("_r") * F.col("_n") - 1)).otherwise(F.col("_runs"))
+    return places.join(found, ["_a", "_x"]).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("_p", runs.alias("_runs"))).alias("_spans"))
 
 
 def merged(spans: list, length: int = LENGTH) -> np.ndarray:
@@ -408,7 +429,7 @@ def merged(spans: list, length: int = LENGTH) -> np.ndarray:
 
 def _remove(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             total, gone, spans, kept = [], [], [], []
             for text, found in zip(batch.column("text"), batch.column("_spans"), strict=True):
                 raw = text.as_buffer().to_pybytes()

@@ -68,12 +68,15 @@ def test_stretches_cover_every_window_once():
     rng = random.Random(4)
     texts = [prose(rng, k).encode() for k in (0, 3, 50, 400, 20)] + [b"z" * 500, b"y" * 200]
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
-    a, x, text, p, n, _ = o.stretches(data, ends)
+    a, x, text, p, n, _, times = o.stretches(data, ends)
+    assert times[text == 5].tolist() == [301]
+    text, p, n = (np.repeat(v, times) for v in (text, p, n))
+    p = p + np.concatenate([np.arange(k) for k in times]) * n
     seen = Counter((t, q) for t, first, k in zip(text.tolist(), p.tolist(), n.tolist(), strict=True) for q in range(first, first + k))
     assert set(seen.values()) == {1} and set(seen) == {(k, q) for k, t in enumerate(texts) for q in range(len(t) - 199)}
 
 
-@pytest.mark.parametrize("group", [256, 3])
+@pytest.mark.parametrize("group", [1024, 3])
 def test_against_brute_force(make_docs, monkeypatch, group):
     monkeypatch.setattr(o, "GROUP", group)  # 3: nearly every group is split
     rows = corpus()
