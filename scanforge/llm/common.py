@@ -53,13 +53,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``limit`` bytes of text (a longer text stands alone)."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds at most about ``limit`` bytes of text (a longer text stands alone) and ``rows`` rows."""
     col = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > limit:
+        if i - start >= rows or held and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)

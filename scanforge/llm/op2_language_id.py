@@ -32,7 +32,7 @@ from scanforge.llm.common import documents, mix64, slices
 DIM, MAX_LANGS, UNDETERMINED = 1024, 4096, "und"
 #: the pipeline rejects a document whose best cosine is below this
 MIN_SCORE = 0.15
-_GRAMS_AT_ONCE, _SLICE = 4096, 1 << 20
+_GRAMS_AT_ONCE, _SLICE, _ROWS = 4096, 1 << 20, 256
 _SPACE = 32
 _letters: np.ndarray | None = None
 
@@ -108,7 +108,7 @@ def held_out() -> Column:
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in slices(batch, "text", _SLICE):
+        for part in slices(batch, "text", _SLICE, _ROWS):
             t = Trigrams(part.column("text").to_pylist())
             if not t.size:
                 continue
@@ -142,7 +142,7 @@ def _predict(langs: list[str], profiles: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
+            for part in slices(batch, "text", _SLICE, _ROWS):
                 t = Trigrams(part.column("text").to_pylist())
                 lang, score = np.full(part.num_rows, UNDETERMINED, object), np.zeros(part.num_rows)
                 if t.size and langs:
@@ -174,7 +174,7 @@ def _keep(langs: list[str], profiles: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
+            for part in slices(batch, "text", _SLICE, _ROWS):
                 (found,) = judge(iter([part])) if part.num_rows else (None,)
                 good = pc.and_(pc.not_equal(found.column("lang_pred"), UNDETERMINED), pc.greater_equal(found.column("score"), MIN_SCORE))
                 yield part.filter(good)

@@ -41,7 +41,7 @@ TREES, DEPTH, BLOCK = 20, 8, 256
 _IS_SPACE = np.isin(np.arange(256), list(WS))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _powers: list[np.ndarray] = []
 
 

@@ -48,7 +48,7 @@ from scanforge.llm.common import documents, mix64, slices, with_text_key
 from scanforge.session import checkpoint_dir
 
 LENGTH, GRAM, GROUP = 200, 32, 1024
-_INDEX_BYTES, _SLICE = 1 << 19, 1 << 20
+_INDEX_BYTES, _SLICE = 1 << 19, 1 << 19
 _BLOCK, _PLACE_BITS = 1 << 23, 24
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)

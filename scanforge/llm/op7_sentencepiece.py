@@ -34,7 +34,7 @@ from scanforge.llm.op7_lattice import BEGIN, CHUNK, MARK, Chain, Lattice, Matrix
 
 #: letters of a document that is split into parts, and of a part
 GIANT, PART = 32_768, 16_384
-_SNAP, _LONG, _MAX_CACHED, _BATCH = 2048, 2 * CHUNK, 600_000, 1 << 18
+_SNAP, _LONG, _MAX_CACHED, _BATCH = 2048, 2 * CHUNK, 300_000, 1 << 17
 _encoders: dict[str, Encoder] = {}
 
 
@@ -230,7 +230,7 @@ def _local(model: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
                 found = list(encoder.texts(texts))
                 size = pa.array([len(x) for x in found], pa.int64())
