@@ -84,6 +84,7 @@ PRIVATE_CIDRS = (
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 
+# FIXED VALUES: limits of the original tool. They are opt-in arguments here; no operator applies one by default.
 LEAK_FILE_CAP = 5 * 1024 * 1024
 HISTORY_FILE_CAP = 1024 * 1024
 MANIFEST_FILE_CAP = 10 * 1024 * 1024

@@ -132,7 +132,8 @@ def safe_url(c) -> Column:
     bad percent escapes) also gives '#'."""
     u = F.coalesce(trim_space(_c(c)), F.lit(""))
     scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    bad = u.rlike(r"[\x00-\x1f\x7f]|%(?![0-9A-Fa-f]{2})")
+    # a URL parser checks escapes everywhere but in the query
+    bad = u.rlike(r"[\x00-\x1f\x7f]") | F.regexp_replace(u, r"\?[^#]*", "?").rlike(r"%(?![0-9A-Fa-f]{2})")
     ok = F.lower(scheme).isin("http", "https") & ~bad
     return F.when(ok, F.concat(F.lower(scheme), F.substring(u, F.length(scheme) + 1, 1 << 30))).otherwise(F.lit("#"))
 
@@ -174,10 +175,15 @@ def hmac_sha256_hex(key: bytes | str, msg) -> Column:
 
 
 def cache_key(*parts) -> Column:
-    """First 16 hex characters of SHA-256 over the parts joined by LF."""
+    """SHA-256 (64 hex characters) over the parts joined by LF."""
     cols = [_c(p) if not isinstance(p, (int, float)) else F.lit(p) for p in parts]
     joined = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in cols])
-    return F.substring(F.sha2(joined, 256), 1, 16)
+    return F.sha2(joined, 256)
+
+
+def cache_key_short(key) -> Column:
+    """First 16 hex characters of a cache key, for display only."""
+    return F.substring(_c(key), 1, 16)
 
 
 _PARTIAL_UTF8_TAIL = "(?:[À-ß]|[à-ï][\u0080-¿]?|[ð-÷][\u0080-¿]{0,2})$"

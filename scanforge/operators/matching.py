@@ -8,10 +8,7 @@ the whole pass (split, explode, match) is one narrow, code-generated stage
 with no shuffle and no Python in the executors. A ``contains`` test on the
 lower-cased line (``rule_hints``) keeps most lines away from the regex engine.
 
-Rule tables larger than ``MAX_INLINE_RULES`` are split into chunks and
-matched in one inline pass per chunk (the passes are unioned): the work grows
-linearly with the number of rules and no expression or broadcast grows
-without bound.
+The work grows linearly with the number of rules.
 """
 
 from __future__ import annotations
@@ -23,8 +20,6 @@ from pyspark.sql import functions as F
 
 from scanforge.functions.regex import to_java
 
-MAX_INLINE_RULES = 2000
-
 HIT_TYPE = "struct<k:int,pos:int,m:string>"
 
 
@@ -123,28 +118,34 @@ def overlong_cut(lines_arr: Column, content: Column, limit: int) -> Column:
     return F.when(F.octet_length(content) >= limit, first).otherwise(F.lit(0)).cast("int")
 
 
-def explode_lines(files: DataFrame, content_col: str = "content", keep_array: bool = False) -> DataFrame:
-    """content -> (line_no from 1, line); split on LF, every piece kept
-    (the final empty piece too). Other columns are carried."""
+def explode_lines(files: DataFrame, content_col: str = "content", keep_array: bool = False,
+                  final_empty: bool = True) -> DataFrame:
+    """content -> (line_no from 1, line); split on LF, every piece kept.
+    ``final_empty=False`` drops an empty last piece, as a line scanner does.
+    Other columns are carried."""
     others = [c for c in files.columns if c != content_col]
     arr = F.split(F.col(content_col), "\n", -1)
     sel = [F.col(c) for c in others]
     if keep_array:
         sel.append(arr.alias("lines"))
+    if not final_empty:
+        arr = F.when(F.col(content_col).endswith("\n") | (F.col(content_col) == ""), F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
     df = files.select(*sel, F.posexplode(arr).alias("pos", "line"))
     return df.withColumn("line_no", (F.col("pos") + 1).cast("int")).drop("pos")
 
 
-def skip_leak_line(line: Column, max_bytes: int = 10000) -> Column:
-    """True for lines secret scanning skips: blank, comment (#), > max bytes."""
+def skip_leak_line(line: Column, max_bytes: int | None = None) -> Column:
+    """True for lines secret scanning skips: blank, comment (#) and, with
+    ``max_bytes``, longer ones."""
     from scanforge.functions.text import trim_space
     t = trim_space(line)
-    return (t == "") | t.startswith("#") | (F.octet_length(line) > max_bytes)
+    skip = (t == "") | t.startswith("#")
+    return skip if max_bytes is None else skip | (F.octet_length(line) > max_bytes)
 
 
 def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: list[Rule] | None,
-                key_cols: list[str], overlong_limit: int | None = 65536,
-                leak_line_cap: int = 10000, with_snippet: bool = True, context: int = 3,
+                key_cols: list[str], overlong_limit: int | None = None,
+                leak_line_cap: int | None = None, with_snippet: bool = True, context: int = 3,
                 sast_max_line_bytes: int | None = None, rule_language_col: str = "language") -> DataFrame:
     """One pass over file contents producing every rule hit.
 
@@ -154,7 +155,9 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     ``col`` (1-based byte column, SAST), ``m`` (first match, leaks),
     ``code`` (+/- ``context`` lines, SAST).
 
-    ``sast_max_line_bytes`` (off by default, as in the reference) skips SAST
+    Nothing is cut by default. ``overlong_limit`` ends a file's SAST at the
+    first line of that many bytes, ``leak_line_cap`` leaves longer lines out of
+    the secret search. ``sast_max_line_bytes`` skips SAST
     matching on longer lines: java.util.regex backtracks where RE2 is
     linear, so adversarial minified lines can be kept from stalling a task.
     """
@@ -178,6 +181,8 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     parts = []
     if sast_specs:
         sast_ok = F.col("_rule_lang").isNotNull() & ((F.col("cut") == 0) | (F.col("line_no") < F.col("cut")))
+        # a line scanner returns no line after the last line end
+        sast_ok = sast_ok & ((F.col("line_no") < F.col("n_lines")) | (line != ""))
         if sast_max_line_bytes is not None:
             sast_ok = sast_ok & (F.octet_length("line") <= sast_max_line_bytes)
         parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, "sline", "lc", "_rule_lang")))
@@ -206,6 +211,6 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     return hits.select(*out)
 
 
-def skip_leak_lines(lines: DataFrame, line_col: str = "line", max_bytes: int = 10000) -> DataFrame:
-    """Drop the lines secret scanning skips (blank, '#' comments, long)."""
+def skip_leak_lines(lines: DataFrame, line_col: str = "line", max_bytes: int | None = None) -> DataFrame:
+    """Drop the lines secret scanning skips (blank, '#' comments, longer than ``max_bytes``)."""
     return lines.where(~skip_leak_line(F.col(line_col), max_bytes))

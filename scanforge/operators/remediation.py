@@ -28,17 +28,24 @@ FILLER_PREFIXES = [
     "Below are", "The following",
 ]
 
+# FIXED VALUES: notice behind a cut answer.
 TRUNCATION_NOTICE = "\n\n[... output truncated]"
 
 
-def remediation_worklist(findings: DataFrame, max_leaks: int = 5) -> DataFrame:
-    """HIGH/CRITICAL SAST findings, plus the first ``max_leaks`` secret
-    findings per scan (top-k by severity, file, line, rule)."""
-    sast = findings.where((F.col("engine") == "SAST") & F.col("severity").isin("CRITICAL", "HIGH"))
-    w = Window.partitionBy("repo").orderBy(severity_weight("severity").desc(), "file", "line", "rule_id")
-    leaks = findings.where(F.col("engine") == "Leaks").withColumn("_r", F.row_number().over(w)) \
-        .where(F.col("_r") <= max_leaks).drop("_r")
-    return sast.unionByName(leaks)
+def remediation_worklist(findings: DataFrame, max_leaks: int | None = None, salts: int = 64) -> DataFrame:
+    """HIGH/CRITICAL SAST findings and the secret findings. ``max_leaks``
+    keeps the first per scan (by severity, file, line, rule), ranked inside
+    (repo, salt) first, so one large repository is ranked by many tasks."""
+    work = ((F.col("engine") == "SAST") & F.col("severity").isin("CRITICAL", "HIGH")) | (F.col("engine") == "Leaks")
+    if max_leaks is None:
+        return findings.where(work)
+    order = [severity_weight("severity").desc(), "file", "line", "rule_id"]
+    leak = F.col("engine") == "Leaks"
+    out = findings.where(work).withColumn("_salt", F.when(leak, F.pmod(F.xxhash64("file", "line", "rule_id"), F.lit(salts))).otherwise(F.xxhash64("file", "line", "rule_id")))
+    for keys in (["repo", "engine", "_salt"], ["repo", "engine", F.when(leak, 0).otherwise(F.col("_salt"))]):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        out = out.withColumn("_r", F.row_number().over(w)).where(~leak | (F.col("_r") <= max_leaks))
+    return out.drop("_r", "_salt")
 
 
 def finding_cache_key(provider: str, model: str):
@@ -51,10 +58,11 @@ def finding_cache_key(provider: str, model: str):
 
 
 def cache_lookup(items: DataFrame, cache: DataFrame, now, integrity_key: bytes | str | None = None):
-    """Split work items into (hits, misses) against a cache table
-    (key, created, ttl_hours, response, integrity). A hit is fresh
-    (created + ttl >= now) and, when it carries an integrity tag, the tag is
-    the HMAC of the response under ``integrity_key``."""
+    """Work items with ``hit`` and ``cached_response`` from a cache table
+    (key, created, ttl_hours, response, integrity). An entry counts while it is
+    fresh (created + ttl >= now) and, when it carries an integrity tag, if the
+    tag is the HMAC of the response under ``integrity_key``. Of several valid
+    entries of a key the newest answers, so items are never multiplied."""
     c = cache
     fresh = (F.col("created") + F.make_interval(hours=F.col("ttl_hours").cast("int"))) >= F.lit(now).cast("timestamp")
     if integrity_key is not None:
@@ -62,12 +70,12 @@ def cache_lookup(items: DataFrame, cache: DataFrame, now, integrity_key: bytes |
             (F.col("integrity") == hmac_sha256_hex(integrity_key, F.col("response")))
     else:
         ok = F.lit(True)
-    valid = c.where(fresh & ok).select(F.col("key").alias("cache_key"), F.col("response").alias("cached_response"))
-    hits = items.join(valid, "cache_key", "inner")
-    misses = items.join(valid, "cache_key", "left_anti")
-    return hits, misses
+    valid = c.where(fresh & ok).groupBy(F.col("key").alias("cache_key")).agg(
+        F.max_by("response", F.struct("created", "response")).alias("cached_response"), F.lit(True).alias("hit"))
+    return items.join(valid, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+# FIXED VALUES: the prompt's wording.
 def render_prompt(df: DataFrame) -> DataFrame:
     """Prompt text per SAST finding (the model call itself is not part of
     this engine)."""
@@ -91,11 +99,12 @@ def render_prompt(df: DataFrame) -> DataFrame:
     return df.withColumn("prompt", p)
 
 
-def clean_response(c) -> "F.Column":
+def clean_response(c, max_bytes: int | None = None) -> "F.Column":
     """Clean a model answer: drop marker tokens; drop the first line when it
     starts (after trimming) with a filler phrase; collapse 3+ newlines to 2;
-    right-trim blanks per line; cut at 3000 bytes (back to the last newline
-    when it is past 2500) with a notice; trim."""
+    right-trim blanks per line; trim. With ``max_bytes`` a longer answer is cut
+    there (back to the last newline when that loses at most a sixth) with a
+    notice."""
     from scanforge.functions.text import trim_space, utf8_byte_prefix
     t = F.col(c) if isinstance(c, str) else c
     for g in GARBAGE_TOKENS:
@@ -108,17 +117,19 @@ def clean_response(c) -> "F.Column":
     t = F.when(filler, F.regexp_replace(t, r"^[^\n]*(\n|$)", "")).otherwise(t)
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     t = F.regexp_replace(t, r"[ \t]+(\n|$)", "$1")
-    head = utf8_byte_prefix(t, 3000)
+    if max_bytes is None:
+        return trim_space(t)
+    head = utf8_byte_prefix(t, max_bytes)
     last_nl = F.length(head) - F.instr(F.reverse(head), "\n") + 1
-    cut = F.when((F.instr(head, "\n") > 0) & (F.octet_length(F.substring(head, 1, last_nl - 1)) > 2500),
+    cut = F.when((F.instr(head, "\n") > 0) & (F.octet_length(F.substring(head, 1, last_nl - 1)) > max_bytes * 5 // 6),
                  F.substring(head, 1, last_nl - 1)).otherwise(head)
-    t = F.when(F.octet_length(t) > 3000, F.concat(cut, F.lit(TRUNCATION_NOTICE))).otherwise(t)
+    t = F.when(F.octet_length(t) > max_bytes, F.concat(cut, F.lit(TRUNCATION_NOTICE))).otherwise(t)
     return trim_space(t)
 
 
 def attach_remediation(findings: DataFrame, answers: DataFrame) -> DataFrame:
-    """Put answers (cache_key, response) back on findings by key."""
-    a = answers.select(F.col("cache_key").alias("_k"), F.col("response").alias("_resp"))
+    """Put answers (cache_key, response) back on findings by key; findings are never multiplied."""
+    a = answers.groupBy(F.col("cache_key").alias("_k")).agg(F.max("response").alias("_resp"))
     j = findings.join(a, findings.cache_key == a._k, "left")
     return j.withColumn("ai_remediation", F.coalesce(F.col("_resp"), F.col("ai_remediation"), F.lit(""))).drop("_k", "_resp")
 
@@ -127,8 +138,8 @@ def render_prompts(items: DataFrame) -> DataFrame:
     return render_prompt(items)
 
 
-def clean_responses(texts: DataFrame, text_col: str = "text", out_col: str = "cleaned") -> DataFrame:
-    return texts.withColumn(out_col, clean_response(F.col(text_col)))
+def clean_responses(texts: DataFrame, text_col: str = "text", out_col: str = "cleaned", max_bytes: int | None = None) -> DataFrame:
+    return texts.withColumn(out_col, clean_response(F.col(text_col), max_bytes))
 
 
 __all__ = ["render_prompts", "clean_responses", "remediation_worklist", "finding_cache_key", "cache_lookup", "render_prompt", "clean_response",

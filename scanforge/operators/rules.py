@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanforge.constants import LANGUAGE_ALIASES
+from scanforge.functions.regex import literal_hints, to_java
 from scanforge.operators.rule_hints import HINTS
 from scanforge.operators.rules_data import LEAK_RULES, OWASP_NAMES, SAST_RULES
 
@@ -119,21 +120,20 @@ def rules_by_owasp(rules: DataFrame) -> DataFrame:
 def load_rules(spark: SparkSession, rules_dir: str, max_bytes: int | None = None):
     """Load YAML rule files under ``rules_dir`` (recursively; .yaml/.yml only).
 
-    Returns ``(rules, errors)``. Files are read by ``binaryFile`` (size filter
-    pushed into the scan) and parsed in the executors with PyYAML via
-    ``mapInPandas``; each entry needs an id and a pattern that compiles. The
-    compile check is Python ``re`` plus a rejection of what RE2 does not
-    accept (look-arounds, back-references, atomic groups, possessive
-    quantifiers); bad entries become rows of ``errors``.
+    Returns ``(rules, errors)``. Files are read by ``binaryFile`` and parsed in
+    the executors with PyYAML via ``mapInPandas``. Each entry needs an id and a
+    pattern that RE2 has and whose translation java.util.regex compiles; that
+    is tried here, on the driver, where the rules go anyway. Bad entries become
+    rows of ``errors`` and the rest are used. ``max_bytes`` leaves larger files
+    out (also a row of ``errors``). Hints are read off the patterns.
     """
-    from scanforge.constants import RULE_FILE_CAP
-    cap = RULE_FILE_CAP if max_bytes is None else max_bytes
     files = (spark.read.format("binaryFile")
              .option("recursiveFileLookup", "true")
              .load(rules_dir)
              .select("path", "length", "content"))
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1))
     files = files.where(ext.isin(".yaml", ".yml"))
+    cap = (1 << 62) if max_bytes is None else max_bytes
     too_big = files.where(F.col("length") > cap).select(
         "path", F.lit(None).cast("string").alias("rule_id"),
         F.format_string("rule file exceeds %d bytes (got %d)", F.lit(cap), F.col("length")).alias("error"))
@@ -144,8 +144,6 @@ def load_rules(spark: SparkSession, rules_dir: str, max_bytes: int | None = None
                   "references array<string>, remediation string, error string, entry_ord int")
 
     def parse(batches):
-        import re as _re
-
         import pandas as pd
         import yaml
         for pdf in batches:
@@ -168,14 +166,6 @@ def load_rules(spark: SparkSession, rules_dir: str, max_bytes: int | None = None
                         err = "missing id"
                     elif not pat:
                         err = "missing pattern"
-                    else:
-                        try:
-                            _re.compile(pat)
-                            bad = _re.search(r"\(\?<?[=!]|\(\?>|\\[1-9]|(?<!\\)[*+?}][+]", pat)
-                            if bad:   # valid for Python, not for RE2
-                                raise _re.error(f"unsupported construct {bad.group(0)!r}")
-                        except _re.error as ex:
-                            err = f"invalid pattern {pat!r}: {ex}"
                     refs = e.get("references")
                     try:
                         cvss = float(e.get("cvss") or 0.0)
@@ -190,15 +180,25 @@ def load_rules(spark: SparkSession, rules_dir: str, max_bytes: int | None = None
                                              "severity", "owasp", "cwe", "cvss", "references", "remediation",
                                              "error", "entry_ord"])
 
-    parsed = ok.mapInPandas(parse, out_schema).cache()
-    errors = parsed.where(F.col("error").isNotNull()).select("path", "rule_id", "error").unionByName(too_big)
-    good = parsed.where(F.col("error").isNull())
-    rules = normalize_rules(good.select(
-        "rule_id", "language", "title", "description", "pattern",
-        F.lit(None).cast("string").alias("anti_pattern"), "severity", "owasp", "cwe", "cvss",
-        "references", "remediation",
-        F.lit(None).cast("array<string>").alias("hints"),
-        F.lit("custom").alias("rule_source"),
-        F.col("entry_ord").alias("rule_ord"),
-    ))
-    return rules, errors
+    entries = [r.asDict() for r in ok.mapInPandas(parse, out_schema).collect()]  # a rule table, as every scan collects it
+    for e in entries:
+        if e["error"] is None:
+            e["error"] = pattern_error(spark, e["pattern"])
+    names = RULE_SCHEMA.fieldNames()
+    good = []
+    for e in sorted((e for e in entries if e["error"] is None), key=lambda e: (e["path"], e["entry_ord"])):
+        row = {**e, "anti_pattern": None, "hints": literal_hints(e["pattern"]), "rule_source": "custom", "rule_ord": len(good)}
+        good.append(tuple(row[n] for n in names))
+    errors = spark.createDataFrame([(e["path"], e["rule_id"], e["error"]) for e in entries if e["error"] is not None],
+                                   "path string, rule_id string, error string").unionByName(too_big)
+    return normalize_rules(spark.createDataFrame(good, RULE_SCHEMA)), errors
+
+
+def pattern_error(spark: SparkSession, pattern: str) -> str | None:
+    """Why a pattern can't be used: not RE2, or its translation does not compile."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(to_java(pattern))
+    except Exception as ex:  # noqa: BLE001 - one rule must not end the load
+        text = str(getattr(ex, "java_exception", None) or ex).splitlines()[0]
+        return f"invalid pattern {pattern!r}: {text}"
+    return None

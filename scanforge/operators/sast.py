@@ -47,7 +47,7 @@ def sast_findings_from_hits(hits: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def sast_scan(files: DataFrame, rules: DataFrame | None = None, min_severity: str = "LOW",
-              extension_map: dict | None = None, extra_ignores=(), overlong_limit: int | None = 65536,
+              extension_map: dict | None = None, extra_ignores=(), overlong_limit: int | None = None,
               max_line_bytes: int | None = None) -> DataFrame:
     """files(repo, path, content) -> SAST findings.
 
@@ -74,14 +74,15 @@ def iac_scan(files: DataFrame, rules: DataFrame | None = None, min_severity: str
     return sast_scan(f, r, min_severity, extension_map=IAC_EXTENSION_LANGUAGE)
 
 
-def stop_at_overlong_line(lines: DataFrame, limit: int = 65536, key_cols=("repo", "path")) -> DataFrame:
-    """Standalone form on an exploded line table: drop the first line of
-    >= ``limit`` bytes and all later lines of the file. (The scan applies the
-    same rule per file before exploding, without this window's shuffle.)"""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*key_cols)
-    first = F.min(F.when(F.octet_length("line") >= limit, F.col("line_no"))).over(w)
-    return lines.withColumn("_cut", first).where(F.col("_cut").isNull() | (F.col("line_no") < F.col("_cut"))).drop("_cut")
+def stop_at_overlong_line(files: DataFrame, limit: int = 65536, content_col: str = "content") -> DataFrame:
+    """files -> lines before the first line of >= ``limit`` bytes. The cut is
+    found in the file's own row, before the lines are exploded: no shuffle."""
+    arr = F.split(F.col(content_col), "\n", -1)
+    cut = F.array_position(F.transform(arr, lambda x: F.octet_length(x) >= limit), True)
+    kept = F.when(cut > 0, F.slice(arr, 1, (cut - 1).cast("int"))).otherwise(arr)
+    others = [F.col(c) for c in files.columns if c != content_col]
+    out = files.select(*others, F.posexplode(kept).alias("_pos", "line"))
+    return out.withColumn("line_no", (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
 def snippet_of(lines_arr, line_no, n_lines, context: int = 3):

@@ -1,19 +1,17 @@
 """Dependencies and vulnerabilities.
 
-Manifest "parsers" are Spark jobs from a manifest table (repo, path, content)
-to a dependency table (repo, name, version, ecosystem, file). JSON manifests
-use ``from_json``; line formats explode lines and use per-file array
-functions or windows over the (small) manifest lines; YAML uses PyYAML in
-``mapInPandas``.
+Manifest "parsers" are native array expressions over one file row: text of a
+format -> array of (name, version). One pass over the manifests serves every
+format (``CASE format``), so a file is read once and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanforge.constants import DEFAULT_IGNORE_PATHS, ECOSYSTEM_DB_NAME, MANIFEST_FILE_CAP, MANIFEST_NAMES
+from scanforge.constants import DEFAULT_IGNORE_PATHS, ECOSYSTEM_DB_NAME, MANIFEST_NAMES
 from scanforge.functions.text import (UNICODE_SPACES, base_name, cvss_score, cvss_severity,
                                       strip_version_prefix, trim_space, utf8_byte_prefix)
 from scanforge.operators.findings import min_severity as _min_severity
@@ -57,174 +55,151 @@ def _fields(c: Column) -> Column:
     return F.filter(F.split(trim_space(c), _SPACE_RUN), lambda x: x != "")
 
 
-def _lines(manifests: DataFrame) -> DataFrame:
-    return manifests.select("repo", "path", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
+DEPS_SCHEMA = "repo string, name string, version string, ecosystem string, file string"
+_ARRAY = "array<struct<name:string,version:string>>"
+
+
+def _empty() -> Column:
+    return F.expr(f"cast(array() as {_ARRAY})")
+
+
+def _dep(name: Column, version: Column) -> Column:
+    return F.struct(name.alias("name"), version.alias("version"))
 
 
-def _deps(df: DataFrame, name, version, eco: str) -> DataFrame:
-    return df.select("repo", name.alias("name"), version.alias("version"), F.lit(eco).alias("ecosystem"),
-                     F.col("path").alias("file"))
+def _split_lines(c: Column) -> Column:
+    return F.split(c, "\n", -1)
 
 
 # ------------------------------------------------------------ manifests
 
-def find_manifests(files: DataFrame, max_bytes: int = MANIFEST_FILE_CAP) -> DataFrame:
-    """Manifest files by base name; default-ignored directories pruned; size cap."""
+def find_manifests(files: DataFrame, max_bytes: int | None = None, extra_ignores=()) -> DataFrame:
+    """Manifest files by base name; ignored directories pruned (the defaults
+    and ``extra_ignores``); ``max_bytes`` leaves larger files out."""
     names = [n for ns in MANIFEST_NAMES.values() for n in ns]
     segs = F.split(F.col("path"), "/")
     ignored = F.arrays_overlap(F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(1))),
-                               F.array(*[F.lit(x) for x in DEFAULT_IGNORE_PATHS])) & (F.size(segs) > 1)
+                               F.array(*[F.lit(x) for x in [*DEFAULT_IGNORE_PATHS, *extra_ignores]])) & (F.size(segs) > 1)
     f = files.where(base_name(F.col("path")).isin(*names) & ~ignored)
-    size = F.col("size") if "size" in files.columns else F.octet_length("content")
-    return f.where(size <= max_bytes).select("repo", "path", "content")
-
-
-def _of(manifests: DataFrame, fmt: str) -> DataFrame:
-    return manifests.where(base_name(F.col("path")).isin(*MANIFEST_NAMES[fmt]))
-
-
-def _json_map_deps(manifests: DataFrame, fmt: str, keys: tuple, eco: str, exclude=()) -> DataFrame:
-    m = _of(manifests, fmt)
-    schema = T.StructType([T.StructField(k, T.MapType(T.StringType(), T.StringType())) for k in keys])
-    parsed = m.select("repo", "path", F.from_json("content", schema, {"mode": "PERMISSIVE"}).alias("j"))
-    out = None
-    for k in keys:
-        part = parsed.select("repo", "path", F.explode(F.col("j")[k]).alias("n", "v"))
-        if exclude:
-            part = part.where(~F.col("n").isin(*exclude))
-        part = _deps(part, F.col("n"), strip_version_prefix(F.col("v")), eco)
-        out = part if out is None else out.unionByName(part)
-    return out
+    if max_bytes is not None:
+        f = f.where((F.col("size") if "size" in files.columns else F.octet_length("content")) <= max_bytes)
+    return f.select("repo", "path", "content")
+
+
+def _json_deps(content: Column, keys: tuple, exclude=()) -> Column:
+    """Sections of a JSON manifest. Keys match without case; a section or a
+    version of the wrong type rejects the file."""
+    root = F.map_entries(F.from_json(content, "map<string,string>"))
+    wanted = F.filter(root, lambda e: F.lower(e["key"]).isin(*[k.lower() for k in keys]) & e["value"].isNotNull())
+    sections = F.transform(wanted, lambda e: F.map_entries(F.from_json(e["value"], "map<string,variant>")))
+    rows = F.flatten(F.filter(sections, lambda x: x.isNotNull()))
+    good = F.forall(sections, lambda x: x.isNotNull()) & F.forall(
+        rows, lambda r: F.coalesce(F.call_function("schema_of_variant", r["value"]), F.lit("VOID")).isin("STRING", "VOID"))
+    kept = F.filter(rows, lambda r: ~r["key"].isin(*exclude)) if exclude else rows
+    deps = F.transform(kept, lambda r: _dep(r["key"], strip_version_prefix(F.coalesce(r["value"].try_cast("string"), F.lit("")))))
+    return F.when(good, deps)
+
+
+def _requirements(content: Column) -> Column:
+    lines = F.filter(F.transform(_split_lines(content), trim_space),
+                     lambda t: (t != "") & ~t.startswith("#") & ~t.startswith("-"))
+
+    def cut(t):
+        at, width = F.lit(0), F.lit(0)
+        for sep in reversed(["==", ">=", "<=", "~=", "!=", ">"]):
+            pos = F.instr(t, sep)
+            at = F.when(pos > 0, pos).otherwise(at)
+            width = F.when(pos > 0, F.lit(len(sep))).otherwise(width)
+        return F.struct(t.alias("t"), at.alias("at"), width.alias("width"))
+
+    def dep(x):
+        rest = trim_space(F.substr(x["t"], x["at"] + x["width"]))
+        return _dep(trim_space(F.substr(x["t"], F.lit(1), x["at"] - 1)), F.split(rest, ",", 2).getItem(0))
+
+    return F.transform(F.filter(F.transform(lines, cut), lambda x: x["at"] > 0), dep)
+
+
+def _gemfile(content: Column) -> Column:
+    lines = _split_lines(content)
+    start = F.array_position(F.transform(lines, lambda x: trim_space(x) == "GEM"), True).cast("int")
+    part = F.when(start > 0, F.slice(lines, start, F.size(lines) - start + 1))
+    rows = F.filter(F.transform(F.filter(part, lambda x: x.contains("(") & x.contains(")")), _fields), lambda f: F.size(f) >= 2)
+    return F.transform(rows, lambda f: _dep(f[0], F.regexp_replace(f[1], r"^[()]+|[()]+$", "")))
+
+
+_BLANKS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in UNICODE_SPACES if ch != "\n") + "]*"
+
+
+def _gomod(content: Column) -> Column:
+    """'require x v' lines and 'require ( ... )' blocks: the text is cut at
+    block starts, every part at its first ')' line."""
+    parts = F.split(content, rf"(?md)^{_BLANKS}require \({_BLANKS}$", -1)
+    cut = F.transform(parts, lambda p: F.split(p, rf"(?md)^{_BLANKS}\){_BLANKS}$", 2))
+    inner = F.flatten(F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda c: _split_lines(c[0])))
+    outer = F.flatten(F.transform(cut, lambda c, k: F.concat(
+        F.when(k == 0, _split_lines(c[0])).otherwise(F.array().cast("array<string>")),
+        F.when(F.size(c) > 1, _split_lines(c[1])).otherwise(F.array().cast("array<string>")))))
+    single = F.filter(F.transform(outer, trim_space), lambda t: t.startswith("require ") & (t != "require ("))
+    lines = F.concat(F.transform(inner, trim_space), single)
+    lines = F.transform(lines, lambda t: F.when(t.startswith("require "), F.substr(t, F.lit(9))).otherwise(t))
+    rows = F.filter(F.transform(lines, _fields), lambda f: F.size(f) >= 2)
+    return F.transform(rows, lambda f: _dep(f[0], f[1]))
 
 
-def deps_npm(manifests: DataFrame) -> DataFrame:
-    return _json_map_deps(manifests, "npm", ("dependencies", "devDependencies"), "npm")
-
-
-def deps_composer(manifests: DataFrame) -> DataFrame:
-    return _json_map_deps(manifests, "composer", ("require", "require-dev"), "packagist", exclude=("php",))
+def _xml_tag(line: Column, tag: str) -> Column:
+    o, c = f"<{tag}>", f"</{tag}>"
+    s = F.instr(line, o)
+    e = F.instr(line, c)
+    inner = line.substr(s + len(o), e - s - len(o))
+    return F.when((s > 0) & (e > 0) & (e >= s + len(o)), trim_space(inner)).otherwise(F.lit(""))
 
 
-def deps_requirements(manifests: DataFrame, fmt: str = "requirements") -> DataFrame:
-    """name/version split at the first of == >= <= ~= != > (in that order)
-    found anywhere; version cut at ','. Blank, '#' and '-' lines skipped."""
-    ln = _lines(_of(manifests, fmt) if fmt else manifests)
-    t = trim_space(F.col("line"))
-    ln = ln.select("repo", "path", t.alias("t")).where((F.col("t") != "") & ~F.col("t").startswith("#")
-                                                        & ~F.col("t").startswith("-"))
-    idx = F.lit(0)
-    sep_len = F.lit(0)
-    for sep in reversed(["==", ">=", "<=", "~=", "!=", ">"]):
-        pos = F.instr(F.col("t"), sep)
-        idx = F.when(pos > 0, pos).otherwise(idx)
-        sep_len = F.when(pos > 0, F.lit(len(sep))).otherwise(sep_len)
-    ln = ln.select("*", idx.alias("idx"), sep_len.alias("sl")).where(F.col("idx") > 0)
-    name = trim_space(F.col("t").substr(F.lit(1), F.col("idx") - 1))
-    rest = trim_space(F.col("t").substr(F.col("idx") + F.col("sl"), F.lit(1 << 30)))
-    version = F.split(rest, ",", 2).getItem(0)
-    return _deps(ln, name, version, "pypi")
+def _pom(content: Column) -> Column:
+    """Lines from one <artifactId> to the next form a group; its first
+    <version> (non-empty, not ${...}) is the artifact's."""
+    lines = _split_lines(content)
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x.contains("<artifactId>"), i + 1)), lambda i: i.isNotNull())
+    groups = F.transform(at, lambda p, k: F.slice(lines, p, F.coalesce(F.get(at, k + 1), F.size(lines) + 1) - p))
 
+    def dep(g):
+        versions = F.transform(F.filter(g, lambda x: x.contains("<version>")), lambda x: _xml_tag(x, "version"))
+        return _dep(_xml_tag(g[0], "artifactId"), F.get(F.filter(versions, lambda v: (v != "") & ~v.startswith("${")), F.lit(0)))
 
-def deps_gemfile(manifests: DataFrame, strict: bool = False) -> DataFrame:
-    """After the line 'GEM', every line with '(' and ')': field 1 is the name,
-    field 2 stripped of parentheses is the version. The start line is found
-    per file with an array function, so no shuffle is needed. ``strict``
-    drops entries whose "version" is a constraint operator (``>=``, ``~>``...)."""
-    m = _of(manifests, "gemfile")
-    arr = F.split("content", "\n", -1)
-    start = F.array_position(F.transform(arr, lambda l: trim_space(l) == "GEM"), True)
-    m = m.select("repo", "path", arr.alias("lines"), start.alias("gem_at")).where(F.col("gem_at") > 0)
-    ln = m.select("repo", "path", "gem_at", F.posexplode("lines").alias("pos", "line"))
-    ln = ln.where((F.col("pos") + 1 >= F.col("gem_at")) & F.col("line").contains("(") & F.col("line").contains(")"))
-    ln = ln.select("repo", "path", _fields(F.col("line")).alias("fs")).where(F.size("fs") >= 2)
-    version = F.regexp_replace(F.col("fs")[1], r"^[()]+|[()]+$", "")
-    out = _deps(ln, F.col("fs")[0], version, "rubygems")
-    if strict:
-        out = out.where(~F.col("version").rlike(r"^[<>=~!]+$"))
-    return out
+    return F.filter(F.transform(groups, dep), lambda d: (d["name"] != "") & d["version"].isNotNull())
 
 
-def deps_gomod(manifests: DataFrame, strict: bool = False) -> DataFrame:
-    """'require x v' lines and 'require ( ... )' blocks; the block state is the
-    last marker line before each line (window over the file's lines).
-    ``strict`` drops comment lines inside a block (names starting ``//``)."""
-    ln = _lines(_of(manifests, "gomod")).select("repo", "path", "line_no", trim_space(F.col("line")).alias("t"))
-    marker = F.when(F.col("t") == "require (", F.lit(True)).when(F.col("t") == ")", F.lit(False))
-    w = Window.partitionBy("repo", "path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    ln = ln.select("*", F.coalesce(F.last(marker, ignorenulls=True).over(w), F.lit(False)).alias("in_req"))
-    ln = ln.where(F.col("t").isin("require (", ")") == False)  # noqa: E712
-    ln = ln.where(F.col("in_req") | F.col("t").startswith("require "))
-    body = F.when(F.col("t").startswith("require "), F.col("t").substr(F.lit(9), F.lit(1 << 30))).otherwise(F.col("t"))
-    ln = ln.select("repo", "path", _fields(body).alias("fs")).where(F.size("fs") >= 2)
-    out = _deps(ln, F.col("fs")[0], F.col("fs")[1], "go")
-    if strict:
-        out = out.where(~F.col("name").startswith("//"))
-    return out
+_YAML_PLAIN_OTHER = r"(?i)^(~|null|true|false|yes|no|on|off|[-+]?(\d[\d_]*)?\.?\d+(e[-+]?\d+)?|[-+]?\d+\.?|0x[0-9a-f]+|\.inf|\.nan)?$"
 
 
-def _xml_tag(line: Column, tag: str) -> Column:
-    o, c = f"<{tag}>", f"</{tag}>"
-    s = F.instr(line, o)
-    e = F.instr(line, c)
-    inner = line.substr(s + len(o), e - s - len(o))
-    return F.when((s > 0) & (e > 0) & (e >= s + len(o)), trim_space(inner)).otherwise(F.lit(""))
+def _yaml_scalar(v: Column) -> Column:
+    """Text of a YAML scalar that is a string; '' for any other value."""
+    v = trim_space(F.regexp_replace(trim_space(v), r"^(\"(?:[^\"\\]|\\.)*+\"|'(?:[^']|'')*+'|[^\"'#][^#]*?(?:[^\s]#[^#]*?)*)\s+#.*$", "$1"))
+    quoted = v.rlike(r"^(\".*\"|'.*')$")
+    plain = ~v.rlike(r"^[{\[&*|>!#%@`]") & ~v.rlike(_YAML_PLAIN_OTHER)
+    return F.when(quoted, F.substr(v, F.lit(2), F.length(v) - 2)).when(plain, v).otherwise(F.lit(""))
 
 
-def deps_pom(manifests: DataFrame) -> DataFrame:
-    """Line-based: remember the last <artifactId>; the first <version> after
-    it (non-empty, not ${...}) emits and clears it. Groups = running count of
-    artifactId lines; first valid version per group (as-of style)."""
-    ln = _lines(_of(manifests, "maven"))
-    is_art = F.col("line").contains("<artifactId>")
-    w = Window.partitionBy("repo", "path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    ln = ln.select("*", F.sum(is_art.cast("int")).over(w).alias("grp"))
-    ver = _xml_tag(F.col("line"), "version")
-    valid = F.col("line").contains("<version>") & (ver != "") & ~ver.startswith("${")
-    g = ln.where(F.col("grp") > 0).groupBy("repo", "path", "grp").agg(
-        F.max(F.when(is_art, _xml_tag(F.col("line"), "artifactId"))).alias("art"),
-        F.min_by(F.when(valid, ver), F.when(valid, F.col("line_no"))).alias("ver"))
-    # an artifactId line with a valid version on the same line also counts
-    g = g.where((F.col("art") != "") & F.col("ver").isNotNull())
-    return _deps(g, F.col("art"), F.col("ver"), "maven")
+def _pubspec(content: Column) -> Column:
+    """Entries of the top-level maps ``dependencies`` and ``dev_dependencies``
+    (minus flutter, sdk), in block or one-line flow style. A value that is no
+    string (a nested map, a number) gives an empty version."""
+    text = F.regexp_replace(content, "\r", "")
+    blocks = F.filter(F.split(text, r"(?md)^(?=[^\s#])", -1), lambda b: b.rlike(r"^(dev_)?dependencies[ \t]*:"))
 
+    def entries(b):
+        lines = F.filter(F.slice(_split_lines(b), 2, F.greatest(F.size(_split_lines(b)) - 1, F.lit(0))),
+                         lambda x: ~x.rlike(r"^\s*(#.*)?$"))
+        indent = F.regexp_extract(F.get(lines, F.lit(0)), r"^( *)", 1)
+        own = F.filter(lines, lambda x: F.regexp_extract(x, r"^( *)", 1) == indent)
+        flow = F.regexp_extract(F.get(_split_lines(b), F.lit(0)), r"^[a-z_]+[ \t]*:[ \t]*\{(.*)\}", 1)
+        return F.concat(F.filter(F.split(flow, ",", -1), lambda x: trim_space(x) != ""), own)
 
-def deps_pubspec(manifests: DataFrame) -> DataFrame:
-    """dependencies + dev_dependencies of pubspec YAML (minus flutter, sdk);
-    non-string values give an empty version. PyYAML in mapInPandas."""
-    m = _of(manifests, "pubspec").select("repo", "path", "content")
-
-    def parse(batches):
-        import pandas as pd
-        import yaml
-
-        def strip(v):
-            v = v.strip()
-            for op in (">=", "<=", "==", "!=", "~>", "^", "~", ">", "<", "="):
-                if v.startswith(op):
-                    return v[len(op):].strip()
-            return v
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)   # libyaml when present
-        for pdf in batches:
-            out = []
-            for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
-                try:
-                    doc = yaml.load(content, Loader=loader)
-                except Exception:  # noqa: BLE001 - unparsable manifest gives no rows
-                    continue
-                if not isinstance(doc, dict):
-                    continue
-                for key in ("dependencies", "dev_dependencies"):
-                    deps = doc.get(key)
-                    if not isinstance(deps, dict):
-                        continue
-                    for name, ver in deps.items():
-                        name = str(name)
-                        if name in ("flutter", "sdk"):
-                            continue
-                        out.append((repo, name, strip(ver) if isinstance(ver, str) else "", "pub", path))
-            yield pd.DataFrame(out, columns=DEP_COLS)
-
-    return m.mapInPandas(parse, "repo string, name string, version string, ecosystem string, file string")
+    rows = F.flatten(F.transform(blocks, entries))
+    key = r"^\s*(\"[^\"]*\"|'[^']*'|[^:]+?)\s*:(?:\s+(.*))?$"
+    deps = F.transform(F.filter(rows, lambda r: r.rlike(key)), lambda r: _dep(
+        F.regexp_replace(F.regexp_extract(r, key, 1), r"^[\"']|[\"']$", ""),
+        strip_version_prefix(_yaml_scalar(F.regexp_extract(r, key, 2)))))
+    return F.filter(deps, lambda d: ~d["name"].isin("flutter", "sdk"))
 
 
 def manifest_format(path_col="path") -> Column:
@@ -237,33 +212,68 @@ def manifest_format(path_col="path") -> Column:
 
 
 _PARSERS = {
-    "npm": lambda m: deps_npm(m), "composer": lambda m: deps_composer(m),
-    "requirements": lambda m: deps_requirements(m), "gemfile": lambda m: deps_gemfile(m),
-    "gomod": lambda m: deps_gomod(m), "maven": lambda m: deps_pom(m), "pubspec": lambda m: deps_pubspec(m),
+    "npm": ("npm", lambda c: _json_deps(c, ("dependencies", "devDependencies"))),
+    "composer": ("packagist", lambda c: _json_deps(c, ("require", "require-dev"), exclude=("php",))),
+    "requirements": ("pypi", _requirements),
+    "gemfile": ("rubygems", _gemfile),
+    "gomod": ("go", _gomod),
+    "maven": ("maven", _pom),
+    "pubspec": ("pub", _pubspec),
 }
 
-DEPS_SCHEMA = "repo string, name string, version string, ecosystem string, file string"
+
+def _parse(manifests: DataFrame, formats: list[str]) -> DataFrame:
+    """One pass: every manifest row gets its format's dependency array."""
+    m = manifests.select("repo", "path", "content", manifest_format("path").alias("_fmt")).where(F.col("_fmt").isin(*formats))
+    found, eco = _empty(), F.lit(None).cast("string")
+    for fmt in formats:
+        name, parser = _PARSERS[fmt]
+        found = F.when(F.col("_fmt") == fmt, parser(F.col("content")).cast(_ARRAY)).otherwise(found)
+        eco = F.when(F.col("_fmt") == fmt, F.lit(name)).otherwise(eco)
+    rows = m.select("repo", "path", eco.alias("ecosystem"), F.explode(found).alias("_d"))
+    return rows.select("repo", F.col("_d.name").alias("name"), F.col("_d.version").alias("version"), "ecosystem", F.col("path").alias("file"))
+
+
+def deps_npm(manifests: DataFrame) -> DataFrame:
+    return _parse(manifests, ["npm"])
+
+
+def deps_composer(manifests: DataFrame) -> DataFrame:
+    return _parse(manifests, ["composer"])
+
+
+def deps_requirements(manifests: DataFrame) -> DataFrame:
+    """name/version split at the first of == >= <= ~= != > (in that order)
+    found anywhere; version cut at ','. Blank, '#' and '-' lines skipped."""
+    return _parse(manifests, ["requirements"])
+
+
+def deps_gemfile(manifests: DataFrame, strict: bool = False) -> DataFrame:
+    """After the line 'GEM', every line with '(' and ')': field 1 is the name,
+    field 2 stripped of parentheses is the version. ``strict`` drops entries
+    whose "version" is a constraint operator (``>=``, ``~>``...)."""
+    out = _parse(manifests, ["gemfile"])
+    return out.where(~F.col("version").rlike(r"^[<>=~!]+$")) if strict else out
+
+
+def deps_gomod(manifests: DataFrame, strict: bool = False) -> DataFrame:
+    """'require x v' lines and 'require ( ... )' blocks. ``strict`` drops
+    comment lines inside a block (names starting ``//``)."""
+    out = _parse(manifests, ["gomod"])
+    return out.where(~F.col("name").startswith("//")) if strict else out
+
+
+def deps_pom(manifests: DataFrame) -> DataFrame:
+    return _parse(manifests, ["maven"])
+
+
+def deps_pubspec(manifests: DataFrame) -> DataFrame:
+    return _parse(manifests, ["pubspec"])
 
 
 def dependency_inventory(manifests: DataFrame, include_pubspec: bool = True) -> DataFrame:
-    """Union of the manifest jobs -> (repo, name, version, ecosystem, file).
-
-    Manifests are a small slice of a corpus and every format job reads them,
-    so they are persisted once (recomputed from lineage if an executor is
-    lost); only the jobs of formats actually present (a <= 7-row distinct)
-    enter the plan."""
-    from pyspark import StorageLevel
-    m = manifests.select("repo", "path", "content").persist(StorageLevel.MEMORY_AND_DISK)
-    present = {r[0] for r in m.select(manifest_format("path")).distinct().collect() if r[0]}
-    if not include_pubspec:
-        present.discard("pubspec")
-    parts = [_PARSERS[f](m) for f in MANIFEST_NAMES if f in present]
-    if not parts:
-        return m.sparkSession.createDataFrame([], DEPS_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every format in one pass -> (repo, name, version, ecosystem, file)."""
+    return _parse(manifests, [f for f in _PARSERS if include_pubspec or f != "pubspec"])
 
 
 def inventory_stats(deps: DataFrame) -> DataFrame:
@@ -305,51 +315,70 @@ def map_ecosystem(deps: DataFrame) -> DataFrame:
         F.col("db_ecosystem").isNotNull())
 
 
-def version_key(c: Column) -> Column:
-    """Orderable version key: dot-separated parts, numeric prefix of each part
-    (0 when none). Arrays compare element-wise, so '1.10' > '1.9'."""
-    parts = F.split(F.regexp_replace(c, r"^[vV]", ""), r"\.")
-    return F.transform(parts, lambda p: F.coalesce(F.regexp_extract(p, r"^([0-9]+)", 1).try_cast("long"), F.lit(0)))
+_PRE = r"(?i)^[._-]?(a|alpha|b|beta|c|cr|rc|pre|preview|m|milestone|dev|snapshot)([._-]?[0-9].*)?$"
+_AFTER = r"(?i)^[._-]?(final|ga|release|jre|android|post|sp|p|patch|r|rev).*$"
 
 
-def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+def version_key(c: Column) -> Column:
+    """Orderable version key: (release numbers, 0 for a pre-release and 1
+    otherwise, parts of what follows).
+
+    Trailing zeros do not count (1.2 equals 1.2.0), numbers compare as numbers
+    (1.10 > 1.9), a pre-release stands below its release (1.0.0-rc1 < 1.0.0),
+    build metadata (+...) is left out.
+    """
+    v = F.regexp_replace(F.regexp_replace(trim_space(c), r"^[vV=]+", ""), r"\+.*$", "")
+    numbers = F.regexp_replace(F.regexp_extract(v, r"^([0-9]+(?:\.[0-9]+)*)", 1), r"(?:^|\.)0*(?:\.0*)*$", "")
+    release = F.when(numbers == "", F.array().cast("array<decimal(38,0)>")).otherwise(
+        F.transform(F.split(numbers, r"\."), lambda p: p.try_cast("decimal(38,0)")))
+    rest = F.regexp_replace(v, r"^[0-9]+(?:\.[0-9]+)*", "")
+    before = (rest != "") & (rest.rlike(_PRE) | (rest.startswith("-") & ~rest.rlike(_AFTER)))
+    parts = F.filter(F.split(F.lower(F.regexp_replace(rest, r"([0-9]+)", ".$1.")), r"[._-]+"), lambda x: x != "")
+    tail = F.transform(parts, lambda x: F.struct(
+        F.when(x.rlike("^[0-9]+$"), 0).otherwise(1).alias("word"), F.when(x.rlike("^[0-9]+$"), x.try_cast("decimal(38,0)")).alias("n"), x.alias("s")))
+    return F.when(c.isNotNull(), F.struct(release.alias("release"), F.when(before, 0).otherwise(1).alias("final"), tail.alias("tail")))
+
+
+_RANGE_COLS = {"introduced": "string", "fixed": "string", "last_affected": "string", "versions": "array<string>",
+               "score": "double", "cve": "string", "summary": "string"}
+
+
+def match_advisories(deps: DataFrame, advisories: DataFrame, salts: int = 16) -> DataFrame:
     """deps x advisories on (ecosystem, name) with the affected-range test
-    introduced <= v < fixed (or v <= last_affected, or v listed).
-
-    Dependencies are first reduced to distinct (ecosystem, name, version):
-    popular packages repeat millions of times, and the partial aggregation
-    collapses them map-side before any shuffle. The (few) vulnerable
-    versions are then joined back to the dependency rows."""
-    d = deps.withColumn("eco_key", F.lower("ecosystem"))
-    a = advisories
-    cols = set(a.columns)
-
-    def opt(name, typ="string"):
-        return F.col(name) if name in cols else F.lit(None).cast(typ)
-
-    adv = a.select(
-        F.col("id").alias("adv_id"), F.col("name").alias("a_name"), F.lower(F.col("ecosystem")).alias("a_eco"),
-        opt("introduced").alias("introduced"), opt("fixed").alias("fixed"),
-        opt("last_affected").alias("last_affected"), opt("versions", "array<string>").alias("versions"),
-        opt("score", "double").alias("score"), opt("cve").alias("a_cve"), opt("summary").alias("summary"),
-    )
-    # keys computed once per row on each side, not per candidate pair
-    distinct = d.select("eco_key", "name", "version").distinct().withColumn("vk", version_key(F.col("version")))
-    adv = (adv.withColumn("ik", version_key(F.col("introduced"))).withColumn("fk", version_key(F.col("fixed")))
-           .withColumn("lk", version_key(F.col("last_affected"))))
-    affected = (
-        (F.col("introduced").isNull() | (F.col("vk") >= F.col("ik")))
-        & (F.col("fixed").isNull() | (F.col("vk") < F.col("fk")))
-        & (F.col("last_affected").isNull() | (F.col("vk") <= F.col("lk")))
-    ) | F.coalesce(F.array_contains(F.col("versions"), F.col("version")), F.lit(False))
-    vuln = distinct.join(adv, (distinct.eco_key == adv.a_eco) & (distinct.name == adv.a_name)).where(affected)
-    vuln = vuln.select("eco_key", "name", "version", "adv_id", "fixed", "score", "a_cve", "summary")
-    j = d.join(vuln, ["eco_key", "name", "version"])
-    score = F.coalesce(F.col("score"), F.lit(0.0))
+    introduced <= v < fixed (or v <= last_affected), or v listed.
+
+    ``advisories`` has one row per package interval (``explode_advisories``, or
+    a flat table). The intervals of a package become one array, so the
+    dependencies are read once and joined once; a popular package is spread
+    over ``salts`` tasks. An advisory that hits by several intervals gives one
+    finding per dependency row."""
+    cols = set(advisories.columns)
+    a = advisories.select(F.col("id"), F.col("name").alias("_name"), F.lower("ecosystem").alias("_eco"), *[
+        (F.col(c) if c in cols else F.lit(None)).cast(t).alias(c) for c, t in _RANGE_COLS.items()])
+    one = F.struct("id", "cve", "summary", "score", "fixed", "versions",
+                   (F.col("introduced").isNotNull() | F.col("fixed").isNotNull() | F.col("last_affected").isNotNull()).alias("ranged"),
+                   version_key(F.col("introduced")).alias("ik"), version_key(F.col("fixed")).alias("fk"),
+                   version_key(F.col("last_affected")).alias("lk"))
+    packages = a.groupBy("_eco", "_name").agg(F.collect_list(one).alias("_ranges"))
+    packages = packages.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    d = deps.withColumn("_eco", F.lower("ecosystem")).withColumn("_name", F.col("name"))
+    d = d.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("repo", "file", "version") if c in deps.columns]), F.lit(salts)).cast("int"))
+    j = d.join(packages, ["_eco", "_name", "_salt"]).withColumn("_vk", version_key(F.col("version")))
+    hit = F.filter("_ranges", lambda r: (
+        r["ranged"] & (r["ik"].isNull() | (F.col("_vk") >= r["ik"])) & (r["fk"].isNull() | (F.col("_vk") < r["fk"]))
+        & (r["lk"].isNull() | (F.col("_vk") <= r["lk"])))
+        | F.coalesce(F.array_contains(r["versions"], F.col("version")), F.lit(False)))
+    # one finding per advisory: the interval with the lowest fix
+    first = F.array_sort(F.transform(hit, lambda r: F.struct(r["id"].alias("id"), r["fk"].alias("fk"), r["cve"].alias("cve"),
+                                                                      r["fixed"].alias("fixed"), r["score"].alias("score"), r["summary"].alias("summary"))))
+    names = F.transform(first, lambda r: r["id"])
+    once = F.filter(first, lambda r, k: F.array_position(names, r["id"]) == k + 1)
+    j = j.withColumn("_h", F.explode(once))
+    score = F.coalesce(F.col("_h.score"), F.lit(0.0))
     return _sca_finding(j.select(
-        "*", F.col("fixed").alias("fixed_version"), cvss_severity(score).alias("severity"),
-        F.coalesce(F.col("a_cve"), F.col("adv_id")).alias("cve"), score.alias("cvss"),
-        F.coalesce(F.col("summary"), F.lit("")).alias("description")))
+        *[c for c in deps.columns], F.col("_h.id").alias("adv_id"), F.col("_h.fixed").alias("fixed_version"),
+        cvss_severity(score).alias("severity"), F.coalesce(F.col("_h.cve"), F.col("_h.id")).alias("cve"), score.alias("cvss"),
+        F.coalesce(F.col("_h.summary"), F.lit("")).alias("description")))
 
 
 OSV_SCHEMA = T.StructType([
@@ -373,32 +402,69 @@ OSV_SCHEMA = T.StructType([
 ])
 
 
+def _advisory_columns(v: DataFrame) -> dict[str, Column]:
+    details = F.coalesce(F.col("details"), F.lit(""))
+    summary = F.coalesce(F.col("summary"), F.lit(""))
+    score = cvss_score(F.coalesce(F.col("severity"), F.array().cast("array<struct<type:string,score:string>>")))
+    cut = F.when(F.octet_length(details) > 200, F.concat(utf8_byte_prefix(details, 200), F.lit("..."))).otherwise(details)
+    return {
+        "cve": F.coalesce(F.try_element_at(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(1)), F.col("id")),
+        "description": F.when(summary != "", summary).otherwise(details),
+        "short_description": F.when(summary != "", summary).otherwise(cut),
+        "cvss": score, "severity": cvss_severity(score),
+    }
+
+
 def normalize_advisory(raw: DataFrame, json_col: str = "json") -> DataFrame:
     """Advisory JSON -> id, cve (first CVE- alias, else id), fixed (first
-    non-empty fixed event in array order), description (summary, else details
-    cut to 200 bytes + '...'), cvss and severity."""
+    non-empty fixed event in array order), description (summary, else the
+    details; ``short_description`` cuts them at 200 bytes), cvss, severity."""
     v = raw.select(F.from_json(F.col(json_col), OSV_SCHEMA).alias("v")).select("v.*")
-    cve = F.coalesce(F.try_element_at(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(1)), F.col("id"))
     events = F.flatten(F.flatten(F.transform("affected", lambda af: F.transform(af["ranges"], lambda r: r["events"]))))
     fixed = F.coalesce(F.try_element_at(F.filter(F.transform(events, lambda e: e["fixed"]),
                                                  lambda x: x.isNotNull() & (x != "")), F.lit(1)), F.lit(""))
-    details = F.coalesce(F.col("details"), F.lit(""))
-    cut = F.when(F.octet_length(details) > 200,
-                 F.concat(utf8_byte_prefix(details, 200), F.lit("..."))
-                 ).otherwise(details)
-    desc = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.col("summary")).otherwise(cut)
-    score = cvss_score(F.coalesce(F.col("severity"), F.array().cast("array<struct<type:string,score:string>>")))
-    return v.select("id", cve.alias("cve"), fixed.alias("fixed"), desc.alias("description"),
-                    score.alias("cvss"), cvss_severity(score).alias("severity"))
+    return v.select("id", fixed.alias("fixed"), *[c.alias(n) for n, c in _advisory_columns(v).items()])
+
+
+def explode_advisories(raw: DataFrame, json_col: str = "json") -> DataFrame:
+    """Advisory JSON -> one row per package interval: id, cve, name, ecosystem,
+    introduced, fixed, last_affected, versions, score, summary.
+
+    The events of a range are read in order: every ``introduced`` opens an
+    interval that the next ``fixed`` or ``last_affected`` closes; one left open
+    has neither. Commit ranges (GIT) hold no versions and are left out; a
+    package with listed versions only gives one row without an interval."""
+    v = raw.select(F.from_json(F.col(json_col), OSV_SCHEMA).alias("v")).select("v.*")
+    c = _advisory_columns(v)
+    v = v.select("id", c["cve"].alias("cve"), c["cvss"].alias("score"), c["description"].alias("summary"), F.explode("affected").alias("a"))
+    no_ranges = F.expr("cast(array() as array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>)")
+    ranges = F.filter(F.coalesce(F.col("a.ranges"), no_ranges), lambda r: F.coalesce(r["type"], F.lit("")) != "GIT")
+
+    def intervals(r):
+        e = r["events"]
+        opened = F.filter(F.transform(e, lambda x, i: F.when(x["introduced"].isNotNull(), i)), lambda i: i.isNotNull())
+        def close(i, k):
+            to = F.coalesce(F.get(opened, k + 1), F.size(e))
+            inner = F.slice(e, i + 2, F.greatest(to - i - 1, F.lit(0)))
+            first = F.get(F.filter(inner, lambda x: x["fixed"].isNotNull() | x["last_affected"].isNotNull()), F.lit(0))
+            return F.struct(F.get(e, i)["introduced"].alias("introduced"), first["fixed"].alias("fixed"), first["last_affected"].alias("last_affected"))
+        return F.transform(opened, close)
+
+    found = F.flatten(F.transform(ranges, intervals))
+    none = F.expr("array(named_struct('introduced', cast(null as string), 'fixed', cast(null as string), 'last_affected', cast(null as string)))")
+    rows = v.select("id", "cve", "score", "summary", F.col("a.package.name").alias("name"), F.col("a.package.ecosystem").alias("ecosystem"),
+                    F.col("a.versions").alias("versions"), F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("r"))
+    return rows.select("id", "cve", "name", "ecosystem", "r.introduced", "r.fixed", "r.last_affected", "versions", "score", "summary")
 
 
 def sca_scan(files: DataFrame, advisories: DataFrame | None = None, min_severity: str = "LOW",
-             extra_ignores=()) -> DataFrame:
+             extra_ignores=(), max_bytes: int | None = None) -> DataFrame:
     """manifests -> dependencies -> advisory match (or the built-in table when
-    no advisory table is available) -> severity filter."""
-    deps = dependency_inventory(find_manifests(files))
+    no advisory table is available) -> severity filter. ``advisories`` is an
+    interval table or raw advisory documents (a ``json`` column)."""
+    deps = dependency_inventory(find_manifests(files, max_bytes, extra_ignores))
     if advisories is None:
         findings = match_known_vulnerable(deps)
     else:
-        findings = match_advisories(deps, advisories)
+        findings = match_advisories(deps, explode_advisories(advisories) if "json" in advisories.columns else advisories)
     return _min_severity(findings, min_severity)

@@ -6,16 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanforge.constants import (ENTROPY_MIN, HISTORY_COMMIT_CAP, HISTORY_FILE_CAP, LEAK_FILE_CAP,
-                                 LEAK_LINE_CAP)
+from scanforge.constants import ENTROPY_MIN
 from scanforge.functions.regex import to_java
 from scanforge.functions.text import redact, shannon_entropy, trim_space
 from scanforge.operators.catalog import Catalog
 from scanforge.operators.matching import leak_hits_expr, lower_for_hints, match_files, sast_line
-from scanforge.sources.files import drop_media_extensions, is_binary
-
-MAX_BROADCAST_REPOS = 2_000_000
+from scanforge.sources.files import binary_flag, drop_media_extensions, is_binary
 
+# FIXED VALUES: suffix of a finding in an ignored file.
 IGNORED_SUFFIX = (" — file is listed in .gitignore; severity downgraded to INFO. "
                   "If this file was ever committed historically, run the history scan to check.")
 
@@ -90,7 +88,15 @@ def glob_to_regex(pattern: Column) -> tuple[Column, Column]:
     p = F.when(dir_only, p.substr(F.lit(1), F.length(p) - 1)).otherwise(p)
     anchored = p.contains("/")
     p = F.regexp_replace(p, r"^/", "")
-    body = F.regexp_replace(p, r"([.+(){}|^$])", r"\\$1")
+    # [abc], [!abc], [^abc] become regex classes; an unclosed '[' makes a pattern that matches nothing
+    body = p
+    for plain, mark in ((r"\\\*", "\uE010"), (r"\\\?", "\uE011"), (r"\\\[", "\uE012")):  # escaped: themselves
+        body = F.regexp_replace(body, plain, mark)
+    body = F.regexp_replace(body, r"\\(.)", "$1")
+    closed = F.regexp_replace(body, r"\[[!^]?\]?[^\]]*\]", "")
+    body = F.regexp_replace(body, r"\[[!^](\]?[^\]]*)\]", "\uE002$1\uE003")
+    body = F.regexp_replace(body, r"\[(\]?[^\]]*)\]", "\uE004$1\uE003")
+    body = F.regexp_replace(body, r"([.+(){}|^$\\&~\[\]])", r"\\$1")
     body = F.regexp_replace(body, r"\*\*/", "\u0001")      # leading/middle **/
     body = F.regexp_replace(body, r"/\*\*$", "\u0002")     # trailing /**
     body = F.regexp_replace(body, r"\*\*", "\u0003")
@@ -99,6 +105,10 @@ def glob_to_regex(pattern: Column) -> tuple[Column, Column]:
     body = F.regexp_replace(body, "\u0001", "(?:[^/]+/)*")
     body = F.regexp_replace(body, "\u0002", "(?:/.*)?")
     body = F.regexp_replace(body, "\u0003", ".*")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "\uE002", "[^/"), "\uE004", "["), "\uE003", "]")
+    for mark, literal in (("\uE010", r"\\*"), ("\uE011", r"\\?"), ("\uE012", r"\\[")):
+        body = F.regexp_replace(body, mark, literal)
+    body = F.when(closed.contains("["), F.lit("(?!)")).otherwise(body)
     tail = F.when(dir_only, F.lit("/")).otherwise(F.lit("(?:/|$)"))
     head = F.when(anchored, F.lit("^")).otherwise(F.lit("(?:^|/)"))
     return F.concat(head, body, tail), neg
@@ -109,10 +119,10 @@ def gitignore_match(paths: DataFrame, patterns: DataFrame, path_col: str = "path
     the repository's ignore file decides (negated -> not ignored); blank and
     ``#`` lines are skipped; no ignore file -> False.
 
-    The patterns of a repository become one ordered array (an ignore file is
-    capped in size, so the array is bounded); every path row joins its
-    repository's array and folds over it, so no (path, pattern) pairs are
-    materialised and only keys move."""
+    The patterns of a repository become one ordered array (one ignore file a
+    repository); every distinct path joins its repository's array and folds
+    over it, so no (path, pattern) pairs are materialised and only keys move.
+    A pattern that is no valid expression matches nothing."""
     t = trim_space(F.col("pattern"))
     pats = patterns.where((t != "") & ~t.startswith("#"))
     rx, neg = glob_to_regex(F.col("pattern"))
@@ -159,20 +169,28 @@ def leak_findings_from_hits(hits: DataFrame, catalog: DataFrame, min_entropy: fl
 
 
 def leak_scan(files: DataFrame, rules: DataFrame | None = None, patterns: DataFrame | None = None,
-              max_bytes: int = LEAK_FILE_CAP, min_entropy: float = ENTROPY_MIN) -> DataFrame:
-    """size cap -> binary skip -> lines -> comment/blank/long skip -> match ->
-    entropy gate -> redact -> ignore-file downgrade. One narrow stage up to
-    the (broadcast) catalog join."""
+              max_bytes: int | None = None, min_entropy: float = ENTROPY_MIN, line_cap: int | None = None) -> DataFrame:
+    """binary skip -> lines -> comment/blank skip -> match -> entropy gate ->
+    redact -> ignore-file downgrade. One narrow stage up to the (broadcast)
+    catalog join. ``max_bytes`` (per file) and ``line_cap`` (per line) are off
+    unless given."""
     cat = Catalog(files.sparkSession, leak_rules=rules, sast=False)
-    size = F.col("size") if "size" in files.columns else F.octet_length("content")
-    f = files.select("repo", "path", "content", F.lit(None).cast("string").alias("language"),
-                     ((size <= max_bytes) & ~is_binary(F.col("content"))).alias("leak_ok"))
+    ok = ~binary_flag(files)
+    if max_bytes is not None:
+        ok = ok & ((F.col("size") if "size" in files.columns else F.octet_length("content")) <= max_bytes)
+    f = files.select("repo", "path", "content", F.lit(None).cast("string").alias("language"), ok.alias("leak_ok"))
     f = f.where("leak_ok")
-    hits = match_files(f, None, cat.leak_specs, ["repo", "path"], with_snippet=False)
-    leaks = leak_findings_from_hits(hits, cat.df(), min_entropy)
+    hits = match_files(f, None, cat.leak_specs, ["repo", "path"], with_snippet=False, leak_line_cap=line_cap)
+    return downgrade_by_patterns(leak_findings_from_hits(hits, cat.df(), min_entropy), patterns)
+
+
+def downgrade_by_patterns(findings: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    """Downgrade secret findings by ignore-file patterns. Only the (repo, file)
+    pairs that have secret findings are decided, never the whole corpus."""
     if patterns is None:
-        return leaks
-    return downgrade_ignored(leaks, gitignore_match(files.select("repo", "path"), patterns))
+        return findings
+    keys = findings.where(F.col("engine") == "Leaks").select("repo", F.col("file").alias("path"))
+    return downgrade_ignored(findings, gitignore_match(keys, patterns))
 
 
 def scan_lines(texts: DataFrame, rules: DataFrame | None = None, text_col: str = "text",
@@ -200,46 +218,42 @@ def _commit_threshold(blobs: DataFrame, max_commits: int, salts: int = 64) -> Da
     return top.groupBy("repo").agg(F.min(F.struct("commit_seq", "commit_hash")).alias("_min_commit"))
 
 
-def history_scan(blobs: DataFrame, rules: DataFrame | None = None, max_commits: int = HISTORY_COMMIT_CAP,
-                 max_bytes: int = HISTORY_FILE_CAP, min_entropy: float = ENTROPY_MIN) -> DataFrame:
-    """Every file version of the most recent ``max_commits`` commits per repo:
-    1 MiB cap, media-extension skip, binary skip, same line rules; one finding
-    per (rule, path, line, first 20 bytes of match), credited to the first
-    commit, dedup applied before the entropy gate.
-
-    The commit cap is a one-row-per-repo threshold joined back: broadcast
-    when the number of repositories is proven small, otherwise applied to the
-    hits. File contents never shuffle.
-    """
-    spark = blobs.sparkSession
-    cat = Catalog(spark, leak_rules=rules, sast=False)
-    thr = _commit_threshold(blobs, max_commits).cache()
-    b = drop_media_extensions(blobs)
-    # one small row per repository: broadcast while the count is proven small;
-    # beyond that the cap is applied to the hits, so contents never shuffle
-    small = thr.count() <= MAX_BROADCAST_REPOS
-    if small:
-        b = b.join(F.broadcast(thr), "repo").where(F.struct("commit_seq", "commit_hash") >= F.col("_min_commit"))
-    f = b.select("repo", "path", "commit_seq", "commit_hash", "content",
-                 F.lit(None).cast("string").alias("language"),
-                 ((F.octet_length("content") <= max_bytes) & ~is_binary(F.col("content"))).alias("leak_ok"))
-    f = f.where("leak_ok")
-    hits = match_files(f, None, cat.leak_specs, ["repo", "path", "commit_seq", "commit_hash"], with_snippet=False)
-    if not small:
-        hits = hits.join(thr, "repo").where(F.struct("commit_seq", "commit_hash") >= F.col("_min_commit"))
-    hits = history_dedup(hits)
+def history_hits(blobs: DataFrame, leak_specs, max_commits: int | None = None, max_bytes: int | None = None,
+                 line_cap: int | None = None) -> DataFrame:
+    """Secret hits of every file version (media and binary files skipped).
+    With ``max_commits`` only the most recent commits of each repository count;
+    the threshold joins the hits, so file contents never shuffle."""
+    ok = ~is_binary(F.col("content"))
+    if max_bytes is not None:
+        ok = ok & (F.octet_length("content") <= max_bytes)
+    f = drop_media_extensions(blobs).select("repo", "path", "commit_seq", "commit_hash", "content",
+                                            F.lit(None).cast("string").alias("language"), ok.alias("leak_ok"))
+    hits = match_files(f.where("leak_ok"), None, leak_specs, ["repo", "path", "commit_seq", "commit_hash"], with_snippet=False,
+                       leak_line_cap=line_cap)
+    if max_commits is not None:
+        hits = hits.join(_commit_threshold(blobs, max_commits), "repo").where(
+            F.struct("commit_seq", "commit_hash") >= F.col("_min_commit")).drop("_min_commit")
+    return hits
+
+
+def history_scan(blobs: DataFrame, rules: DataFrame | None = None, max_commits: int | None = None,
+                 max_bytes: int | None = None, min_entropy: float = ENTROPY_MIN, line_cap: int | None = None) -> DataFrame:
+    """Every version of every file: one finding per (rule, path, line, match),
+    credited to the first commit, dedup applied before the entropy gate.
+    ``commit_hash`` is whole, ``commit_short`` its first eight characters.
+    The limits are off unless given."""
+    cat = Catalog(blobs.sparkSession, leak_rules=rules, sast=False)
+    hits = history_dedup(history_hits(blobs, cat.leak_specs, max_commits, max_bytes, line_cap))
     out = leak_findings_from_hits(hits, cat.df(), min_entropy, extra_cols=("commit_hash_full",))
-    return (out.withColumn("in_git_history", F.lit(True))
-            .withColumn("commit_hash", F.col("commit_hash_full").substr(1, 8)).drop("commit_hash_full"))
+    return (out.withColumn("in_git_history", F.lit(True)).withColumn("commit_hash", F.col("commit_hash_full"))
+            .withColumn("commit_short", F.col("commit_hash_full").substr(1, 8)).drop("commit_hash_full"))
 
 
 def history_dedup(hits: DataFrame) -> DataFrame:
-    """Keep the first commit's hit per (repo, rule, path, line, 20-byte match
-    prefix). An aggregation (``min_by``) rather than a window: partial
-    aggregation collapses a secret repeated in many commits map-side."""
-    key = ["repo", "k", "path", "line_no", F.substring(F.encode("m", "UTF-8"), 1, 20).alias("_mk")]
-    first = F.min_by(F.struct("commit_hash", "m", "engine", "col"), F.struct("commit_seq", "commit_hash"))
-    out = hits.groupBy(*key).agg(first.alias("_f"))
+    """Keep the first commit's hit per (repo, rule, path, line, match). An
+    aggregation (``min_by``) rather than a window: partial aggregation
+    collapses a secret repeated in many commits map-side."""
+    first = F.min_by(F.struct("commit_hash", "engine", "col"), F.struct("commit_seq", "commit_hash"))
+    out = hits.groupBy("repo", "k", "path", "line_no", "m").agg(first.alias("_f"))
     return out.select("repo", "k", "path", "line_no", F.col("_f.engine").alias("engine"),
-                      F.col("_f.col").alias("col"), F.col("_f.m").alias("m"),
-                      F.col("_f.commit_hash").alias("commit_hash_full"))
+                      F.col("_f.col").alias("col"), "m", F.col("_f.commit_hash").alias("commit_hash_full"))

@@ -112,17 +112,16 @@ SAST_LINES_SQL = """sast_split AS (SELECT repo, path, language, string_split(con
 sast_lines AS MATERIALIZED (SELECT repo, path, language, lines, line_no, line,
                    CASE WHEN suffix(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS sline
             FROM (SELECT repo, path, language, lines, generate_subscripts(lines, 1) AS line_no, unnest(lines) AS line
-                  FROM sast_split))"""
+                  FROM sast_split) WHERE line_no < len(lines) OR line <> '')"""
 
 
 def leak_admit_sql(content: str) -> str:
-    """Text admitted to secret scanning: <= 5 MiB and not binary."""
-    sample = f"left({content}, 8000)"
-    return (f"(strlen({content}) <= 5242880 AND NOT (strlen({content}) > 0 AND (contains({sample}, chr(0)) OR "
-            f"((strlen({sample}) - strlen(regexp_replace({sample}, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')))"
-            f" * 100 // least(strlen({sample}), 8000)) > 30)))")
+    """Text admitted to secret scanning: not binary."""
+    return (f"(NOT (strlen({content}) > 0 AND (contains({content}, chr(0)) OR "
+            f"((strlen({content}) - strlen(regexp_replace({content}, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')))"
+            f" * 100 // strlen({content})) > 30)))")
 
 
 def leak_line_keep_sql(line: str) -> str:
     t = f"trim({line}, {GO_SPACE})"
-    return f"({t} <> '' AND NOT starts_with({t}, '#') AND strlen({line}) <= 10000)"
+    return f"({t} <> '' AND NOT starts_with({t}, '#'))"

@@ -13,9 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanforge.constants import ECOSYSTEM_DB_NAME
+from scanforge.operators.rules import builtin_rule_rows
+from scanforge.operators.secrets import IGNORED_SUFFIX
 from scanforge.plans import oracle as O
 from scanforge.sources import views as V
-from scanforge.sources.files import ensure_parallelism
+from scanforge.sources.rule_samples import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +47,7 @@ def _long(*names):
 
 # ===================================================================== §2.3 SAST
 
-_SAST_HITS = (O.with_views("corpus") + ",\n" + O.sast_rules_values() + ",\n" + O.FILES_SQL + ",\n"
+_SAST_HITS = (O.with_views("corpus", "deps", "advisories") + ",\n" + O.sast_rules_values() + ",\n" + O.FILES_SQL + ",\n"
               + O.SAST_LINES_SQL + ",\nhits AS (" + O.sast_line_hits("sast_lines") + ")")
 
 _SAST_FINDINGS = _SAST_HITS + """,
@@ -73,8 +76,7 @@ def q_match_rules(spark, sf):
     from scanforge.operators.sast import match_rules
     from scanforge.sources.files import detect_language, ignore_paths
     files = detect_language(ignore_paths(corpus(spark, sf))).where(F.col("language").isNotNull())
-    lines = explode_lines(files)
-    hits = match_rules(lines)
+    hits = match_rules(explode_lines(files, final_empty=False))
     return hits.select("repo", "path", *_long("line_no", "column"), "rule_id")
 
 
@@ -226,10 +228,10 @@ def q_entropy_gate(spark, sf):
 
 
 @register("skip_leak_lines", "WITH " + _DOC_LINES + "\nSELECT doc_id, line_no FROM doc_lines WHERE "
-          + O.leak_line_keep_sql("line"))
+          + O.leak_line_keep_sql("line") + " AND strlen(line) <= 800")
 def q_skip_leak_lines(spark, sf):
-    from scanforge.operators.matching import skip_leak_line
-    return _doc_lines(spark, sf).where(~skip_leak_line(F.col("line"))).select("doc_id", F.col("line_no").cast("long"))
+    from scanforge.operators.matching import skip_leak_lines
+    return skip_leak_lines(_doc_lines(spark, sf), max_bytes=800).select("doc_id", F.col("line_no").cast("long"))
 
 
 _CONV_LINES = """conv_lines AS MATERIALIZED (SELECT conv_id, turn, line_no,
@@ -262,25 +264,119 @@ def _nested_redact_sql(col: str) -> str:
 @register("redact_corpus", O.with_views("corpus") + ",\n" + _CORPUS_LINES + ",\nrl AS (SELECT repo, path, line_no, "
           + _nested_redact_sql("line") + " AS line FROM corpus_lines)\n"
           "SELECT repo, path, count(*) FILTER (WHERE contains(line, '***REDACTED***')) AS masked_lines, "
-          "CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM rl GROUP BY ALL")
+          "sha256(string_agg(line, chr(10) ORDER BY line_no)) AS text_sha256 FROM rl GROUP BY ALL")
 def q_redact_corpus(spark, sf):
     from scanforge.operators.secrets import redact_corpus
     r = redact_corpus(corpus(spark, sf))
-    lines = r.select("repo", "path", F.explode(F.split("content", "\n", -1)).alias("line"))
-    return lines.groupBy("repo", "path").agg(
-        F.count(F.when(F.col("line").contains("***REDACTED***"), 1)).alias("masked_lines"),
-        F.sum(F.octet_length("line")).alias("n_bytes"))
+    masked = F.filter(F.split("content", "\n", -1), lambda x: x.contains("***REDACTED***"))
+    return r.select("repo", "path", F.size(masked).cast("long").alias("masked_lines"),
+                    F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"))
+
+
+# ===================================================================== every rule
+
+_SAMPLE_ROWS = samples()
+_SAMPLES_SQL = "samples AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {O.q(e)}, {O.q(x)})" for i, e, x in _SAMPLE_ROWS) + ") AS t(slot, ext, sample))"
+_SAMPLE_CORPUS_SQL = "WITH " + _SAMPLES_SQL + f""",
+corpus AS (SELECT 'rules' AS repo, 'f' || doc_id || ext AS path, text || chr(10) || sample AS content
+           FROM documents JOIN samples ON doc_id % {len(_SAMPLE_ROWS)} = slot)"""
+
+
+def sample_corpus(spark, sf):
+    """Documents, each with the line of one rule or its near miss, in a file of the rule's language."""
+    slots = F.broadcast(spark.createDataFrame(_SAMPLE_ROWS, "slot int, ext string, sample string"))  # two rows a rule
+    d = documents(spark, sf).join(slots, F.col("doc_id") % len(_SAMPLE_ROWS) == F.col("slot"))
+    return d.select(F.lit("rules").alias("repo"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), "ext").alias("path"),
+                    F.concat("text", F.lit("\n"), "sample").alias("content"))
+
+
+_SAMPLE_HITS = (_SAMPLE_CORPUS_SQL + ",\n" + O.sast_rules_values() + ",\n" + O.FILES_SQL + ",\n" + O.SAST_LINES_SQL
+                + ",\nhits AS (" + O.sast_line_hits("sast_lines") + ")")
+
+
+@register("every_rule", _SAMPLE_HITS + "\nSELECT path, line_no, rule_id, col AS \"column\" FROM hits")
+def q_every_rule(spark, sf):
+    from scanforge.operators.sast import sast_scan
+    f = sast_scan(sample_corpus(spark, sf))
+    return f.select(F.col("file").alias("path"), F.col("line").cast("long").alias("line_no"), "rule_id", F.col("column").cast("long").alias("column"))
+
+
+@register("every_iac_rule", _SAMPLE_HITS.replace(O.LANG_CASE, O.LANG_CASE.replace(" END", " WHEN '.yaml' THEN 'Kubernetes' WHEN '.yml' THEN 'Kubernetes' END"))
+          + "\nSELECT path, line_no, rule_id FROM hits WHERE language IN ('Terraform', 'Kubernetes') AND rule_id SIMILAR TO '(TF|K8S)-.*'")
+def q_every_iac_rule(spark, sf):
+    from scanforge.operators.sast import iac_scan
+    f = iac_scan(sample_corpus(spark, sf))
+    return f.select(F.col("file").alias("path"), F.col("line").cast("long").alias("line_no"), "rule_id")
+
+
+@register("every_secret_rule", _SAMPLE_CORPUS_SQL + ",\n" + O.leak_rules_values() + ",\n" + _CORPUS_LINES + ",\nlh AS (" + O.leak_line_hits("corpus_lines")
+          + ")\nSELECT path, line_no, rule_id, m AS match FROM lh")
+def q_every_secret_rule(spark, sf):
+    from scanforge.operators.matching import explode_lines
+    from scanforge.operators.secrets import match_secrets
+    h = match_secrets(explode_lines(sample_corpus(spark, sf)))
+    return h.select("path", F.col("line_no").cast("long"), "rule_id", "match")
+
+
+CUSTOM_YAML = """rules:
+  - {id: CU-1, language: py, severity: info, title: named group, pattern: '(?P<w>ther)[[:alpha:]]{3}\\b', owasp: A05, cwe: CWE-1, cvss: 5}
+  - {id: CU-2, language: golang, severity: HIGH, title: inner flag, pattern: 'th(?i:ED)\\S+', owasp: none, cwe: CWE-2}
+  - {id: CU-3, language: unknown, severity: critical, title: any letters, pattern: '^[^\\PLa-y]\\pL*'}
+  - {id: CU-4, language: js, pattern: 'x[a[]'}
+  - {id: CU-4, language: js, pattern: '\\b[A-Z&&]\\W*\\B'}
+  - {id: BAD-1, pattern: 'a(?=b)'}
+  - {id: BAD-2, pattern: 'a(b'}
+  - {pattern: 'no id'}
+"""
+_CUSTOM_RX = [("CU-1", "Python", "MEDIUM", r"(?P<w>ther)[[:alpha:]]{3}\b"), ("CU-2", "Go", "HIGH", r"th(?i:ED)\S+"), ("CU-3", None, "CRITICAL", r"^[^\PLa-y]\pL*"),
+              ("CU-4", "JavaScript", "MEDIUM", r"x[a[]"), ("CU-4", "JavaScript", "MEDIUM", r"\b[A-Z&&]\W*\B")]
+
+
+@register("custom_rules_scan", _SAST_HITS + "\n" + "\nUNION ALL\n".join(
+    f"SELECT repo, path, line_no, {O.q(i)} AS rule_id, {O.q(sev)} AS severity FROM sast_lines WHERE {'language IS NOT NULL' if lang is None else 'language = ' + O.q(lang)} "
+    f"AND regexp_matches(sline, {O.q(rx)})" for i, lang, sev, rx in _CUSTOM_RX)
+    + "\nUNION ALL SELECT repo, path, line_no, h.rule_id, severity FROM hits h JOIN sast_rules USING (rule_id)")
+def q_custom_rules_scan(spark, sf):
+    """A rule file, loaded, normalised and merged with the built-in rules; its bad entries stay behind."""
+    from scanforge.operators.rules import builtin_rules, load_rules, merge_rules
+    from scanforge.operators.sast import sast_scan
+    folder = _scratch(spark, "rules")
+    _put(spark, f"{folder}/team.yaml", CUSTOM_YAML)
+    rules, _ = load_rules(spark, folder)
+    f = sast_scan(corpus(spark, sf), merge_rules(builtin_rules(spark), rules))
+    return f.select("repo", F.col("file").alias("path"), F.col("line").cast("long").alias("line_no"), "rule_id", "severity")
+
+
+def _put(spark, path, text):
+    """A small file on the session's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 # ===================================================================== §2.6 findings / flagship
 
+def _vkey_sql(c):
+    return (f"list_transform(string_split(regexp_replace({c}, '^[vV]', ''), '.'), "
+            "lambda p: coalesce(TRY_CAST(nullif(regexp_extract(p, '^([0-9]+)', 1), '') AS BIGINT), 0))")
+
+
+_CVSS_SEV_SQL = ("CASE WHEN {s} >= 9.0 THEN 'CRITICAL' WHEN {s} >= 7.0 THEN 'HIGH' WHEN {s} >= 4.0 THEN 'MEDIUM' "
+                 "WHEN {s} > 0 THEN 'LOW' ELSE 'HIGH' END")
+
 _SCAN_SQL = (_SAST_FINDINGS.replace(O.sast_rules_values(), O.sast_rules_values() + ",\n" + O.leak_rules_values())
              + _LEAK_TAIL + """,
+vulnerable AS (SELECT d.manifest, d.name, a.id, a.score FROM deps d JOIN advisories a ON a.ecosystem = 'pypi' AND d.name = a.name
+  WHERE """ + _vkey_sql("d.version") + " >= " + _vkey_sql("a.introduced") + " AND " + _vkey_sql("d.version") + " < " + _vkey_sql("a.fixed") + """),
 all_findings AS (
-  SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, "column", title, NULL AS match, NULL::DOUBLE AS entropy
+  SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, "column", title, NULL AS match, NULL::DOUBLE AS entropy, code
   FROM findings
   UNION ALL
-  SELECT repo, 'Leaks' AS engine, rule_id, severity, file, line, NULL AS "column", title, match, entropy FROM leaks)
+  SELECT repo, 'Leaks' AS engine, rule_id, severity, file, line, NULL AS "column", title, match, entropy, NULL AS code FROM leaks
+  UNION ALL
+  SELECT 'repo' || (CAST(regexp_extract(manifest, '[0-9]+') AS BIGINT) % 20), 'SCA', id, """ + _CVSS_SEV_SQL.format(s="score") + """, manifest, NULL, NULL,
+         name, NULL, NULL, NULL FROM vulnerable)
 """)
 
 
@@ -289,12 +385,20 @@ def _scan_cols(df):
                      "entropy")
 
 
+def flagship_files(spark, sf):
+    """The corpus with a manifest per order among its repositories."""
+    m = _manifests(spark, sf)
+    repo = F.concat(F.lit("repo"), (F.regexp_extract("path", "[0-9]+", 0).cast("long") % 20).cast("string"))
+    return corpus(spark, sf).unionByName(m.select(repo.alias("repo"), "path", "content"))
+
+
 def flagship(spark, sf, **kw):
+    """Every engine over one file table."""
     from scanforge.plans.scan import scan
-    return scan(corpus(spark, sf), **kw)
+    return scan(flagship_files(spark, sf), advisories=V.advisories(spark, sf), **kw)
 
 
-@register("scan", _SCAN_SQL + "SELECT * FROM all_findings")
+@register("scan", _SCAN_SQL + "SELECT * EXCLUDE (code) FROM all_findings")
 def q_scan(spark, sf):
     return _scan_cols(flagship(spark, sf))
 
@@ -370,9 +474,17 @@ def q_engine_toggles(spark, sf):
 
 # ===================================================================== §2.1 sources
 
-@register("read_corpus", O.with_views("corpus") + "\nSELECT repo, path, strlen(content) AS size FROM corpus")
+@register("read_corpus", "SELECT 'doc_id=' || doc_id AS repo, strlen(text) + 1 AS size, sha256(text || chr(10)) AS text_sha256, "
+          "false AS binary FROM documents")
 def q_read_corpus(spark, sf):
-    return corpus(spark, sf).select("repo", "path", F.octet_length("content").cast("long").alias("size"))
+    """Every document written as a text file below a folder of its own, then
+    read back as a tree of checkouts; the first path segment is the repository."""
+    from scanforge.sources.files import read_corpus
+    root = _scratch(spark, "corpus-files")
+    docs = documents(spark, sf).select("doc_id", "text")
+    docs.repartition(F.col("doc_id")).write.partitionBy("doc_id").text(root)
+    c = read_corpus(spark, root, repo_depth=1).where(F.col("path").endswith(".txt"))
+    return c.select("repo", "size", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"), "binary")
 
 
 @register("ignore_paths", O.with_views("corpus") + "\nSELECT repo, path FROM corpus WHERE NOT (" + O.IGNORED_SQL + ")")
@@ -414,14 +526,21 @@ def q_size_cap(spark, sf):
     return size_cap(d, 4096, content_col="text").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-_BINARY_SQL = """SELECT doc_id, NOT (""" + O.leak_admit_sql("text").replace("strlen(text) <= 5242880 AND ", "") + """) AS is_binary
-FROM (SELECT doc_id, text FROM documents UNION ALL SELECT page_id + 1000000000 AS doc_id, html AS text FROM pages)"""
+# every fifth document gets control characters (half of its bytes, or one in ten), every eleventh a NUL at its end
+_BINARY_SQL = """SELECT doc_id, NOT (""" + O.leak_admit_sql("text") + """) AS is_binary
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || repeat(chr(1), strlen(text)) WHEN doc_id % 5 = 1 THEN text || repeat(chr(7), strlen(text) // 10)
+             WHEN doc_id % 11 = 0 THEN text || chr(0) ELSE text END AS text FROM documents
+      UNION ALL SELECT page_id + 1000000000 AS doc_id, html AS text FROM pages)"""
 
 
 @register("drop_binary", _BINARY_SQL)
 def q_drop_binary(spark, sf):
     from scanforge.sources.files import is_binary
-    d = documents(spark, sf).select("doc_id", "text")
+    t, n = F.col("text"), F.octet_length("text")
+    noisy = (F.when(F.col("doc_id") % 5 == 0, F.concat(t, F.repeat(F.lit("\x01"), n)))
+             .when(F.col("doc_id") % 5 == 1, F.concat(t, F.repeat(F.lit("\x07"), F.floor(n / 10).cast("int"))))
+             .when(F.col("doc_id") % 11 == 0, F.concat(t, F.lit("\x00"))).otherwise(t))
+    d = documents(spark, sf).select("doc_id", noisy.alias("text"))
     p = V.table(spark, sf, "pages").select((F.col("page_id") + 1000000000).alias("doc_id"), F.col("html").alias("text"))
     return d.unionByName(p).select("doc_id", is_binary(F.col("text")).alias("is_binary"))
 
@@ -443,18 +562,20 @@ cut AS (SELECT doc_id, min(line_no) FILTER (WHERE strlen(line) >= 2000) AS c FRO
 SELECT l.doc_id, l.line_no FROM doc_lines l JOIN cut USING (doc_id) WHERE c IS NULL OR l.line_no < c""")
 def q_stop_at_overlong_line(spark, sf):
     from scanforge.operators.sast import stop_at_overlong_line
-    kept = stop_at_overlong_line(_doc_lines(spark, sf), limit=2000, key_cols=("doc_id",))
+    kept = stop_at_overlong_line(documents(spark, sf).select("doc_id", "text"), limit=2000, content_col="text")
     return kept.select("doc_id", F.col("line_no").cast("long"))
 
 
 # ===================================================================== §2.4 ignore file, history
 
 # ignore-file patterns per repository, derived for every repository of the corpus
-IGNORE_LINES = ["# secrets", ".env", "*.env", "!f9.env", "config/", "lib/*.sh", "/app/**/f1*.py", "", "*.TXT"]
+IGNORE_LINES = ["# secrets", ".env", "*.env", "!f9.env", "config/", "lib/*.sh", "/app/**/f1*.py", "", "*.TXT",
+                "src/f[!1-4]*.java", "config/f[35]?.go", "a[", "f1[^0]*.kt"]
 # the same patterns as regular expressions over the relative path, written out by hand
 IGNORE_RX = [None, ("(^|/)\\.env(/|$)", False), ("(^|/)[^/]*\\.env(/|$)", False), ("(^|/)f9\\.env(/|$)", True),
              ("(^|/)config/", False), ("^lib/[^/]*\\.sh(/|$)", False), ("^app/([^/]+/)*f1[^/]*\\.py(/|$)", False),
-             None, ("(^|/)[^/]*\\.TXT(/|$)", False)]
+             None, ("(^|/)[^/]*\\.TXT(/|$)", False), ("^src/f[^1-4/][^/]*\\.java(/|$)", False), ("^config/f[35][^/]\\.go(/|$)", False), None,
+             ("(^|/)f1[^0/][^/]*\\.kt(/|$)", False)]
 
 
 def _patterns(spark, sf):
@@ -483,7 +604,7 @@ def q_gitignore_match(spark, sf):
 leaks AS (SELECT l.repo, l.file, l.line, l.rule_id,
                  CASE WHEN d.ignored THEN 'INFO' ELSE l.severity END AS severity,
                  CASE WHEN d.ignored THEN '[.gitignore] ' || l.description || """ + O.q(
-    __import__("scanforge.operators.secrets", fromlist=["x"]).IGNORED_SUFFIX) + """ ELSE l.description END AS description
+    IGNORED_SUFFIX) + """ ELSE l.description END AS description
           FROM leaks0 l LEFT JOIN dec d ON l.repo = d.repo AND l.file = d.path)
 SELECT * FROM leaks""")
 def q_downgrade_ignored(spark, sf):
@@ -495,22 +616,17 @@ def q_downgrade_ignored(spark, sf):
 
 
 _HISTORY_SQL = (O.with_views("blobs") + ",\n" + O.leak_rules_values() + """,
-capped AS (SELECT * FROM blobs WHERE (repo, commit_seq) IN (
-    SELECT repo, commit_seq FROM (SELECT repo, commit_seq,
-           row_number() OVER (PARTITION BY repo ORDER BY commit_seq DESC, commit_hash DESC) AS r
-      FROM (SELECT DISTINCT repo, commit_seq, commit_hash FROM blobs)) WHERE r <= 10000)),
-hfiles AS (SELECT * FROM capped WHERE lower(regexp_extract(path, '\\.[^./]*$')) NOT IN ("""
+hfiles AS (SELECT * FROM blobs WHERE lower(regexp_extract(path, '\\.[^./]*$')) NOT IN ("""
                + ", ".join(O.q(x) for x in O.MEDIA_EXTENSIONS) + ") AND "
-               + O.leak_admit_sql("content").replace("5242880", "1048576") + """),
+               + O.leak_admit_sql("content") + """),
 hlines AS MATERIALIZED (SELECT repo, path, commit_seq, commit_hash, line_no, line FROM (
     SELECT repo, path, commit_seq, commit_hash, generate_subscripts(arr, 1) AS line_no, unnest(arr) AS line
     FROM (SELECT repo, path, commit_seq, commit_hash, string_split(content, chr(10)) AS arr FROM hfiles))
   WHERE """ + O.leak_line_keep_sql("line") + "),\nhh AS ("
                + O.leak_line_hits("hlines").replace("SELECT repo, path, line_no,", "SELECT repo, path, line_no, commit_seq, commit_hash,")
                + """),
-dedup AS (SELECT repo, rule_id, path, line_no, arg_min(commit_hash, commit_seq) AS commit_hash,
-                 arg_min(m, commit_seq) AS m
-          FROM hh GROUP BY repo, rule_id, path, line_no, left(m, 20)),
+dedup AS (SELECT repo, rule_id, path, line_no, m, arg_min(commit_hash, commit_seq) AS commit_hash
+          FROM hh GROUP BY repo, rule_id, path, line_no, m),
 hist AS (SELECT d.*, r.leak_type, CASE WHEN contains(r.leak_type, 'Generic') OR contains(r.leak_type, 'High Entropy')
                  THEN """ + O.entropy_sql("d.m") + """ ELSE 0.0 END AS entropy,
                  contains(r.leak_type, 'Generic') OR contains(r.leak_type, 'High Entropy') AS gated_rule
@@ -518,28 +634,21 @@ hist AS (SELECT d.*, r.leak_type, CASE WHEN contains(r.leak_type, 'Generic') OR
 """)
 
 
-@register("history_scan", _HISTORY_SQL + "SELECT repo, path AS file, line_no AS line, rule_id, left(commit_hash, 8) AS "
-          "commit_hash, " + O.redact_sql("m") + " AS match, round(entropy, 6) AS entropy FROM hist "
+@register("history_scan", _HISTORY_SQL + "SELECT repo, path AS file, line_no AS line, rule_id, "
+          "commit_hash, left(commit_hash, 8) AS commit_short, " + O.redact_sql("m") + " AS match, round(entropy, 6) AS entropy FROM hist "
           "WHERE NOT gated_rule OR entropy >= 3.5")
 def q_history_scan(spark, sf):
     from scanforge.operators.secrets import history_scan
     h = history_scan(V.blobs(spark, sf))
-    return h.select("repo", "file", F.col("line").cast("long"), "rule_id", "commit_hash", "match", "entropy")
+    return h.select("repo", "file", F.col("line").cast("long"), "rule_id", "commit_hash", "commit_short", "match", "entropy")
 
 
 @register("history_dedup", _HISTORY_SQL + "SELECT repo, rule_id, path, line_no, commit_hash FROM dedup")
 def q_history_dedup(spark, sf):
     from scanforge.operators.catalog import Catalog
-    from scanforge.operators.matching import match_files
-    from scanforge.operators.secrets import history_dedup
-    from scanforge.sources.files import drop_media_extensions, is_binary
+    from scanforge.operators.secrets import history_dedup, history_hits
     cat = Catalog(spark, sast=False)
-    b = drop_media_extensions(V.blobs(spark, sf))
-    b = b.select("repo", "path", "commit_seq", "commit_hash", "content", F.lit(None).cast("string").alias("language"),
-                 ((F.octet_length("content") <= 1048576) & ~is_binary(F.col("content"))).alias("leak_ok"))
-    hits = match_files(b.where("leak_ok"), None, cat.leak_specs, ["repo", "path", "commit_seq", "commit_hash"],
-                       with_snippet=False)
-    d = history_dedup(hits).join(cat.df().select("k", "rule_id"), "k")
+    d = history_dedup(history_hits(V.blobs(spark, sf), cat.leak_specs)).join(cat.df().select("k", "rule_id"), "k")
     return d.select("repo", "rule_id", "path", F.col("line_no").cast("long"),
                     F.col("commit_hash_full").alias("commit_hash"))
 
@@ -554,7 +663,6 @@ def _deps_df(spark, sf):
 # both engines (entries sorted; each order is one manifest).
 def _manifest_df(spark, sf, fmt):
     d = _deps_df(spark, sf)
-    li = V.table(spark, sf, "lineitem")
     key = F.col("manifest")
     if fmt == "npm":
         entry = F.concat(F.lit('"'), F.col("name"), F.lit("-"), F.col("ln").cast("string"), F.lit('": "^'),
@@ -663,7 +771,8 @@ def q_deps_requirements(spark, sf):
 @register("find_manifests", O.with_views("manifests") + "\nSELECT path FROM manifests")
 def q_find_manifests(spark, sf):
     from scanforge.operators.sca import find_manifests
-    return find_manifests(_manifests(spark, sf)).select("path")
+    others = corpus(spark, sf).select("repo", "path", "content")  # no manifest among them
+    return find_manifests(_manifests(spark, sf).unionByName(others)).select("path")
 
 
 @register("dependency_inventory", O.with_views("manifests") + """
@@ -680,7 +789,7 @@ def q_dependency_inventory(spark, sf):
 
 
 _ECO_MAP_SQL = "CASE lower(ecosystem) " + " ".join(
-    f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in __import__("scanforge.constants", fromlist=["x"]).ECOSYSTEM_DB_NAME.items()) + " END"
+    f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in ECOSYSTEM_DB_NAME.items()) + " END"
 
 
 @register("map_ecosystem", O.with_views("deps") + "\nSELECT manifest, name, version, db_ecosystem FROM (SELECT *, "
@@ -690,21 +799,12 @@ def q_map_ecosystem(spark, sf):
     return map_ecosystem(_deps_df(spark, sf)).select("manifest", "name", "version", "db_ecosystem")
 
 
-def _vkey_sql(c):
-    return (f"list_transform(string_split(regexp_replace({c}, '^[vV]', ''), '.'), "
-            "lambda p: coalesce(TRY_CAST(nullif(regexp_extract(p, '^([0-9]+)', 1), '') AS BIGINT), 0))")
-
-
 _ADV_MATCH_SQL = O.with_views("deps", "advisories") + """,
 vuln AS (SELECT d.*, a.id AS adv_id, a.fixed, a.score
          FROM deps d JOIN advisories a ON lower(d.ecosystem) = lower(a.ecosystem) AND d.name = a.name
          WHERE """ + _vkey_sql("d.version") + " >= " + _vkey_sql("a.introduced") + " AND " + _vkey_sql("d.version") + " < " + _vkey_sql("a.fixed") + """)
 """
 
-_CVSS_SEV_SQL = ("CASE WHEN {s} >= 9.0 THEN 'CRITICAL' WHEN {s} >= 7.0 THEN 'HIGH' WHEN {s} >= 4.0 THEN 'MEDIUM' "
-                 "WHEN {s} > 0 THEN 'LOW' ELSE 'HIGH' END")
-
-
 @register("match_advisories", _ADV_MATCH_SQL + "SELECT manifest AS file, name AS package_name, version AS package_version, "
           "fixed AS fixed_version, adv_id AS cve, score AS cvss, " + _CVSS_SEV_SQL.format(s="score") + " AS severity FROM vuln")
 def q_match_advisories(spark, sf):
@@ -714,12 +814,12 @@ def q_match_advisories(spark, sf):
     return f.select("file", "package_name", "package_version", "fixed_version", "cve", "cvss", "severity")
 
 
-@register("cvss_severity", O.with_views("advisories") + "\nSELECT id, score, " + _CVSS_SEV_SQL.format(s="score")
-          + " AS severity FROM advisories")
+@register("cvss_severity", "SELECT p_partkey, p_size % 11 AS score, " + _CVSS_SEV_SQL.format(s="p_size % 11") + " AS severity FROM part")
 def q_cvss_severity(spark, sf):
     from scanforge.functions.text import cvss_severity
-    a = V.advisories(spark, sf)
-    return a.select("id", "score", cvss_severity(F.col("score")).alias("severity"))
+    p = V.table(spark, sf, "part")
+    score = (F.col("p_size") % 11).cast("long")
+    return p.select("p_partkey", score.alias("score"), cvss_severity(score).alias("severity"))
 
 
 @register("sca_scan", _ADV_MATCH_SQL.replace("lower(d.ecosystem) = lower(a.ecosystem)", "lower(a.ecosystem) = 'pypi'")
@@ -767,10 +867,6 @@ def q_match_known_vulnerable(spark, sf):
 
 # ===================================================================== §2.7 reports
 
-_SCAN_FULL = _SCAN_SQL.replace(
-    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy\n  FROM findings",
-    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy\n  FROM findings")
-
 _LEVEL_SQL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
 
 
@@ -782,33 +878,64 @@ def q_sarif_level(spark, sf):
 
 
 _REM_SQL = "rem AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({O.q(r[0])}, {O.q(r[11])})" for r in __import__("scanforge.operators.rules", fromlist=["x"]).builtin_rule_rows()
+    f"({O.q(r[0])}, {O.q(r[11])})" for r in builtin_rule_rows()
 ) + ") AS t(rule_id, remediation))"
 
 
-@register("write_sarif", _SAST_FINDINGS + ",\n" + _REM_SQL + """
-SELECT repo, rule_id, """ + _LEVEL_SQL + """ AS level, file AS uri, line AS start_line, "column" AS start_column,
-       title || ' - ' || coalesce(remediation, '') AS message FROM findings JOIN rem USING (rule_id)""")
+def _documents(spark, folder):
+    """Whole documents read back; text that is no JSON gives NULL."""
+    d = spark.read.text(folder, wholetext=True)
+    return d.select("repo", F.try_parse_json("value").alias("v"))
+
+
+def _column_of(array, *paths):
+    return F.transform(array, lambda x: F.concat_ws("|", *[F.coalesce(F.try_variant_get(x, p, "string"), F.lit("")) for p in paths]))
+
+
+@register("write_sarif", _SCAN_SQL + ",\n" + _REM_SQL + """
+SELECT repo, '2.1.0' AS version, count(*) AS n_results, count(DISTINCT rule_id) AS n_rules,
+  sha256(string_agg(row, chr(10) ORDER BY row)) AS results_sha256, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules
+FROM (SELECT repo, a.rule_id, a.rule_id || '|' || """ + _LEVEL_SQL + """ || '|' || file || '|' || line || '|' || coalesce(CAST("column" AS VARCHAR), '') || '|'
+      || CASE WHEN engine = 'SAST' THEN title || ' - ' || coalesce(remediation, '') ELSE 'Secret detected: ' || title END AS row
+  FROM all_findings a LEFT JOIN rem ON a.rule_id = rem.rule_id WHERE engine IN ('SAST', 'Leaks')) GROUP BY repo""")
 def q_write_sarif(spark, sf):
-    from scanforge.sinks.reports import sarif_results
-    f = flagship(spark, sf, enable_leaks=False, enable_sca=False)
-    r = sarif_results(f)
-    j = "json"
-    return r.select("repo", "rule_id", F.get_json_object(j, "$.level").alias("level"),
-                    F.get_json_object(j, "$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"),
-                    F.get_json_object(j, "$.locations[0].physicalLocation.region.startLine").cast("long").alias("start_line"),
-                    F.get_json_object(j, "$.locations[0].physicalLocation.region.startColumn").cast("long").alias("start_column"),
-                    F.get_json_object(j, "$.message.text").alias("message"))
-
-
-@register("write_json", _STATS_SQL + """SELECT repo, '{"version":"0.1.0","scan_time":"2026-01-01T00:00:00Z","target":"' || repo
-  || '","stats":{"total_findings":' || total_findings || ',"critical":' || critical || ',"high":' || high
-  || ',"medium":' || medium || ',"low":' || low || ',"info":' || info || ',"sast_count":' || sast_count
-  || ',"sca_count":' || sca_count || ',"leaks_count":' || leaks_count || '}}' AS json FROM stats""")
+    """Documents written, read back and taken apart."""
+    from scanforge.sinks.reports import write_sarif
+    folder = _scratch(spark, "sarif")
+    write_sarif(flagship(spark, sf), folder)
+    d = _documents(spark, folder)
+    results = F.try_variant_get("v", "$.runs[0].results", "array<variant>")
+    rules = F.try_variant_get("v", "$.runs[0].tool.driver.rules", "array<variant>")
+    at = "$.locations[0].physicalLocation."
+    rows = _column_of(results, "$.ruleId", "$.level", at + "artifactLocation.uri", at + "region.startLine", at + "region.startColumn", "$.message.text")
+    return d.select("repo", F.try_variant_get("v", "$.version", "string").alias("version"), F.size(results).cast("long").alias("n_results"),
+                    F.size(rules).cast("long").alias("n_rules"), F.sha2(F.array_join(F.sort_array(rows), "\n").cast("binary"), 256).alias("results_sha256"),
+                    F.array_join(F.sort_array(_column_of(rules, "$.id")), ",").alias("rules"))
+
+
+@register("write_json", _STATS_SQL + """SELECT s.repo, '0.1.0' AS version, '2026-01-01T00:00:00Z' AS scan_time, s.repo AS target, total_findings, critical,
+  coalesce(n_sast, 0) AS n_sast, coalesce(n_leaks, 0) AS n_leaks, coalesce(n_sca, 0) AS n_sca, sha256(coalesce(rows, '')) AS findings_sha256
+FROM stats s LEFT JOIN (SELECT repo, count(*) FILTER (WHERE engine = 'SAST') AS n_sast, count(*) FILTER (WHERE engine = 'Leaks') AS n_leaks,
+    count(*) FILTER (WHERE engine = 'SCA') AS n_sca, string_agg(row, chr(10) ORDER BY row) AS rows
+  FROM (SELECT repo, engine, CASE WHEN engine = 'SCA' THEN rule_id || '|' || file || '|' || title || '|' || severity
+               ELSE rule_id || '|' || file || '|' || line || '|' || title || '|' || severity || '|' || coalesce(match, '') END AS row FROM all_findings) GROUP BY repo) f USING (repo)""")
 def q_write_json(spark, sf):
+    """Documents written, read back and taken apart."""
     from scanforge.operators.findings import finding_stats
-    from scanforge.sinks.reports import json_headers
-    return json_headers(finding_stats(flagship(spark, sf)), scan_time="2026-01-01 00:00:00").select("repo", "json")
+    from scanforge.sinks.reports import write_json
+    folder = _scratch(spark, "json")
+    f = flagship(spark, sf)
+    write_json(f, finding_stats(f), folder, scan_time="2026-01-01 00:00:00")
+    d = _documents(spark, folder)
+    sast, sca, leaks = (F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("sast_findings", "sca_findings", "leak_findings"))
+    rows = F.concat(_column_of(sast, "$.rule_id", "$.file", "$.line", "$.title", "$.severity", "$.nothing"),
+                    _column_of(sca, "$.cve", "$.manifest_file", "$.package_name", "$.severity"),
+                    _column_of(leaks, "$.rule_id", "$.file", "$.line", "$.type", "$.severity", "$.match"))
+    get = lambda p, t="string": F.try_variant_get("v", "$." + p, t)
+    return d.select("repo", get("version").alias("version"), get("scan_time").alias("scan_time"), get("target").alias("target"),
+                    get("stats.total_findings", "bigint").alias("total_findings"), get("stats.critical", "bigint").alias("critical"),
+                    F.size(sast).cast("long").alias("n_sast"), F.size(leaks).cast("long").alias("n_leaks"), F.size(sca).cast("long").alias("n_sca"),
+                    F.sha2(F.array_join(F.sort_array(rows), "\n").cast("binary"), 256).alias("findings_sha256"))
 
 
 @register("relative_path", O.with_views("corpus") + "\nSELECT '/scan/root/' || path AS abs_path, path AS rel FROM corpus")
@@ -818,12 +945,12 @@ def q_relative_path(spark, sf):
     return c.select("abs_path", relative_path(F.col("abs_path"), "/scan/root").alias("rel"))
 
 
-_URL_VARIANT_SQL = """CASE WHEN page_id % 7 = 6 THEN url || '%zz' ELSE CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN '  ' || url
+_URL_VARIANT_SQL = """CASE WHEN page_id % 7 = 6 THEN url || '%zz' WHEN page_id % 7 = 5 THEN url || '?q=100%&r=%z#top' ELSE CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN '  ' || url
    WHEN 3 THEN 'javascript:alert(' || page_id || ')' WHEN 4 THEN '/path/' || page_id ELSE 'data:text/html,' || page_id END END"""
 
 
 _SAFE_URL_SQL = """SELECT page_id, u, CASE WHEN lower(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) IN ('http', 'https')
-    AND NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') AND NOT regexp_matches(t, '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)')
+    AND NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') AND NOT regexp_matches(regexp_replace(t, '\\?[^#]*', '?'), '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|[0-9A-Fa-f]?$)')
   THEN lower(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) || substring(t, length(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) + 1)
   ELSE '#' END AS safe
 FROM (SELECT page_id, u, trim(u, """ + O.GO_SPACE + """) AS t FROM (SELECT page_id, """ + _URL_VARIANT_SQL + """ AS u FROM pages))"""
@@ -834,7 +961,7 @@ def q_safe_url(spark, sf):
     from scanforge.functions.text import safe_url
     p = V.table(spark, sf, "pages")
     pid = F.col("page_id")
-    u = (F.when(pid % 7 == 6, F.concat(F.col("url"), F.lit("%zz"))).when(pid % 6 == 0, F.col("url")).when(pid % 6 == 1, F.upper("url"))
+    u = (F.when(pid % 7 == 6, F.concat(F.col("url"), F.lit("%zz"))).when(pid % 7 == 5, F.concat(F.col("url"), F.lit("?q=100%&r=%z#top"))).when(pid % 6 == 0, F.col("url")).when(pid % 6 == 1, F.upper("url"))
          .when(pid % 6 == 2, F.concat(F.lit("  "), F.col("url")))
          .when(pid % 6 == 3, F.concat(F.lit("javascript:alert("), pid.cast("string"), F.lit(")")))
          .when(pid % 6 == 4, F.concat(F.lit("/path/"), pid.cast("string")))
@@ -898,14 +1025,18 @@ _VALID_BRANCH = """(coalesce({b}, '') <> '' AND strlen({b}) <= 255 AND regexp_ma
 
 
 @register("push_branch", O.with_views("pushes") + "\nSELECT event_id, branch FROM (SELECT event_id, " + _BRANCH_SQL
-          + " AS branch FROM pushes) WHERE " + _VALID_BRANCH.format(b="branch"))
+          + " AS branch FROM pushes WHERE event_id % 11 NOT IN (0, 1, 2)) WHERE " + _VALID_BRANCH.format(b="branch"))
 def q_push_branch(spark, sf):
+    """Three pushes in eleven carry text behind the document, a newline in the branch, or a ref that is no string."""
     from scanforge.streaming.monitor import push_branch
-    return push_branch(V.pushes(spark, sf)).select("event_id", "branch")
+    k = F.col("event_id") % 11
+    payload = (F.when(k == 0, F.concat("payload", F.lit(" xx"))).when(k == 1, F.lit('{"ref": "refs/heads/main\\n"}'))
+               .when(k == 2, F.lit('{"ref": ["refs/heads/main"]}')).otherwise(F.col("payload")))
+    return push_branch(V.pushes(spark, sf).withColumn("payload", payload)).select("event_id", "branch")
 
 
 _CAND_SQL = """CASE event_id % 7 WHEN 0 THEN 'main' WHEN 1 THEN 'feature/x' || event_id WHEN 2 THEN ''
-  WHEN 3 THEN repeat('b', 250 + event_id % 10) WHEN 4 THEN 'a b' WHEN 5 THEN 'a..b' ELSE
+  WHEN 3 THEN repeat('b', 250 + event_id % 10) WHEN 4 THEN CASE WHEN event_id % 2 = 0 THEN 'a b' ELSE 'main' || chr(10) END WHEN 5 THEN 'a..b' ELSE
   CASE WHEN event_id % 2 = 0 THEN '/lead' ELSE 'trail/' END END"""
 
 
@@ -917,19 +1048,19 @@ def q_valid_branch(spark, sf):
     i = F.col("event_id")
     cand = (F.when(i % 7 == 0, "main").when(i % 7 == 1, F.concat(F.lit("feature/x"), i.cast("string")))
             .when(i % 7 == 2, "").when(i % 7 == 3, F.repeat(F.lit("b"), (F.lit(250) + i % 10).cast("int")))
-            .when(i % 7 == 4, "a b").when(i % 7 == 5, "a..b")
+            .when(i % 7 == 4, F.when(i % 2 == 0, "a b").otherwise("main\n")).when(i % 7 == 5, "a..b")
             .otherwise(F.when(i % 2 == 0, "/lead").otherwise("trail/")))
     return e.select("event_id", cand.alias("cand")).select("event_id", "cand", valid_branch("cand").alias("ok"))
 
 
 @register("valid_repo", O.with_views("pushes") + """
 SELECT event_id, r, regexp_matches(r, '^[a-zA-Z0-9._\\-]+/[a-zA-Z0-9._\\-]+$') AS ok FROM (SELECT event_id,
-  repo || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/x' WHEN 2 THEN ' bad' ELSE '.git' END AS r FROM pushes)""")
+  repo || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/x' WHEN 2 THEN ' bad' ELSE CASE WHEN event_id % 8 = 3 THEN '.git' ELSE chr(10) END END AS r FROM pushes)""")
 def q_valid_repo(spark, sf):
     from scanforge.streaming.monitor import valid_repo
     p = V.pushes(spark, sf)
     i = F.col("event_id")
-    r = F.concat("repo", F.when(i % 4 == 0, "").when(i % 4 == 1, "/x").when(i % 4 == 2, " bad").otherwise(".git"))
+    r = F.concat("repo", F.when(i % 4 == 0, "").when(i % 4 == 1, "/x").when(i % 4 == 2, " bad").otherwise(F.when(i % 8 == 3, ".git").otherwise("\n")))
     return p.select("event_id", r.alias("r")).select("event_id", "r", valid_repo("r").alias("ok"))
 
 
@@ -968,17 +1099,18 @@ _IP_SQL = """CASE event_id % 9 WHEN 0 THEN '10.' || (user_id % 256) || '.' || (e
   WHEN 5 THEN '8.8.' || (user_id % 256) || '.' || (event_id % 256)
   WHEN 6 THEN CASE WHEN event_id % 2 = 0 THEN '::1' ELSE '::2' END
   WHEN 7 THEN CASE WHEN event_id % 2 = 0 THEN 'fd12:3456::' || (event_id % 100) ELSE '2001:db8::' || (event_id % 100) END
-  ELSE CASE WHEN event_id % 2 = 0 THEN 'fe80::1' ELSE 'fec0::1' END END"""
+  ELSE CASE event_id % 8 WHEN 0 THEN 'fe80::1' WHEN 1 THEN 'fec0::1' WHEN 2 THEN '::ffff:10.0.0.' || (event_id % 256) WHEN 3 THEN '::ffff:8.8.8.8'
+       WHEN 4 THEN '10.0.0.256' WHEN 5 THEN '010.0.0.1' WHEN 6 THEN 'fd00' ELSE '10.0.0.1' || chr(10) END END"""
 
 
 @register("private_address", "SELECT event_id, ip, (ip LIKE '10.%' OR (ip LIKE '172.%' AND TRY_CAST(split_part(ip, '.', 2) AS INT) "
           "BETWEEN 16 AND 31) OR ip LIKE '192.168.%' OR ip LIKE '127.%' OR ip LIKE '169.254.%' OR ip = '::1' "
-          "OR ip LIKE 'fc%' OR ip LIKE 'fd%' OR ip LIKE 'fe8%' OR ip LIKE 'fe9%' OR ip LIKE 'fea%' OR ip LIKE 'feb%') AS private "
-          "FROM (SELECT event_id, " + _IP_SQL + " AS ip FROM events)")
+          "OR ip LIKE 'fc%:%' OR ip LIKE 'fd%:%' OR ip LIKE 'fe8%' OR ip LIKE 'fe9%' OR ip LIKE 'fea%' OR ip LIKE 'feb%' OR ip LIKE '::ffff:10.%') "
+          "AND ip <> '10.0.0.256' AND ip NOT LIKE '%' || chr(10) AS private FROM (SELECT event_id, " + _IP_SQL + " AS ip FROM events)")
 def q_private_address(spark, sf):
     from scanforge.streaming.monitor import private_address
     e = V.table(spark, sf, "events")
-    ips = e.select("event_id", F.expr(_IP_SQL.replace("||", "||")).alias("ip"))
+    ips = e.select("event_id", F.expr(_IP_SQL).alias("ip"))
     return private_address(ips).select("event_id", "ip", "private")
 
 
@@ -988,14 +1120,10 @@ PROVIDER, MODEL = "provider-a", "model-x"
 
 
 def _cache_key_sql(*parts):
-    return "left(sha256(" + " || chr(10) || ".join(f"coalesce({p}, '')" for p in parts) + "), 16)"
+    return "sha256(" + " || chr(10) || ".join(f"coalesce({p}, '')" for p in parts) + ")"
 
 
-_KEYED_SQL = _SCAN_SQL.replace(
-    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy\n  FROM findings",
-    "SELECT repo, 'SAST' AS engine, rule_id, severity, file, line, \"column\", title, NULL AS match, NULL::DOUBLE AS entropy, code\n  FROM findings"
-).replace("SELECT repo, 'Leaks' AS engine, rule_id, severity, file, line, NULL AS \"column\", title, match, entropy FROM leaks",
-          "SELECT repo, 'Leaks' AS engine, rule_id, severity, file, line, NULL AS \"column\", title, match, entropy, NULL AS code FROM leaks") + """,
+_KEYED_SQL = _SCAN_SQL + """,
 keyed AS (SELECT *, CASE WHEN engine = 'SAST' THEN """ + _cache_key_sql(f"'{PROVIDER}'", f"'{MODEL}'", "rule_id", "severity", "code") + """
                    ELSE """ + _cache_key_sql(f"'{PROVIDER}'", f"'{MODEL}'", "title", "file", "''") + """ END AS cache_key
           FROM all_findings)
@@ -1015,9 +1143,7 @@ def q_cache_key(spark, sf):
 @register("remediation_worklist", _SCAN_SQL + """SELECT repo, engine, rule_id, file, line FROM all_findings
 WHERE engine = 'SAST' AND severity IN ('CRITICAL', 'HIGH')
 UNION ALL
-SELECT repo, engine, rule_id, file, line FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY
-  """ + O.SEVERITY_WEIGHT_SQL.format(c="severity") + """ DESC, file, line, rule_id) AS r FROM all_findings WHERE engine = 'Leaks')
-WHERE r <= 5""")
+SELECT repo, engine, rule_id, file, line FROM all_findings WHERE engine = 'Leaks'""")
 def q_remediation_worklist(spark, sf):
     from scanforge.operators.remediation import remediation_worklist
     w = remediation_worklist(flagship(spark, sf))
@@ -1036,7 +1162,7 @@ def _cache_sql():
        CASE line % 4 WHEN 0 THEN """ + _hmac_sql("'answer for ' || rule_id || ' at ' || file", CACHE_SECRET) + """
                      WHEN 1 THEN 'bad' ELSE '' END AS integrity
   FROM keyed WHERE line % 3 = 0),
-valid AS (SELECT key, response FROM cache WHERE created + to_hours(ttl_hours) >= TIMESTAMP '""" + NOW + """'
+valid AS (SELECT key, response, created FROM cache WHERE created + to_hours(ttl_hours) >= TIMESTAMP '""" + NOW + """'
           AND (integrity = '' OR integrity = """ + _hmac_sql("response", CACHE_SECRET) + """))
 """
 
@@ -1058,18 +1184,17 @@ def _cache_df(keyed):
 def q_cache_lookup(spark, sf):
     from scanforge.operators.remediation import cache_lookup
     keyed = _keyed(spark, sf)
-    hits, misses = cache_lookup(keyed, _cache_df(keyed), NOW, integrity_key=CACHE_SECRET)
-    cols = ["repo", "engine", "rule_id", "file", F.col("line").cast("long").alias("line")]
-    return hits.select(*cols, F.lit(True).alias("hit")).unionByName(misses.select(*cols, F.lit(False).alias("hit")))
+    found = cache_lookup(keyed, _cache_df(keyed), NOW, integrity_key=CACHE_SECRET)
+    return found.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"), "hit")
 
 
 @register("attach_remediation", _KEYED_SQL + "," + _cache_sql() + """SELECT repo, engine, rule_id, file, line,
-  coalesce((SELECT any_value(response) FROM valid WHERE valid.key = keyed.cache_key), '') AS ai_remediation FROM keyed""")
+  coalesce((SELECT arg_max(response, (created, response)) FROM valid WHERE valid.key = keyed.cache_key), '') AS ai_remediation FROM keyed""")
 def q_attach_remediation(spark, sf):
     from scanforge.operators.remediation import attach_remediation, cache_lookup
     keyed = _keyed(spark, sf)
-    hits, _ = cache_lookup(keyed, _cache_df(keyed), NOW, integrity_key=CACHE_SECRET)
-    answers = hits.select("cache_key", F.col("cached_response").alias("response")).distinct()
+    found = cache_lookup(keyed, _cache_df(keyed), NOW, integrity_key=CACHE_SECRET)
+    answers = found.where("hit").select("cache_key", F.col("cached_response").alias("response"))
     out = attach_remediation(keyed, answers)
     return out.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"), "ai_remediation")
 
@@ -1127,13 +1252,8 @@ def _clean_sql(x):
 
 @register("clean_responses", "WITH " + _answers_sql() + """,
 s1 AS (SELECT conv_id, turn, """ + _clean_sql("raw") + """ AS t FROM answers),
-s2 AS (SELECT conv_id, turn, t, len(list_filter(range(1, length(t) + 1), lambda i: strlen(left(t, i)) <= 3000)) AS k FROM s1),
-s3 AS (SELECT conv_id, turn, CASE WHEN strlen(t) > 3000 THEN
-          (CASE WHEN strlen(left(t, k)) - strpos(reverse(left(t, k)), chr(10)) + 1 > 2501 AND contains(left(t, k), chr(10))
-                THEN left(left(t, k), length(left(t, k)) - strpos(reverse(left(t, k)), chr(10)))
-                ELSE left(t, k) END) || chr(10) || chr(10) || '[... output truncated]'
-        ELSE t END AS t FROM s2)
-SELECT conv_id, turn, trim(t, """ + O.GO_SPACE + """) AS cleaned FROM s3""")
+s2 AS (SELECT conv_id, turn, t FROM s1)
+SELECT conv_id, turn, trim(t, """ + O.GO_SPACE + """) AS cleaned FROM s2""")
 def q_clean_responses(spark, sf):
     from scanforge.operators.remediation import clean_response
     return _answers_df(spark, sf).select("conv_id", "turn", clean_response("raw").alias("cleaned"))
@@ -1151,7 +1271,9 @@ def _adv_json_sql():
        WHEN 1 THEN '{"type":"CVSS_V3","score":"CVSS:3.1/AV:N/AC:L/PR:N/UI:N"}'
        WHEN 2 THEN '{"type":"CVSS_V2","score":"AV:N/AC:H/Au:N"}' ELSE '' END
   || '],"affected":[{"package":{"name":"pkg' || p_partkey || '","ecosystem":"PyPI"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"}'
-  || CASE WHEN p_size % 5 = 0 THEN '' ELSE ',{"fixed":"1.' || p_size || '"}' END || ']}]}]}' AS json FROM part)"""
+  || CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN ',{"fixed":"1.' || p_size || '"},{"introduced":"2.0.0"},{"fixed":"2.' || p_size || '"}'
+       WHEN 2 THEN ',{"last_affected":"1.' || p_size || '.0"}' ELSE ',{"fixed":"1.' || p_size || '"}' END
+  || ']},{"type":"GIT","events":[{"introduced":"0"},{"fixed":"abcdef"}]}],"versions":["9.' || p_size || '"]}]}' AS json FROM part)"""
 
 
 def _adv_json_df(spark, sf):
@@ -1162,14 +1284,17 @@ def _adv_json_df(spark, sf):
     sev = (F.when(size % 4 == 0, F.concat(F.lit('{"type":"CVSS_V3","score":"'), (size % 10).cast("string"), F.lit('.5"}')))
            .when(size % 4 == 1, F.lit('{"type":"CVSS_V3","score":"CVSS:3.1/AV:N/AC:L/PR:N/UI:N"}'))
            .when(size % 4 == 2, F.lit('{"type":"CVSS_V2","score":"AV:N/AC:H/Au:N"}')).otherwise(F.lit("")))
-    fixed = F.when(size % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(',{"fixed":"1.'), size.cast("string"), F.lit('"}')))
+    n = size.cast("string")
+    one = F.concat(F.lit(',{"fixed":"1.'), n, F.lit('"}'))
+    fixed = (F.when(size % 5 == 0, F.lit("")).when(size % 5 == 1, F.concat(one, F.lit(',{"introduced":"2.0.0"},{"fixed":"2.'), n, F.lit('"}')))
+             .when(size % 5 == 2, F.concat(F.lit(',{"last_affected":"1.'), n, F.lit('.0"}'))).otherwise(one))
     j = F.concat(F.lit('{"id":"ADV-'), k, F.lit('","aliases":['), aliases, F.lit('],"summary":"'),
                  F.when(F.col("p_partkey") % 2 == 0, name).otherwise(F.lit("")), F.lit('","details":"'),
                  F.repeat(F.concat(name, F.lit(" "), F.col("p_brand"), F.lit(" ")), (1 + size % 20).cast("int")),
                  F.lit('","severity":['), sev,
                  F.lit('],"affected":[{"package":{"name":"pkg'), k,
                  F.lit('","ecosystem":"PyPI"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"}'), fixed,
-                 F.lit("]}]}]}"))
+                 F.lit(']},{"type":"GIT","events":[{"introduced":"0"},{"fixed":"abcdef"}]}],"versions":["9.'), n, F.lit('"]}]}'))
     return p.select("p_partkey", j.alias("json"))
 
 
@@ -1189,7 +1314,8 @@ parsed AS (SELECT p_partkey, json_extract_string(json, '$.id') AS id,
 scored AS (SELECT *, list_filter(list_zip(stypes, sscores), lambda z: z[1] IN ('CVSS_V3', 'CVSS_V2'))[1][2] AS s FROM parsed)
 SELECT id, coalesce(list_filter(aliases, lambda a: starts_with(a, 'CVE-'))[1], id) AS cve,
        coalesce(list_filter(fixes, lambda f: f IS NOT NULL AND f <> '')[1], '') AS fixed,
-       CASE WHEN coalesce(summary, '') <> '' THEN summary WHEN strlen(details) > 200 THEN left(details, 200) || '...' ELSE details END AS description,
+       CASE WHEN coalesce(summary, '') <> '' THEN summary ELSE details END AS description,
+       CASE WHEN coalesce(summary, '') <> '' THEN summary WHEN strlen(details) > 200 THEN left(details, 200) || '...' ELSE details END AS short_description,
        CASE WHEN s IS NULL THEN 0.0 ELSE """ + _CVSS_NUM_SQL + """ END AS cvss
 FROM scored"""
 
@@ -1197,7 +1323,7 @@ FROM scored"""
 @register("normalize_advisory", _NORM_SQL)
 def q_normalize_advisory(spark, sf):
     from scanforge.operators.sca import normalize_advisory
-    return normalize_advisory(_adv_json_df(spark, sf)).select("id", "cve", "fixed", "description", "cvss")
+    return normalize_advisory(_adv_json_df(spark, sf)).select("id", "cve", "fixed", "description", "short_description", "cvss")
 
 
 @register("cvss_score", "SELECT id, cvss, " + _CVSS_SEV_SQL.format(s="cvss") + " AS severity FROM (" + _NORM_SQL.replace(
@@ -1207,14 +1333,44 @@ def q_cvss_score(spark, sf):
     return normalize_advisory(_adv_json_df(spark, sf)).select("id", "cvss", "severity")
 
 
+# the intervals written out from the columns of part, not from the documents
+@register("advisory_ranges", """SELECT id, name, introduced, fixed, last_affected, version FROM (
+SELECT 'ADV-' || p_partkey AS id, 'pkg' || p_partkey AS name, '0' AS introduced,
+       CASE WHEN p_size % 5 IN (1, 3, 4) THEN '1.' || p_size END AS fixed, CASE WHEN p_size % 5 = 2 THEN '1.' || p_size || '.0' END AS last_affected,
+       '9.' || p_size AS version FROM part
+UNION ALL SELECT 'ADV-' || p_partkey, 'pkg' || p_partkey, '2.0.0', '2.' || p_size, NULL, '9.' || p_size FROM part WHERE p_size % 5 = 1)""")
+def q_advisory_ranges(spark, sf):
+    from scanforge.operators.sca import explode_advisories
+    r = explode_advisories(_adv_json_df(spark, sf))
+    return r.select("id", "name", "introduced", "fixed", "last_affected", F.col("versions")[0].alias("version"))
+
+
+# versions of the dependencies against raw advisory documents; the affected ones worked out per interval shape
+@register("sca_scan_documents", O.with_views("deps") + """,
+d AS (SELECT manifest, name, version, CAST(split_part(version, '.', 2) AS INT) AS minor, CAST(split_part(version, '.', 3) AS INT) AS patch,
+             CAST(substring(name, 4) AS BIGINT) AS partkey FROM deps)
+SELECT d.manifest AS file, d.name AS package_name, d.version AS package_version, 'ADV-' || p_partkey AS advisory FROM d JOIN part ON partkey = p_partkey
+WHERE p_size % 5 = 0 OR (p_size % 5 IN (1, 3, 4) AND minor < p_size) OR (p_size % 5 = 2 AND (minor < p_size OR (minor = p_size AND patch = 0)))""")
+def q_sca_scan_documents(spark, sf):
+    from scanforge.operators.sca import sca_scan
+    f = sca_scan(_manifests(spark, sf), _adv_json_df(spark, sf).select("json"))
+    return f.select("file", "package_name", "package_version", F.regexp_extract("advisory_url", "[^/]*$", 0).alias("advisory"))
+
+
 @register("stamped_output", O.with_views("pushes") + """
-SELECT event_id, 'report_' || branch || '_' || strftime(ts, '%Y%m%d-%H%M%S') || '.json' AS report_name
-FROM (SELECT event_id, ts, """ + _BRANCH_SQL + " AS branch FROM pushes) WHERE " + _VALID_BRANCH.format(b="branch"))
+SELECT repo, report_name, count(*) AS n FROM (SELECT repo, 'report_' || branch || '_' || strftime(date_trunc('day', ts), '%Y%m%d-%H%M%S') || '.json' AS report_name
+  FROM (SELECT repo, ts, """ + _BRANCH_SQL + " AS branch FROM pushes) WHERE " + _VALID_BRANCH.format(b="branch") + ") GROUP BY ALL")
 def q_stamped_output(spark, sf):
-    from scanforge.sinks.reports import stamped_name
+    """One report per repository, branch and day of pushes, written and read back by the names of their folders."""
+    from scanforge.sinks.reports import stamped_output
     from scanforge.streaming.monitor import push_branch
-    p = push_branch(V.pushes(spark, sf))
-    return p.select("event_id", stamped_name("report.json", F.col("branch"), F.col("ts")).alias("report_name"))
+    folder = _scratch(spark, "stamped")
+    p = push_branch(V.pushes(spark, sf)).withColumn("scan_ts", F.date_trunc("day", "ts"))
+    stamped_output(p.select("repo", "branch", "scan_ts", "event_id"), folder)
+    back = spark.read.option("recursiveFileLookup", "true").schema("event_id long").json(folder).select(F.input_file_name().alias("f"))
+    back = back.select(F.url_decode(F.regexp_extract("f", "repo=([^/]+)/", 1)).alias("repo"), F.url_decode(F.regexp_extract("f", "report=([^/]+)/", 1)).alias("report_name"))
+    # the reader escapes the escaped folder names once more
+    return back.select(F.url_decode("repo").alias("repo"), F.url_decode("report_name").alias("report_name")).groupBy("repo", "report_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ===================================================================== YAML manifests, streaming
@@ -1247,7 +1403,7 @@ def _scratch(spark, name):
 
 @register("incremental_scan", _SCAN_SQL + """, pushed AS (SELECT DISTINCT 'repo' || (user_id % 20) AS repo FROM events
   WHERE event_type = 'click')
-SELECT repo, engine, rule_id, file, line FROM all_findings WHERE repo IN (SELECT repo FROM pushed)""")
+SELECT repo, engine, rule_id, file, line FROM all_findings WHERE engine <> 'SCA' AND repo IN (SELECT repo FROM pushed)""")
 def q_incremental_scan(spark, sf):
     """Push events arrive as a file stream; each micro-batch keeps pushes to
     the watched branch and scans those repositories' files in foreachBatch."""
@@ -1261,7 +1417,7 @@ def q_incremental_scan(spark, sf):
     files = corpus(spark, sf)
 
     def files_for(batch):
-        return files.join(batch.select("repo").distinct(), "repo", "left_semi")
+        return files.join(batch.select("repo", "branch").distinct(), "repo")
 
     sink, ckpt = _scratch(spark, "incremental-sink"), _scratch(spark, "incremental-ckpt")
     q = incremental_scan(changes, files_for, sink, ckpt, available_now=True).start()
@@ -1296,7 +1452,7 @@ def q_rate_limit_stream(spark, sf):
 
 
 @register("monitor_heads", _SCAN_SQL + """, observed AS (SELECT DISTINCT 'repo' || (user_id % 20) AS repo FROM events)
-SELECT repo, engine, rule_id, file, line FROM all_findings WHERE repo IN (SELECT repo FROM observed)""")
+SELECT repo, engine, rule_id, file, line FROM all_findings WHERE engine <> 'SCA' AND repo IN (SELECT repo FROM observed)""")
 def q_monitor_heads(spark, sf):
     """HEAD observations (events as a file stream) -> scans of changed
     branches, branch state advanced after each successful batch."""
@@ -1308,7 +1464,7 @@ def q_monitor_heads(spark, sf):
     files = corpus(spark, sf)
 
     def files_for(changed):
-        return files.join(changed.select("repo").distinct(), "repo", "left_semi")
+        return files.join(changed.select("repo", "branch").distinct(), "repo")
 
     sink, state, ckpt = _scratch(spark, "heads-sink"), _scratch(spark, "heads-state"), _scratch(spark, "heads-ckpt")
     monitor_heads(obs, files_for, sink, state, ckpt, available_now=True).start().awaitTermination()

@@ -13,21 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.constants import (ENTROPY_MIN, EXTENSION_LANGUAGE, LEAK_FILE_CAP,
-                                 LEAK_ONLY_EXTENSIONS)
+from scanforge.constants import ENTROPY_MIN, EXTENSION_LANGUAGE, LEAK_ONLY_EXTENSIONS
 from scanforge.functions.text import extension, redact, severity_weight, shannon_entropy
 from scanforge.operators.catalog import Catalog
 from scanforge.operators.findings import combine_findings, conform
 from scanforge.operators.matching import match_files
 from scanforge.operators.sast import finding_id
-from scanforge.operators.secrets import downgrade_ignored, gitignore_match
-from scanforge.sources.files import ignore_paths, is_binary, language_of
+from scanforge.operators.secrets import downgrade_by_patterns, history_scan
+from scanforge.sources.files import binary_flag, ignore_paths, language_of
 
 SEVERITY_MIN = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
 
 def prepare_files(files: DataFrame, sast: bool = True, leaks: bool = True, extra_ignores=(),
-                  languages=None, leak_max_bytes: int = LEAK_FILE_CAP,
+                  languages=None, leak_max_bytes: int | None = None,
                   extension_map: dict | None = None) -> DataFrame:
     """Admission: ignored paths out; known extension (or config extension with
     secret scanning on); SAST language; secret-scan eligibility."""
@@ -41,20 +40,22 @@ def prepare_files(files: DataFrame, sast: bool = True, leaks: bool = True, extra
     lang = language_of(F.col("path"), m) if sast else F.lit(None).cast("string")
     if sast and languages:
         lang = F.when(lang.isin(*languages), lang)
-    size = F.col("size") if "size" in files.columns else F.octet_length("content")
-    leak_ok = ((size <= leak_max_bytes) & ~is_binary(F.col("content"))) if leaks else F.lit(False)
+    leak_ok = ~binary_flag(files) if leaks else F.lit(False)
+    if leaks and leak_max_bytes is not None:
+        leak_ok = leak_ok & ((F.col("size") if "size" in files.columns else F.octet_length("content")) <= leak_max_bytes)
     return f.select("repo", "path", "content", lang.alias("language"), leak_ok.alias("leak_ok"))
 
 
 def code_findings(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: DataFrame | None = None,
                   sast: bool = True, leaks: bool = True, min_severity: str = "LOW",
                   patterns: DataFrame | None = None, extra_ignores=(), languages=None,
-                  min_entropy: float = ENTROPY_MIN, overlong_limit: int | None = 65536,
+                  min_entropy: float = ENTROPY_MIN, overlong_limit: int | None = None,
+                  leak_max_bytes: int | None = None, leak_line_cap: int | None = None,
                   sast_max_line_bytes: int | None = None, rule_language_aliases: dict | None = None) -> DataFrame:
     """SAST and secret findings of a file table, from one matching pass."""
     spark = files.sparkSession
     cat = Catalog(spark, sast_rules, leak_rules, sast=sast, leaks=leaks)
-    f = prepare_files(files, sast, leaks, extra_ignores, languages)
+    f = prepare_files(files, sast, leaks, extra_ignores, languages, leak_max_bytes)
     sel_col = "language"
     if rule_language_aliases:
         # e.g. {"TypeScript": "JavaScript"}: which rules a file gets; findings
@@ -65,7 +66,7 @@ def code_findings(files: DataFrame, sast_rules: DataFrame | None = None, leak_ru
         f = f.withColumn("_sel_lang", sel)
         sel_col = "_sel_lang"
     hits = match_files(f, cat.sast_specs, cat.leak_specs, ["repo", "path", "language"],
-                       overlong_limit=overlong_limit, sast_max_line_bytes=sast_max_line_bytes,
+                       overlong_limit=overlong_limit, leak_line_cap=leak_line_cap, sast_max_line_bytes=sast_max_line_bytes,
                        rule_language_col=sel_col)
     j = hits.join(cat.df().drop("engine"), "k")
     is_sast = F.col("engine") == "sast"
@@ -90,21 +91,19 @@ def code_findings(files: DataFrame, sast_rules: DataFrame | None = None, leak_ru
         F.when(is_sast, F.lit(False)).alias("false_positive"),
     )
     out = conform(out)
-    if patterns is not None and leaks:
-        # decision over the path column only (no content is read for it)
-        paths = ignore_paths(files.select("repo", "path"), extra_ignores)
-        out = conform(downgrade_ignored(out, gitignore_match(paths, patterns)))
-    return out
+    return conform(downgrade_by_patterns(out, patterns)) if leaks else out
 
 
 def scan(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: DataFrame | None = None,
          enable_sast: bool = True, enable_leaks: bool = True, enable_sca: bool = True,
          min_severity: str = "LOW", patterns: DataFrame | None = None, advisories: DataFrame | None = None,
          extra_ignores=(), languages=None, sast_max_line_bytes: int | None = None,
-         min_entropy: float = ENTROPY_MIN, rule_language_aliases: dict | None = None) -> DataFrame:
+         min_entropy: float = ENTROPY_MIN, rule_language_aliases: dict | None = None,
+         blobs: DataFrame | None = None) -> DataFrame:
     """Flagship: every enabled engine over a file table -> unified findings.
 
-    Engines that are off are simply not part of the plan. ``languages``
+    Engines that are off are simply not part of the plan. ``blobs`` (file
+    versions over commits) adds the findings of the history. ``languages``
     restricts SAST to those languages, ``extra_ignores`` adds ignored path
     names, ``min_entropy`` sets the secret entropy gate: settings the
     original tool documents but does not apply are real parameters here."""
@@ -114,6 +113,8 @@ def scan(files: DataFrame, sast_rules: DataFrame | None = None, leak_rules: Data
                                    patterns, extra_ignores, languages, min_entropy=min_entropy,
                                    sast_max_line_bytes=sast_max_line_bytes,
                                    rule_language_aliases=rule_language_aliases))
+    if enable_leaks and blobs is not None:
+        parts.append(conform(history_scan(blobs, leak_rules, min_entropy=min_entropy)))
     if enable_sca:
         from scanforge.operators.sca import sca_scan
         parts.append(sca_scan(files, advisories, min_severity=min_severity, extra_ignores=extra_ignores))

@@ -42,8 +42,8 @@ def get_spark(master: str | None = None, app: str = "scanforge", conf: dict | No
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session does not name one (local tests) a fresh scratch
-    folder is created and registered.
+    Only a local session that names none (tests) gets a fresh scratch folder;
+    on a cluster a machine-local folder would lose files, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -54,6 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="scanforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -8,72 +8,70 @@ scan, the language lookup is a literal map.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.constants import (DEFAULT_IGNORE_PATHS, EXTENSION_LANGUAGE,
-                                 LEAK_ONLY_EXTENSIONS, MEDIA_EXTENSIONS)
+from scanforge.constants import (DEFAULT_IGNORE_PATHS, EXTENSION_LANGUAGE, IAC_EXTENSION_LANGUAGE,
+                                 LEAK_ONLY_EXTENSIONS, MANIFEST_NAMES, MEDIA_EXTENSIONS)
 from scanforge.functions.text import base_name, extension
 
 
-def read_corpus(spark: SparkSession, root: str, repo: str | None = None,
-                max_bytes: int | None = None) -> DataFrame:
-    """Read a directory tree into ``(repo, path, content, size)``.
+def read_corpus(spark: SparkSession, root: str, repo: str | None = None, max_bytes: int | None = None,
+                repo_depth: int = 0, extra_ignores: list[str] | tuple = (), admitted_only: bool = True) -> DataFrame:
+    """Read a directory tree into ``(repo, path, content, size, binary)``.
 
-    Uses the ``binaryFile`` source; a size cap is applied on the ``length``
-    column, which Spark evaluates from file metadata before reading content.
+    Uses the ``binaryFile`` source. With ``admitted_only`` the file listing
+    itself is restricted to the extensions a scan admits and to manifest
+    names, and files below ignored folders are dropped by path before their
+    content is decoded; an optional size cap works on the file metadata.
+    ``binary`` is decided on the raw bytes. With ``repo_depth`` n the first n
+    path segments name the repository (an organisation's checkouts side by
+    side), otherwise ``repo`` does.
     """
-    df = (spark.read.format("binaryFile")
-          .option("recursiveFileLookup", "true")
-          .load(root))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if admitted_only:
+        reader = reader.option("pathGlobFilter", _admitted_glob())
+    df = reader.load(root)
     if max_bytes is not None:
         df = df.where(F.col("length") <= max_bytes)
-    prefix = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.when(rel.startswith(prefix + "/"), F.substring(rel, len(prefix) + 2, 1 << 30)).otherwise(rel)
+    prefix = "/" + re.sub(r"^[a-z0-9]+:/*", "", root).strip("/") if root.startswith("/") or ":" in root else root.rstrip("/")
+    bare = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "/")
+    rel = F.when(bare.startswith(prefix + "/"), F.substring(bare, len(prefix) + 2, 1 << 30)).otherwise(bare)
+    df = df.withColumn("_rel", rel)
+    if admitted_only:
+        df = ignore_paths(df, extra_ignores, "_rel")
+    segs = F.split(F.col("_rel"), "/")
+    if repo_depth:
+        name = F.array_join(F.slice(segs, 1, repo_depth), "/")
+        rest = F.array_join(F.slice(segs, repo_depth + 1, F.greatest(F.size(segs) - repo_depth, F.lit(0))), "/")
+        df = df.where(F.size(segs) > repo_depth)
+    else:
+        name, rest = F.lit(repo or prefix), F.col("_rel")
     return df.select(
-        F.lit(repo or prefix).alias("repo"),
-        rel.alias("path"),
-        # bytes -> text without failing on invalid UTF-8 (binary files):
-        # invalid sequences become U+FFFD; NUL bytes survive for the binary test
+        name.alias("repo"),
+        rest.alias("path"),
+        # bytes -> text without failing on invalid UTF-8: such sequences become U+FFFD
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size"),
+        is_binary_bytes(F.col("content")).alias("binary"),
     )
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a table that arrives in fewer files than there are cores before
-    the per-line work.
+def _admitted_glob() -> str:
+    """File-name glob of everything a scan reads: known extensions in either case, and manifests."""
+    def any_case(ext):
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+    exts = {*EXTENSION_LANGUAGE, *LEAK_ONLY_EXTENSIONS, *IAC_EXTENSION_LANGUAGE}
+    names = {n for ns in MANIFEST_NAMES.values() for n in ns} | {".gitignore"}
+    return "{" + ",".join([*sorted("*" + any_case(e) for e in exts if e), *sorted(names)]) + "}"
 
-    The split count is not a safe signal: a Parquet file with one row group
-    is cut into several splits, but only one of them reads rows. The number
-    of input files is: a large dataset has many files (and is left alone, no
-    extra shuffle); the small tables of a test run have one each.
-    """
-    spark = df.sparkSession
-    want = min_partitions or _default_parallelism(spark)
-    try:
-        n = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not a file-based relation
-        n = 0
-    if not n:
-        try:
-            n = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session)
-            n = 0
-    if n < want:
-        # hash of the leading (id) column: deterministic placement (safe on
-        # task retry) without the local sort a round-robin repartition needs,
-        # and the other columns can still be pruned below the exchange
-        return df.repartition(want, F.xxhash64(F.col(df.columns[0])))
-    return df
-
-
-def _default_parallelism(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - remote session: use the configured value
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Redistribute a table by its leading (id) column when the caller asks
+    for it; without ``min_partitions`` the table is read as it is split."""
+    return df if not min_partitions else df.repartition(min_partitions, F.xxhash64(F.col(df.columns[0])))
 
 
 def ignore_paths(files: DataFrame, extra: list[str] | tuple = (), path_col: str = "path") -> DataFrame:
@@ -125,23 +123,32 @@ def size_cap(files: DataFrame, cap: int, content_col: str = "content") -> DataFr
 _NONPRINT = "".join(chr(c) for c in list(range(1, 9)) + [11, 12] + list(range(14, 32)) + [127])
 
 
-def is_binary(content: Column) -> Column:
-    """Binary heuristic on the first 8000 bytes: a NUL, or more than 30 %
-    non-printable bytes (integer percentage); empty content is text.
+def is_binary(content: Column, sample_bytes: int | None = None) -> Column:
+    """Binary heuristic on the text's bytes: a NUL, or more than 30 %
+    non-printable bytes (integer percentage); empty content is text."""
+    return is_binary_bytes(F.encode(content, "UTF-8"), sample_bytes)
+
 
-    The sample is cut in bytes (UTF-8) and decoded as ISO-8859-1 so one byte is
-    one character; the count is a ``translate`` deletion.
+def is_binary_bytes(raw: Column, sample_bytes: int | None = None) -> Column:
+    """The same on raw bytes (all of them, or the first ``sample_bytes``).
+
+    Decoded as ISO-8859-1 one byte is one character; the count is a
+    ``translate`` deletion.
     """
-    raw = F.encode(F.substring(content, 1, 8000), "UTF-8")
-    sample = F.decode(F.substring(raw, 1, 8000), "ISO-8859-1")
+    sample = F.decode(raw if sample_bytes is None else F.substring(raw, 1, sample_bytes), "ISO-8859-1")
     n = F.length(sample)
     bad = n - F.length(F.translate(sample, _NONPRINT, ""))
     has_nul = F.instr(sample, "\x00") > 0
     return F.when(n == 0, F.lit(False)).otherwise(has_nul | (F.floor(bad * 100 / n) > 30))
 
 
+def binary_flag(files: DataFrame, content_col: str = "content") -> Column:
+    """``binary`` where the reader decided it on the raw bytes, else the test on the text."""
+    return F.col("binary") if "binary" in files.columns else is_binary(F.col(content_col))
+
+
 def drop_binary(files: DataFrame, content_col: str = "content") -> DataFrame:
-    return files.where(~is_binary(F.col(content_col)))
+    return files.where(~binary_flag(files, content_col))
 
 
 def drop_media_extensions(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -33,11 +33,16 @@ SEED_LINES = [
 ]
 
 
+CALM_LINE = "// TODO: fix auth"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; spread over the cluster when the file gives fewer
-    splits than there are cores (a single row group reads as one task)."""
-    from scanforge.sources.files import ensure_parallelism
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table, read as its files are split. A session that reads
+    single-file test tables may ask for more tasks with
+    ``spark.scanforge.minPartitions``; unset, nothing is redistributed."""
+    from scanforge.sources.files import spread
+    want = spark.conf.get("spark.scanforge.minPartitions", None)
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), int(want) if want else None)
 
 
 def seed(spark: SparkSession) -> DataFrame:
@@ -51,7 +56,8 @@ def _seeded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, path, content): one file per document, the seed line appended."""
+    """(repo, path, content): one file per document, the seed line appended,
+    and repositories that hold nothing but a note (no severe finding)."""
     d = _seeded_documents(spark, sf_dir)
     dir_ = (F.when(d.doc_id % 7 == 0, "src/").when(d.doc_id % 7 == 1, "lib/")
             .when(d.doc_id % 7 == 2, "node_modules/x/").when(d.doc_id % 7 == 3, "app/")
@@ -60,11 +66,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.lit(".ts")
     for i in reversed(range(len(exts))):
         ext = F.when(d.doc_id % 13 == i, F.lit(exts[i])).otherwise(ext)
-    return d.select(
+    files = d.select(
         F.concat(F.lit("repo"), (d.doc_id % 20).cast("string")).alias("repo"),
         F.concat(dir_, F.lit("f"), d.doc_id.cast("string"), ext).alias("path"),
         F.concat(d.text, F.lit("\n"), F.col("seed_line")).alias("content"),
     )
+    calm = table(spark, sf_dir, "documents").where(F.col("doc_id") % 10 == 0).select(
+        F.concat(F.lit("calm"), (F.col("doc_id") % 3).cast("string")).alias("repo"),
+        F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit(CALM_LINE).alias("content"))
+    return files.unionByName(calm)
 
 
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +161,9 @@ CORPUS_SQL = """corpus AS (
                                  WHEN 8 THEN '.html' WHEN 9 THEN '.env' WHEN 10 THEN '.TXT' WHEN 11 THEN '.png'
                                  ELSE '.ts' END) AS path,
          concat(text, chr(10), seed_line) AS content
-  FROM documents JOIN seed ON doc_id % 16 = slot)"""
+  FROM documents JOIN seed ON doc_id % 16 = slot
+  UNION ALL SELECT concat('calm', CAST(doc_id % 3 AS VARCHAR)), concat('n', CAST(doc_id AS VARCHAR), '.py'), '// TODO: fix auth'
+  FROM documents WHERE doc_id % 10 = 0)"""
 
 BLOBS_SQL = """blobs AS (
   SELECT concat('repo', CAST(doc_id % 5 AS VARCHAR)) AS repo,

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from scanforge.constants import PRIVATE_CIDRS
 from scanforge.functions.text import hmac_sha256_hex
 
-BRANCH_RX = r"^[a-zA-Z0-9._/\-]+$"
-REPO_RX = r"^[a-zA-Z0-9._\-]+/[a-zA-Z0-9._\-]+$"
+BRANCH_RX = r"\A[a-zA-Z0-9._/\-]+\z"
+REPO_RX = r"\A[a-zA-Z0-9._\-]+/[a-zA-Z0-9._\-]+\z"
 
 
 def valid_branch(c) -> Column:
@@ -41,7 +41,7 @@ def verify_push(pushes: DataFrame, secret: str, platform_col: str = "platform",
     if not secret:
         return pushes.where(F.lit(False))
     sig = F.coalesce(F.col(signature_col), F.lit(""))
-    hmac_ok = sig.startswith("sha256=") & (F.lower(F.substring(sig, 8, 1 << 20)) == hmac_sha256_hex(secret, F.col(payload_col)))
+    hmac_ok = sig.startswith("sha256=") & (F.lower(F.substring(sig, 8, 1 << 30)) == hmac_sha256_hex(secret, F.col(payload_col)))
     token_ok = sig == F.lit(secret)
     plat = F.col(platform_col) if platform_col in pushes.columns else F.lit("github")
     return pushes.where(F.when(plat == "gitlab", token_ok).otherwise(hmac_ok))
@@ -49,9 +49,14 @@ def verify_push(pushes: DataFrame, secret: str, platform_col: str = "platform",
 
 def push_branch(pushes: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Branch from the JSON ``ref`` (must start refs/heads/ and be a valid
-    branch name); other pushes are dropped."""
-    ref = F.get_json_object(F.col(payload_col), "$.ref")
-    branch = F.when(ref.startswith("refs/heads/"), F.substring(ref, 12, 1 << 20))
+    branch name); other pushes are dropped, and payloads that are not one
+    whole JSON document."""
+    body = F.col(payload_col)
+    # the parsers stop behind the first value; inside a list and inside an object, other text is an error
+    whole = (F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"p":'), body, F.lit("}"))).isNotNull()
+    doc = F.when(whole, F.try_parse_json(body))
+    ref = F.when(F.call_function("schema_of_variant", F.try_variant_get(doc, "$.ref", "variant")) == "STRING", F.try_variant_get(doc, "$.ref", "string"))
+    branch = F.when(ref.startswith("refs/heads/"), F.substring(ref, 12, 1 << 30))
     return pushes.withColumn("branch", branch).where(valid_branch(F.col("branch")))
 
 
@@ -63,14 +68,21 @@ def target_branch(pushes: DataFrame, watch) -> DataFrame:
     return pushes.join(watch.select("repo", "branch").distinct(), ["repo", "branch"], "left_semi")
 
 
-def rate_limit(events: DataFrame, n: int = 60, window: str = "1 minute", key_cols=("source",),
-               ts_col: str = "ts") -> DataFrame:
-    """Batch form: at most ``n`` accepted per key and tumbling window (the
-    first ``n`` by time). Exact restart-at-first-request windows are kept by
-    ``rate_limit_stream`` with keyed state."""
-    w = F.window(F.col(ts_col), window)
-    win = Window.partitionBy(*key_cols, w).orderBy(ts_col, *[c for c in events.columns if c not in (ts_col,)][:1])
-    return events.withColumn("_r", F.row_number().over(win)).where(F.col("_r") <= n).drop("_r")
+def rate_limit_tumbling(events: DataFrame, n: int = 60, window: str = "1 minute", key_cols=("source",),
+                        ts_col: str = "ts", salts: int = 64) -> DataFrame:
+    """Batch approximation with clock-aligned windows: the first ``n`` by time
+    per key and window. The limiter proper, whose window starts at the first
+    request after expiry, is ``rate_limit_stream``. Ranked inside (key, window,
+    salt) first, so one busy source is ranked by many tasks."""
+    rest = [c for c in events.columns if c != ts_col][:1]
+    out = events.withColumn("_w", F.window(F.col(ts_col), window).start).withColumn("_salt", F.pmod(F.xxhash64(ts_col, *rest), F.lit(salts)))
+    for keys in ([*key_cols, "_w", "_salt"], [*key_cols, "_w"]):
+        win = Window.partitionBy(*keys).orderBy(ts_col, *rest)
+        out = out.withColumn("_r", F.row_number().over(win)).where(F.col("_r") <= n)
+    return out.drop("_r", "_w", "_salt")
+
+
+rate_limit = rate_limit_tumbling
 
 
 def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: int = 60, key: str = "source",
@@ -94,25 +106,25 @@ def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: int = 60,
             state.remove()
             return
         used, end = (state.get if state.exists else (0, float("-inf")))
+        # the request times decide (16 bytes a request); the rows stay in their Arrow chunks
         chunks = [p for p in pdfs if len(p)]
         if not chunks:
             return
-        # a key's rows of one micro-batch may come in several Arrow chunks
-        pdf = pd.concat(chunks).sort_values([ts_col] + [c for c in chunks[0].columns if c != ts_col][:1])
-        keep = []
-        for t in pdf[ts_col]:
+        tie = [c for c in chunks[0].columns if c != ts_col][:1]
+        keys = pd.concat([p[[ts_col, *tie]].assign(_chunk=i, _row=range(len(p))) for i, p in enumerate(chunks)]).sort_values([ts_col, *tie])
+        keep = [[False] * len(p) for p in chunks]
+        for t, i, r in zip(keys[ts_col], keys["_chunk"], keys["_row"]):
             sec = pd.Timestamp(t).timestamp()
             if sec > end:
                 used, end = 0, sec + window_seconds
-            ok = used < n
-            used += 1 if ok else 0
-            keep.append(ok)
-        outs = [pdf[keep]]
+            if used < n:
+                used += 1
+                keep[i][r] = True
         state.update((used, end))
         state.setTimeoutTimestamp(int(end * 1000))
-        for o in outs:
-            if len(o):
-                yield o
+        for p, k in zip(chunks, keep):
+            if any(k):
+                yield p[k]
 
     return (events.withWatermark(ts_col, watermark).groupBy(key)
             .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
@@ -142,53 +154,79 @@ def head_changes(observations: DataFrame, key_cols=("repo", "branch"), ts_col: s
             .drop("_bucket", "_prev_in", "_rn", "_prev_bucket"))
 
 
-def _ip_to_long(c: Column) -> Column:
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
+
+
+def _ipv4_number(c: Column) -> Column:
+    """Number of a dotted address (no leading zeros, each part at most 255), NULL for other text."""
     parts = F.split(c, r"\.")
-    return (parts[0].cast("long") * 16777216 + parts[1].cast("long") * 65536
-            + parts[2].cast("long") * 256 + parts[3].cast("long"))
+    value = parts[0].try_cast("long")
+    for k in (1, 2, 3):
+        value = value * 256 + F.get(parts, F.lit(k)).try_cast("long")
+    return F.when(c.rlike(_IPV4), value)
 
 
-def cidr_table(spark):
-    """The private blocks as numeric ranges (IPv4) and normalised prefixes (IPv6)."""
-    rows = []
-    for c in PRIVATE_CIDRS:
-        net = ipaddress.ip_network(c)
+def _ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address (``::`` expanded, an IPv4 tail read as two groups), NULL for other text."""
+    s = F.lower(ip)
+    tail = F.regexp_extract(s, r"(?::)([0-9]+\.[0-9.]+)\z", 1)
+    number = _ipv4_number(tail)
+    hexed = F.lower(F.concat(F.conv(F.floor(number / 65536).cast("string"), 10, 16), F.lit(":"), F.conv((number % 65536).cast("string"), 10, 16)))
+    s = F.when(tail == "", s).otherwise(F.concat(F.substr(s, F.lit(1), F.length(s) - F.length(tail)), hexed))
+    gap = s.contains("::")
+    shape = s.rlike(r"\A(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?\z")
+    halves = F.split(s, "::", 2)
+    left = F.filter(F.split(halves[0], ":"), lambda x: x != "")
+    right = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda x: x != "")
+    n = F.size(left) + F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - n, F.lit(0))), right)
+    ok = shape & s.contains(":") & F.when(gap, n <= 7).otherwise(n == 8)
+    return F.when(ok, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
+
+
+def _in_private_blocks(v4: Column, groups: Column) -> Column:
+    inside = F.lit(False)
+    for cidr in PRIVATE_CIDRS:
+        net = ipaddress.ip_network(cidr)
         if net.version == 4:
-            rows.append((c, 4, int(net.network_address), int(net.broadcast_address), None))
+            inside = inside | v4.between(int(net.network_address), int(net.broadcast_address))
         else:
-            bits = bin(int(net.network_address))[2:].zfill(128)[: net.prefixlen]
-            rows.append((c, 6, None, None, bits))
-    return spark.createDataFrame(rows, "cidr string, v int, lo long, hi long, prefix_bits string")
+            low, high = int(net.network_address), int(net.broadcast_address)
+            fit = v4.isNull()
+            for k in range(8):  # both ends agree up to the prefix, so the groups are tested one by one
+                a, b = low >> (112 - 16 * k) & 0xFFFF, high >> (112 - 16 * k) & 0xFFFF
+                if (a, b) != (0, 0xFFFF):
+                    fit = fit & F.get(groups, F.lit(k)).between(a, b)
+            inside = inside | F.coalesce(fit, F.lit(False))
+    return F.coalesce(inside, F.lit(False))
 
 
 def private_address(ips: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """Add ``private``: membership in one of the 8 private / loopback /
-    link-local blocks. IPv4: range join on the numeric address against the
-    8-row table (broadcast, fixed size); IPv6: bit-prefix test."""
-    spark = ips.sparkSession
-    cidrs = F.broadcast(cidr_table(spark))
+    """Add ``private``: membership in the private, loopback and link-local
+    blocks; False for text that is no address. The blocks are literal ranges:
+    no join. A mapped IPv4 address (::ffff:a.b.c.d) counts as that address."""
     ip = F.col(ip_col)
-    is_v4 = ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    num = F.when(is_v4, _ip_to_long(ip))
-    v6bits = _ipv6_bits(ip)
-    base = ips.withColumn("_num", num).withColumn("_bits", F.when(~is_v4, v6bits))
-    j = base.join(cidrs, ((cidrs.v == 4) & (base._num >= cidrs.lo) & (base._num <= cidrs.hi))
-                  | ((cidrs.v == 6) & base._bits.startswith(cidrs.prefix_bits)), "left")
-    # the blocks are disjoint: at most one match per address, no aggregation
-    return j.select(*[base[c] for c in ips.columns], F.col("cidr").isNotNull().alias("private"))
-
-
-def _ipv6_bits(ip: Column) -> Column:
-    """128-character bit string of an IPv6 address (``::`` expanded)."""
-    s = F.lower(ip)
-    halves = F.split(s, "::", 2)
-    left = F.when(F.size(halves) > 0, F.filter(F.split(halves[0], ":"), lambda x: x != ""))
-    right = F.when(F.size(halves) > 1, F.filter(F.split(halves[1], ":"), lambda x: x != "")).otherwise(F.array())
-    nfill = 8 - F.size(left) - F.size(right)
-    groups = F.when(F.size(halves) > 1,
-                    F.concat(left, F.array_repeat(F.lit("0"), F.greatest(nfill, F.lit(0))), right)).otherwise(left)
-    bits = F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0"))
-    return F.array_join(bits, "")
+    mapped = F.forall(F.slice("_g", 1, 5), lambda g: g == 0) & (F.get("_g", F.lit(5)) == 65535)
+    v4 = F.coalesce(_ipv4_number(ip), F.when(mapped, F.get("_g", F.lit(6)) * 65536 + F.get("_g", F.lit(7))))
+    # each step is used many times in the next one: kept as columns
+    read = ips.withColumn("_g", F.when(ip.contains(":"), _ipv6_groups(ip))).withColumn("_v4", v4)
+    return read.withColumn("private", _in_private_blocks(F.col("_v4"), F.col("_g"))).drop("_g", "_v4")
+
+
+_KEY = "\u001f"
+
+
+def _scan_branches(files: DataFrame, heads: DataFrame, fn) -> DataFrame:
+    """Scan branch-wise files (repo, branch, path, content): repository and
+    branch travel as one key through the scan, then ``heads`` (one row per repo
+    and branch) joins on both."""
+    if "branch" not in files.columns:
+        raise ValueError("files_for must return the branch of every file")
+    keyed = files.withColumn("repo", F.concat_ws(_KEY, "repo", "branch")).drop("branch")
+    found = fn(keyed)
+    parts = F.split("repo", _KEY)
+    return found.withColumn("branch", parts[1]).withColumn("repo", parts[0]).join(heads, ["repo", "branch"])
 
 
 def incremental_scan(changes: DataFrame, files_for, sink_dir: str, checkpoint: str,
@@ -196,8 +234,8 @@ def incremental_scan(changes: DataFrame, files_for, sink_dir: str, checkpoint: s
     """Stream of accepted pushes / HEAD changes -> per micro-batch scan of the
     changed branches -> stamped findings written under ``sink_dir``.
 
-    ``files_for(batch_df)`` returns the file table for the batch's
-    (repo, branch) rows; ``scan_fn(files)`` (default: the flagship scan)
+    ``files_for(batch_df)`` returns the files (repo, branch, path, content) of
+    the batch's (repo, branch) rows; ``scan_fn(files)`` (default: the flagship scan)
     returns findings. The write is keyed by batch id (idempotent on replay);
     the checkpoint advances only after the batch succeeded, so a failed scan
     is retried at the next trigger.
@@ -208,9 +246,8 @@ def incremental_scan(changes: DataFrame, files_for, sink_dir: str, checkpoint: s
     def run(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
-        files = files_for(batch)
-        findings = fn(files).join(batch.select("repo", "branch", "ts").groupBy("repo", "branch")
-                                  .agg(F.max("ts").alias("scan_ts")), "repo")
+        heads = batch.groupBy("repo", "branch").agg(F.max("ts").alias("scan_ts"))
+        findings = _scan_branches(files_for(batch), heads, fn)
         (findings.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "repo", "branch").parquet(sink_dir))
@@ -221,6 +258,16 @@ def incremental_scan(changes: DataFrame, files_for, sink_dir: str, checkpoint: s
     return w.trigger(processingTime=f"{max(trigger_seconds, 30)} seconds")
 
 
+def _drop_versions(spark, state_dir: str, before: int) -> None:
+    """Remove state versions older than the last one below ``before`` + 1."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("batch_id=")]
+    old = sorted((int(p.getName().split("=")[1]), p) for p in names if int(p.getName().split("=")[1]) <= before)
+    for _, p in old[:-1]:
+        fs.delete(p, True)
+
+
 def monitor_heads(observations: DataFrame, files_for, sink_dir: str, state_dir: str, checkpoint: str,
                   trigger_seconds: int = 30, scan_fn=None, available_now: bool = False):
     """Polling monitor as a stream: observations (repo, branch, ts, sha) ->
@@ -228,7 +275,7 @@ def monitor_heads(observations: DataFrame, files_for, sink_dir: str, state_dir:
     scanned* SHA.
 
     The branch state is a small table (one row per repo/branch) versioned by
-    batch id under ``state_dir``. Inside one ``foreachBatch`` call the batch's
+    batch id under ``state_dir``; versions no retry can need are removed. Inside one ``foreachBatch`` call the batch's
     changes are found against the previous state version, the changed
     branches are scanned and written, and only then the next state version is
     written; a failed batch leaves the state untouched, so the change is
@@ -254,8 +301,7 @@ def monitor_heads(observations: DataFrame, files_for, sink_dir: str, state_dir:
             return
         spark = batch.sparkSession
         # last observation per branch in this batch
-        w = Window.partitionBy(*keys).orderBy(F.col("ts").desc())
-        latest = batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, "ts", "sha")
+        latest = batch.groupBy(*keys).agg(F.max("ts").alias("ts"), F.max_by("sha", F.struct("ts", "sha")).alias("sha"))
         prev = previous_state(spark, batch_id)
         if prev is None:
             changed = latest
@@ -266,14 +312,15 @@ def monitor_heads(observations: DataFrame, files_for, sink_dir: str, state_dir:
             new_state = (p.join(latest.select(*keys, "sha"), keys, "full")
                          .select(*keys, F.coalesce(F.col("sha"), F.col("_prev")).alias("sha")))
         if not changed.isEmpty():
-            files = files_for(changed)
-            findings = fn(files).join(changed.select("repo", "branch", F.col("ts").alias("scan_ts"),
-                                                     F.col("sha").alias("head_sha")), "repo")
+            heads = changed.select("repo", "branch", F.col("ts").alias("scan_ts"), F.col("sha").alias("head_sha"))
+            findings = _scan_branches(files_for(changed), heads, fn)
             (findings.withColumn("batch_id", F.lit(batch_id))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id", "repo", "branch").parquet(sink_dir))
         (new_state.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(state_dir))
+        # a retry of this batch needs the version before it; older ones go
+        _drop_versions(spark, state_dir, batch_id - 1)
 
     w = observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from scanforge.operators.findings import finding_stats, gate, verdict
 from scanforge.operators.rules import normalize_rules
+from tests.conftest import files_df
 
 
 def test_stats_verdict_gate(spark):
@@ -31,9 +32,8 @@ def test_normalize_rules(spark):
 
 def test_stop_at_overlong_line_standalone(spark):
     from scanforge.operators.sast import stop_at_overlong_line
-    rows = [("r", "a", 1, "x"), ("r", "a", 2, "y" * 50), ("r", "a", 3, "z"), ("r", "b", 1, "ok")]
-    lines = spark.createDataFrame(rows, "repo string, path string, line_no int, line string")
-    kept = sorted((r.path, r.line_no) for r in stop_at_overlong_line(lines, limit=50).collect())
+    files = files_df(spark, [("a", "x\n" + "y" * 50 + "\nz"), ("b", "ok")])
+    kept = sorted((r.path, r.line_no) for r in stop_at_overlong_line(files, limit=50).collect())
     assert kept == [("a", 1), ("b", 1)]
 
 

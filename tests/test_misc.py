@@ -60,9 +60,12 @@ def test_cache_lookup(spark):
         ("unsigned", now - dt.timedelta(days=1), 168, resp, ""),
     ], "key string, created timestamp, ttl_hours int, response string, integrity string")
     items = spark.createDataFrame([(k,) for k in ["fresh", "expired", "tampered", "unsigned", "none"]], "cache_key string")
-    hits, misses = cache_lookup(items, cache, now, integrity_key="k")
-    assert sorted(r.cache_key for r in hits.collect()) == ["fresh", "unsigned"]
-    assert sorted(r.cache_key for r in misses.collect()) == ["expired", "none", "tampered"]
+    again = cache.where("key = 'fresh'").withColumn("response", F.lit("older")).withColumn("created", F.col("created") - F.expr("INTERVAL 1 DAY")).withColumn(
+        "integrity", F.lit(""))
+    found = cache_lookup(items, cache.unionByName(again), now, integrity_key="k").collect()
+    assert sorted(r.cache_key for r in found if r.hit) == ["fresh", "unsigned"]  # two valid entries of a key give one row
+    assert sorted(r.cache_key for r in found if not r.hit) == ["expired", "none", "tampered"]
+    assert {r.cached_response for r in found if r.hit} == {resp}
 
 
 def test_clean_response(spark):
@@ -70,7 +73,9 @@ def test_clean_response(spark):
     out = spark.createDataFrame([(raw,)], "t string").select(clean_response("t")).collect()[0][0]
     assert out == "Step 1\n\nStep 2"
     long = ("x" * 99 + "\n") * 40
-    out = spark.createDataFrame([(long,)], "t string").select(clean_response("t")).collect()[0][0]
+    df = spark.createDataFrame([(long,)], "t string")
+    assert df.select(clean_response("t")).collect()[0][0] == long.strip()
+    out = df.select(clean_response("t", max_bytes=3000)).collect()[0][0]
     assert out.endswith("[... output truncated]") and len(out.encode()) < 3100
 
 

@@ -83,7 +83,7 @@ def test_monitor_heads_advances_after_scan(spark, tmp_path):
                                   "repo string, path string, content string")
 
     def files_for(changed):
-        return files.join(changed.select("repo").distinct(), "repo", "left_semi")
+        return files.join(changed.select("repo", "branch").distinct(), "repo")
 
     def run_once():
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(obs_dir))
@@ -118,7 +118,7 @@ def test_incremental_scan_replay_is_idempotent(spark, tmp_path):
                                   "repo string, path string, content string")
 
     def files_for(batch):
-        return files.join(batch.select("repo").distinct(), "repo", "left_semi")
+        return files.join(batch.select("repo", "branch").distinct(), "repo")
 
     def run():
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
@@ -133,3 +133,36 @@ def test_incremental_scan_replay_is_idempotent(spark, tmp_path):
     assert run() == first                                  # replay: nothing new, nothing duplicated
     spark.createDataFrame([("r2", t0, '{"ref": "refs/heads/main"}')], schema).write.parquet(str(src / "p1"))
     assert run() == [(0, "r1", "PY-007"), (1, "r2", "PY-009")]
+
+
+def test_newline_and_trailing_text_are_rejected(spark):
+    from scanforge.streaming.monitor import valid_branch, valid_repo
+    df = spark.createDataFrame([("main",), ("main\n",), ("a/b",), ("a/b\n",)], "s string")
+    rows = df.select("s", valid_branch("s").alias("b"), valid_repo("s").alias("r")).collect()
+    assert {r.s for r in rows if r.b} == {"main", "a/b"} and {r.s for r in rows if r.r} == {"a/b"}
+    bodies = ['{"ref":"refs/heads/main"}', '{"ref":"refs/heads/main"} xx', '{"ref":"refs/heads/main\\n"}', '{"ref":["refs/heads/main"]}', "1],[2",
+              '1},{"p":2', "", '{"ref":"refs/heads/' + "a" * 255 + '"}', '{"ref":"refs/heads/' + "a" * 256 + '"}']
+    p = spark.createDataFrame(list(enumerate(bodies)), "i int, payload string")
+    assert sorted(r.i for r in push_branch(p).collect()) == [0, 7]
+
+
+def test_private_address_by_hand(spark):
+    from scanforge.streaming.monitor import private_address
+    cases = {"10.0.0.1": True, "10.0.0.256": False, "010.0.0.1": False, "10.0.0.1\n": False, "172.15.0.1": False, "172.31.255.255": True,
+             "::ffff:10.0.0.1": True, "::ffff:127.0.0.1": True, "::ffff:8.8.8.8": False, "::FFFF:A00:1": True, "fd00": False, "fd00::": True, "::1": True,
+             "::2": False, "::": False, "fe80::1:2:3:4": True, "febf::1": True, "fec0::1": False, "1:2:3:4:5:6:7:8:9": False, "fc00:::1": False,
+             "fc00::1::2": False, "": False, "2001:db8::1": False, "64:ff9b::10.0.0.1": False, "1:2:3:4:5:6:7": False, "fc00:1:2:3:4:5:6:7": True}
+    df = spark.createDataFrame([(k,) for k in cases], "ip string")
+    assert {r.ip: r.private for r in private_address(df).collect()} == cases
+
+
+def test_branches_of_one_batch_keep_their_own_files(spark, tmp_path):
+    import datetime as dt
+
+    from scanforge.streaming.monitor import _scan_branches
+    files = spark.createDataFrame([("r", "main", "a.py", "pickle.loads(x)"), ("r", "dev", "b.js", "eval(x)")],
+                                  "repo string, branch string, path string, content string")
+    heads = spark.createDataFrame([("r", "main", dt.datetime(2026, 1, 1)), ("r", "dev", dt.datetime(2026, 1, 1))], "repo string, branch string, scan_ts timestamp")
+    from scanforge.plans.scan import scan
+    got = sorted({(r.repo, r.branch, r.file) for r in _scan_branches(files, heads, scan).collect()})
+    assert got == [("r", "dev", "b.js"), ("r", "main", "a.py")]

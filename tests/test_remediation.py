@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from scanforge.functions.text import cache_key
+from scanforge.functions.text import cache_key, cache_key_short
 from scanforge.operators.remediation import attach_remediation, remediation_worklist, render_prompt
 
 
@@ -10,14 +10,16 @@ def test_cache_key_matches_python(spark):
     parts = ["prov", "model", "PY-001", "HIGH", "code\nline"]
     df = spark.createDataFrame([tuple(parts)], "a string, b string, c string, d string, e string")
     got = df.select(cache_key("a", "b", "c", "d", "e")).collect()[0][0]
-    assert got == hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+    assert got == hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    assert df.select(cache_key_short(cache_key("a", "b", "c", "d", "e"))).collect()[0][0] == got[:16]
 
 
 def test_worklist_top_five_leaks(spark):
     rows = [("r", "SAST", "PY-1", "HIGH", "a.py", 1), ("r", "SAST", "PY-2", "LOW", "a.py", 2)]
     rows += [("r", "Leaks", f"LEAK-{i}", "CRITICAL" if i % 2 else "HIGH", f"f{i}.env", i) for i in range(8)]
     f = spark.createDataFrame(rows, "repo string, engine string, rule_id string, severity string, file string, line int")
-    w = remediation_worklist(f).collect()
+    assert sum(r.engine == "Leaks" for r in remediation_worklist(f).collect()) == 8
+    w = remediation_worklist(f, max_leaks=5).collect()
     assert sum(r.engine == "SAST" for r in w) == 1
     leaks = sorted(r.rule_id for r in w if r.engine == "Leaks")
     # CRITICAL first (f1, f3, f5, f7), then the first HIGH by file (f0)

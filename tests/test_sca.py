@@ -93,7 +93,66 @@ def test_normalize_advisory(spark):
          '"affected":[{"ranges":[{"events":[{"introduced":"0"},{"fixed":""},{"fixed":"2.0"}]}]}]}')
     r = sca.normalize_advisory(spark.createDataFrame([(j,)], "json string")).collect()[0]
     assert (r.cve, r.fixed, r.cvss, r.severity) == ("CVE-2021-1", "2.0", 9.0, "CRITICAL")
-    assert r.description == "d" * 200 + "..."
+    assert r.description == "d" * 250 and r.short_description == "d" * 200 + "..."
+
+
+def test_versions_by_hand(spark):
+    """(version, introduced, fixed, last_affected, affected)."""
+    cases = [("1.2", "1.2.0", "2.0.0", None, True), ("2.0", "1.2.0", "2.0.0", None, False), ("1.2.0", "1.2", "2.0", None, True), ("1.10.0", "1.9", "1.11", None, True),
+             ("1.0.0-rc1", "1.0.0", "2.0.0", None, False), ("2.0.0-rc1", "1.0.0", "2.0.0", None, True), ("2.0.0rc1", "1.0", "2.0", None, True), ("v1.5.0", "1.5", None, None, True),
+             ("1.5.1", "0", None, "1.5.0", False), ("1.5", "0", None, "1.5.0", True), ("1.0.0-rc2", "1.0.0-rc10", None, None, False), ("31.1-jre", "31.1", "32.0", None, True),
+             ("1.0.0+build5", "1.0.0", "1.0.1", None, True), ("0.0.0", "0", "0.0.1", None, True), ("20240101.1", "0", "99999999999999999999", None, True)]
+    deps = spark.createDataFrame([("r", f"p{i}", v, "npm", "f") for i, (v, *_) in enumerate(cases)], sca.DEPS_SCHEMA)
+    adv = spark.createDataFrame([(f"A{i}", f"p{i}", "npm", a, b, c) for i, (_, a, b, c, _) in enumerate(cases)],
+                                "id string, name string, ecosystem string, introduced string, fixed string, last_affected string")
+    got = {r.package_name for r in sca.match_advisories(deps, adv).collect()}
+    assert got == {f"p{i}" for i, c in enumerate(cases) if c[-1]}
+
+
+def test_advisory_documents(spark):
+    doc = ('{"id":"A","aliases":["CVE-1"],"summary":"s","affected":[{"package":{"name":"p","ecosystem":"PyPI"},"ranges":[{"type":"ECOSYSTEM","events":['
+           '{"introduced":"0"},{"fixed":"1.0"},{"introduced":"2.0"},{"last_affected":"2.5"},{"introduced":"4"}]},{"type":"GIT","events":[{"introduced":"0"}]}]},'
+           '{"package":{"name":"q","ecosystem":"PyPI"},"versions":["7.7","7.8"]}]}')
+    raw = spark.createDataFrame([(doc,), ("broken",)], "json string")
+    rows = {(r.name, r.introduced, r.fixed, r.last_affected) for r in sca.explode_advisories(raw).collect()}
+    assert rows == {("p", "0", "1.0", None), ("p", "2.0", None, "2.5"), ("p", "4", None, None), ("q", None, None, None)}
+    files = files_df(spark, [("requirements.txt", "p==0.9\np==1.0\np==2.5\np==3.0\np==4.1\nq==7.7\nq==7.9\n"), ("skip/requirements.txt", "p==0.1")])
+    found = sca.sca_scan(files, raw, extra_ignores=["skip"]).collect()
+    assert sorted((r.package_name, r.package_version) for r in found) == [("p", "0.9"), ("p", "2.5"), ("p", "4.1"), ("q", "7.7")]
+    assert {r.cve for r in found} == {"CVE-1"}
+
+
+def test_json_manifest_types(spark):
+    def names(text, path="package.json"):
+        return sorted((r.name, r.version) for r in sca.dependency_inventory(files_df(spark, [(path, text)])).collect())
+    assert names('{"dependencies": {"a": "^1.0"}, "devDependencies": {"b": "~2"}}') == [("a", "1.0"), ("b", "2")]
+    assert names('{"Dependencies": {"a": "1"}}') == [("a", "1")]
+    assert names('{"dependencies": {"a": "1", "b": {"x": 1}}}') == [] and names('{"dependencies": {"a": "1", "c": 3}}') == []
+    assert names('{"dependencies": {"a": "1"}, "devDependencies": ["b"]}') == []
+    assert names('{"dependencies": {"a": null}, "devDependencies": null}') == [("a", "")]
+    assert names("not json") == [] and names("") == []
+    assert names('{"require": {"php": ">=8", "x/y": "^2"}}', "composer.json") == [("x/y", "2")]
+
+
+def test_pubspec_shapes(spark):
+    text = ("name: app\nversion: 1.0.0\nenvironment:\n  sdk: '>=3.0.0'\ndependencies:\n  flutter:\n    sdk: flutter\n  http: ^1.2.0  # net\n"
+            "  path: '>=1.8.0 <2.0.0'\n  \"quoted\": \"~> 3.1\"\n  any_one: any\n  number: 2\n  local:\n    path: ../local\n  flow: {git: x}\n  empty:\n"
+            "# comment\n\ndev_dependencies: {lints: ^3.0.0, test: any}\nother:\n  nope: 1.0.0\n")
+    got = sorted((r.name, r.version) for r in sca.deps_pubspec(files_df(spark, [("pubspec.yaml", text)])).collect())
+    assert got == [("any_one", "any"), ("empty", ""), ("flow", ""), ("http", "1.2.0"), ("lints", "3.0.0"), ("local", ""), ("number", ""),
+                   ("path", "1.8.0 <2.0.0"), ("quoted", "3.1"), ("test", "any")]
+
+
+def test_building_a_plan_runs_no_job(spark):
+    """No job and no cached table before an action."""
+    from scanforge.plans.scan import scan
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "building plans")
+    files = files_df(spark, [("requirements.txt", "p==0.9"), ("a.py", "eval(x)")])
+    blobs = spark.createDataFrame([("r", "c", 1, "a.py", "x")], "repo string, commit_hash string, commit_seq long, path string, content string")
+    scan(files, blobs=blobs)
+    sca.dependency_inventory(sca.find_manifests(files))
+    assert list(tracker.getJobIdsForGroup("plan-only")) == []
 
 
 def test_strict_manifest_flags(spark):

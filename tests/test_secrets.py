@@ -91,7 +91,8 @@ def test_history_dedup_first_commit(spark):
     rows.append(("r", "c%012d" % 9, 9, "img/a.png", "key = " + AWS))
     b = spark.createDataFrame(rows, "repo string, commit_hash string, commit_seq long, path string, content string")
     h = history_scan(b).collect()
-    assert [(r.file, r.commit_hash, r.in_git_history) for r in h] == [("src/a.py", "c0000000", True)]
+    assert [(r.file, r.commit_hash, r.in_git_history) for r in h] == [("src/a.py", "c000000000000", True)]
+    assert h[0].commit_short == "c0000000"
 
 
 def test_history_commit_cap(spark):
@@ -109,10 +110,21 @@ def test_redact_corpus(spark):
     assert AWS not in out and out.startswith("x\nkey = ***REDACTED***")
 
 
-def test_history_commit_cap_without_broadcast(spark, monkeypatch):
-    from scanforge.operators import secrets
-    monkeypatch.setattr(secrets, "MAX_BROADCAST_REPOS", 0)
-    rows = [("r", "c%012d" % i, i, f"f{i}.py", "key = " + AWS) for i in range(5)]
-    b = spark.createDataFrame(rows, "repo string, commit_hash string, commit_seq long, path string, content string")
-    files = sorted(r.file for r in secrets.history_scan(b, max_commits=2).collect())
-    assert files == ["f3.py", "f4.py"]
+def test_ignore_patterns_with_classes(spark):
+    lines = ["[!a].env", "x[0-9].key", "a[", "lit\\*.txt", "q?.md"]
+    pats = spark.createDataFrame([("r", i, p) for i, p in enumerate(lines)], "repo string, ord int, pattern string")
+    cases = {"b.env": True, "a.env": False, "x1.key": True, "xa.key": False, "a[": False, "a": False, "lit*.txt": True, "litx.txt": False, "q1.md": True, "q.md": False}
+    paths = spark.createDataFrame([("r", p) for p in cases], "repo string, path string")
+    assert {r.path: r.ignored for r in gitignore_match(paths, pats).collect()} == cases
+
+
+def test_nothing_is_cut_by_default(spark):
+    from scanforge.plans.scan import scan
+    key = "key = " + AWS
+    files = files_df(spark, [("long.js", "x" * 70000 + "\neval(z)\n"), ("wide.env", "p" * 12000 + " " + key), ("big.env", "#\n" * 3_000_000 + key),
+                             ("tail.py", "a" * 9000 + "\n" + key)])
+    found = {(r.file, r.rule_id) for r in scan(files).collect()}
+    assert ("long.js", "JS-001") in found
+    assert {f for f, r in found if r.startswith("LEAK")} >= {"wide.env", "big.env", "tail.py"}
+    capped = {r.file for r in leak_scan(files, max_bytes=5 * 1024 * 1024, line_cap=10000).collect()}
+    assert capped == {"tail.py"}

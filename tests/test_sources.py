@@ -58,22 +58,33 @@ def test_is_binary(spark):
              ("\x01" * 31 + "a" * 69, True),      # 31 % non-printable
              ("\x01" * 30 + "a" * 70, False),     # exactly 30 % is not more than 30
              ("\t\r\n" * 10, False),
-             ("a" * 9000 + "\x00", False)]        # NUL beyond the first 8000 bytes
+             ("a" * 9000 + "\x00", True)]         # all bytes count
     df = spark.createDataFrame([(s,) for s, _ in cases], "s string")
     got = [r[0] for r in df.select(is_binary(F.col("s"))).collect()]
     assert got == [e for _, e in cases]
 
 
-def test_ensure_parallelism_by_file_count(spark, tmp_path):
-    from scanforge.sources.files import ensure_parallelism
-    one, many = str(tmp_path / "one"), str(tmp_path / "many")
-    spark.range(1000).coalesce(1).write.parquet(one)
-    spark.range(1000).repartition(12).write.parquet(many)
-    a = ensure_parallelism(spark.read.parquet(one), 6)
-    b = ensure_parallelism(spark.read.parquet(many), 6)
-    assert "Exchange" in a._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in b._jdf.queryExecution().executedPlan().toString()
-    assert a.count() == b.count() == 1000
+def test_is_binary_on_raw_bytes(spark, tmp_path):
+    from scanforge.sources.files import is_binary, is_binary_bytes, read_corpus
+    df = spark.createDataFrame([(bytearray(b"\x01" * 40 + b"\xff" * 60),), (bytearray(b"\x01" * 30 + b"\xff" * 70),), (bytearray(),)], "b binary")
+    assert [r[0] for r in df.select(is_binary_bytes(F.col("b"))).collect()] == [True, False, False]
+    one = spark.createDataFrame([("a" * 9000 + "\x00",)], "s string")
+    assert one.select(is_binary(F.col("s"), sample_bytes=8000)).collect()[0][0] is False
+    for name, data in {"r1/a.py": b"x=1\n", "r1/bin.json": b"\x01" * 40 + b"\xff" * 60, "r1/node_modules/m.js": b"x", "r2/sub/B.PY": b"y", "r2/pic.png": b"\x00",
+                       "r2/go.mod": b"module x\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = read_corpus(spark, str(tmp_path), repo_depth=1).collect()
+    assert {(r.repo, r.path, r.binary) for r in rows} == {("r1", "a.py", False), ("r1", "bin.json", True), ("r2", "sub/B.PY", False), ("r2", "go.mod", False)}
+    assert len(read_corpus(spark, str(tmp_path), admitted_only=False).collect()) == 6
+
+
+def test_tables_are_read_as_they_are_split(spark, tmp_path):
+    from scanforge.sources.files import spread
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(spread(spark.read.parquet(path))) and "Exchange" in plan(spread(spark.read.parquet(path), 6))
 
 
 def test_explode_lines_keeps_pieces(spark):
@@ -81,3 +92,5 @@ def test_explode_lines_keeps_pieces(spark):
     df = spark.createDataFrame([("r", "a", "x\r\ny\n")], "repo string, path string, content string")
     got = [(r.line_no, r.line) for r in explode_lines(df).orderBy("line_no").collect()]
     assert got == [(1, "x\r"), (2, "y"), (3, "")]
+    got = [(r.line_no, r.line) for r in explode_lines(df, final_empty=False).orderBy("line_no").collect()]
+    assert got == [(1, "x\r"), (2, "y")]
