@@ -1401,6 +1401,16 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _event_stream(spark, sf, *cols):
+    """The events as a stream of two files, one micro-batch each: the second batch meets the state of the first."""
+    folder = _scratch(spark, "events")
+    early = V.table(spark, sf, "events").select(*cols)
+    for k in (0, 1):
+        early.where(F.col("event_id") % 2 == k).coalesce(1).write.parquet(f"{folder}/part={k}")
+    return (spark.readStream.schema(early.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+            .parquet(folder))
+
+
 @register("incremental_scan", _SCAN_SQL + """, pushed AS (SELECT DISTINCT 'repo' || (user_id % 20) AS repo FROM events
   WHERE event_type = 'click')
 SELECT repo, engine, rule_id, file, line FROM all_findings WHERE engine <> 'SCA' AND repo IN (SELECT repo FROM pushed)""")
@@ -1408,8 +1418,7 @@ def q_incremental_scan(spark, sf):
     """Push events arrive as a file stream; each micro-batch keeps pushes to
     the watched branch and scans those repositories' files in foreachBatch."""
     from scanforge.streaming.monitor import incremental_scan, push_branch, target_branch
-    events = V.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = _event_stream(spark, sf, "event_id", "ts", "user_id", "event_type")
     pushes = stream.select("event_id", "ts", F.concat(F.lit("repo"), (F.col("user_id") % 20).cast("string")).alias("repo"),
                            F.concat(F.lit('{"ref": "'), F.when(F.col("event_type") == "click", "refs/heads/main")
                                     .otherwise("refs/heads/dev"), F.lit('"}')).alias("payload"))
@@ -1422,8 +1431,8 @@ def q_incremental_scan(spark, sf):
     sink, ckpt = _scratch(spark, "incremental-sink"), _scratch(spark, "incremental-ckpt")
     q = incremental_scan(changes, files_for, sink, ckpt, available_now=True).start()
     q.awaitTermination()
-    out = spark.read.parquet(sink)
-    return out.select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))
+    # a repository pushed in both batches was scanned in both
+    return spark.read.parquet(sink).select("repo", "engine", "rule_id", "file", F.col("line").cast("long")).distinct()
 
 
 @register("rate_limit_stream", """WITH RECURSIVE ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS source, epoch(ts) AS t,
@@ -1457,8 +1466,7 @@ def q_monitor_heads(spark, sf):
     """HEAD observations (events as a file stream) -> scans of changed
     branches, branch state advanced after each successful batch."""
     from scanforge.streaming.monitor import monitor_heads
-    events = V.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = _event_stream(spark, sf, "event_id", "ts", "user_id", "props")
     obs = stream.select(F.concat(F.lit("repo"), (F.col("user_id") % 20).cast("string")).alias("repo"),
                         F.lit("main").alias("branch"), F.col("ts"), F.get_json_object("props", "$.k").alias("sha"))
     files = corpus(spark, sf)
@@ -1468,4 +1476,4 @@ def q_monitor_heads(spark, sf):
 
     sink, state, ckpt = _scratch(spark, "heads-sink"), _scratch(spark, "heads-state"), _scratch(spark, "heads-ckpt")
     monitor_heads(obs, files_for, sink, state, ckpt, available_now=True).start().awaitTermination()
-    return spark.read.parquet(sink).select("repo", "engine", "rule_id", "file", F.col("line").cast("long"))
+    return spark.read.parquet(sink).select("repo", "engine", "rule_id", "file", F.col("line").cast("long")).distinct()

@@ -3,6 +3,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
+from tests.conftest import files_df
 from scanforge.functions.text import hmac_sha256_hex
 from scanforge.operators.remediation import cache_lookup, clean_response
 from scanforge.operators.rules import load_rules
@@ -93,3 +94,42 @@ def test_load_rules_rejects_non_re2(spark, tmp_path):
     rules, errors = load_rules(spark, str(tmp_path))
     assert [r.rule_id for r in rules.collect()] == ["OK"]
     assert [e.rule_id for e in errors.collect()] == ["LA"]
+
+
+def test_load_rules_translates_re2(spark, tmp_path):
+    from scanforge.operators.rules import builtin_rules, merge_rules
+    from scanforge.operators.sast import sast_scan
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "r.yml").write_text(
+        "rules:\n  - {id: N, language: js, pattern: '(?P<n>eval)\\('}\n  - {id: C, language: js, pattern: 'x[a[]'}\n"
+        "  - {id: P, language: js, pattern: '[[:alpha:]]{9}'}\n  - {id: L, language: js, pattern: 'q(?i)Z\\pL'}\n"
+        "  - {id: W, language: js, pattern: '^\\W\\S$'}\n  - {id: BAD, pattern: 'a(b'}\n  - {id: REF, pattern: '(a)\\1'}\n")
+    rules, errors = load_rules(spark, str(tmp_path))
+    assert sorted(e.rule_id for e in errors.collect()) == ["BAD", "REF"]
+    files = files_df(spark, [("a.js", "eval(\nx[\nabcdefghi\nqzé\n-x\nnone")])
+    got = {(r.rule_id, r.line) for r in sast_scan(files, merge_rules(builtin_rules(spark), rules)).collect() if len(r.rule_id) == 1}
+    assert got == {("N", 1), ("C", 2), ("P", 3), ("L", 4), ("W", 5)}
+
+
+def test_hints_hold_for_every_match(spark):
+    """Literals read off a pattern stand in every line it matches."""
+    from scanforge.functions.regex import literal_hints
+    from scanforge.sources.rule_samples import positive
+    from scanforge.operators.rules import builtin_rule_rows, leak_rule_rows
+    found = 0
+    for p in [r[4] for r in builtin_rule_rows()] + [r[2] for r in leak_rule_rows()]:
+        hints = literal_hints(p)
+        if hints:
+            found += 1
+            assert any(h in positive(p).lower() for h in hints), p
+    assert found > 80
+
+
+def test_every_rule_has_a_line(spark):
+    import re
+
+    from scanforge.operators.rules import builtin_rule_rows, leak_rule_rows
+    from scanforge.sources.rule_samples import positive
+    missing = [r[0] for r in builtin_rule_rows() if "\n" in positive(r[4]) or not re.search(r[4], positive(r[4])) or (r[5] and re.search(r[5], positive(r[4])))]
+    missing += [r[0] for r in leak_rule_rows() if not re.search(r[2], positive(r[2]))]
+    assert missing == ["PY-024"]  # it needs two lines, and lines are matched one by one
