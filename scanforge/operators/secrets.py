@@ -72,6 +72,10 @@ def ignore_patterns_from_files(files: DataFrame, name: str = ".gitignore") -> Da
     return ig.select("repo", "ord", F.col("raw").alias("pattern"))
 
 
+# a range whose first letter stands behind its last one, for every printable ASCII letter
+_REVERSED = "|".join(f"\\x{{{c:x}}}-[\\x{{21}}-\\x{{{c - 1:x}}}]" for c in range(0x22, 0x7F))
+
+
 def glob_to_regex(pattern: Column) -> tuple[Column, Column]:
     """Translate ignore-file lines to (regex over the relative path, negated).
 
@@ -94,6 +98,7 @@ def glob_to_regex(pattern: Column) -> tuple[Column, Column]:
         body = F.regexp_replace(body, plain, mark)
     body = F.regexp_replace(body, r"\\(.)", "$1")
     closed = F.regexp_replace(body, r"\[[!^]?\]?[^\]]*\]", "")
+    reversed_range = body.rlike(r"\[[!^]?\]?[^\]]*(?:" + _REVERSED + ")")  # such a class matches nothing
     body = F.regexp_replace(body, r"\[[!^](\]?[^\]]*)\]", "\uE002$1\uE003")
     body = F.regexp_replace(body, r"\[(\]?[^\]]*)\]", "\uE004$1\uE003")
     body = F.regexp_replace(body, r"([.+(){}|^$\\&~\[\]])", r"\\$1")
@@ -108,7 +113,7 @@ def glob_to_regex(pattern: Column) -> tuple[Column, Column]:
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "\uE002", "[^/"), "\uE004", "["), "\uE003", "]")
     for mark, literal in (("\uE010", r"\\*"), ("\uE011", r"\\?"), ("\uE012", r"\\[")):
         body = F.regexp_replace(body, mark, literal)
-    body = F.when(closed.contains("["), F.lit("(?!)")).otherwise(body)
+    body = F.when(closed.contains("[") | reversed_range, F.lit("(?!)")).otherwise(body)
     tail = F.when(dir_only, F.lit("/")).otherwise(F.lit("(?:/|$)"))
     head = F.when(anchored, F.lit("^")).otherwise(F.lit("(?:^|/)"))
     return F.concat(head, body, tail), neg

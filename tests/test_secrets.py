@@ -111,9 +111,9 @@ def test_redact_corpus(spark):
 
 
 def test_ignore_patterns_with_classes(spark):
-    lines = ["[!a].env", "x[0-9].key", "a[", "lit\\*.txt", "q?.md"]
+    lines = ["[!a].env", "x[0-9].key", "a[", "lit\\*.txt", "q?.md", "[z-a].rev", "[a-Z].rev", "[+--].ok"]
     pats = spark.createDataFrame([("r", i, p) for i, p in enumerate(lines)], "repo string, ord int, pattern string")
-    cases = {"b.env": True, "a.env": False, "x1.key": True, "xa.key": False, "a[": False, "a": False, "lit*.txt": True, "litx.txt": False, "q1.md": True, "q.md": False}
+    cases = {"b.env": True, "a.env": False, "x1.key": True, "xa.key": False, "a[": False, "a": False, "lit*.txt": True, "litx.txt": False, "q1.md": True, "q.md": False, "z.rev": False, "a.rev": False, ",.ok": True}
     paths = spark.createDataFrame([("r", p) for p in cases], "repo string, path string")
     assert {r.path: r.ignored for r in gitignore_match(paths, pats).collect()} == cases
 
