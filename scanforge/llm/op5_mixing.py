@@ -178,7 +178,8 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: tuple = WEIGHTS, share: fl
     spans = F.when(size > 0, F.sequence(F.floor(start / block), F.floor((start + size - 1) / block)))
     parts = rows.withColumn("block", F.explode_outer(spans))
     parts = parts.withColumn("_lo", F.greatest(start, F.col("block") * block)).withColumn("_hi", F.least(start + size, (F.col("block") + 1) * block))
-    used = parts.join(slots, ["_no", "block"], "left")
+    # the planner takes the slots for as small as the table of sources they are made from; they grow with the words
+    used = parts.join(slots.hint("merge"), ["_no", "block"], "left")
     words = F.least(F.col("_hi"), F.col("block") * block + F.coalesce("take", F.lit(0))) - F.col("_lo")
     return used.select("doc_id", "_th", "_no", "_start", "size", "source_size", "target", "shard", "epoch", "slot", "block",
                        (F.col("_lo") - start).alias("first"), F.greatest(F.coalesce(words, F.lit(0)), F.lit(0)).cast("bigint").alias("words"))
