@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scanforge.constants import (DEFAULT_IGNORE_PATHS, EXTENSION_LANGUAGE, IAC_EXTENSION_LANGUAGE,
                                  LEAK_ONLY_EXTENSIONS, MANIFEST_NAMES, MEDIA_EXTENSIONS)
-from scanforge.functions.text import base_name, extension
+from scanforge.functions.text import extension
 
 
 def read_corpus(spark: SparkSession, root: str, repo: str | None = None, max_bytes: int | None = None,

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from scanforge.plans.queries import corpus
 from scanforge.plans.scan import code_findings
 from tests.conftest import SF001
