@@ -202,13 +202,15 @@ def _pubspec(content: Column) -> Column:
     return F.filter(deps, lambda d: ~d["name"].isin("flutter", "sdk"))
 
 
+def _by_name(path_col, values: dict[str, str]) -> Column:
+    """Value by the manifest's base name: one map lookup, so the expression stays small wherever the optimizer repeats it."""
+    pairs = [F.lit(x) for fmt, names in MANIFEST_NAMES.items() if fmt in values for n in names for x in (n, values[fmt])]
+    return F.element_at(F.create_map(*pairs), base_name(F.col(path_col) if isinstance(path_col, str) else path_col))
+
+
 def manifest_format(path_col="path") -> Column:
     """Manifest format from the base name (NULL if not a manifest)."""
-    name = base_name(F.col(path_col) if isinstance(path_col, str) else path_col)
-    out = F.lit(None).cast("string")
-    for fmt, names in MANIFEST_NAMES.items():
-        out = F.when(name.isin(*names), F.lit(fmt)).otherwise(out)
-    return out
+    return _by_name(path_col, {fmt: fmt for fmt in MANIFEST_NAMES})
 
 
 _PARSERS = {
@@ -225,11 +227,10 @@ _PARSERS = {
 def _parse(manifests: DataFrame, formats: list[str]) -> DataFrame:
     """One pass: every manifest row gets its format's dependency array."""
     m = manifests.select("repo", "path", "content", manifest_format("path").alias("_fmt")).where(F.col("_fmt").isin(*formats))
-    found, eco = _empty(), F.lit(None).cast("string")
+    found = _empty()
     for fmt in formats:
-        name, parser = _PARSERS[fmt]
-        found = F.when(F.col("_fmt") == fmt, parser(F.col("content")).cast(_ARRAY)).otherwise(found)
-        eco = F.when(F.col("_fmt") == fmt, F.lit(name)).otherwise(eco)
+        found = F.when(F.col("_fmt") == fmt, _PARSERS[fmt][1](F.col("content")).cast(_ARRAY)).otherwise(found)
+    eco = _by_name("path", {fmt: name for fmt, (name, _) in _PARSERS.items()})
     rows = m.select("repo", "path", eco.alias("ecosystem"), F.explode(found).alias("_d"))
     return rows.select("repo", F.col("_d.name").alias("name"), F.col("_d.version").alias("version"), "ecosystem", F.col("path").alias("file"))
 
