@@ -5,10 +5,14 @@ partitioned by *range* of (hash, document) and sorted inside the partitions,
 so a line that stands in a third of all documents spreads over many
 partitions. One streaming pass over each partition decides every hash; what a
 partition cannot decide alone (a run cut off at its first or last row) is left
-open, at most ``2 * (min_docs - 1)`` documents a partition, and settled from
-the counts of the runs at the borders. The pass returns positions, never
+open, and settled from the runs at the borders. The pass returns positions, never
 text; they become one zlib-compressed keep bitmap per document.
 
+The query counts documents, as its contract says. The pipeline's stage counts a
+line once per class of copies and near copies (the classes of the Jaccard join,
+whose stage comes next and keeps one of each), so a text with many copies does
+not take its own lines for boilerplate.
+
 Defined cases: a null or empty text is one empty line; an empty key is never
 dropped; rows that agree in doc_id and text are one document; a null doc_id is
 an id like any other; an empty table gives an empty result.
@@ -26,17 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import WS, checkpointed, documents, same_row, with_text_key
+from scanforge.llm.op3_jaccard_join import jaccard_classes
 
 MIN_DOCS = 10
-_LINES = "_h binary, doc_id bigint, _th bigint, _pos array<int>"
-_MARKS = "_kind int, _n bigint, " + _LINES
+#: _cd and _ct name the class that a document counts for
+_LINES = "_h binary, _cd bigint, _ct bigint, doc_id bigint, _th bigint, _pos array<int>"
+_ORDER = ["_h", "_cd", "_ct", "doc_id", "_th"]
+_MARKS = "_kind int, " + _LINES
 _MARK, _OPEN, _COUNT = 0, 1, 2
+#: undecided rows of one hash held in memory; more are left open
+_HELD = 10_000
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, ids, ths, positions = [], [], [], []
-        for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        hashes, of, positions = [], [], []
+        for i, text in enumerate(batch.column("text")):
             at: dict[bytes, list[int]] = {}
             for p, line in enumerate(text.as_buffer().to_pybytes().split(b"\n")):
                 key = line.strip(WS).lower()
@@ -44,69 +53,88 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at.setdefault(key, []).append(p)
             hashes += [hashlib.blake2b(k, digest_size=16).digest() for k in at]
             positions += at.values()
-            ids += [doc] * len(at)
-            ths += [th] * len(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(positions, pa.list_(pa.int32()))],
-            names=["_h", "doc_id", "_th", "_pos"])
+            of += [i] * len(at)
+        rows = pa.array(of, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), *(batch.column(c).take(rows) for c in _ORDER[1:]), pa.array(positions, pa.list_(pa.int32()))],
+                                         names=[*_ORDER, "_pos"])
 
 
-def _frequent(min_docs: int):
-    """One pass over sorted rows: marks of hashes found in ``min_docs`` documents, open rows and counts at the borders."""
+def _frequent(min_docs: int, most: int = _HELD):
+    """One pass over sorted rows: marks of hashes found in ``min_docs`` classes, open rows, and the classes of hashes with open rows."""
 
-    def emit(kind: int, rows: list[tuple], n: int = 0) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"_kind": kind, "_n": n, "_h": h, "doc_id": d, "_th": t, "_pos": p} for h, d, t, p in rows],
-                                          schema=schema)
+    def emit(kind: int, rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
+                                          names=["_kind", *_ORDER, "_pos"])
 
-    schema = pa.schema([("_kind", pa.int32()), ("_n", pa.int64()), ("_h", pa.binary()), ("doc_id", pa.int64()), ("_th", pa.int64()),
-                        ("_pos", pa.list_(pa.int32()))])
+    types = [pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, n, last, first = None, 0, None, True
+        current, last, border = None, None, True
+        classes: list[tuple] = []
         held: list[tuple] = []
         out: list[tuple] = []
         for batch in batches:
-            for h, d, t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for h, cd, ct, d, t, p in zip(*(batch.column(c).to_pylist() for c in _ORDER), batch.column("_pos"), strict=True):
                 if h != current:
-                    if first and current is not None:
-                        yield emit(_COUNT, [(current, None, None, None)], n)
+                    if border and current is not None:
+                        yield emit(_COUNT, [(current, *c, None, None, None) for c in classes])
                         if held:
                             yield emit(_OPEN, held)
-                        first = False
-                    current, n, last, held = h, 0, None, []
+                    border, current, last, classes, held = current is None, h, None, [], []
                 if (d, t) == last:
                     continue  # the same document once more
-                last, n = (d, t), n + 1
-                if n < min_docs:
-                    held.append((h, d, t, p.as_py()))
+                last = (d, t)
+                if len(classes) < min_docs and (not classes or classes[-1] != (cd, ct)):
+                    classes.append((cd, ct))
+                if len(classes) < min_docs:
+                    held.append((h, cd, ct, d, t, p.as_py()))
+                    if len(held) >= most:  # a large class: left open
+                        yield emit(_OPEN, held)
+                        held, border = [], True
                 else:
                     out += held
                     held = []
-                    out.append((h, d, t, p.as_py()))
+                    out.append((h, cd, ct, d, t, p.as_py()))
             if len(out) > 20_000:
                 yield emit(_MARK, out)
                 out = []
         if out:
             yield emit(_MARK, out)
         if current is not None:
-            yield emit(_COUNT, [(current, None, None, None)], n)
+            yield emit(_COUNT, [(current, *c, None, None, None) for c in classes])
             if held:
                 yield emit(_OPEN, held)
 
     return run
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, _th, dropped array<int>, bitmap) of every document that loses a line.
+def copy_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, _th, _cd, _ct) of every document that has copies or near copies: the class is named by its first document."""
+    found = jaccard_classes(docs).filter("class_size > 1")
+    return found.select("doc_id", "_th", F.col("class_id").alias("_cd"), F.col("class_th").alias("_ct")).distinct()
+
+
+def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, classes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, _th, bitmap) of every document that loses a line.
 
-    ``bitmap`` is zlib over ``numpy.packbits`` of one keep bit per line, up to
-    the last dropped line; lines after it stay.
+    A line goes if it stands in ``min_docs`` documents, or in documents of
+    ``min_docs`` different ``classes`` (doc_id, _th, _cd, _ct; a document
+    without one is its own class). ``bitmap`` is zlib over ``numpy.packbits``
+    of one keep bit per line, up to the last dropped line; lines after it stay.
     """
     keyed = with_text_key(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "_th", F.col("text").cast("binary").alias("text"))
+    if classes is None:
+        keyed = keyed.withColumn("_cd", F.col("doc_id")).withColumn("_ct", F.col("_th"))
+    else:
+        own = F.col("_ct").isNull()
+        keyed = keyed.join(classes, same_row(keyed, classes), "left").select(
+            keyed["doc_id"], keyed["_th"], "text", F.when(own, keyed["doc_id"]).otherwise(F.col("_cd")).alias("_cd"), F.coalesce("_ct", keyed["_th"]).alias("_ct"))
     lines = keyed.mapInArrow(_keys, _LINES)
-    ordered = lines.repartitionByRange("_h", "doc_id", "_th").sortWithinPartitions("_h", "doc_id", "_th")
+    ordered = lines.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
     found = checkpointed(ordered.mapInArrow(_frequent(min_docs), _MARKS))
-    totals = found.filter(F.col("_kind") == _COUNT).groupBy("_h").agg(F.sum("_n").alias("_total")).filter(F.col("_total") >= min_docs)
+    counted = found.filter(F.col("_kind") == _COUNT).select("_h", "_cd", "_ct").distinct()
+    totals = counted.groupBy("_h").agg(F.count(F.lit(1)).alias("_total")).filter(F.col("_total") >= min_docs)
     settled = found.filter(F.col("_kind") == _OPEN).join(totals, "_h", "left_semi")
     marks = found.filter(F.col("_kind") == _MARK).select("doc_id", "_th", "_pos").unionByName(settled.select("doc_id", "_th", "_pos"))
     dropped = marks.groupBy("doc_id", "_th").agg(F.array_sort(F.flatten(F.collect_list("_pos"))).alias("dropped"))
@@ -166,8 +194,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their frequent lines; n_chars follows the text. A document left without any word goes."""
-    maps = keep_bitmaps(docs)
+    """Documents without the lines that stand in ``MIN_DOCS`` copy classes; n_chars follows the text. A document left without any word goes."""
+    maps = keep_bitmaps(docs, classes=copy_classes(docs))
     base = docs.select("doc_id", text_or_null(docs), "lang", "source").withColumn("_th", F.xxhash64("text"))
     joined = base.join(maps, same_row(base, maps), "left").select(base["doc_id"], "lang", "source", base["text"].cast("binary").alias("text"), "bitmap")
     out = joined.mapInArrow(_applied(False), "doc_id bigint, lang string, source string, n_lines bigint, n_dropped bigint, text string")

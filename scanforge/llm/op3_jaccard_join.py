@@ -301,12 +301,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES,
                     block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, _th, class_id, n_links, n_copies, class_size, first.
+    """Per document: doc_id, _th, class_id, n_links, n_copies, class_size, first, class_th.
 
     ``class_id`` is the least doc_id among the documents connected by links,
     ``n_links`` the number of other documents at the threshold or above (copies
     included), ``n_copies`` those with the same shingle set, itself included,
-    ``first`` marks the document that stands for its class.
+    ``first`` marks the document that stands for its class, and ``class_th`` is
+    its text hash (a doc_id alone may stand in several rows).
     """
     depth = prefix_depth(threshold, recall, trees)
     rows = with_text_key(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -341,12 +342,13 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     out = signed.select("doc_id", "_th", "_c").join(table, "_c", "left")
     class_id = F.when(F.col("_first").isNull(), F.col("doc_id")).otherwise(F.col("_first.doc_id"))
     first = F.col("_first").isNull() | (F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_th") == F.col("_first._th")))
+    class_th = F.coalesce(F.col("_first._th"), F.col("_th")).alias("class_th")
     return out.select("doc_id", "_th", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                      F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"), first.alias("first"))
+                      F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"), first.alias("first"), class_th)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(documents(spark, sf_dir)).drop("_th", "first")
+    return jaccard_classes(documents(spark, sf_dir)).drop("_th", "first", "class_th")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

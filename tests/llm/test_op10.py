@@ -1,9 +1,13 @@
 """Line dedup against a brute-force version."""
 import hashlib
+import random
 from collections import defaultdict
 
 from conftest_llm import EDGE
+from pyspark.sql import functions as F
+from scanforge.llm import op10_line_dedup as o
 from scanforge.llm.op10_line_dedup import dedup_stage, drop_frequent_lines, op10_line_dedup
+from scanforge.llm.op3_jaccard_join import near_dedup_stage
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,3 +67,33 @@ def test_stage_keeps_columns(make_docs, spark):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got[3] == ("own 3", 5) and 99 not in got and got[100] == ("", 0)
+
+
+def clean_text(rng, n_lines):
+    return "\n".join(" ".join(f"w{rng.randint(0, 9999)}" for _ in range(12)) for _ in range(n_lines))
+
+
+def test_stage_leaves_one_of_a_copy_group(make_docs, spark):
+    rng = random.Random(5)
+    exact, near = clean_text(rng, 12), clean_text(rng, 25)
+    changed = lambda i: "\n".join(f"own line {i} of this copy" if k == i % 25 else x for k, x in enumerate(near.split("\n")))
+    rows = [(i, exact) for i in range(25)] + [(100 + i, changed(i)) for i in range(25)]
+    rows += [(200 + i, clean_text(rng, 3) + "\nShared by all pages") for i in range(10)] + [(300, exact), (300, near)]
+    out = dedup_stage(spark, make_docs(rows), "")
+    left = sorted(near_dedup_stage(spark, out, "").collect())
+    assert [r.doc_id for r in left] == [0, 100, *range(200, 210)]
+    assert left[0].text == exact and left[1].text == changed(0) and all("Shared" not in r.text for r in left)
+
+
+def test_large_classes_are_left_open(make_docs, spark, monkeypatch):
+    monkeypatch.setattr(o, "_frequent", lambda least, real=o._frequent: real(least, most=7))
+    rows = [(i, f"in class {i % 12 if i < 240 else 0}\nhot\nown {i}") for i in range(400)] + [(1000 + i, "rare\nin class 0") for i in range(9)]
+    docs = make_docs(rows)
+    classes = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.when(F.col("doc_id") < 240, F.col("doc_id") % 12).otherwise(0).cast("bigint").alias("_cd"),
+                          F.lit(1).cast("bigint").alias("_ct"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        all_one = {r.doc_id: o._apply(dict(rows)[r.doc_id].encode(), r.bitmap)[0] for r in o.keep_bitmaps(docs, 10, classes).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(all_one) == list(range(400)) and all(v.decode() == dict(rows)[d].replace("\nhot", "") for d, v in all_one.items())
