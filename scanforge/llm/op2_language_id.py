@@ -15,6 +15,10 @@ and text.
 Defined cases: ``und`` with score 0 for a null text, one without a letter, or
 where no language was learned; ties go to the first language by code point; a
 null doc_id counts as the empty text in the split; each row gives one row.
+
+The pipeline's stage drops a document only when its score is no better than
+chance at its own length (see ``least_score``). Where no language was learned
+there is nothing to judge by, and every document passes.
 """
 
 from __future__ import annotations
@@ -23,15 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import documents, mix64, slices
 
 DIM, MAX_LANGS, UNDETERMINED = 1024, 4096, "und"
-#: the pipeline rejects a document whose best cosine is below this
-MIN_SCORE = 0.15
+#: the pipeline expects of a document this share of the cosine that a text of its length has in its language,
+#: less this many standard deviations of the sign vectors' noise, and never more than that many above chance
+SHARE, DEVIATIONS = 1 / 3, 3
 _GRAMS_AT_ONCE, _SLICE, _ROWS = 4096, 1 << 20, 256
 _SPACE = 32
 _letters: np.ndarray | None = None
@@ -107,6 +111,7 @@ def held_out() -> Column:
 
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
+    texts: dict[str, int] = {}
     for batch in batches:
         for part in slices(batch, "text", _SLICE, _ROWS):
             t = Trigrams(part.column("text").to_pylist())
@@ -117,24 +122,40 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             share = t.count / np.bincount(t.row, t.count)[t.row]
             for name, v in zip(names, t.vectors(of[t.row], share.astype(np.float32), len(names)), strict=True):
                 sums[name] = sums.get(name, 0) + v.astype(np.float64)
+            for name, k in zip(names, np.bincount(of), strict=True):
+                texts[name] = texts.get(name, 0) + int(k)
     for name, v in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(np.arange(DIM, dtype=np.int32)),
-                                          pa.array(np.rint(v * (1 << 16)).astype(np.int64))], names=["lang", "dim", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (DIM + 1)), pa.array(np.arange(DIM + 1, dtype=np.int32)),
+                                          pa.array(np.rint(np.append(v, texts[name]) * (1 << 16)).astype(np.int64))], names=["lang", "dim", "v"])
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages by code point and their unit vectors, from the rows of ``docs`` that are not held out."""
+    return learn_weights(docs)[:2]
+
+
+def learn_weights(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same, and per language the length of its distribution over trigrams: 1 if all are the same one, near 0 if all differ."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     sums = rows.mapInArrow(_partial_sums, "lang string, dim int, v bigint").groupBy("lang", "dim").agg(F.sum(F.col("v").cast("decimal(30,0)")).cast("double").alias("v"))
-    found = sums.limit(MAX_LANGS * DIM + 1).collect()
-    if len(found) > MAX_LANGS * DIM:
+    found = sums.limit(MAX_LANGS * (DIM + 1) + 1).collect()
+    if len(found) > MAX_LANGS * (DIM + 1):
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted({r[0] for r in found}, key=str.encode)
-    out = np.zeros((len(langs), DIM))
+    out = np.zeros((len(langs), DIM + 1))
     at = {x: i for i, x in enumerate(langs)}
     for lang, dim, v in found:
         out[at[lang], dim] = v
-    return langs, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out, texts = out[:, :DIM], out[:, DIM:]
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return langs, out / np.maximum(norm, 1e-12), (norm / np.maximum(texts, 1) / DIM ** 0.5)[:, 0]
+
+
+def _judge(t: Trigrams, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best language and its cosine of every text with letters."""
+    v = t.vectors(t.row, t.count, t.size)
+    cosines = v @ profiles.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return np.argmax(cosines, axis=1), np.clip(cosines.max(axis=1), 0, 1)
 
 
 def _predict(langs: list[str], profiles: np.ndarray):
@@ -146,10 +167,9 @@ def _predict(langs: list[str], profiles: np.ndarray):
                 t = Trigrams(part.column("text").to_pylist())
                 lang, score = np.full(part.num_rows, UNDETERMINED, object), np.zeros(part.num_rows)
                 if t.size and langs:
-                    v = t.vectors(t.row, t.count, t.size)
-                    cosines = v @ profiles.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    lang[t.has] = np.array(langs, object)[np.argmax(cosines, axis=1)]
-                    score[t.has] = np.clip(cosines.max(axis=1), 0, 1)
+                    best, cosine = _judge(t, profiles)
+                    lang[t.has] = np.array(langs, object)[best]
+                    score[t.has] = cosine
                 rest = [i for i, x in enumerate(part.schema.names) if x != "text"]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in rest] + [pa.array(lang, pa.string()), pa.array(score)],
                                                  names=[part.schema.names[i] for i in rest] + ["lang_pred", "score"])
@@ -169,20 +189,44 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, *learn(docs)).drop("_th")
 
 
-def _keep(langs: list[str], profiles: np.ndarray):
-    judge = _predict(langs, profiles)
+def least_score(n: np.ndarray, weight: np.ndarray, langs: int) -> np.ndarray:
+    """The cosine that a text of ``n`` trigrams must reach to stay in a language of that ``weight``.
+
+    Of n trigrams drawn from the language, the cosine is about
+    sqrt(n) x weight / sqrt(1 + (n - 1) x weight^2): it grows with n, so a fixed
+    limit would measure length. Trigrams of no learned language give noise of
+    standard deviation 1 / sqrt(DIM), whatever n is; the best of several
+    languages lies sqrt(2 ln languages) of them higher. A short text, whose own
+    language may stay inside that noise, is never rejected.
+    """
+    expected = np.sqrt(n) * weight / np.sqrt(1 + (n - 1) * weight ** 2)
+    chance = (np.sqrt(2 * np.log(max(langs, 1))) + DEVIATIONS) / DIM ** 0.5
+    return np.minimum(SHARE * expected - DEVIATIONS / DIM ** 0.5, chance)
+
+
+def _keep(profiles: np.ndarray, weights: np.ndarray):
+    profiles = profiles.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _SLICE, _ROWS):
-                (found,) = judge(iter([part])) if part.num_rows else (None,)
-                good = pc.and_(pc.not_equal(found.column("lang_pred"), UNDETERMINED), pc.greater_equal(found.column("score"), MIN_SCORE))
-                yield part.filter(good)
+                t = Trigrams(part.column("text").to_pylist())
+                good = t.has.copy()
+                if t.size:
+                    best, cosine = _judge(t, profiles)
+                    total, squares = np.bincount(t.row, t.count), np.bincount(t.row, t.count.astype(np.float64) ** 2)
+                    # repeated trigrams say nothing new: the number of equally frequent ones that would be as varied
+                    good[t.has] = cosine >= least_score(total ** 2 / squares, weights[best], len(weights))
+                yield part.filter(pa.array(good))
 
     return run
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those undetermined or below ``MIN_SCORE`` go. A null lang takes the prediction's place unfilled."""
+    """Documents in a learned language; those undetermined or no better than chance at their length go. A null lang stays null.
+
+    Where no language was learned, all documents stay.
+    """
     cols = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return cols.mapInArrow(_keep(*learn(docs)), cols.schema)
+    langs, profiles, weights = learn_weights(docs)
+    return cols.mapInArrow(_keep(profiles, weights), cols.schema) if langs else cols

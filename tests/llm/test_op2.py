@@ -54,3 +54,22 @@ def test_stage(make_docs, spark):
     out = o.language_stage(spark, make_docs(rows), "")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in out.collect()} == {*range(30), 102}
+
+
+def test_stage_keeps_short_texts_and_drops_noise(make_docs, spark):
+    rng = random.Random(12)
+    # languages with many trigrams: a short text meets few of them
+    stems = {lang: ["".join(rng.choice(cons) + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(600)] for lang, cons in
+             (("aa", "bcdfglmnprst"), ("bb", "hjkqvwxyzrst"))}
+    clean = lambda lang, n: " ".join(rng.choice(stems[lang]) for _ in range(n))
+    rows = [(i, clean(lang := rng.choice(["aa", "bb"]), 80), lang) for i in range(200)]
+    short = [(1000 + i, clean(lang := rng.choice(["aa", "bb"]), 1 + i % 5), lang) for i in range(300)]
+    short += [(2000, "la " * 40, "aa"), (2001, "Avec.", "aa"), (2002, "All rights reserved.", "bb")]
+    noise = [(3000 + i, " ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in range(6)) for _ in range(60)), None) for i in range(40)]
+    out = {r.doc_id for r in o.language_stage(spark, make_docs(rows + short + noise), "").collect()}
+    assert {r[0] for r in rows + short} <= out and not out & {r[0] for r in noise}
+
+
+def test_stage_without_a_learned_language_passes_everything(make_docs, spark):
+    rows = [(1, "some words here", None), (2, "Avec.", None), (3, None, None), (4, "12 34", None)]
+    assert {r.doc_id for r in o.language_stage(spark, make_docs(rows), "").collect()} == {1, 2, 3, 4}
