@@ -23,10 +23,16 @@ from pyspark.sql import functions as F
 from scanforge.llm.common import WORD, documents
 
 #: (bytes below, lowest ratio, highest ratio) of a whole document: below the low limit the text repeats itself,
-#: above the high limit it is random. Prose lies well inside at every length.
-BANDS = ((128, 0.25, 2.00), (256, 0.25, 1.10), (512, 0.25, 0.92), (1024, 0.22, 0.80), (4096, 0.20, 0.74), (16384, 0.18, 0.70), (1 << 62, 0.15, 0.68))
-#: chunk size in bytes, limits of a chunk, and the share of chunks outside of them that rejects a document
-CHUNK, CHUNK_LOW, CHUNK_HIGH, BAD_SHARE = 4096, 0.10, 0.74, 0.5
+#: above the high limit it is random.
+LOW = ((512, 0.25), (1024, 0.22), (4096, 0.20), (16384, 0.18), (1 << 62, 0.15))
+#: bytes of an empty frame
+FRAME = 9
+#: (bytes, highest ratio without the frame), in between by the logarithm of the length: near the high end (99 of 100) of
+#: windows of English text of that length, and below random words of letters and digits
+HIGH = ((64, 1.00), (80, 0.96), (100, 0.93), (128, 0.89), (160, 0.865), (200, 0.84), (256, 0.815), (320, 0.80), (400, 0.785), (512, 0.755), (640, 0.73),
+        (800, 0.69), (1024, 0.66), (1500, 0.62), (2000, 0.59), (3000, 0.57), (4096, 0.56), (8192, 0.54), (16384, 0.52))
+#: chunk size in bytes, low limit of a whole chunk, and the share (by bytes) of chunks outside of their limits that rejects a document
+CHUNK, CHUNK_LOW, BAD_SHARE = 4096, 0.10, 0.5
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 _SCHEMA = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -74,8 +80,24 @@ def dup_lines(text: str) -> int:
     return n
 
 
+_AT, _TOP = np.log([n for n, _ in HIGH]), [r for _, r in HIGH]
+
+
 def band(n_bytes: int) -> tuple[float, float]:
-    return next((lo, hi) for below, lo, hi in BANDS if n_bytes < below)
+    """Lowest and highest ratio, frame included, of a text of that length."""
+    low = next(lo for below, lo in LOW if n_bytes < below)
+    return low, float(np.interp(np.log(n_bytes), _AT, _TOP)) + FRAME / n_bytes
+
+
+def bad_share(raw: bytes, z) -> float:
+    """Share of the bytes that lie in chunks outside of their limits; the last chunk has those of its own length."""
+    bad = 0
+    for i in range(0, len(raw), CHUNK):
+        chunk = raw[i:i + CHUNK]
+        low, high = band(len(chunk))
+        if not (CHUNK_LOW if len(chunk) == CHUNK else low) <= len(z.compress(chunk)) / len(chunk) <= high:
+            bad += len(chunk)
+    return bad / len(raw)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +118,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if raw:
                 ratio = len(z.compress(raw)) / len(raw)
                 lo, hi = band(len(raw))
-                chunks = [len(z.compress(raw[i:i + CHUNK])) / CHUNK for i in range(0, len(raw) - CHUNK + 1, CHUNK)]
-                bad = sum(not CHUNK_LOW <= c <= CHUNK_HIGH for c in chunks) / len(chunks) if chunks else 0.0
+                bad = bad_share(raw, z)
                 if not failed:
                     verdict = "repetitive" if ratio < lo else "incompressible" if ratio > hi else "chunks" if bad >= BAD_SHARE else "kept"
             rows.append((doc, len(words), chars, len(raw.translate(None, drop)), dup_lines(text), repeated, failed, verdict == "kept", ratio, bad, verdict))

@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 from conftest_llm import EDGE
-from scanforge.llm.op9_quality import compression_bands, op9_compression_bands
+from scanforge.llm.op9_quality import bad_share, compression_bands, op9_compression_bands
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,3 +49,27 @@ def test_query_and_empty_table(sf, spark):
     assert out.count() == len(EDGE) and out.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                                             "base_failed", "kept"]
     assert op9_compression_bands(spark, sf([], "none")).count() == 0
+
+
+def test_random_words_are_incompressible_at_every_length(make_docs):
+    rng = random.Random(8)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    junk = lambda n, of=signs: " ".join("".join(rng.choice(of) for _ in range(4)) for _ in range(n))[:n]
+    rows = [(100 * n + k, junk(n)) for n in (100, 200, 400, 800, 2000, 4000, 9000) for k in range(5)]
+    rows += [(7 + k, junk(9000, signs[:26])) for k in range(3)]
+    rows += [(1 + k, prose(rng, n)) for k, n in enumerate((25, 60, 120, 300, 700))]
+    # less than half of its bytes are junk
+    text = prose(rng, 2000)[:4096]
+    rows.append((20, text + " " + junk(2000)))
+    got = {r.doc_id: r.verdict for r in compression_bands(make_docs(rows)).collect()}
+    assert {d: v for d, v in got.items() if d >= 10000 and v != "incompressible"} == {}
+    assert all(got[7 + k] == "incompressible" for k in range(3))
+    assert all(got[1 + k] == "kept" for k in range(5)) and got[20] == "kept"
+
+
+def test_last_chunk_is_measured():
+    import zstandard
+    rng, z = random.Random(9), zstandard.ZstdCompressor(level=3)
+    junk = bytes(rng.randrange(33, 127) for _ in range(3000))
+    text = prose(rng, 2000).encode()[:4096]
+    assert bad_share(text, z) == 0 and bad_share(text + junk, z) == 3000 / 7096 and bad_share(junk, z) == 1
