@@ -13,6 +13,7 @@ from scanforge.llm import (
     op8_packed_ids,
     op9_quality,
     op10_line_dedup,
+    op12_lexical_search,
 )
 
 QUERIES = {
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_packed_ids": op8_packed_ids.op8_packed_ids,
     "op9_compression_bands": op9_quality.op9_compression_bands,
     "op10_line_dedup": op10_line_dedup.op10_line_dedup,
+    "op12_lexical_search": op12_lexical_search.op12_lexical_search,
 }
 
 SQL = {
     "op1_exact_dedup": op1_exact_dedup.ORACLE,
     "op10_line_dedup": op10_line_dedup.ORACLE,
+    "op12_lexical_search": op12_lexical_search.ORACLE,
 }
