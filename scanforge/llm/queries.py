@@ -13,6 +13,7 @@ from scanforge.llm import (
     op8_packed_ids,
     op9_quality,
     op10_line_dedup,
+    op11_alignment,
     op12_lexical_search,
 )
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_packed_ids": op8_packed_ids.op8_packed_ids,
     "op9_compression_bands": op9_quality.op9_compression_bands,
     "op10_line_dedup": op10_line_dedup.op10_line_dedup,
+    "op11_alignment": op11_alignment.op11_alignment,
     "op12_lexical_search": op12_lexical_search.op12_lexical_search,
 }
 
