@@ -15,6 +15,7 @@ from scanforge.llm import (
     op10_line_dedup,
     op11_alignment,
     op12_lexical_search,
+    op13_minhash_dedup,
 )
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup.op10_line_dedup,
     "op11_alignment": op11_alignment.op11_alignment,
     "op12_lexical_search": op12_lexical_search.op12_lexical_search,
+    "op13_minhash_dedup": op13_minhash_dedup.op13_minhash_dedup,
 }
 
 SQL = {
