@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from scanforge.llm.common import checkpointed, documents, slices
 
 #: steps of the merge in a piece, letters in a slice, remembered parts of texts
-WORK, SLICE, _KNOWN = 1 << 19, 1 << 21, 300_000
+WORK, SLICE, _KNOWN = 1 << 20, 1 << 22, 300_000
 #: fixed values: the split pattern of byte-level BPE
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEGMENT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:\s+\Z)?|\s+")
@@ -220,7 +220,7 @@ def cut_pieces(enc: Both, keys: list[int], ids: list, tokens: list[tuple[np.ndar
     b_cut = cut - a_cut
     first = np.minimum(np.searchsorted(cut, steps[:-1], "right") - 1, n - 1)
     last = np.maximum(first, np.searchsorted(cut, steps[1:], "left") - 1)
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=6).compress
     for p in range(n):
         (a0, a1), (b0, b1) = a_cut[p:p + 2].tolist(), b_cut[p:p + 2].tolist()
         d0, d1 = int(np.searchsorted(last, p, "left")), int(np.searchsorted(first, p, "right"))
@@ -342,13 +342,13 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 # --- figures and groups of documents ------------------------------------------------------------------------------------------
 
 _PART = ("_key bigint, _piece bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
-         "_whole boolean, _cuts boolean, _first_a string, _first_b string, _closed string, _last_a string, _last_b string")
+         "_whole boolean, _digest string, _cuts boolean, _first_a string, _first_b string, _closed string, _last_a string, _last_b string")
 _PART_NAMES = [c.split()[0] for c in _PART.split(", ")]
 _PART_TYPES = pa.schema([(c.split()[0], {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.large_string()}[c.split()[1]]) for c in _PART.split(", ")])
 
 
-def _parts(enc: Both, row: dict, pair: np.ndarray, total: np.ndarray, best: np.ndarray) -> Iterator[list]:
-    """A row for each document of a piece; ``_whole``: it lies in this piece, and its groups are in ``_closed``."""
+def _parts(enc: Both, row: dict, pair: np.ndarray, total: np.ndarray, best: np.ndarray, keep: bool) -> Iterator[list]:
+    """A row for each document of a piece; ``_whole``: it lies in this piece, has its digest here and, if they are kept, its groups in ``_closed``."""
     m = Merged(enc, row)
     at = np.searchsorted(pair, m.pairs)
     figures = [m.per_document(x).tolist() for x in (np.ones(len(at), np.int64), best[at].astype(np.int64), total[at])]
@@ -358,9 +358,11 @@ def _parts(enc: Both, row: dict, pair: np.ndarray, total: np.ndarray, best: np.n
     for d in range(docs):
         whole = not (d == 0 and row["_begun"]) and not (d == docs - 1 and row["_open"])
         n_cuts = c[d + 1] - c[d]
-        groups = [None] * 5
+        groups, digest = [None] * 5, None
         if whole:
-            groups[2] = "".join(words[a[d] + b[d]:a[d + 1] + b[d + 1]].tolist())[:-1]
+            text = "".join(words[a[d] + b[d]:a[d + 1] + b[d + 1]].tolist())[:-1]
+            digest = hashlib.sha256(text.encode()).hexdigest() if text else ""
+            groups[2] = text if keep else None
         else:
             comma = enc.names[:len(enc.names) // 3]
             listed = lambda ids: "".join(comma[ids].tolist())[:-1]  # noqa: E731, B023
@@ -369,10 +371,10 @@ def _parts(enc: Both, row: dict, pair: np.ndarray, total: np.ndarray, best: np.n
                 groups = [listed(m.a[a[d]:a0]), listed(m.b[b[d]:b0]), "".join(words[a0 + b0:a1 + b1].tolist())[:-1], listed(m.a[a1:a[d + 1]]), listed(m.b[b1:b[d + 1]])]
             else:
                 groups = [None, None, None, listed(m.a[a[d]:a[d + 1]]), listed(m.b[b[d]:b[d + 1]])]
-        yield [row["_keys"][d], row["_piece"], row["_ids"][d], a[d + 1] - a[d], b[d + 1] - b[d], n_cuts, *(x[d] for x in figures), whole, n_cuts > 0, *groups]
+        yield [row["_keys"][d], row["_piece"], row["_ids"][d], a[d + 1] - a[d], b[d + 1] - b[d], n_cuts, *(x[d] for x in figures), whole, digest, n_cuts > 0, *groups]
 
 
-def _figures(path_a: str, path_b: str):
+def _figures(path_a: str, path_b: str, keep: bool):
     """Rows sorted by piece, its id pairs first (``_pair``, ``_total``, ``_best``), then the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +391,7 @@ def _figures(path_a: str, path_b: str):
                     pair, total, best = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
                     row = {c: batch.column(c)[i].as_py() for c in _PIECE_TYPES.names}
                     held = []
-                    parts = list(_parts(enc, row, pair, total, best))
+                    parts = list(_parts(enc, row, pair, total, best, keep))
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), _PART_TYPES.types, strict=True)], schema=_PART_TYPES)
 
     return run
@@ -400,6 +402,7 @@ class Stitched:
 
     def __init__(self, part: list, keep: bool):
         self.doc_id, self.sums, self.digest, self.kept = part[2], [0] * 6, hashlib.sha256(), [] if keep else None
+        self.ready = part[10]
         self.a: list[str] = []
         self.b: list[str] = []
         self.any = False
@@ -414,7 +417,7 @@ class Stitched:
 
     def add(self, part: list) -> None:
         self.sums = [x + y for x, y in zip(self.sums, part[3:9], strict=True)]
-        whole, cuts, first_a, first_b, closed, last_a, last_b = part[9:]
+        whole, _, cuts, first_a, first_b, closed, last_a, last_b = part[9:]
         if cuts and not whole:
             self.write(",".join(filter(None, [*self.a, first_a])) + "|" + ",".join(filter(None, [*self.b, first_b])))
             self.a, self.b = [], []
@@ -425,7 +428,7 @@ class Stitched:
             self.b.append(last_b)
 
     def row(self) -> list:
-        return [self.doc_id, *self.sums, self.digest.hexdigest() if self.any else "", "".join(self.kept) if self.kept is not None else None]
+        return [self.doc_id, *self.sums, self.ready if self.ready is not None else self.digest.hexdigest() if self.any else "", "".join(self.kept) if self.kept is not None else None]
 
 
 _OUT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, groups string"
@@ -468,13 +471,13 @@ def pair_counts(cut: DataFrame, path_a: str, path_b: str) -> DataFrame:
 def align(docs: DataFrame, path_a: str, path_b: str, size: int = SLICE, work: int = WORK, with_groups: bool = False) -> DataFrame:
     """Figures of every document, and with ``with_groups`` its groups as ``a1,a2|b1;a3|b2``."""
     cut = pieces(docs, path_a, path_b, size, work)
-    counts = checkpointed(pair_counts(cut, path_a, path_b))
+    counts = pair_counts(cut, path_a, path_b)  # merged again where needed: less than writing them
     total = counts.groupBy("_pair").agg(F.sum("_n").alias("_total")).withColumn("_b", F.shiftright("_pair", 32))
     highest = total.groupBy("_b").agg(F.max("_total").alias("_most"))
     total = total.join(highest, "_b").select("_pair", "_total", (F.col("_total") == F.col("_most")).alias("_best"))
     own = counts.select("_piece", "_pair").join(total, "_pair")
     rows = cut.unionByName(own, allowMissingColumns=True).repartition("_piece").sortWithinPartitions("_piece", F.col("_pair").asc_nulls_last())
-    parts = rows.mapInArrow(_figures(path_a, path_b), _PART).repartition("_key").sortWithinPartitions("_key", "_piece")
+    parts = rows.mapInArrow(_figures(path_a, path_b, with_groups), _PART).repartition("_key").sortWithinPartitions("_key", "_piece")
     out = parts.mapInArrow(_stitch(with_groups), _OUT)
     return out if with_groups else out.drop("groups")
 
