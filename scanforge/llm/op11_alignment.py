@@ -14,8 +14,8 @@ linked where their byte ranges overlap.
    it gives one link; an end of both closes a group. Pieces give the counts of
    their id pairs, which are summed over the corpus; the highest count of a B
    id is found from the sums.
-3. The sums of a piece's own id pairs go to the piece (sorted in front of it),
-   which gives its documents' figures and groups.
+3. The sums of a piece's own id pairs go to the piece, which gives its documents'
+   figures and groups.
 4. Parts of a document are put together in order. A group that is open at a
    piece's end goes on in the next one. The digest is fed part by part.
 
@@ -41,6 +41,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ from pyspark.sql import functions as F
 from scanforge.llm.common import checkpointed, documents, slices
 
 #: steps of the merge in a piece, letters in a slice, remembered parts of texts
-WORK, SLICE, _KNOWN = 1 << 20, 1 << 22, 300_000
+WORK, SLICE, _KNOWN = 1 << 20, 1 << 22, 600_000
 #: fixed values: the split pattern of byte-level BPE
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEGMENT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S+)*(?:\s+\Z)?|\s+")
@@ -149,27 +150,45 @@ class Both:
         self.size = [np.concatenate(x) for x in zip(self.size, size, strict=True)]
         self.start = [np.cumsum(s) - s for s in self.size]
 
+    def _forget(self) -> None:
+        """The half of the table that was used most stays."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[:_KNOWN // 2])
+        names, old = list(self.place), (self.good[stay], [self.take(k, stay) for k in (0, 1)], [s[stay] for s in self.size], self.uses[stay] // 2)
+        self._start()
+        self._keep([names[i] for i in stay.tolist()], *old)
+
     def _learn(self, names: list[str]) -> None:
-        if len(self.place) + len(names) > _KNOWN and self.place:  # the half that was used most stays
-            stay = np.sort(np.argsort(-self.uses, kind="stable")[:_KNOWN // 2])
-            old, all_names = (self.good[stay], [self.take(k, stay) for k in (0, 1)], [s[stay] for s in self.size], self.uses[stay] // 2), list(self.place)
-            self._start()
-            self._keep([all_names[i] for i in stay.tolist()], *old)
-            names = [n for n in names if n not in self.place]
         found = [self.a.encode(names), self.b.encode(names)]
-        join = [lambda ids, of=t.bytes_of: b"".join(map(of.__getitem__, ids)) for t in (self.a, self.b)]
-        good = [join[0](x) == (raw := n.encode()) and join[1](y) == raw for n, x, y in zip(names, *found, strict=True)]
-        flat = [np.fromiter((i for ids in f for i in ids), k) for f, k in zip(found, self.kinds, strict=True)]
-        self._keep(names, np.array(good, bool), flat, [np.array([len(x) for x in f], np.int64) for f in found], np.zeros(len(names), np.int64))
+        size = [np.array([len(x) for x in f], np.int64) for f in found]
+        flat = [np.fromiter(chain.from_iterable(f), k, int(n.sum())) for f, k, n in zip(found, self.kinds, size, strict=True)]
+        self._keep(names, self._given_back(names, flat, size), flat, size, np.zeros(len(names), np.int64))
+
+    def _given_back(self, names: list[str], flat: list[np.ndarray], size: list[np.ndarray]) -> np.ndarray:
+        """Which texts both tokenizers give back byte by byte."""
+        raw = [n.encode() for n in names]
+        end = np.cumsum([len(r) for r in raw])
+        good = np.ones(len(raw), bool)
+        for t, ids, n, length in zip((self.a, self.b), flat, size, self.length, strict=True):
+            upto = np.concatenate([[0], np.cumsum(length[ids])])[np.cumsum(n)]
+            back = b"".join(map(t.bytes_of.__getitem__, ids.tolist()))
+            if back != b"".join(raw) or (upto != end).any():  # one by one
+                good &= [back[x:y] == r for r, x, y in zip(raw, [0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+        return good
+
+    def _places(self, segments: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, segments, repeat(-1)), np.int64, len(segments))
 
     def find(self, segments: list[str]) -> np.ndarray:
-        at = [self.place.get(s, -1) for s in segments]
-        if new := list(dict.fromkeys(s for s, p in zip(segments, at, strict=True) if p < 0)):
-            self._learn(new)
-            if missing := list(dict.fromkeys(s for s in segments if s not in self.place)):  # forgotten just now
-                self._learn(missing)
-            at = [self.place[s] for s in segments]
-        at = np.array(at, np.int64)
+        at = self._places(segments)
+        if (at < 0).any():
+            new = dict.fromkeys(segments[i] for i in np.flatnonzero(at < 0).tolist())
+            if self.place and len(self.place) + len(new) > _KNOWN:
+                self._forget()
+                at = self._places(segments)
+                new = dict.fromkeys(segments[i] for i in np.flatnonzero(at < 0).tolist())
+            self._learn(list(new))
+            missing = np.flatnonzero(at < 0)
+            at[missing] = self._places([segments[i] for i in missing.tolist()])
         self.uses += np.bincount(at, minlength=len(self.uses))
         return at
 
@@ -375,24 +394,18 @@ def _parts(enc: Both, row: dict, pair: np.ndarray, total: np.ndarray, best: np.n
 
 
 def _figures(path_a: str, path_b: str, keep: bool):
-    """Rows sorted by piece, its id pairs first (``_pair``, ``_total``, ``_best``), then the piece."""
+    """Pieces with ``_own``, the sums of their id pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = both(path_a, path_b)
-        held: list[tuple] = []
         for batch in batches:
-            is_piece = np.flatnonzero(batch.column("_pair").is_null().to_numpy(zero_copy_only=False))
-            at = 0
-            for i in [*is_piece.tolist(), batch.num_rows]:
-                if i > at:
-                    held.append(tuple(batch.column(c).slice(at, i - at).to_numpy(zero_copy_only=False) for c in ("_pair", "_total", "_best")))
-                at = i + 1
-                if i < batch.num_rows:
-                    pair, total, best = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
-                    row = {c: batch.column(c)[i].as_py() for c in _PIECE_TYPES.names}
-                    held = []
-                    parts = list(_parts(enc, row, pair, total, best, keep))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), _PART_TYPES.types, strict=True)], schema=_PART_TYPES)
+            own = batch.column("_own")
+            for i, row in enumerate(_rows(batch.drop_columns(["_own"]))):
+                known = own.slice(i, 1).flatten().flatten()
+                pair, total, best = (x.to_numpy(zero_copy_only=False) for x in known)
+                order = np.argsort(pair)
+                parts = list(_parts(enc, row, pair[order], total[order], best[order], keep))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), _PART_TYPES.types, strict=True)], schema=_PART_TYPES)
 
     return run
 
@@ -475,9 +488,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, size: int = SLICE, work: in
     total = counts.groupBy("_pair").agg(F.sum("_n").alias("_total")).withColumn("_b", F.shiftright("_pair", 32))
     highest = total.groupBy("_b").agg(F.max("_total").alias("_most"))
     total = total.join(highest, "_b").select("_pair", "_total", (F.col("_total") == F.col("_most")).alias("_best"))
-    own = counts.select("_piece", "_pair").join(total, "_pair")
-    rows = cut.unionByName(own, allowMissingColumns=True).repartition("_piece").sortWithinPartitions("_piece", F.col("_pair").asc_nulls_last())
-    parts = rows.mapInArrow(_figures(path_a, path_b, with_groups), _PART).repartition("_key").sortWithinPartitions("_key", "_piece")
+    own = counts.select("_piece", "_pair").join(total, "_pair").groupBy("_piece").agg(F.collect_list(F.struct("_pair", "_total", "_best")).alias("_own"))
+    parts = cut.join(own, "_piece", "left").mapInArrow(_figures(path_a, path_b, with_groups), _PART).repartition("_key").sortWithinPartitions("_key", "_piece")
     out = parts.mapInArrow(_stitch(with_groups), _OUT)
     return out if with_groups else out.drop("groups")
 
