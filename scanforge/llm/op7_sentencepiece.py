@@ -40,7 +40,7 @@ _encoders: dict[str, Encoder] = {}
 
 class Encoder:
     def __init__(self, path: str):
-        self.lattice, self.cache = load(path), {}
+        self.lattice, self.cache, self.older = load(path), {}, {}
 
     def marked(self, text: str) -> str:
         return self.lattice.prefix + text.replace(" ", MARK) if text else ""
@@ -56,9 +56,12 @@ class Encoder:
 
     def _known(self, docs: list[list[str]]) -> list[list[str]]:
         fresh = set().union(*docs).difference(self.cache)
-        if len(self.cache) + len(fresh) > _MAX_CACHED and self.cache:
-            self.cache.clear()
+        if len(self.cache) + len(fresh) > _MAX_CACHED and self.cache:  # two generations: what is still in use moves on
+            self.cache, self.older = {}, self.cache
             fresh = set().union(*docs)
+        if again := fresh & self.older.keys():
+            self.cache.update((s, self.older[s]) for s in again)
+            fresh -= again
         self._solve([s for s in fresh if len(s) <= _LONG])
         for s in fresh:
             if len(s) > _LONG:

@@ -92,3 +92,13 @@ def test_documents(make_docs, sf, spark):
     assert all(r.round_trip for r in digest if r.doc_id not in {100 + i for i, t in enumerate(texts()) if "▁" in t})
     assert {r.decoded_sha256 for r in digest if r.doc_id == 900} == {hashlib.sha256(giants[0][1].encode()).hexdigest()}
     assert o.op7_sentencepiece(spark, sf([], "none")).count() == 0
+
+
+def test_segments_of_the_older_generation_are_kept(monkeypatch):
+    from scanforge.llm import op7_sentencepiece as op
+    monkeypatch.setattr(op, "_MAX_CACHED", 20)
+    encoder, model = op.Encoder(op.model_path()), __import__("sentencepiece").SentencePieceProcessor(model_file=op.model_path())
+    for k in range(30):
+        texts = [f"stays here word{k} and new{k}x{j}" for j in range(8)]
+        assert [x.tolist() for x in encoder.texts(texts)] == model.encode(texts)
+        assert len(encoder.cache) <= 20 and (k < 3 or encoder.older)
