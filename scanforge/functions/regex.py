@@ -169,6 +169,8 @@ def literal_hints(pattern: str) -> list[str] | None:
     except Exception:  # noqa: BLE001 - not readable here: no hints
         return None
 
+    folding = "kKsS" if re.search(r"\(\?[a-zA-Z]*i", pattern) else ""  # those fold outside of ASCII
+
     def need(items) -> list[str] | None:
         best, run = None, ""
 
@@ -178,7 +180,7 @@ def literal_hints(pattern: str) -> list[str] | None:
                 best = found
 
         for op, arg in [*items, (None, None)]:
-            if op is C.LITERAL and chr(arg).isascii() and chr(arg) not in "kKsS":  # those fold outside of ASCII
+            if op is C.LITERAL and chr(arg).isascii() and chr(arg) not in folding:
                 run += chr(arg).lower()
                 continue
             offer([run])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanforge.constants import ECOSYSTEM_DB_NAME
@@ -80,6 +80,30 @@ def q_match_rules(spark, sf):
     return hits.select("repo", "path", *_long("line_no", "column"), "rule_id")
 
 
+def _word_rules(spark, sf):
+    """A rule table made from the words of the benchmark texts, one rule a word."""
+    words = V.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).distinct()
+    return words.select(F.concat(F.lit("W-"), "w").alias("rule_id"), F.lit("Generic").alias("language"), F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"),
+                        F.lit("LOW").alias("severity"), F.row_number().over(Window.orderBy("w")).alias("rule_ord"))
+
+
+@register("match_rules_indexed", _SAST_HITS + r""",
+words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS w FROM benchmark),
+tokens AS (SELECT repo, path, line_no, line, unnest(list_distinct(regexp_extract_all(line, '[0-9A-Za-z_]+'))) AS w FROM sast_lines)
+SELECT repo, path, line_no, rule_id, col AS "column" FROM hits
+UNION ALL SELECT repo, path, line_no, 'W-' || w, strlen(regexp_extract(line, '(?s)^(.*?)\b' || w || '\b', 1)) + 1 FROM tokens JOIN words USING (w)""")
+def q_match_rules_indexed(spark, sf):
+    """Built-in rules and a rule for every word of the benchmark, through the gram index."""
+    from scanforge.operators.gram_index import match_rules_indexed
+    from scanforge.operators.matching import explode_lines
+    from scanforge.operators.rules import builtin_rules, merge_rules
+    from scanforge.sources.files import detect_language, ignore_paths
+    files = detect_language(ignore_paths(corpus(spark, sf))).where(F.col("language").isNotNull())
+    rules = merge_rules(builtin_rules(spark), _word_rules(spark, sf))
+    hits = match_rules_indexed(explode_lines(files, final_empty=False), rules)
+    return hits.select("repo", "path", *_long("line_no", "column"), "rule_id")
+
+
 @register("suppress_mitigated", _SAST_HITS + "\nSELECT repo, path, line_no, rule_id FROM hits "
           "WHERE rule_id IN ('JS-014', 'HTML-003')")
 def q_suppress_mitigated(spark, sf):
@@ -164,6 +188,14 @@ def q_match_secrets(spark, sf):
     return h.select("repo", "path", F.col("line_no").cast("long"), "rule_id", "match")
 
 
+@register("match_secrets_indexed", _MATCH_SECRETS + "SELECT repo, path, line_no, rule_id, m AS match FROM lh")
+def q_match_secrets_indexed(spark, sf):
+    """The secret rules through the gram index."""
+    from scanforge.operators.gram_index import match_secrets_indexed
+    h = match_secrets_indexed(_corpus_lines(spark, sf))
+    return h.select("repo", "path", F.col("line_no").cast("long"), "rule_id", "match")
+
+
 @register("redact", _MATCH_SECRETS + "SELECT repo, path, line_no, rule_id, " + O.redact_sql("m") + " AS redacted FROM lh")
 def q_redact(spark, sf):
     from scanforge.functions.text import redact
