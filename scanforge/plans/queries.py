@@ -1103,12 +1103,33 @@ def q_target_branch(spark, sf):
     return target_branch(push_branch(V.pushes(spark, sf)), "main").select("event_id", "repo")
 
 
-@register("rate_limit", """SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id,
+@register("rate_limit_tumbling", """SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id,
   time_bucket(INTERVAL 1 MINUTE, ts) ORDER BY ts, event_id) AS r FROM events) WHERE r <= 1""")
-def q_rate_limit(spark, sf):
-    from scanforge.streaming.monitor import rate_limit
+def q_rate_limit_tumbling(spark, sf):
+    from scanforge.streaming.monitor import rate_limit_tumbling
     e = V.table(spark, sf, "events").withColumnRenamed("user_id", "source")
-    return rate_limit(e.select("event_id", "ts", "source"), n=1, key_cols=("source",)).select("event_id")
+    return rate_limit_tumbling(e.select("event_id", "ts", "source"), n=1, key_cols=("source",)).select("event_id")
+
+
+def _limit_sql(width):
+    return f"""WITH RECURSIVE ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS source, epoch(ts) AS t,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT source, rn, event_id, t + {width} AS wend, 1 AS used, true AS keep FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.source, e.rn, e.event_id,
+         CASE WHEN e.t > r.wend THEN e.t + {width} ELSE r.wend END,
+         CASE WHEN e.t > r.wend THEN 1 ELSE r.used + CASE WHEN r.used < 2 THEN 1 ELSE 0 END END,
+         CASE WHEN e.t > r.wend THEN true ELSE r.used < 2 END
+  FROM r JOIN ev e ON e.source = r.source AND e.rn = r.rn + 1)
+SELECT event_id, source FROM r WHERE keep"""
+
+
+@register("rate_limit", _limit_sql(7 * 86400))
+def q_rate_limit(spark, sf):
+    """Exact limiter over the whole table: windows by successor links and pointer doubling."""
+    from scanforge.streaming.limiter import rate_limit
+    e = V.table(spark, sf, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("source"))
+    return rate_limit(e, n=2, window_seconds=7 * 86400, order=["event_id"]).select("event_id", "source")
 
 
 @register("head_changes", """SELECT event_id, repo, sha FROM (SELECT event_id, 'org/repo' || user_id AS repo,
@@ -1467,16 +1488,7 @@ def q_incremental_scan(spark, sf):
     return spark.read.parquet(sink).select("repo", "engine", "rule_id", "file", F.col("line").cast("long")).distinct()
 
 
-@register("rate_limit_stream", """WITH RECURSIVE ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS source, epoch(ts) AS t,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-r AS (SELECT source, rn, event_id, t + 3600 AS wend, 1 AS used, true AS keep FROM ev WHERE rn = 1
-  UNION ALL
-  SELECT e.source, e.rn, e.event_id,
-         CASE WHEN e.t > r.wend THEN e.t + 3600 ELSE r.wend END,
-         CASE WHEN e.t > r.wend THEN 1 ELSE r.used + CASE WHEN r.used < 2 THEN 1 ELSE 0 END END,
-         CASE WHEN e.t > r.wend THEN true ELSE r.used < 2 END
-  FROM r JOIN ev e ON e.source = r.source AND e.rn = r.rn + 1)
-SELECT event_id, source FROM r WHERE keep""")
+@register("rate_limit_stream", _limit_sql(3600))
 def q_rate_limit_stream(spark, sf):
     """Exact limiter (window restarts at the first request after expiry),
     keyed state per source, over the events as a file stream."""

@@ -2,7 +2,7 @@
 
 Stateless checks (signature, ref parsing, validation, watched branch) are
 plain column expressions and run unchanged on batch or streaming frames.
-Stateful parts: ``rate_limit`` (per-source token window) and ``head_changes``
+Stateful parts: the limiter (per-source token window; in batch ``limiter.py``) and ``head_changes``
 (last successfully scanned SHA per repo/branch). ``incremental_scan`` runs a
 scan per micro-batch in ``foreachBatch`` with a checkpoint, so a failed scan
 is retried and a replayed batch is written idempotently.
@@ -72,7 +72,7 @@ def rate_limit_tumbling(events: DataFrame, n: int = 60, window: str = "1 minute"
                         ts_col: str = "ts", salts: int = 64) -> DataFrame:
     """Batch approximation with clock-aligned windows: the first ``n`` by time
     per key and window. The limiter proper, whose window starts at the first
-    request after expiry, is ``rate_limit_stream``. Ranked inside (key, window,
+    request after expiry, is ``limiter.rate_limit``. Ranked inside (key, window,
     salt) first, so one busy source is ranked by many tasks."""
     rest = [c for c in events.columns if c != ts_col][:1]
     out = events.withColumn("_w", F.window(F.col(ts_col), window).start).withColumn("_salt", F.pmod(F.xxhash64(ts_col, *rest), F.lit(salts)))
@@ -82,9 +82,6 @@ def rate_limit_tumbling(events: DataFrame, n: int = 60, window: str = "1 minute"
     return out.drop("_r", "_w", "_salt")
 
 
-rate_limit = rate_limit_tumbling
-
-
 def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: int = 60, key: str = "source",
                       ts_col: str = "ts", watermark: str = "10 minutes") -> DataFrame:
     """Streaming form with the exact semantics: the window restarts at the

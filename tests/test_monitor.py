@@ -5,7 +5,7 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from scanforge.streaming.monitor import (head_changes, private_address, push_branch, rate_limit, valid_branch,
+from scanforge.streaming.monitor import (head_changes, private_address, push_branch, rate_limit_tumbling, valid_branch,
                                          verify_push)
 
 
@@ -49,7 +49,7 @@ def test_rate_limit_batch(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("s", t0 + dt.timedelta(seconds=i)) for i in range(5)] + [("s", t0 + dt.timedelta(minutes=2))]
     df = spark.createDataFrame(rows, "source string, ts timestamp")
-    assert rate_limit(df, n=2).count() == 3
+    assert rate_limit_tumbling(df, n=2).count() == 3
 
 
 def test_rate_limit_stream_exact_anchor(spark, tmp_path):
