@@ -1459,8 +1459,9 @@ def _event_stream(spark, sf, *cols):
     folder = _scratch(spark, "events")
     early = V.table(spark, sf, "events").select(*cols)
     for k in (0, 1):
-        early.where(F.col("event_id") % 2 == k).coalesce(1).write.parquet(f"{folder}/part={k}")
-    return (spark.readStream.schema(early.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+        early.where(F.coalesce(F.pmod("event_id", F.lit(2)), F.lit(0)) == k).write.parquet(f"{folder}/part={k}")
+    files = len([x for x in early.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).inputFiles()])
+    return (spark.readStream.schema(early.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max(1, files // 2))
             .parquet(folder))
 
 
@@ -1491,16 +1492,19 @@ def q_incremental_scan(spark, sf):
 @register("rate_limit_stream", _limit_sql(3600))
 def q_rate_limit_stream(spark, sf):
     """Exact limiter (window restarts at the first request after expiry),
-    keyed state per source, over the events as a file stream."""
+    keyed state per source: the earlier half of the events' time arrives
+    first, the later half meets its state in a second run of the stream."""
     from scanforge.streaming.monitor import rate_limit_stream
-    events = V.table(spark, sf, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    src = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("source"))
-    limited = rate_limit_stream(src, n=2, window_seconds=3600, key="source")
-    sink, ckpt = _scratch(spark, "ratelimit-sink"), _scratch(spark, "ratelimit-ckpt")
-    q = (limited.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    events = V.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("source"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    folder, sink, ckpt = (_scratch(spark, f"ratelimit-{x}") for x in ("events", "sink", "ckpt"))
+    for late in (False, True):
+        half = events if first is None else events.where((F.col("ts") > F.lit(first + (last - first) / 2)) == late)
+        half.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        limited = rate_limit_stream(stream, n=2, window_seconds=3600, key="source", id_col="event_id")
+        (limited.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(sink).select("event_id", "source")
 
 

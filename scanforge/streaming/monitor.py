@@ -82,49 +82,84 @@ def rate_limit_tumbling(events: DataFrame, n: int = 60, window: str = "1 minute"
     return out.drop("_r", "_w", "_salt")
 
 
-def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: int = 60, key: str = "source",
-                      ts_col: str = "ts", watermark: str = "10 minutes") -> DataFrame:
-    """Streaming form with the exact semantics: the window restarts at the
-    first request after expiry. Per-key state is (tokens used, window end);
-    events of a key are processed in time order inside each micro-batch; the
-    state of a source times out (event time) once the watermark passes its
-    window end, which bounds the state to the active sources."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    schema = events.schema
-    out_schema = schema
-    state_schema = "used long, window_end double"
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            # the watermark passed this source's window end: a later request
-            # starts a new window anyway, so the state can go
-            state.remove()
-            return
-        used, end = (state.get if state.exists else (0, float("-inf")))
-        # the request times decide (16 bytes a request); the rows stay in their Arrow chunks
-        chunks = [p for p in pdfs if len(p)]
-        if not chunks:
-            return
-        tie = [c for c in chunks[0].columns if c != ts_col][:1]
-        keys = pd.concat([p[[ts_col, *tie]].assign(_chunk=i, _row=range(len(p))) for i, p in enumerate(chunks)]).sort_values([ts_col, *tie])
-        keep = [[False] * len(p) for p in chunks]
-        for t, i, r in zip(keys[ts_col], keys["_chunk"], keys["_row"]):
-            sec = pd.Timestamp(t).timestamp()
-            if sec > end:
-                used, end = 0, sec + window_seconds
-            if used < n:
-                used += 1
-                keep[i][r] = True
-        state.update((used, end))
-        state.setTimeoutTimestamp(int(end * 1000))
-        for p, k in zip(chunks, keep):
-            if any(k):
-                yield p[k]
-
-    return (events.withWatermark(ts_col, watermark).groupBy(key)
-            .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
+def _let_through(times, used: int, end: int, n: int, width: int):
+    """Which of the sorted ``times`` pass, and (used, end) after them: one step a window, not one a request."""
+    import numpy as np
+
+    keep, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        if times[at] > end:
+            used, end = 0, int(times[at]) + width
+        upto = int(np.searchsorted(times, end, "right"))
+        free = min(max(n - used, 0), upto - at)
+        keep[at:at + free] = True
+        used += free
+        at = upto
+    return keep, used, end
+
+
+_NEVER = -(1 << 62)
+
+
+def _limiter(n: int, width: int, fields: list[str]):
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Limiter(StatefulProcessor):
+        """State of a source: (used, end of its window); a timer at the window's end clears it."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.window = handle.getValueState("window", "used long, end long")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            import pandas as pd
+
+            chunks = [p for p in rows if len(p)]
+            if not chunks:
+                return
+            held = self.window.get() if self.window.exists() else (0, _NEVER)
+            batch = pd.concat(chunks, ignore_index=True).set_axis([*fields, "_t"], axis=1).sort_values(["_t", fields[2]], kind="stable")
+            keep, used, end = _let_through(batch["_t"].to_numpy(), int(held[0]), int(held[1]), n, width)
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.window.update((used, end))
+            self.handle.registerTimer(-(-end // 1000))
+            if keep.any():
+                yield batch.loc[keep, fields]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            # the watermark passed the window's end: a later request begins a new one anyway
+            self.window.clear()
+            return iter(())
+
+        def close(self):
+            pass
+
+    return Limiter()
+
+
+def rate_limit_stream(events: DataFrame, n: int = 60, window_seconds: float = 60, key: str = "source",
+                      ts_col: str = "ts", id_col: str | None = None, watermark: str = "10 minutes") -> DataFrame:
+    """Streaming form of the exact limiter: (key, ts, id) of the requests let
+    through; join them with the rows where more is needed.
+
+    Only source, time and id pass the state operator (``transformWithState``
+    on the RocksDB store, which this sets). The state of a source is
+    (used, window end), cleared by a timer when the watermark passes the end.
+    A micro-batch's requests of one source are sorted in one task, 24 bytes
+    each: bound the batch at the source (``maxFilesPerTrigger``,
+    ``maxBytesPerTrigger``). The batch form (``limiter.rate_limit``) has no
+    such task. Requests without a time are not let through, those behind the
+    watermark are late and dropped by Spark.
+    """
+    id_col = id_col or [c for c in events.columns if c not in (key, ts_col)][0]
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    fields = [key, ts_col, id_col]
+    rows = events.where(F.col(ts_col).isNotNull()).withWatermark(ts_col, watermark).select(*fields)
+    timed = rows.withColumn("_t", F.unix_micros(F.col(ts_col).cast("timestamp")))
+    return timed.groupBy(key).transformWithStateInPandas(_limiter(n, round(window_seconds * 1_000_000), fields), outputStructType=rows.schema,
+                                                         outputMode="Append", timeMode="EventTime")
 
 
 def head_changes(observations: DataFrame, key_cols=("repo", "branch"), ts_col: str = "ts",

@@ -70,6 +70,35 @@ def test_rate_limit_stream_exact_anchor(spark, tmp_path):
     assert kept == [0, 1, 3, 4]
 
 
+def test_rate_limit_stream_over_batches_equals_the_batch_form(spark, tmp_path):
+    """Several micro-batches in time order, one source with a third of all rows; state goes on over restarts."""
+    import random
+
+    from scanforge.streaming.limiter import rate_limit
+    from scanforge.streaming.monitor import rate_limit_stream
+    rng, t0 = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = sorted((t0 + dt.timedelta(seconds=rng.randrange(3000) / 2), i) for i in range(600))
+    rows = [(i, t, "busy" if i % 3 == 0 else f"s{i % 7}") for t, i in rows]
+    schema, out = "event_id int, ts timestamp, source string", str(tmp_path / "out")
+    for k in range(3):
+        spark.createDataFrame(rows[k * 200:k * 200 + 200], schema).write.mode("append").parquet(str(tmp_path / "src"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "src"))
+        limited = rate_limit_stream(stream, n=3, window_seconds=60, watermark="1 hour")
+        assert limited.columns == ["source", "ts", "event_id"]
+        limited.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    want = rate_limit(spark.createDataFrame(rows, schema), n=3, window_seconds=60, order=["event_id"])
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == sorted(r.event_id for r in want.collect())
+
+
+def test_limiter_steps_by_window():
+    import numpy as np
+
+    from scanforge.streaming.monitor import _NEVER, _let_through
+    keep, used, end = _let_through(np.array([0, 1, 2, 10, 11, 12, 30]), 0, _NEVER, 2, 10)
+    assert keep.tolist() == [True, True, False, False, True, True, True] and (used, end) == (1, 40)
+    assert _let_through(np.array([35, 41]), used, end, 1, 10)[0].tolist() == [False, True]
+
+
 def test_monitor_heads_advances_after_scan(spark, tmp_path):
     from scanforge.streaming.monitor import monitor_heads
     t0 = dt.datetime(2024, 1, 1)
