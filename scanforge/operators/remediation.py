@@ -75,10 +75,33 @@ def cache_lookup(items: DataFrame, cache: DataFrame, now, integrity_key: bytes |
     return items.join(valid, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+# FIXED VALUES: the wording of a secret's prompt, with its type and file.
+SECRET_PROMPT = """A %s was detected in the file: %s
+
+Please provide:
+1. The immediate steps to take (rotate/revoke the secret)
+2. How to properly manage this type of secret going forward
+3. How to prevent this from happening again in CI/CD
+
+Be concise and actionable."""
+
+
+def secret_prompt() -> "F.Column":
+    return F.format_string(SECRET_PROMPT, F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("file"), F.lit("")))
+
+
 # FIXED VALUES: the prompt's wording.
 def render_prompt(df: DataFrame) -> DataFrame:
-    """Prompt text per SAST finding (the model call itself is not part of
-    this engine)."""
+    """Prompt text per finding: a secret's (engine Leaks) names its type and
+    file and never the match; any other has the finding's fields and code
+    (the model call itself is not part of this engine)."""
+    names = ("language", "owasp", "cwe", "cvss", "code")
+    lacking = {c: F.lit(None).cast("double" if c == "cvss" else "string") for c in names if c not in df.columns}
+    return df.withColumns(lacking).withColumn("prompt", _finding_prompt()).withColumn(
+        "prompt", F.when(F.col("engine") == "Leaks", secret_prompt()).otherwise(F.col("prompt")) if "engine" in df.columns else F.col("prompt")).drop(*lacking)
+
+
+def _finding_prompt() -> "F.Column":
     code = F.coalesce(F.col("code"), F.lit(""))
     code_block = F.when(code != "", F.concat(F.lit("**Vulnerable Code:**\n```\n"), code, F.lit("\n```\n\n"))).otherwise("")
     p = F.concat(
@@ -96,7 +119,7 @@ def render_prompt(df: DataFrame) -> DataFrame:
         F.lit("2. A corrected code example\n"),
         F.lit("3. Any additional security controls to add\n"),
     )
-    return df.withColumn("prompt", p)
+    return p
 
 
 def clean_response(c, max_bytes: int | None = None) -> "F.Column":

@@ -241,14 +241,42 @@ def history_hits(blobs: DataFrame, leak_specs, max_commits: int | None = None, m
     return hits
 
 
+def distinct_contents(versions: DataFrame) -> DataFrame:
+    """Contents by address (_h: SHA-256, _len: bytes), each once. A content that
+    many versions share is collapsed before the shuffle."""
+    return versions.groupBy("_h", "_len").agg(F.first("content").alias("content"))
+
+
+def content_hits(contents: DataFrame, leak_specs, line_cap: int | None = None) -> DataFrame:
+    """Secret hits of addressed contents: every content is matched once, however many versions have it."""
+    f = contents.select("_h", "_len", "content", F.lit(None).cast("string").alias("language"), F.lit(True).alias("leak_ok"))
+    return match_files(f, None, leak_specs, ["_h", "_len"], with_snippet=False, leak_line_cap=line_cap)
+
+
 def history_scan(blobs: DataFrame, rules: DataFrame | None = None, max_commits: int | None = None,
                  max_bytes: int | None = None, min_entropy: float = ENTROPY_MIN, line_cap: int | None = None) -> DataFrame:
     """Every version of every file: one finding per (rule, path, line, match),
     credited to the first commit, dedup applied before the entropy gate.
     ``commit_hash`` is whole, ``commit_short`` its first eight characters.
-    The limits are off unless given."""
+    The limits are off unless given.
+
+    Versions are addressed by content: distinct contents are scanned once and
+    their hits go to the (repository, path) pairs that have them, each with
+    the first commit of that content, so work on contents grows with what is
+    new in a history, not with its commits."""
     cat = Catalog(blobs.sparkSession, leak_rules=rules, sast=False)
-    hits = history_dedup(history_hits(blobs, cat.leak_specs, max_commits, max_bytes, line_cap))
+    ok = ~is_binary(F.col("content"))
+    if max_bytes is not None:
+        ok = ok & (F.octet_length("content") <= max_bytes)
+    versions = drop_media_extensions(blobs).where(ok)
+    if max_commits is not None:
+        versions = versions.join(_commit_threshold(blobs, max_commits), "repo").where(F.struct("commit_seq", "commit_hash") >= F.col("_min_commit"))
+    address = [F.sha2(F.col("content").cast("binary"), 256).alias("_h"), F.octet_length("content").alias("_len")]
+    versions = versions.select("repo", "path", "commit_seq", "commit_hash", "content", *address)
+    first = versions.groupBy("_h", "_len", "repo", "path").agg(F.min(F.struct("commit_seq", "commit_hash")).alias("_c"))
+    first = first.select("_h", "_len", "repo", "path", "_c.commit_seq", "_c.commit_hash")
+    found = content_hits(distinct_contents(versions), cat.leak_specs, line_cap)
+    hits = history_dedup(found.join(first, ["_h", "_len"]))
     out = leak_findings_from_hits(hits, cat.df(), min_entropy, extra_cols=("commit_hash_full",))
     return (out.withColumn("in_git_history", F.lit(True)).withColumn("commit_hash", F.col("commit_hash_full"))
             .withColumn("commit_short", F.col("commit_hash_full").substr(1, 8)).drop("commit_hash_full"))

@@ -1270,6 +1270,17 @@ def q_render_prompts(spark, sf):
     return render_prompt(f).select("finding_id", "prompt")
 
 
+@register("render_secret_prompts", _LEAK_FILES + """SELECT file, line, rule_id, 'A ' || title || ' was detected in the file: ' || file || chr(10) || chr(10)
+  || 'Please provide:' || chr(10) || '1. The immediate steps to take (rotate/revoke the secret)' || chr(10)
+  || '2. How to properly manage this type of secret going forward' || chr(10)
+  || '3. How to prevent this from happening again in CI/CD' || chr(10) || chr(10) || 'Be concise and actionable.' AS prompt FROM leaks""")
+def q_render_secret_prompts(spark, sf):
+    """Prompts of the secret findings of the flagship scan."""
+    from scanforge.operators.remediation import render_prompts
+    f = flagship(spark, sf, enable_sast=False, enable_sca=False)
+    return render_prompts(f).select("file", F.col("line").cast("long"), "rule_id", "prompt")
+
+
 def _answers_sql():
     return """answers AS (SELECT conv_id, turn, CASE turn % 5
     WHEN 0 THEN 'Sure, here is the fix:' || chr(10) || text

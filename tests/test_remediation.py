@@ -35,3 +35,13 @@ def test_render_prompt_and_attach(spark):
     assert "**CVSS Score:** 9.8\n\n**Vulnerable Code:**\n```\nx = 1\n```\n\n**File:** a.py (line 3)\n" in p
     answers = spark.createDataFrame([("k1", "use parameters")], "cache_key string, response string")
     assert attach_remediation(f, answers).collect()[0].ai_remediation == "use parameters"
+
+
+def test_prompt_of_a_secret_names_type_and_file_only(spark):
+    from scanforge.operators.remediation import render_prompts
+    rows = [("Leaks", "Token", "a/b.env", 3, "HIGH", "abcd****"), ("SAST", "Injection", "x.py", 1, "HIGH", None)]
+    got = render_prompts(spark.createDataFrame(rows, "engine string, title string, file string, line int, severity string, match string"))
+    assert got.columns == ["engine", "title", "file", "line", "severity", "match", "prompt"]
+    secret, finding = [r.prompt for r in got.collect()]
+    assert secret.startswith("A Token was detected in the file: a/b.env\n\nPlease provide:\n1. The immediate steps") and secret.endswith("Be concise and actionable.")
+    assert "abcd" not in secret and finding.startswith("## Security Vulnerability Found\n\n**Vulnerability:** Injection")

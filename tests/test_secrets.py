@@ -95,6 +95,20 @@ def test_history_dedup_first_commit(spark):
     assert h[0].commit_short == "c0000000"
 
 
+def test_a_content_in_many_commits_is_matched_once(spark):
+    from scanforge.operators.secrets import distinct_contents, history_scan
+    rows = [("r", "c%012d" % i, i, f"p{i % 2}.py", "key = " + AWS + ("\nnew" if i == 700 else "")) for i in range(1000)]
+    rows += [("other", "d%012d" % i, i, "p0.py", "key = " + AWS) for i in range(5, 9)]
+    b = spark.createDataFrame(rows, "repo string, commit_hash string, commit_seq long, path string, content string").repartition(8)
+    addressed = b.selectExpr("content", "sha2(cast(content as binary), 256) as _h", "octet_length(content) as _len")
+    assert distinct_contents(addressed).count() == 2
+    found = sorted((r.repo, r.file, r.commit_hash) for r in history_scan(b).collect())
+    assert found == [("other", "p0.py", "d%012d" % 5), ("r", "p0.py", "c%012d" % 0), ("r", "p1.py", "c%012d" % 1)]
+    plan = history_scan(b)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("posexplode"):]
+    assert "first(content" in below  # lines are split from the distinct contents
+
+
 def test_history_commit_cap(spark):
     from scanforge.operators.secrets import history_scan
     rows = [("r", "c%012d" % i, i, f"f{i}.py", "key = " + AWS) for i in range(5)]
