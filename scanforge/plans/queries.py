@@ -1167,6 +1167,31 @@ def q_private_address(spark, sf):
     return private_address(ips).select("event_id", "ip", "private")
 
 
+_BLOCKS_SQL = """SELECT CASE s_suppkey % 5 WHEN 0 THEN '10.' || (s_suppkey % 256) || '.0.0/16' WHEN 1 THEN '192.168.' || (s_suppkey % 256) || '.7/24'
+  WHEN 2 THEN '8.8.' || (s_suppkey % 256) || '.0/25' WHEN 3 THEN '172.' || (s_suppkey % 32) || '.0.0/14' ELSE '8.8.0.0/' || (12 + s_suppkey % 13) END AS cidr FROM supplier
+  UNION ALL SELECT CASE r_regionkey WHEN 0 THEN 'fd12:3456::/32' WHEN 1 THEN 'fd00::/8' WHEN 2 THEN '2001:DB8::/32' WHEN 3 THEN 'fe80::/10' ELSE '::1' END FROM region"""
+
+
+@register("address_block", "WITH blocks AS (" + _BLOCKS_SQL + """),
+v4 AS (SELECT cidr, CAST(split_part(cidr, '/', 2) AS INT) AS len, list_reduce([CAST(x AS BIGINT) FOR x IN string_split(split_part(cidr, '/', 1), '.')], lambda a, b: a * 256 + b) AS n
+  FROM blocks WHERE cidr NOT LIKE '%:%'),
+ranges AS (SELECT cidr, len, (n >> (32 - len)) << (32 - len) AS low, ((n >> (32 - len)) << (32 - len)) + (1::BIGINT << (32 - len)) - 1 AS high FROM v4),
+ips AS (SELECT event_id, """ + _IP_SQL + """ AS ip FROM events),
+read AS (SELECT event_id, ip, CASE WHEN ip LIKE '::ffff:%' THEN substr(ip, 8) ELSE ip END AS a FROM ips),
+num AS (SELECT *, CASE WHEN regexp_full_match(a, '[0-9.]+') AND a NOT IN ('10.0.0.256', '010.0.0.1')
+  THEN list_reduce([CAST(x AS BIGINT) FOR x IN string_split(a, '.')], lambda a, b: a * 256 + b) END AS n FROM read),
+hit4 AS (SELECT event_id, arg_min(cidr, (-len, cidr)) AS block FROM num JOIN ranges ON n BETWEEN low AND high GROUP BY event_id)
+SELECT event_id, ip, CASE WHEN ip LIKE 'fd12:3456:%' THEN 'fd12:3456::/32' WHEN ip LIKE '2001:db8:%' THEN '2001:DB8::/32' WHEN ip = 'fe80::1' THEN 'fe80::/10'
+  WHEN ip = '::1' THEN '::1' ELSE block END AS block FROM num LEFT JOIN hit4 USING (event_id)""")
+def q_address_block(spark, sf):
+    """Addresses against a table of nested blocks, derived from suppliers and regions; the longest wins."""
+    from scanforge.streaming.monitor import address_block
+    for name in ("supplier", "region"):
+        V.table(spark, sf, name).createOrReplaceTempView(name)
+    ips = V.table(spark, sf, "events").select("event_id", F.expr(_IP_SQL).alias("ip"))
+    return address_block(ips, spark.sql(_BLOCKS_SQL)).select("event_id", "ip", "block")
+
+
 # ===================================================================== §2.8 remediation
 
 PROVIDER, MODEL = "provider-a", "model-x"

@@ -246,6 +246,71 @@ def private_address(ips: DataFrame, ip_col: str = "ip") -> DataFrame:
     return read.withColumn("private", _in_private_blocks(F.col("_v4"), F.col("_g"))).drop("_g", "_v4")
 
 
+def _address_bits(df: DataFrame, blocks: bool) -> DataFrame:
+    """(text) -> text, _family (4, 6), _hi, _lo (the address as two longs; IPv4: the top 32 bits of _hi) and, of blocks, _len.
+    Text that is none is left out; a mapped IPv4 address (::ffff:a.b.c.d) is that address, and a block of such is one of IPv4."""
+    import pyarrow as pa
+
+    def read(text: str) -> tuple | None:
+        head, slash, size = text.partition("/")
+        if "%" in head or slash and not (blocks and size.isascii() and size.isdigit() and len(size) <= 3):
+            return None
+        try:
+            a = ipaddress.ip_address(head)
+        except ValueError:
+            return None
+        n = int(size) if slash else a.max_prefixlen
+        if n > a.max_prefixlen:
+            return None
+        if a.version == 6 and a.ipv4_mapped is not None and n >= 96:
+            a, n = a.ipv4_mapped, n - 96
+        bits = int(a) << (96 if a.version == 4 else 0)
+        signed = [x - (1 << 64) if x >> 63 else x for x in (bits >> 64, bits & (1 << 64) - 1)]
+        return (text, a.version, *signed, n)
+
+    def run(batches):
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        for batch in batches:
+            rows = [r for r in map(read, batch.column(0).to_pylist()) if r]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["text", "_family", "_hi", "_lo", "_len"])
+
+    return df.mapInArrow(run, "text string, _family int, _hi bigint, _lo bigint, _len int")
+
+
+def _masked(hi: str, lo: str, length: str) -> tuple[Column, Column]:
+    """The first ``length`` bits of two longs."""
+    keep = lambda n: f"CASE WHEN {n} <= 0 THEN 0L WHEN {n} >= 64 THEN -1L ELSE shiftleft(-1L, 64 - {n}) END"
+    return F.expr(f"{hi} & ({keep(length)})"), F.expr(f"{lo} & ({keep(f'({length} - 64)')})")
+
+
+def block_keys(cidrs: DataFrame, cidr_col: str = "cidr") -> DataFrame:
+    """Blocks as (_family, _len, _hi, _lo, block): the prefix cut to its length, one row a prefix (of equal ones the least text).
+    A bare address is a block of its own; text that is no block is dropped."""
+    df = _address_bits(cidrs.select(F.col(cidr_col).alias("text")).where("text IS NOT NULL").distinct(), blocks=True)
+    hi, lo = _masked("_hi", "_lo", "_len")
+    return df.select("_family", "_len", hi.alias("_hi"), lo.alias("_lo"), F.col("text").alias("block")).groupBy("_family", "_len", "_hi", "_lo").agg(F.min("block").alias("block"))
+
+
+def address_block(ips: DataFrame, cidrs: DataFrame, ip_col: str = "ip", cidr_col: str = "cidr") -> DataFrame:
+    """Add ``block``: the longest of the blocks of a table that holds the address (NULL: none, or no address).
+
+    A range join without comparing ranges: every distinct address is cut to
+    each prefix length that occurs among the blocks of its family (at most 33
+    and 129, collected) and joins the blocks on the cut prefix, an equi-join
+    for tables of any size; the longest match goes back to the rows by their
+    text. Blocks may nest and overlap."""
+    keys = block_keys(cidrs, cidr_col)
+    lengths = [tuple(r) for r in keys.select("_family", "_len").distinct().collect()]
+    spark = ips.sparkSession
+    sizes = F.broadcast(spark.createDataFrame(lengths or [(4, 32)], "_family int, _len int"))
+    asked = ips.select(F.col(ip_col).alias("text")).where("text IS NOT NULL").distinct()
+    asked = _address_bits(asked, blocks=False).drop("_len").join(sizes, "_family")
+    hi, lo = _masked("_hi", "_lo", "_len")
+    cut = asked.select(F.col("text").alias("_ip"), "_family", "_len", hi.alias("_hi"), lo.alias("_lo"))
+    best = cut.join(keys, ["_family", "_len", "_hi", "_lo"]).groupBy("_ip").agg(F.max_by("block", "_len").alias("block"))
+    return ips.join(best.withColumnRenamed("_ip", ip_col), ip_col, "left")
+
+
 _KEY = "\u001f"
 
 
