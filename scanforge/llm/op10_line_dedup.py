@@ -111,7 +111,7 @@ def _frequent(min_docs: int, most: int = _HELD):
 
 def copy_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, _th, _cd, _ct) of every document that has copies or near copies: the class is named by its first document."""
-    found = jaccard_classes(docs).filter("class_size > 1")
+    found = jaccard_classes(docs, links=False).filter("class_size > 1")
     return found.select("doc_id", "_th", F.col("class_id").alias("_cd"), F.col("class_th").alias("_ct")).distinct()
 
 

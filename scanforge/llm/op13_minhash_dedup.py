@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import checkpointed, documents, mix64, slices, with_text_key
-from scanforge.llm.op3_jaccard_join import components, shingle_sets
+from scanforge.llm.shingles import components, shingle_sets
 
 WORDS, PERCENT, BANDS, ROWS = 2, 80, 32, 4
 #: outsiders of a bucket compared at once; edges of a hub verified in one go; estimated similarity below which no pair is verified

@@ -1,27 +1,38 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
-A document is the set of its 5-word shingles. Each tree of the forest orders
-the documents by a signature of minhash values; a prefix of depth k is a trie
-node. Matching starts at the full depth and the prefix is shortened until two
-documents at the threshold meet in some tree with the target recall.
+A document is the set of its 5-word shingles. Each of ``TREES`` trees is a
+prefix trie over signatures of ``DEPTH`` minhash values; classes with equal
+prefixes of k values meet in a node of depth k.
 
 1. Signatures, one pass. Documents with the same shingle set form one class
    and go on as one row, so copies are never paired.
-2. Trie nodes with two classes or more are cut into tiles: pairs of blocks of at
-   most about ``BLOCK`` classes, so a node of any size is spread over tasks and
-   no pair of a node is left out.
-3. A tile compares signatures only. A pair belongs to the first tree in which
-   the two meet, so it is verified once; classes without a pair go no further.
-4. The shingle sets of the classes left are fetched once, sent to their tiles,
-   and the Jaccard similarity of every pair is computed exactly. A tile returns
-   link counts per class and a spanning forest of its links, never the pairs.
-5. Connected classes get one id by label propagation with pointer jumping, each
-   round checkpointed.
+2. The walk begins at the full depth and halves the prefix until two classes at
+   the threshold meet in some tree with the target recall. At each depth only
+   nodes whose members are not yet in one component are open: classes that met
+   in a longer prefix are not compared again.
+3. An open node takes a pivot, the member that meets most others, and its
+   members are verified against it on full sets: one row a member. Verified
+   edges make components.
+4. At the last depth, an open node may hide a link that its pivot did not see.
+   Members outside the node's largest component are compared with all members
+   of other components, in blocks; signatures choose, full sets confirm.
+5. Links are counted inside the components, where all of them lie. A class is
+   held as its symmetric difference D with the component's pivot: the
+   difference of two classes is that of their D, so small rows decide exactly.
+   Distances to the pivot put classes in bands. Jaccard distance is a metric:
+   two classes whose distances add up to 1 - threshold at most are linked and
+   only counted, two whose distances differ by more are not. The other pairs
+   are compared in tiles of two packed blocks of about ``block`` classes.
+
+The exact link counts of a component of m classes take, for what the bands
+leave open, work of m * m / 2 set comparisons, in (m / block)^2 / 2 rows; class
+ids alone (``count_links=False``) need one row a member and depth.
 
 Defined cases: a document without words (null, empty, white space) has no
 shingle and stays alone; under five words the whole text is one shingle;
 repeated rows are copies; null doc_ids count as the largest; an empty table
-gives an empty result; columns other than doc_id and text are not read.
+gives an empty result; a long text is handled whole in a task, with some 16
+bytes a byte of text; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import WS, checkpointed, documents, mix64, slices, text_or_empty, with_text_key
+from scanforge.llm import op13_minhash_dedup as stars
+from scanforge.llm.common import checkpointed, documents, mix64, slices, text_or_empty, with_text_key
+from scanforge.llm.shingles import SLICE, WORDS, components, shingle_sets
 
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
+THRESHOLD, RECALL = 0.8, 0.9999
 TREES, DEPTH, BLOCK = 20, 8, 256
-_IS_SPACE = np.isin(np.arange(256), list(WS))
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 19
-_powers: list[np.ndarray] = []
+#: share of equal minhash values below which no pair is verified; classes whose links to one pivot a task counts; bytes of differences in a block
+LEAST, FAN, BLOCK_BYTES = 0.5, 2000, 1 << 20
+#: bands of the distance to the pivot in 1 - threshold
+BANDS = 4
 
 
 def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -52,299 +64,295 @@ def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: in
     return depth
 
 
-# --- shingles -----------------------------------------------------------------------------------------------------------------
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    global _powers
-    if not _powers or len(_powers[0]) < n:
-        made = []
-        for base in (_BASE, _INVERSE):
-            x = np.full(max(n, _SLICE * 2), base, np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        if n > _SLICE * 4:  # a giant text: not kept
-            return made
-        _powers = made
-    return _powers
-
-
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text."""
-    raw = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(raw, np.uint8)
-    space = _IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], dtype=np.uint64)])
-        word = mix64((sums[end] - sums[begin]) * inverse[begin] ^ ((end - begin).astype(np.uint64) << np.uint64(48)))
-        n = len(word)
-        mixed = np.zeros(n, np.uint64)
-        for j in range(words):
-            mixed[:max(0, n - j)] += word[j:] * power[2 * j + 3]
-        gram = mix64(mixed)
-        limits = np.cumsum([len(t) + 1 for t in texts])
-        upto = np.searchsorted(begin, limits)
-        out, a = [], 0
-        for b in upto.tolist():
-            if b - a >= words:
-                out.append(np.unique(gram[a:b - words + 1]))
-            elif b > a:
-                out.append(mix64(np.array([sum(int(x) * int(power[2 * j + 3]) for j, x in enumerate(word[a:b])) % (1 << 64)], np.uint64) ^ np.uint64(b - a)))
-            else:
-                out.append(np.zeros(0, np.uint64))
-            a = b
+def walk(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> list[int]:
+    """Depths visited: the full one, then halved prefixes down to the one that reaches the recall."""
+    last, out = prefix_depth(threshold, recall, trees, depth), [depth]
+    while out[-1] > last:
+        out.append(max(out[-1] // 2, last))
     return out
 
 
+# --- signatures ---------------------------------------------------------------------------------------------------------------
+
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         x = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return x[:n] | np.uint64(1), x[n:]
 
 
-def signatures(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """One prefix key per set (none empty) and tree."""
+def signatures(sets: list[np.ndarray], trees: int, depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Per set (none empty): a key for each depth and tree, and the minhash values (16 bits) of the shortest prefixes."""
     flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    a, b = _functions(trees * depth)
-    keys = np.zeros((len(sets), trees), np.uint64)
+    deep, last = max(depths), min(depths)
+    a, b = _functions(trees * deep)
+    keys, values = np.zeros((len(sets), len(depths), trees), np.uint64), np.zeros((len(sets), trees, last), np.uint16)
     with np.errstate(over="ignore"):
         for t in range(trees):
-            for k in range(depth):
-                f = t * depth + k
-                lowest = np.minimum.reduceat(flat * a[f] + b[f], at)
-                keys[:, t] = mix64(keys[:, t] * np.uint64(31) + lowest)
-    return keys.view(np.int64)
+            prefix = np.full(len(sets), t + 1, np.uint64)
+            for k in range(deep):
+                lowest = np.minimum.reduceat(flat * a[t * deep + k] + b[t * deep + k], at)
+                prefix = mix64(prefix * np.uint64(31) + lowest)
+                if k < last:
+                    values[:, t, k] = mix64(lowest).astype(np.uint16)
+                if k + 1 in depths:
+                    keys[:, depths.index(k + 1), t] = prefix
+    return keys.view(np.int64), values.reshape(len(sets), -1)
 
 
-_SIG = "doc_id bigint, _th bigint, _c binary, _n int, _keys array<bigint>"
+_SIGNED = "doc_id bigint, _th bigint, _c binary, _n int, _sig binary, _keys array<array<bigint>>"
 
 
-def _sign(words: int, trees: int, depth: int):
+def _sign(words: int, trees: int, depths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets([x.as_buffer().to_pybytes() for x in part.column("text")], words)
                 has = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [None] * len(sets)
+                names, sigs, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if has:
-                    for i, k in zip(has, signatures([sets[i] for i in has], trees, depth), strict=True):
-                        keys[i] = k
-                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                    made, values = signatures([sets[i] for i in has], trees, depths)
+                    for i, k, v in zip(has, made, values, strict=True):
+                        names[i], sigs[i], keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), v.tobytes(), list(k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_th"), pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                                                  pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "_th", "_c", "_n", "_keys"])
+                                                  pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "_th", "_c", "_n", "_sig", "_keys"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                sets = shingle_sets([x.as_buffer().to_pybytes() for x in part.column("text")], words)
+                yield pa.RecordBatch.from_arrays([part.column("_c"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_c", "_set"])
 
     return run
 
 
-# --- tiles --------------------------------------------------------------------------------------------------------------------
+# --- the walk -----------------------------------------------------------------------------------------------------------------
 
-_TILE = ["_tree", "_prefix", "_lo", "_hi"]
+def node_members(classes: DataFrame, level: int) -> DataFrame:
+    """(_k, _band, _c, _n, _m): the classes in nodes of several at one depth; ``_band`` is the tree."""
+    nodes = classes.select("_c", "_n", F.posexplode(F.col("_keys")[level]).alias("_band", "_k"))
+    several = nodes.groupBy("_k").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    return nodes.join(several, "_k")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
-    """Tiles of rows sorted by tile, one at a time."""
-    current, held = None, {c: [] for c in columns}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _TILE], axis=1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(keys[a].tolist())
-            if key != current:
-                if current is not None:
-                    yield current, held
-                current, held = key, {c: [] for c in columns}
-            for c in columns:
-                held[c] += batch.column(c).slice(a, b - a).to_pylist()
-    if current is not None:
-        yield current, held
+def open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the nodes that lie in several components."""
+    named = members.join(roots, "_c", "left").withColumn("_r", F.coalesce("_root", "_c"))
+    several = named.groupBy("_k").agg(F.min("_r").alias("_a"), F.max("_r").alias("_b")).filter("_a <> _b").select("_k")
+    return members.join(several, "_k", "left_semi")
 
 
-def _block_of(keys: np.ndarray, blocks: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    left = np.flatnonzero(blocks == lo)
-    return left, left if lo == hi else np.flatnonzero(blocks == hi)
+def _rooted(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("v").alias("_c"), F.col("root").alias("_root"))
 
 
-def _candidates(tree: int, lo: int, hi: int, keys: np.ndarray, n: np.ndarray, blocks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the tile that meet in this tree first and whose sizes allow the threshold."""
-    left, right = _block_of(keys, blocks, lo, hi)
-    small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
-    good = small >= threshold * large
-    for t in range(tree):
-        good &= keys[left, t][:, None] != keys[right, t][None, :]
-    i, j = np.nonzero(good)
-    i, j = left[i], right[j]
-    once = i < j if lo == hi else slice(None)
-    return i[once], j[once]
+def linked_classes(classes: DataFrame, sets_of, depths: list[int], threshold: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Walk the forest: (verified links a, b), (components _c, _root) and the shingle sets of the classes that share a node."""
+    percent = round(threshold * 100, 9)
+    shallow = checkpointed(node_members(classes, len(depths) - 1))
+    sets = checkpointed(sets_of(shallow.select("_c").distinct()))
+    links, roots = None, None
+    for level in range(len(depths)):
+        members = shallow if level == len(depths) - 1 else checkpointed(node_members(classes, level))
+        if roots is not None:
+            members = checkpointed(open_nodes(members, roots))
+        hubs, edges = stars.star_edges(members, percent)
+        if roots is not None:  # classes that met in a longer prefix
+            one = roots.select(F.col("_c").alias("_hub"), F.col("_root").alias("_r"))
+            edges = edges.join(one, "_hub", "left").join(roots, "_c", "left").filter(~F.coalesce(F.col("_r") == F.col("_root"), F.lit(False))).select("_hub", "_c")
+        found = checkpointed(stars.confirmed(checkpointed(edges), sets, percent))
+        links = found if links is None else links.unionByName(found)
+        roots = _rooted(links)
 
+    order, last = ["_k", "_block", F.desc("_out")], depths[-1]
+    tiles = stars.open_members(members, hubs, roots, block).join(classes.select("_c", "_n", "_sig"), "_c")
+    chosen = checkpointed(tiles.repartition("_k", "_block").sortWithinPartitions(*order).mapInArrow(
+        stars._choose(last, LEAST * threshold / THRESHOLD, percent), "_k bigint, _band int, _block int, _out boolean, _c binary, _root binary"))
+    if not chosen.isEmpty():
+        full = chosen.join(classes.select("_c", "_sig"), "_c").join(sets, "_c")
+        more = checkpointed(full.repartition("_k", "_block").sortWithinPartitions(*order).mapInArrow(
+            stars._compare(last, LEAST * threshold / THRESHOLD, percent), "a binary, b binary"))
+        links = links.unionByName(more)
+        roots = _rooted(links)
+    return links, roots, sets
 
-def _light(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for (tree, prefix, lo, hi), g in _groups(batches, ["_c", "_n", "_block", "_keys"]):
-            i, j = _candidates(tree, lo, hi, np.array(g["_keys"], np.int64), np.array(g["_n"]), np.array(g["_block"]), threshold)
-            for k in np.unique(np.concatenate([i, j])).tolist():
-                out.append((tree, prefix, lo, hi, g["_c"][k], g["_block"][k]))
-            if len(out) > 10_000:
-                yield _needed(out)
-                out = []
-        if out:
-            yield _needed(out)
 
-    return run
+# --- link counts --------------------------------------------------------------------------------------------------------------
 
+def _differ(threshold: float):
+    """Rows sorted by (_root, _part), the pivot's set first; each class as its symmetric difference with it."""
 
-def _needed(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*_TILE, "_c", "_block"])
-
-
-def _links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the Jaccard similarity of each pair reaches the threshold."""
-    size = np.array([len(s) for s in sets], np.int64)
-    if len(i) <= 8 * len(sets):
-        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-    else:  # many pairs: all intersections at once, over the shingles that two sets share
-        shingle, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), size)
-        shared = often[column] > 1
-        row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
-        width, order = 4096, np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        total = int(column[-1]) + 1 if len(column) else 0
-        for k in range(0, total, width):
-            a, b = np.searchsorted(column, [k, k + width])
-            x = np.zeros((len(sets), min(width, total - k)), np.float32)
-            x[row[a:b], column[a:b] - k] = 1
-            common += x @ x.T
-        both = common[i, j].astype(np.int64)
-    return both >= threshold * (size[i] + size[j] - both) - 1e-9
-
-
-def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: dict[bytes, int] = {}
-        edges: list[tuple] = []
-        for (tree, _, lo, hi), g in _groups(batches, ["_c", "_n", "_block", "_keys", "_size", "_set"]):
-            once = list({c: k for k, c in enumerate(g["_c"])}.values())
-            pick = lambda name: [g[name][k] for k in once]  # noqa: E731, B023
-            ids, sizes = pick("_c"), np.array(pick("_size"), np.int64)
-            i, j = _candidates(tree, lo, hi, np.array(pick("_keys"), np.int64), np.array(pick("_n")), np.array(pick("_block")), threshold)
-            if not len(i):
-                continue
-            found = _links([np.frombuffer(s, np.uint64) for s in pick("_set")], i, j, threshold)
-            i, j = i[found], j[found]
-            near = np.bincount(i, sizes[j], len(ids)) + np.bincount(j, sizes[i], len(ids))
-            root = list(range(len(ids)))
-
-            def top(x: int) -> int:
-                while root[x] != x:  # noqa: B023
-                    root[x] = root[root[x]]  # noqa: B023
-                    x = root[x]  # noqa: B023
-                return x
-
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                a, b = top(a), top(b)
-                if a != b:
-                    root[max(a, b, key=ids.__getitem__)] = min(a, b, key=ids.__getitem__)
-            for k in np.flatnonzero(near).tolist():
-                links[ids[k]] = links.get(ids[k], 0) + int(near[k])
-                if top(k) != k:
-                    edges.append((ids[k], ids[top(k)]))
-            if len(links) > 50_000:
-                yield _found(links, edges)
-                links, edges = {}, []
-        if links:
-            yield _found(links, edges)
+        own = None
+        for batch in batches:
+            out = []
+            for root, c, size, s in zip(*(batch.column(k) for k in ("_root", "_c", "_size", "_set")), strict=True):
+                if not c.is_valid:
+                    own = np.frombuffer(s.as_py(), np.uint64)
+                    continue
+                x = np.frombuffer(s.as_buffer(), np.uint64)
+                delta = np.setxor1d(own, x, assume_unique=True)
+                far = len(delta) / ((len(own) + len(x) + len(delta)) / 2)
+                out.append((root.as_py(), c.as_py(), size.as_py(), len(x), int(far * BANDS / (1 - threshold)), delta.tobytes()))
+            if out:
+                types = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)],
+                                                 names=["_root", "_c", "_size", "_n", "_near", "_delta"])
 
     return run
 
 
-def _found(links: dict[bytes, int], edges: list[tuple]) -> pa.RecordBatch:
-    a = [*links, *(e[0] for e in edges)]
-    b = [None] * len(links) + [e[1] for e in edges]
-    n = [*links.values()] + [0] * len(edges)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["_c", "_to", "_links"])
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common members of each set on the left with each on the right; only members on both sides are looked at."""
+    both = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    if not len(common):
+        return both.astype(np.int64)
+    where = []
+    for values, row in sides:
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        hit = common[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        where.append((at[hit][order], row[hit][order]))
+    width = 4096
+    for k in range(0, len(common), width):
+        x = []
+        for (at, row), sets in zip(where, (left, right), strict=True):
+            a, b = np.searchsorted(at, [k, k + width])
+            m = np.zeros((len(sets), min(width, len(common) - k)), np.float32)
+            m[row[a:b], at[a:b] - k] = 1
+            x.append(m)
+        both += x[0] @ x[1].T
+    return both.astype(np.int64)
+
+
+def near_pairs(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which classes are linked, from their differences with one pivot and their sizes."""
+    apart = np.add.outer([len(x) for x in left], [len(x) for x in right]) - 2 * overlaps(left, right)
+    total = np.add.outer(n_left, n_right)
+    return total - apart >= threshold * (total + apart) - 1e-9
+
+
+def _count(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: dict[bytes, int] = {}
 
+        def add(ids: list[bytes], more: np.ndarray) -> None:
+            for c, n in zip(ids, more.tolist(), strict=True):
+                if n:
+                    links[c] = links.get(c, 0) + n  # noqa: B023
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", _SLICE):
-                sets = shingle_sets([x.as_buffer().to_pybytes() for x in part.column("text")], words)
-                yield pa.RecordBatch.from_arrays([part.column("_c"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_c", "_set"])
+            for row in range(batch.num_rows):
+                sides = []
+                for name in ("_lo", "_hi"):
+                    if (held := batch.column(name)[row]).is_valid:
+                        m = held.as_py()
+                        sides.append(([x["_c"] for x in m], np.array([x["_size"] for x in m]), np.array([x["_n"] for x in m], np.int64),
+                                      [np.frombuffer(x["_delta"], np.uint64) for x in m]))
+                (ids, size, n, sets), (ids2, size2, n2, sets2) = sides[0], sides[-1]
+                near = near_pairs(sets, sets2, n, n2, threshold)
+                if len(sides) == 1:
+                    near[np.arange(len(ids)), np.arange(len(ids))] = False
+                else:
+                    add(ids2, size @ near)
+                add(ids, near @ size2)
+            if len(links) > 50_000:
+                yield _counted(links)
+                links = {}
+        if links:
+            yield _counted(links)
 
     return run
 
 
-# --- components ---------------------------------------------------------------------------------------------------------------
-
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of ``edges`` (a, b): the least vertex it is connected with."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("_m")).select("v", F.least("v", "_m").alias("root")))
-    while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("_near"))
-        lower = labels.join(near, "v").select("v", F.col("root").alias("_old"), F.least("root", "_near").alias("_r"))
-        up = labels.select(F.col("v").alias("_r"), F.col("root").alias("_up"))
-        after = checkpointed(lower.join(up, "_r").select("v", "_old", F.least("_r", "_up").alias("root")))
-        if after.filter("root <> _old").isEmpty():
-            return after.select("v", "root")
-        labels = after.select("v", "root")
+def _counted(links: dict[bytes, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([*links], pa.binary()), pa.array([*links.values()], pa.int64())], names=["_c", "_links"])
+
+
+def count_links(classes: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(_c, _links): the documents of other classes at the threshold or above, for every class of a component."""
+    degree = links.select(F.col("a").alias("_c")).unionAll(links.select(F.col("b").alias("_c"))).groupBy("_c").agg(F.count(F.lit(1)).alias("_w"))
+    best = degree.join(roots, "_c").groupBy("_root").agg(F.max(F.struct("_w", "_c"))["_c"].alias("_p"), F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("_parts"))
+    own = best.join(sets.withColumnRenamed("_c", "_p"), "_p").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = own.select("_root", "_part", F.lit(None).cast("binary").alias("_c"), F.lit(0).cast("bigint").alias("_size"), "_set")
+    rest = roots.join(best.select("_root", "_parts"), "_root").withColumn("_part", F.pmod(F.xxhash64("_c"), F.col("_parts")).cast("int"))
+    rest = rest.join(classes.select("_c", "_size"), "_c").join(sets, "_c").select("_root", "_part", "_c", "_size", "_set")
+    rows = own.unionByName(rest).repartition("_root", "_part").sortWithinPartitions("_root", "_part", F.col("_c").asc_nulls_first())
+    members = checkpointed(rows.mapInArrow(_differ(threshold), "_root binary, _c binary, _size bigint, _n int, _near int, _delta binary"))
+
+    # a component of one block stays whole; others are cut by band, and a band into blocks
+    weight = [F.count(F.lit(1)).alias("_all"), F.sum(F.length("_delta")).alias("_bytes"), F.sum("_size").alias("_docs")]
+    bands = members.groupBy("_root", "_near").agg(*weight)
+    fits = (F.sum("_all") <= block) & (F.sum("_bytes") <= BLOCK_BYTES)
+    within = [F.sum(F.when(F.col("_near") == b, F.col("_docs")).otherwise(0)).alias(f"_w{b}") for b in range(BANDS - 1)]
+    kinds = bands.groupBy("_root").agg(fits.alias("_whole"), *within)
+    cut = bands.join(kinds.select("_root", "_whole"), "_root").withColumn("_near", F.when(F.col("_whole"), -1).otherwise(F.col("_near")))
+    cut = cut.groupBy("_root", "_near").agg(F.greatest(F.ceil(F.sum("_all") / block), F.ceil(F.sum("_bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("_cuts"))
+
+    placed = members.join(kinds.select("_root", "_whole"), "_root").withColumn("_near", F.when(F.col("_whole"), -1).otherwise(F.col("_near")))
+    placed = placed.join(cut, ["_root", "_near"]).withColumn("_cut", F.pmod(F.xxhash64("_c"), F.col("_cuts")).cast("int"))
+    packed = checkpointed(placed.groupBy("_root", "_near", "_cut").agg(F.collect_list(F.struct("_c", "_size", "_n", "_delta")).alias("_held")))
+
+    blocks = packed.select("_root", F.struct("_near", "_cut").alias("_x"))
+    two = blocks.join(blocks.withColumnRenamed("_x", "_y"), "_root").filter("_x <= _y")
+    sure = (F.col("_x._near") >= 0) & (F.col("_x._near") + F.col("_y._near") <= BANDS - 2)
+    tiles = two.filter(~sure & (F.col("_y._near") - F.col("_x._near") <= BANDS + 1))  # a band more, for rounding at its edge
+    tiles = tiles.withColumn("_y", F.when(F.col("_x") != F.col("_y"), F.col("_y")))
+    low = packed.select("_root", F.struct("_near", "_cut").alias("_x"), F.col("_held").alias("_lo"))
+    high = packed.select("_root", F.struct("_near", "_cut").alias("_y"), F.col("_held").alias("_hi"))
+    counted = tiles.join(low, ["_root", "_x"]).join(high, ["_root", "_y"], "left").select("_lo", "_hi").mapInArrow(_count(threshold), "_c binary, _links bigint")
+
+    sums = [sum((F.col(f"_w{b}") for b in range(BANDS - 1 - near)), F.lit(0)) for near in range(BANDS - 1)]
+    known = F.coalesce(*(F.when(F.col("_near") == near, s - (F.col("_size") if 2 * near <= BANDS - 2 else F.lit(0))) for near, s in enumerate(sums)), F.lit(0))
+    certain = members.join(kinds.filter("not _whole"), "_root").select("_c", known.cast("bigint").alias("_links"))
+    return counted.unionByName(certain).groupBy("_c").agg(F.sum("_links").alias("_links"))
 
 
 # --- the join -----------------------------------------------------------------------------------------------------------------
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES,
-                    block: int = BLOCK) -> DataFrame:
+                    block: int = BLOCK, links: bool = True) -> DataFrame:
     """Per document: doc_id, _th, class_id, n_links, n_copies, class_size, first, class_th.
 
     ``class_id`` is the least doc_id among the documents connected by links,
     ``n_links`` the number of other documents at the threshold or above (copies
-    included), ``n_copies`` those with the same shingle set, itself included,
-    ``first`` marks the document that stands for its class, and ``class_th`` is
-    its text hash (a doc_id alone may stand in several rows).
+    included; left out without ``links``), ``n_copies`` those with the same
+    shingle set, itself included, ``first`` marks the document that stands for
+    its class, and ``class_th`` is its text hash (a doc_id alone may stand in
+    several rows).
     """
-    depth = prefix_depth(threshold, recall, trees)
+    depths = walk(threshold, recall, trees)
     rows = with_text_key(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    signed = checkpointed(rows.select("doc_id", "_th", F.col("text").cast("binary").alias("text")).mapInArrow(_sign(words, trees, depth), _SIG))
+    signed = checkpointed(rows.select("doc_id", "_th", F.col("text").cast("binary").alias("text")).mapInArrow(_sign(words, trees, depths), _SIGNED))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("_rep")
-    classes = checkpointed(signed.filter("_n > 0").groupBy("_c").agg(least, F.count(F.lit(1)).alias("_size"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys")))
-
-    nodes = classes.select("_c", F.posexplode("_keys").alias("_tree", "_prefix"))
-    shared = nodes.groupBy("_tree", "_prefix").agg(F.count(F.lit(1)).alias("_members")).filter("_members > 1")
-    members = nodes.join(shared, ["_tree", "_prefix"]).withColumn("_blocks", F.ceil(F.col("_members") / block).cast("int"))
-    members = members.withColumn("_block", F.pmod(F.xxhash64("_c"), F.col("_blocks")).cast("int"))
-    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    tiles = members.select("_tree", "_prefix", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_c", "_block")
-    keyed = tiles.join(classes.select("_c", "_n", "_keys"), "_c")
-    needed = checkpointed(keyed.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(
-        _light(threshold), "_tree int, _prefix bigint, _lo int, _hi int, _c binary, _block int"))
-
-    wanted = classes.join(needed.select("_c").distinct(), "_c", "left_semi")
-    reps = wanted.select("_c", F.col("_rep.doc_id").alias("_d"), F.col("_rep._th").alias("_h"))
-    texts = rows.join(reps, rows["doc_id"].eqNullSafe(reps["_d"]) & (rows["_th"] == reps["_h"])).select("_c", F.col("text").cast("binary").alias("text"))
-    sets = texts.mapInArrow(_sets(words), "_c binary, _set binary")
-    full = needed.join(wanted.select("_c", "_n", "_keys", "_size"), "_c").join(sets, "_c")
-    found = checkpointed(full.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(_verify(threshold), "_c binary, _to binary, _links bigint"))
-
-    links = found.filter("_to is null").groupBy("_c").agg(F.sum("_links").alias("_links"))
-    linked = components(found.filter("_to is not null").select(F.col("_c").alias("a"), F.col("_to").alias("b")))
-    named = classes.select("_c", "_rep", "_size").join(linked, F.col("_c") == F.col("v"), "left").drop("v")
-    named = named.withColumn("root", F.coalesce("root", "_c"))
+    kept = [F.first(c).alias(c) for c in ("_n", "_sig", "_keys")]
+    classes = checkpointed(signed.filter("_n > 0").groupBy("_c").agg(least, F.count(F.lit(1)).alias("_size"), *kept))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        reps = classes.join(wanted, "_c", "left_semi").select("_c", F.col("_rep.doc_id").alias("_d"), F.col("_rep._th").alias("_h"))
+        texts = rows.join(reps, rows["doc_id"].eqNullSafe(reps["_d"]) & (rows["_th"] == reps["_h"])).dropDuplicates(["_c"])
+        return texts.select("_c", F.col("text").cast("binary").alias("text")).mapInArrow(_sets(words), "_c binary, _set binary")
+
+    edges, roots, sets = linked_classes(classes, sets_of, depths, threshold, block)
+    named = classes.select("_c", "_rep", "_size").join(roots, "_c", "left").withColumn("root", F.coalesce("_root", "_c")).drop("_root")
     ids = named.groupBy("root").agg(F.min("_rep").alias("_first"), F.sum("_size").alias("class_size"))
-    table = named.join(links, "_c", "left").join(ids, "root").filter("class_size > 1")
-    table = table.select("_c", "_first", "class_size", (F.coalesce("_links", F.lit(0)) + F.col("_size") - 1).alias("n_links"), F.col("_size").alias("n_copies"))
-    out = signed.select("doc_id", "_th", "_c").join(table, "_c", "left")
+    table = named.join(ids, "root").filter("class_size > 1")
+    columns = ["_c", "_first", "class_size", F.col("_size").alias("n_copies")]
+    if links:
+        table = table.join(count_links(classes, edges, roots, sets, threshold, block), "_c", "left")
+        columns.append((F.coalesce("_links", F.lit(0)) + F.col("_size") - 1).alias("n_links"))
+    out = signed.select("doc_id", "_th", "_c").join(table.select(*columns), "_c", "left")
     class_id = F.when(F.col("_first").isNull(), F.col("doc_id")).otherwise(F.col("_first.doc_id"))
     first = F.col("_first").isNull() | (F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_th") == F.col("_first._th")))
     class_th = F.coalesce(F.col("_first._th"), F.col("_th")).alias("class_th")
-    return out.select("doc_id", "_th", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                      F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("class_size", F.lit(1)).alias("class_size"), first.alias("first"), class_th)
+    counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select("doc_id", "_th", class_id.alias("class_id"), *counts, F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+                      F.coalesce("class_size", F.lit(1)).alias("class_size"), first.alias("first"), class_th)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +361,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the first by doc_id; documents without words stay."""
-    found = jaccard_classes(docs).filter("first").groupBy("doc_id", "_th").agg(F.max("n_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    found = jaccard_classes(docs, links=False).filter("first").groupBy("doc_id", "_th").agg(F.max("n_copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     keyed = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_th", F.xxhash64(text_or_empty()))
     kept = keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_th"] == found["_th"])).select(keyed["*"], "_copies", "_rows")
     repeated = (F.col("_copies") > 1) & (F.col("_rows") > 1)  # the same row several times

@@ -66,19 +66,59 @@ def test_against_all_pairs(make_docs, block):
     assert sum(g != w for g, w in zip(got, want, strict=True)) == 0  # recall at the threshold is 0.9999 a pair; these rows lose none
 
 
-def test_links_both_ways_agree():
+def test_differences_with_a_pivot_decide_links():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    base = np.unique(rng.integers(0, 1 << 60, 300, dtype=np.uint64))
     sets = [np.unique(np.concatenate([rng.choice(base, 270, False), rng.integers(0, 1 << 60, k, dtype=np.uint64)])) for k in range(40)]
-    i, j = np.triu_indices(40, 1)
-    many = o._links(sets, i, j, 0.8)
-    few = np.concatenate([o._links(sets, i[k:k + 10], j[k:k + 10], 0.8) for k in range(0, len(i), 10)])
-    assert (many == few).all() and 0 < many.sum() < len(i)
-
-
-def test_depth_reaches_the_recall():
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    n = np.array([len(x) for x in sets])
+    want = both >= 0.8 * (np.add.outer(n, n) - both) - 1e-9
+    assert (o.overlaps(sets[:7], sets[5:]) == both[:7, 5:]).all() and 0 < want.sum() < want.size
+    for pivot in (sets[0], sets[39], np.zeros(0, np.uint64)):
+        d = [np.setxor1d(pivot, x) for x in sets]
+        assert (o.near_pairs(d[:9], d[3:], n[:9], n[3:], 0.8) == want[:9, 3:]).all()
+
+
+@pytest.mark.parametrize("edits", [1, 3, 6, 12])
+def test_counts_by_band_and_tile(make_docs, edits, monkeypatch):
+    """A group of near copies wider than a block: tight ones are counted by their bands, loose ones in tiles."""
+    monkeypatch.setattr(o, "FAN", 30)
+    rng = random.Random(edits)
+    base = " ".join(f"b{i}" for i in range(240))
+    rows = list(enumerate(near_copies(rng, base, 130, edits) + [base] * 3))
+    got = o.jaccard_classes(make_docs(rows), block=8).collect()
+    assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_copies, r.class_size) for r in got], key=str) == brute(rows)
+
+
+def test_blocks_are_cut_by_bytes_too(make_docs, monkeypatch):
+    monkeypatch.setattr(o, "BLOCK_BYTES", 400)
+    rng = random.Random(8)
+    rows = list(enumerate(near_copies(rng, " ".join(f"b{i}" for i in range(200)), 40, 4)))
+    got = o.jaccard_classes(make_docs(rows)).collect()
+    assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_copies, r.class_size) for r in got], key=str) == brute(rows)
+
+
+def test_walk_shortens_to_the_recall():
     k = o.prefix_depth()
     assert 1 - (1 - 0.8 ** k) ** o.TREES >= o.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** o.TREES
+    assert o.walk() == [8, 4] and o.walk(recall=0.9) == [8] and o.walk(threshold=0.5)[-1] == o.prefix_depth(0.5)
+
+
+def test_prefixes_of_a_tree_are_nested():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k % 7:], rng.integers(0, 1 << 60, k % 5, dtype=np.uint64)])) for k in range(40)]
+    keys, values = o.signatures(sets, 20, [8, 4])
+    deep, short = (keys[:, d, :][:, None] == keys[:, d, :][None] for d in (0, 1))
+    assert (short | ~deep).all() and 0 < deep.sum() < short.sum()  # who meets deeper meets in the shorter prefix too
+    assert ((values.reshape(40, 20, 4)[:, None] == values.reshape(40, 20, 4)[None]).all(axis=3) == short).all()
+
+
+def test_class_ids_alone(make_docs):
+    rows = corpus(9)
+    a, b = (o.jaccard_classes(make_docs(rows, (name,)), links=x) for name, x in (("_set", True), ("_root", False)))
+    assert "n_links" not in b.columns
+    assert sorted(map(str, a.drop("n_links").collect())) == sorted(map(str, b.collect()))
 
 
 def test_components(spark):
