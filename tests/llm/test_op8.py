@@ -57,3 +57,12 @@ def test_query(sf, spark):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
     assert [r[1] for r in got] == np.cumsum([0] + [r[2] for r in got])[:-1].tolist()
     assert o.op8_packed_ids(spark, sf([], "none")).count() == 0
+
+
+def test_files_are_read_back_by_several_tasks(make_docs, spark, tmp_path):
+    rows = [(i, f"some words of text {i}") for i in range(400)]
+    manifest = o.write_packed(make_docs(rows), str(tmp_path / "packed"), PATH)
+    digests = o.read_digests(manifest, str(tmp_path / "packed"))
+    assert digests.count() == 400 and digests.rdd.getNumPartitions() == manifest.count()
+    many = spark.createDataFrame([(k, f"{tmp_path}/none{k}", 7 * k) for k in range(40)], "part bigint, path string, start bigint")
+    assert o.read_digests(many, str(tmp_path)).rdd.getNumPartitions() == 40  # not read: only the partitions are counted
