@@ -140,7 +140,8 @@ def draw_slots(spark: SparkSession, plan: list[tuple], block: int = BLOCK, shard
     runs = spark.createDataFrame([r for r in runs if r[5]], "_no bigint, _n bigint, _epoch bigint, _short bigint, _last bigint, _count bigint, _rest bigint, _lacking bigint")
     step = 1 << 14
     parts = runs.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_count") - 1, F.lit(step).cast("bigint"))))
-    slots = parts.repartition("_no", "_epoch", "_from").withColumn(
+    # the number is named: few rows that stand for many slots aren't folded into one task
+    slots = parts.repartition(max(1, -(-total // step)), "_no", "_epoch", "_from").withColumn(
         "_j", F.explode(F.sequence("_from", F.least(F.col("_from") + step, F.col("_count")) - 1)))
     args = slots.select("_no", "_n", "_epoch", "_j", "_last", "_rest", "_short", "_lacking")
     return args.mapInArrow(_draw(block, seed, max(1, -(-total // shard_blocks))), "_no bigint, epoch bigint, slot bigint, block bigint, shard bigint, take bigint")

@@ -73,6 +73,12 @@ def test_shards_get_multinomial_counts(spark):
     assert len(counts) == 14 and (counts.std() < 4 * np.sqrt(counts.mean())).all() and (counts.std() > 0).all()
 
 
+def test_slots_are_drawn_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+    drawn = o.draw_slots(spark, o.source_plan([("a", 300_000), ("b", 100_000)], block=1), block=1)
+    assert drawn.groupBy(F.spark_partition_id()).count().count() > 4
+
+
 def test_stage(make_docs, spark):
     rows = [(i, "a b c d", "en", "x" if i % 2 else "y") for i in range(400)]
     out = o.mixing_stage(spark, make_docs(rows), "")
