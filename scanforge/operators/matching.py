@@ -146,7 +146,8 @@ def skip_leak_line(line: Column, max_bytes: int | None = None) -> Column:
 def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: list[Rule] | None,
                 key_cols: list[str], overlong_limit: int | None = None,
                 leak_line_cap: int | None = None, with_snippet: bool = True, context: int = 3,
-                sast_max_line_bytes: int | None = None, rule_language_col: str = "language") -> DataFrame:
+                sast_max_line_bytes: int | None = None, rule_language_col: str = "language",
+                deps: Column | None = None) -> DataFrame:
     """One pass over file contents producing every rule hit.
 
     ``files`` carries ``key_cols``, ``content``, ``language`` (NULL: no SAST)
@@ -160,15 +161,27 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     the secret search. ``sast_max_line_bytes`` skips SAST
     matching on longer lines: java.util.regex backtracks where RE2 is
     linear, so adversarial minified lines can be kept from stalling a task.
+
+    ``deps`` (an expression over a file row, array<struct<name,version>>) is
+    given out in the same pass: its elements come with the file's first line as
+    rows of engine 'dep' with ``dep_name`` and ``dep_version``. Files that
+    neither engine searches are not split then.
     """
     content = F.col("content")
     arr = F.split(content, "\n", -1)
     sel = [F.col(c) for c in key_cols] + [F.col(rule_language_col).alias("_rule_lang"), F.col("leak_ok")]
+    also = []
+    if deps is not None:
+        arr = F.when(F.col(rule_language_col).isNotNull() | F.col("leak_ok"), arr).otherwise(F.array(F.lit("")))
+        sel.append(deps.alias("deps"))
+        dep_hits = F.transform("deps", lambda d, i: F.struct(F.lit(-1).alias("k"), (i + 1).alias("pos"), F.lit(None).cast("string").alias("m")))
+        also = [F.col("deps"), dep_hits.alias("dep_hits")]
     cut = overlong_cut(F.col("lines"), content, overlong_limit) if (sast_specs and overlong_limit) else F.lit(0)
     base = files.select(*sel, arr.alias("lines"), content)
     base = base.select(*[F.col(c) for c in key_cols], "_rule_lang", "leak_ok", "lines",
-                       F.size("lines").alias("n_lines"), cut.alias("cut"))
-    exploded = base.select("*", F.posexplode("lines").alias("pos0", "line"))
+                       F.size("lines").alias("n_lines"), cut.alias("cut"), *also)
+    # the outer form: the optimizer would infer size(lines) > 0 from the other and split every content once more for it
+    exploded = base.select("*", F.posexplode_outer("lines").alias("pos0", "line"))
     # separate projection: the lower-cased line is computed once per line
     # (CollapseProject keeps a non-trivial expression that is used many times)
     prepared = exploded.select(
@@ -189,25 +202,31 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     if leak_specs:
         leak_ok = F.col("leak_ok") & ~skip_leak_line(line, leak_line_cap)
         parts.append(F.when(leak_ok, leak_hits_expr(leak_specs, "line", "lc")))
+    if deps is not None:
+        parts.append(F.when(F.col("pos0") == 0, F.col("dep_hits")))
     empty = F.array().cast(f"array<{HIT_TYPE}>")
     all_hits = F.concat(*[F.coalesce(p, empty) for p in parts]) if len(parts) > 1 else F.coalesce(parts[0], empty)
     hits = prepared.select(
-        *[F.col(c) for c in key_cols], "line_no", "sline", "lines", "n_lines",
+        *[F.col(c) for c in key_cols], "line_no", "sline", "lines", "n_lines", *also[:1],
         F.explode(all_hits).alias("h"),
     ).where(F.col("h").isNotNull() & ((F.col("h.pos") > 0) | (F.col("h.m") != "")))
     n = F.col("line_no")
     lo = F.greatest(n - context, F.lit(1))
     hi = F.least(n + context, F.col("n_lines"))
-    is_sast = F.col("h.pos").isNotNull()
+    is_dep = F.col("h.k") < 0 if deps is not None else F.lit(False)
+    is_sast = F.col("h.pos").isNotNull() & ~is_dep
     out = [F.col(c) for c in key_cols] + [
         n.alias("line_no"),
-        F.when(is_sast, F.lit("sast")).otherwise(F.lit("leak")).alias("engine"),
+        F.when(is_dep, F.lit("dep")).when(is_sast, F.lit("sast")).otherwise(F.lit("leak")).alias("engine"),
         F.col("h.k").alias("k"),
         F.when(is_sast, F.octet_length(F.col("sline").substr(F.lit(1), F.col("h.pos") - 1)) + 1).alias("col"),
         F.col("h.m").alias("m"),
     ]
     if with_snippet:
         out.append(F.when(is_sast, F.array_join(F.slice(F.col("lines"), lo, hi - lo + 1), "\n")).alias("code"))
+    if deps is not None:
+        dep = F.when(is_dep, F.get("deps", F.col("h.pos") - 1))
+        out += [dep["name"].alias("dep_name"), dep["version"].alias("dep_version")]
     return hits.select(*out)
 
 

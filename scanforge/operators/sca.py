@@ -76,14 +76,18 @@ def _split_lines(c: Column) -> Column:
 def find_manifests(files: DataFrame, max_bytes: int | None = None, extra_ignores=()) -> DataFrame:
     """Manifest files by base name; ignored directories pruned (the defaults
     and ``extra_ignores``); ``max_bytes`` leaves larger files out."""
+    f = files.where(is_manifest(extra_ignores))
+    if max_bytes is not None:
+        f = f.where((F.col("size") if "size" in files.columns else F.octet_length("content")) <= max_bytes)
+    return f.select("repo", "path", "content")
+
+
+def is_manifest(extra_ignores=()) -> Column:
     names = [n for ns in MANIFEST_NAMES.values() for n in ns]
     segs = F.split(F.col("path"), "/")
     ignored = F.arrays_overlap(F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(1))),
                                F.array(*[F.lit(x) for x in [*DEFAULT_IGNORE_PATHS, *extra_ignores]])) & (F.size(segs) > 1)
-    f = files.where(base_name(F.col("path")).isin(*names) & ~ignored)
-    if max_bytes is not None:
-        f = f.where((F.col("size") if "size" in files.columns else F.octet_length("content")) <= max_bytes)
-    return f.select("repo", "path", "content")
+    return base_name(F.col("path")).isin(*names) & ~ignored
 
 
 def _json_deps(content: Column, keys: tuple, exclude=()) -> Column:
@@ -227,14 +231,23 @@ _PARSERS = {
 def _parse(manifests: DataFrame, formats: list[str]) -> DataFrame:
     """One pass: every manifest row gets its format's dependency array."""
     m = manifests.select("repo", "path", "content", manifest_format("path").alias("_fmt")).where(F.col("_fmt").isin(*formats))
-    found = _empty()
-    for fmt in formats:
-        found = F.when(F.col("_fmt") == fmt, _PARSERS[fmt][1](F.col("content")).cast(_ARRAY)).otherwise(found)
-    eco = _by_name("path", {fmt: name for fmt, (name, _) in _PARSERS.items()})
-    rows = m.select("repo", "path", eco.alias("ecosystem"), F.explode(found).alias("_d"))
+    rows = m.select("repo", "path", ecosystem_of("path").alias("ecosystem"), F.explode(dependency_array(formats=formats)).alias("_d"))
     return rows.select("repo", F.col("_d.name").alias("name"), F.col("_d.version").alias("version"), "ecosystem", F.col("path").alias("file"))
 
 
+def ecosystem_of(path: str) -> Column:
+    """Ecosystem of a manifest by its name."""
+    return _by_name(path, {fmt: name for fmt, (name, _) in _PARSERS.items()})
+
+
+def dependency_array(fmt: str = "_fmt", content: str = "content", formats: list[str] | None = None) -> Column:
+    """array<struct<name,version>> of a file row by its format; empty for other rows."""
+    found = _empty()
+    for f in formats or _PARSERS:
+        found = F.when(F.col(fmt) == f, _PARSERS[f][1](F.col(content)).cast(_ARRAY)).otherwise(found)
+    return found
+
+
 def deps_npm(manifests: DataFrame) -> DataFrame:
     return _parse(manifests, ["npm"])
 
@@ -304,9 +317,15 @@ def _sca_finding(df: DataFrame) -> DataFrame:
 def match_known_vulnerable(deps: DataFrame) -> DataFrame:
     """Exact (lower(name), version) lookup in the 14-row built-in table
     (broadcast: fixed size)."""
-    kv = F.broadcast(known_vulnerable(deps.sparkSession))
-    j = deps.join(kv, (F.lower(deps.name) == kv.kv_name) & (deps.version == kv.kv_version))
-    return _sca_finding(j.withColumn("adv_id", F.col("cve")))
+    j = known_affected(deps, "name", "version")
+    return _sca_finding(j.select(*deps.columns, "_adv.*"))
+
+
+def known_affected(rows: DataFrame, name: str, version: str, outer: bool = False) -> DataFrame:
+    """``rows`` with ``_adv`` from the built-in table; ``outer`` keeps the rows without one."""
+    kv = known_vulnerable(rows.sparkSession)
+    kv = F.broadcast(kv.select("kv_name", "kv_version", F.struct(F.col("cve").alias("adv_id"), "fixed_version", "severity", "cve", "cvss", "description").alias("_adv")))
+    return rows.join(kv, (F.lower(rows[name]) == kv.kv_name) & (rows[version] == kv.kv_version), "left" if outer else "inner").drop("kv_name", "kv_version")
 
 
 def map_ecosystem(deps: DataFrame) -> DataFrame:
@@ -353,6 +372,16 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, salts: int = 16) ->
     dependencies are read once and joined once; a popular package is spread
     over ``salts`` tasks. An advisory that hits by several intervals gives one
     finding per dependency row."""
+    j = affected(deps, advisories, "name", "version", "ecosystem", [c for c in ("repo", "file", "version") if c in deps.columns], salts)
+    return _sca_finding(j.select(*deps.columns, "_adv.*"))
+
+
+def affected(rows: DataFrame, advisories: DataFrame, name: str, version: str, ecosystem: str, spread_by: list[str],
+             salts: int = 16, outer: bool = False) -> DataFrame:
+    """``rows`` with ``_adv`` (adv_id, fixed_version, severity, cve, cvss, description), a row per advisory that hits.
+
+    ``outer`` keeps the rows without a name, dealt by ``spread_by`` over all tasks
+    should the packages be too many to broadcast, and may keep named rows without one."""
     cols = set(advisories.columns)
     a = advisories.select(F.col("id"), F.col("name").alias("_name"), F.lower("ecosystem").alias("_eco"), *[
         (F.col(c) if c in cols else F.lit(None)).cast(t).alias(c) for c, t in _RANGE_COLS.items()])
@@ -362,24 +391,28 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, salts: int = 16) ->
                    version_key(F.col("last_affected")).alias("lk"))
     packages = a.groupBy("_eco", "_name").agg(F.collect_list(one).alias("_ranges"))
     packages = packages.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    d = deps.withColumn("_eco", F.lower("ecosystem")).withColumn("_name", F.col("name"))
-    d = d.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("repo", "file", "version") if c in deps.columns]), F.lit(salts)).cast("int"))
-    j = d.join(packages, ["_eco", "_name", "_salt"]).withColumn("_vk", version_key(F.col("version")))
+    h = F.xxhash64(*spread_by)
+    d = rows.withColumns({"_eco": F.lower(ecosystem), "_name": F.col(name),
+                          "_salt": F.when(F.col(name).isNull(), F.pmod(h, F.lit(1 << 30))).otherwise(F.pmod(h, F.lit(salts))).cast("int")})
+    j = d.join(packages, ["_eco", "_name", "_salt"], "left" if outer else "inner")
+    if outer:  # a dependency of no named package leaves before its version is read
+        j = j.where(F.col(name).isNull() | F.col("_ranges").isNotNull())
+    j = j.withColumn("_vk", version_key(F.col(version)))
     hit = F.filter("_ranges", lambda r: (
         r["ranged"] & (r["ik"].isNull() | (F.col("_vk") >= r["ik"])) & (r["fk"].isNull() | (F.col("_vk") < r["fk"]))
         & (r["lk"].isNull() | (F.col("_vk") <= r["lk"])))
-        | F.coalesce(F.array_contains(r["versions"], F.col("version")), F.lit(False)))
+        | F.coalesce(F.array_contains(r["versions"], F.col(version)), F.lit(False)))
     # one finding per advisory: the interval with the lowest fix
     first = F.array_sort(F.transform(hit, lambda r: F.struct(r["id"].alias("id"), r["fk"].alias("fk"), r["cve"].alias("cve"),
                                                                       r["fixed"].alias("fixed"), r["score"].alias("score"), r["summary"].alias("summary"))))
     names = F.transform(first, lambda r: r["id"])
     once = F.filter(first, lambda r, k: F.array_position(names, r["id"]) == k + 1)
-    j = j.withColumn("_h", F.explode(once))
+    j = j.select(*rows.columns, (F.explode_outer if outer else F.explode)(once).alias("_h"))
     score = F.coalesce(F.col("_h.score"), F.lit(0.0))
-    return _sca_finding(j.select(
-        *[c for c in deps.columns], F.col("_h.id").alias("adv_id"), F.col("_h.fixed").alias("fixed_version"),
-        cvss_severity(score).alias("severity"), F.coalesce(F.col("_h.cve"), F.col("_h.id")).alias("cve"), score.alias("cvss"),
-        F.coalesce(F.col("_h.summary"), F.lit("")).alias("description")))
+    adv = F.struct(F.col("_h.id").alias("adv_id"), F.col("_h.fixed").alias("fixed_version"), cvss_severity(score).alias("severity"),
+                   F.coalesce(F.col("_h.cve"), F.col("_h.id")).alias("cve"), score.alias("cvss"),
+                   F.coalesce(F.col("_h.summary"), F.lit("")).alias("description"))
+    return j.withColumn("_adv", F.when(F.col("_h").isNotNull(), adv)).drop("_h")
 
 
 OSV_SCHEMA = T.StructType([
@@ -458,6 +491,11 @@ def explode_advisories(raw: DataFrame, json_col: str = "json") -> DataFrame:
     return rows.select("id", "cve", "name", "ecosystem", "r.introduced", "r.fixed", "r.last_affected", "versions", "score", "summary")
 
 
+def advisory_intervals(advisories: DataFrame) -> DataFrame:
+    """Raw documents (a ``json`` column) or an interval table -> an interval table."""
+    return explode_advisories(advisories) if "json" in advisories.columns else advisories
+
+
 def sca_scan(files: DataFrame, advisories: DataFrame | None = None, min_severity: str = "LOW",
              extra_ignores=(), max_bytes: int | None = None) -> DataFrame:
     """manifests -> dependencies -> advisory match (or the built-in table when
@@ -467,5 +505,5 @@ def sca_scan(files: DataFrame, advisories: DataFrame | None = None, min_severity
     if advisories is None:
         findings = match_known_vulnerable(deps)
     else:
-        findings = match_advisories(deps, explode_advisories(advisories) if "json" in advisories.columns else advisories)
+        findings = match_advisories(deps, advisory_intervals(advisories))
     return _min_severity(findings, min_severity)

@@ -76,9 +76,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 def ignore_paths(files: DataFrame, extra: list[str] | tuple = (), path_col: str = "path") -> DataFrame:
     """Drop files with an ignored name as a path segment (defaults + ``extra``)."""
+    return files.where(~ignored_path(extra, path_col))
+
+
+def ignored_path(extra: list[str] | tuple = (), path_col: str = "path") -> Column:
     names = list(DEFAULT_IGNORE_PATHS) + [e for e in extra if e]
-    segs = F.split(F.col(path_col), "/")
-    return files.where(~F.arrays_overlap(segs, F.array(*[F.lit(n) for n in names])))
+    return F.arrays_overlap(F.split(F.col(path_col), "/"), F.array(*[F.lit(n) for n in names]))
 
 
 def language_of(path_col: Column | str, mapping: dict | None = None) -> Column:
