@@ -4,8 +4,8 @@ A rule table is small (hundreds of rows, bounded by the rule-file caps), so
 it is turned into expressions on the driver: for every line one array of
 ``CASE WHEN <literal prefilter> THEN struct(rule, regexp_instr/extract) END``
 per language. Patterns are literals, so each task compiles every regex once;
-the whole pass (split, explode, match) is one narrow, code-generated stage
-with no shuffle and no Python in the executors. A ``contains`` test on the
+the whole pass (split, match, explode the hits) is one narrow stage with no
+shuffle and no Python in the executors. A ``contains`` test on the
 lower-cased line (``rule_hints``) keeps most lines away from the regex engine.
 
 The work grows linearly with the number of rules.
@@ -180,36 +180,33 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     base = files.select(*sel, arr.alias("lines"), content)
     base = base.select(*[F.col(c) for c in key_cols], "_rule_lang", "leak_ok", "lines",
                        F.size("lines").alias("n_lines"), cut.alias("cut"), *also)
-    # the outer form: the optimizer would infer size(lines) > 0 from the other and split every content once more for it
-    exploded = base.select("*", F.posexplode_outer("lines").alias("pos0", "line"))
-    # separate projection: the lower-cased line is computed once per line
-    # (CollapseProject keeps a non-trivial expression that is used many times)
-    prepared = exploded.select(
-        "*",
-        (F.col("pos0") + 1).cast("int").alias("line_no"),
-        lower_for_hints(F.col("line")).alias("lc"),
-        sast_line(F.col("line")).alias("sline"),
-    )
-    line = F.col("line")
+    # All lines of a file are matched as one array: the rules stand in a lambda, which Spark evaluates node by node. Generated
+    # into one method with the explode they passed the size up to which the JVM compiles a method (8000 bytes of code).
     parts = []
     if sast_specs:
-        sast_ok = F.col("_rule_lang").isNotNull() & ((F.col("cut") == 0) | (F.col("line_no") < F.col("cut")))
+        sast_ok = "_rule_lang IS NOT NULL AND (cut = 0 OR s.line_no < cut)"
         # a line scanner returns no line after the last line end
-        sast_ok = sast_ok & ((F.col("line_no") < F.col("n_lines")) | (line != ""))
+        sast_ok += " AND (s.line_no < n_lines OR s.line <> '')"
         if sast_max_line_bytes is not None:
-            sast_ok = sast_ok & (F.octet_length("line") <= sast_max_line_bytes)
-        parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, "sline", "lc", "_rule_lang")))
+            sast_ok += f" AND octet_length(s.line) <= {int(sast_max_line_bytes)}"
+        parts.append(f"CASE WHEN {sast_ok} THEN {sast_hits_sql(sast_specs, 's.sline', 's.lc', '_rule_lang')} END")
     if leak_specs:
-        leak_ok = F.col("leak_ok") & ~skip_leak_line(line, leak_line_cap)
-        parts.append(F.when(leak_ok, leak_hits_expr(leak_specs, "line", "lc")))
+        parts.append(f"CASE WHEN leak_ok AND s.searched THEN {leak_hits_sql(leak_specs, 's.line', 's.lc')} END")
     if deps is not None:
-        parts.append(F.when(F.col("pos0") == 0, F.col("dep_hits")))
-    empty = F.array().cast(f"array<{HIT_TYPE}>")
-    all_hits = F.concat(*[F.coalesce(p, empty) for p in parts]) if len(parts) > 1 else F.coalesce(parts[0], empty)
-    hits = prepared.select(
-        *[F.col(c) for c in key_cols], "line_no", "sline", "lines", "n_lines", *also[:1],
-        F.explode(all_hits).alias("h"),
-    ).where(F.col("h").isNotNull() & ((F.col("h.pos") > 0) | (F.col("h.m") != "")))
+        parts.append("CASE WHEN s.line_no = 1 THEN dep_hits END")
+    per_line = ", ".join(f"coalesce({p}, {EMPTY_HITS_SQL})" for p in parts)
+    found = F.expr(f"""flatten(transform(_read, s -> transform(
+        filter(concat({per_line}), h -> h IS NOT NULL AND (h.pos > 0 OR h.m <> '')),
+        h -> named_struct('k', h.k, 'pos', h.pos, 'm', h.m, 'line_no', s.line_no, 'sline', CASE WHEN h.k >= 0 THEN s.sline END))))""")
+    read = F.transform("lines", lambda x, i: F.struct(
+        x.alias("line"), (i + 1).cast("int").alias("line_no"), lower_for_hints(x).alias("lc"), sast_line(x).alias("sline"),
+        (~skip_leak_line(x, leak_line_cap)).alias("searched")))
+    matched = base.withColumn("_read", read).select(
+        *[F.col(c) for c in key_cols], "lines", "n_lines", *also[:1], found.alias("_hits"))
+    # the outer form: the optimizer would infer size(_hits) > 0 from the other and match every line once more for it
+    hits = matched.select(
+        *[F.col(c) for c in key_cols], "lines", "n_lines", *also[:1], F.explode_outer("_hits").alias("h"),
+    ).where(F.col("h").isNotNull()).withColumns({"line_no": F.col("h.line_no"), "sline": F.col("h.sline")})
     n = F.col("line_no")
     lo = F.greatest(n - context, F.lit(1))
     hi = F.least(n + context, F.col("n_lines"))
