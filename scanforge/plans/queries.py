@@ -512,9 +512,13 @@ def q_read_corpus(spark, sf):
     """Every document written as a text file below a folder of its own, then
     read back as a tree of checkouts; the first path segment is the repository."""
     from scanforge.sources.files import read_corpus
+    from scanforge.sources.tree import local_root, write_lines
     root = _scratch(spark, "corpus-files")
     docs = documents(spark, sf).select("doc_id", "text")
-    docs.repartition(F.col("doc_id")).write.partitionBy("doc_id").text(root)
+    if (folder := local_root(root)) is not None:
+        write_lines(docs.withColumnRenamed("text", "_line"), folder, ["doc_id"], ".txt")
+    else:
+        docs.repartition(F.col("doc_id")).write.partitionBy("doc_id").text(root)
     c = read_corpus(spark, root, repo_depth=1).where(F.col("path").endswith(".txt"))
     return c.select("repo", "size", F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"), "binary")
 

@@ -8,6 +8,7 @@ scan, the language lookup is a literal map.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 from scanforge.constants import (DEFAULT_IGNORE_PATHS, EXTENSION_LANGUAGE, IAC_EXTENSION_LANGUAGE,
                                  LEAK_ONLY_EXTENSIONS, MANIFEST_NAMES, MEDIA_EXTENSIONS)
 from scanforge.functions.text import extension
+from scanforge.sources import tree
 
 
 def read_corpus(spark: SparkSession, root: str, repo: str | None = None, max_bytes: int | None = None,
                 repo_depth: int = 0, extra_ignores: list[str] | tuple = (), admitted_only: bool = True) -> DataFrame:
     """Read a directory tree into ``(repo, path, content, size, binary)``.
 
-    Uses the ``binaryFile`` source. With ``admitted_only`` the file listing
+    A local folder is listed and read by tasks (``sources.tree``), any other
+    by the ``binaryFile`` source. With ``admitted_only`` the file listing
     itself is restricted to the extensions a scan admits and to manifest
     names, and files below ignored folders are dropped by path before their
     content is decoded; an optional size cap works on the file metadata.
@@ -30,10 +33,15 @@ def read_corpus(spark: SparkSession, root: str, repo: str | None = None, max_byt
     path segments name the repository (an organisation's checkouts side by
     side), otherwise ``repo`` does.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if admitted_only:
-        reader = reader.option("pathGlobFilter", _admitted_glob())
-    df = reader.load(root)
+    folder = tree.local_root(root)
+    own = folder is not None and os.path.isdir(folder)
+    if own:
+        df = tree.list_files(spark, folder, _admitted_name if admitted_only else None)
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if admitted_only:
+            reader = reader.option("pathGlobFilter", _admitted_glob())
+        df = reader.load(root)
     if max_bytes is not None:
         df = df.where(F.col("length") <= max_bytes)
     prefix = "/" + re.sub(r"^[a-z0-9]+:/*", "", root).strip("/") if root.startswith("/") or ":" in root else root.rstrip("/")
@@ -42,6 +50,8 @@ def read_corpus(spark: SparkSession, root: str, repo: str | None = None, max_byt
     df = df.withColumn("_rel", rel)
     if admitted_only:
         df = ignore_paths(df, extra_ignores, "_rel")
+    if own:
+        df = tree.read_files(df).withColumn("_rel", rel)
     segs = F.split(F.col("_rel"), "/")
     if repo_depth:
         name = F.array_join(F.slice(segs, 1, repo_depth), "/")
@@ -59,13 +69,20 @@ def read_corpus(spark: SparkSession, root: str, repo: str | None = None, max_byt
     )
 
 
+_ADMITTED_EXTENSIONS = tuple(sorted(e for e in {*EXTENSION_LANGUAGE, *LEAK_ONLY_EXTENSIONS, *IAC_EXTENSION_LANGUAGE} if e))
+_ADMITTED_NAMES = frozenset(n for ns in MANIFEST_NAMES.values() for n in ns) | {".gitignore"}
+
+
 def _admitted_glob() -> str:
     """File-name glob of everything a scan reads: known extensions in either case, and manifests."""
     def any_case(ext):
         return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
-    exts = {*EXTENSION_LANGUAGE, *LEAK_ONLY_EXTENSIONS, *IAC_EXTENSION_LANGUAGE}
-    names = {n for ns in MANIFEST_NAMES.values() for n in ns} | {".gitignore"}
-    return "{" + ",".join([*sorted("*" + any_case(e) for e in exts if e), *sorted(names)]) + "}"
+    return "{" + ",".join([*sorted("*" + any_case(e) for e in _ADMITTED_EXTENSIONS), *sorted(_ADMITTED_NAMES)]) + "}"
+
+
+def _admitted_name(name: str) -> bool:
+    """The same test on one name."""
+    return name in _ADMITTED_NAMES or name.lower().endswith(_ADMITTED_EXTENSIONS)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
