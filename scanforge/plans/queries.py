@@ -1456,10 +1456,15 @@ SELECT repo, report_name, count(*) AS n FROM (SELECT repo, 'report_' || branch |
 def q_stamped_output(spark, sf):
     """One report per repository, branch and day of pushes, written and read back by the names of their folders."""
     from scanforge.sinks.reports import stamped_output
+    from scanforge.sources.tree import list_files, local_root, read_files, unescaped
     from scanforge.streaming.monitor import push_branch
     folder = _scratch(spark, "stamped")
     p = push_branch(V.pushes(spark, sf)).withColumn("scan_ts", F.date_trunc("day", "ts"))
     stamped_output(p.select("repo", "branch", "scan_ts", "event_id"), folder)
+    if (root := local_root(folder)) is not None:
+        back = read_files(list_files(spark, root)).select("path", F.explode(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n")).alias("_line"))
+        names = [unescaped(F.regexp_extract("path", f"{c}=([^/]+)/", 1)).alias(n) for c, n in (("repo", "repo"), ("report", "report_name"))]
+        return back.select(*names).groupBy("repo", "report_name").agg(F.count(F.lit(1)).alias("n"))
     back = spark.read.option("recursiveFileLookup", "true").schema("event_id long").json(folder).select(F.input_file_name().alias("f"))
     back = back.select(F.url_decode(F.regexp_extract("f", "repo=([^/]+)/", 1)).alias("repo"), F.url_decode(F.regexp_extract("f", "report=([^/]+)/", 1)).alias("report_name"))
     # the reader escapes the escaped folder names once more

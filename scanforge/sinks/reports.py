@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.functions.text import relative_path, sarif_level
+from scanforge.sources.tree import local_root, write_lines
 
 TOOL_NAME = "scanforge"
 TOOL_VERSION = "0.1.0"
@@ -153,4 +154,9 @@ def stamped_output(findings: DataFrame, out_dir: str, base: str = "report.json",
     """Findings as JSON lines in one folder per scan, named
     ``report=<stamped name>``; a later scan never overwrites it."""
     named = findings.withColumn("report", stamped_name(base, F.col("branch"), F.col("scan_ts")))
+    folder = local_root(out_dir)
+    if folder is not None and mode == "append":  # a folder a report: tasks write the files themselves
+        line = F.to_json(F.struct(*[c for c in named.columns if c not in ("repo", "report")]))
+        write_lines(named.select("repo", "report", line.alias("_line")), folder, ["repo", "report"], ".json")
+        return
     named.repartition("repo", "report").write.mode(mode).partitionBy("repo", "report").json(out_dir)
