@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions.regex import literal_hints, to_java
 from scanforge.operators.catalog import BROADCAST_CATALOG_BYTES, Catalog
-from scanforge.operators.matching import Rule, leak_hits_expr, lower_for_hints, sast_hits_expr, sast_line
+from scanforge.operators.matching import Rule, explode_hits, leak_hits_expr, lower_for_hints, sast_hits_expr, sast_line
 
 GRAM = 3
 _INDEX = "_gram string, _k int, _lang string, _hint string, _before array<string>, _rx string, _anti string"
@@ -124,7 +124,7 @@ def match_rules_indexed(lines: DataFrame, rules: DataFrame | None = None, counts
         met = met.where(F.col("_anti").isNull() | ~F.rlike("_sline", F.col("_anti")))
         parts.append(met.select(*keep, "_sline", F.col("_k").alias("k"), F.regexp_instr("_sline", F.col("_rx")).alias("_pos")))
     if rest:
-        hits = pre.select("*", F.explode(sast_hits_expr(rest, "_sline", "_lc", "language")).alias("_h")).where(F.col("_h").isNotNull())
+        hits = explode_hits(pre, sast_hits_expr(rest, "_sline", "_lc", "language"), "_sline", [*keep, "_sline"]).where(F.col("_h").isNotNull())
         parts.append(hits.select(*keep, "_sline", F.col("_h.k").alias("k"), F.col("_h.pos").alias("_pos")))
     if not parts:
         return pre.where(F.lit(False)).select(*keep, F.lit("").alias("rule_id"), F.lit(0).alias("column"))
@@ -146,7 +146,7 @@ def match_secrets_indexed(lines: DataFrame, rules: DataFrame | None = None, line
     if met is not None:
         parts.append(met.select(*keep, F.col("_k").alias("k"), F.expr(f"regexp_extract(`{line_col}`, _rx, 0)").alias("match")))
     if rest:
-        hits = pre.select("*", F.explode(leak_hits_expr(rest, f"`{line_col}`", "_lc")).alias("_h")).where(F.col("_h").isNotNull())
+        hits = explode_hits(pre, leak_hits_expr(rest, f"`{line_col}`", "_lc"), "_lc", keep).where(F.col("_h").isNotNull())
         parts.append(hits.select(*keep, F.col("_h.k").alias("k"), F.col("_h.m").alias("match")))
     columns = ["rule_id", "leak_type", "severity", "description", "entropy_gated"]
     if not parts:

@@ -4,9 +4,10 @@ A rule table is small (hundreds of rows, bounded by the rule-file caps), so
 it is turned into expressions on the driver: for every line one array of
 ``CASE WHEN <literal prefilter> THEN struct(rule, regexp_instr/extract) END``
 per language. Patterns are literals, so each task compiles every regex once;
-the whole pass (split, explode, match) is one narrow, code-generated stage
-with no shuffle and no Python in the executors. A ``contains`` test on the
-lower-cased line (``rule_hints``) keeps most lines away from the regex engine.
+the whole pass (split, explode, match) is one narrow stage with no shuffle and
+no Python in the executors. The rules stand in a projection outside the
+whole-stage code (``explode_hits``). A ``contains`` test on the lower-cased
+line (``rule_hints``) keeps most lines away from the regex engine.
 
 The work grows linearly with the number of rules.
 """
@@ -102,6 +103,19 @@ def leak_hits_expr(specs: list[Rule], line: str, lc: str) -> Column:
     return F.expr(leak_hits_sql(specs, line, lc))
 
 
+def explode_hits(rows: DataFrame, hits: Column, present: str, columns: list) -> DataFrame:
+    """``columns`` of ``rows`` with each element of ``hits`` as ``_h`` (NULL: none), for rows whose ``present`` is not NULL.
+
+    Whole-stage code holds an operator's expressions in one method, and the JVM leaves methods above 8,000 bytes of code
+    uncompiled: hundreds of rules run several times slower there. A lambda keeps this projection out of it; the
+    projection's own code is cut into small methods. ``present`` stands in it twice, so a computed one also keeps the
+    projection apart from the one below. The outer form: the optimizer would infer size(hits) > 0 from the other and
+    match every line once more for it."""
+    here = F.exists(F.array(F.col(present)), lambda x: x == F.col(present))
+    matched = rows.select(*columns, F.when(here, hits).alias("_hits"))
+    return matched.select(*columns, F.explode_outer("_hits").alias("_h"))
+
+
 def sast_line(line: Column) -> Column:
     """Line as a line scanner returns it: one trailing CR removed."""
     return F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
@@ -182,54 +196,61 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
                        F.size("lines").alias("n_lines"), cut.alias("cut"), *also)
     # the outer form: the optimizer would infer size(lines) > 0 from the other and split every content once more for it
     exploded = base.select("*", F.posexplode_outer("lines").alias("pos0", "line"))
-    # separate projection: the lower-cased line is computed once per line
-    # (CollapseProject keeps a non-trivial expression that is used many times)
-    prepared = exploded.select(
-        "*",
-        (F.col("pos0") + 1).cast("int").alias("line_no"),
-        lower_for_hints(F.col("line")).alias("lc"),
-        sast_line(F.col("line")).alias("sline"),
-    )
+    # What the hits need of the file is taken here, in the whole-stage code of the explode, where the file's arrays are
+    # not copied: a row that leaves it holds its line and what belongs to it.
+    n = (F.col("pos0") + 1).cast("int")
     line = F.col("line")
+    carry = [n.alias("line_no"), lower_for_hints(line).alias("lc")]
+    out_cols = []
     parts = []
     if sast_specs:
-        sast_ok = F.col("_rule_lang").isNotNull() & ((F.col("cut") == 0) | (F.col("line_no") < F.col("cut")))
+        sast_ok = F.col("_rule_lang").isNotNull() & ((F.col("cut") == 0) | (n < F.col("cut")))
         # a line scanner returns no line after the last line end
-        sast_ok = sast_ok & ((F.col("line_no") < F.col("n_lines")) | (line != ""))
+        sast_ok = sast_ok & ((n < F.col("n_lines")) | (line != ""))
         if sast_max_line_bytes is not None:
             sast_ok = sast_ok & (F.octet_length("line") <= sast_max_line_bytes)
-        parts.append(F.when(sast_ok, sast_hits_expr(sast_specs, "sline", "lc", "_rule_lang")))
+        carry += [sast_line(line).alias("sline"), F.when(sast_ok, F.col("_rule_lang")).alias("sast_lang")]
+        out_cols.append("sline")
+        if with_snippet:
+            carry.append(F.when(sast_ok, snippet_of(F.col("lines"), n, F.col("n_lines"), context)).alias("snippet"))
+            out_cols.append("snippet")
+        parts.append(sast_hits_expr(sast_specs, "sline", "lc", "sast_lang"))
     if leak_specs:
-        leak_ok = F.col("leak_ok") & ~skip_leak_line(line, leak_line_cap)
-        parts.append(F.when(leak_ok, leak_hits_expr(leak_specs, "line", "lc")))
+        carry += [line, (F.col("leak_ok") & ~skip_leak_line(line, leak_line_cap)).alias("searched")]
+        parts.append(F.when(F.col("searched"), leak_hits_expr(leak_specs, "line", "lc")))
     if deps is not None:
-        parts.append(F.when(F.col("pos0") == 0, F.col("dep_hits")))
+        carry += [F.when(F.col("pos0") == 0, F.col(c)).alias(c) for c in ("deps", "dep_hits")]
+        out_cols.append("deps")
+        parts.append(F.col("dep_hits"))
+    prepared = exploded.select(*[F.col(c) for c in key_cols], *carry)
     empty = F.array().cast(f"array<{HIT_TYPE}>")
     all_hits = F.concat(*[F.coalesce(p, empty) for p in parts]) if len(parts) > 1 else F.coalesce(parts[0], empty)
-    hits = prepared.select(
-        *[F.col(c) for c in key_cols], "line_no", "sline", "lines", "n_lines", *also[:1],
-        F.explode(all_hits).alias("h"),
-    ).where(F.col("h").isNotNull() & ((F.col("h.pos") > 0) | (F.col("h.m") != "")))
-    n = F.col("line_no")
-    lo = F.greatest(n - context, F.lit(1))
-    hi = F.least(n + context, F.col("n_lines"))
+    hits = explode_hits(prepared, all_hits, "line_no", [*[F.col(c) for c in key_cols], "line_no", *out_cols]).withColumnRenamed("_h", "h")
+    hits = hits.where(F.col("h").isNotNull() & ((F.col("h.pos") > 0) | (F.col("h.m") != "")))
     is_dep = F.col("h.k") < 0 if deps is not None else F.lit(False)
     is_sast = F.col("h.pos").isNotNull() & ~is_dep
+    column = F.octet_length(F.col("sline").substr(F.lit(1), F.col("h.pos") - 1)) + 1 if sast_specs else F.lit(None).cast("int")
     out = [F.col(c) for c in key_cols] + [
-        n.alias("line_no"),
+        F.col("line_no"),
         F.when(is_dep, F.lit("dep")).when(is_sast, F.lit("sast")).otherwise(F.lit("leak")).alias("engine"),
         F.col("h.k").alias("k"),
-        F.when(is_sast, F.octet_length(F.col("sline").substr(F.lit(1), F.col("h.pos") - 1)) + 1).alias("col"),
+        F.when(is_sast, column).alias("col"),
         F.col("h.m").alias("m"),
     ]
     if with_snippet:
-        out.append(F.when(is_sast, F.array_join(F.slice(F.col("lines"), lo, hi - lo + 1), "\n")).alias("code"))
+        out.append(F.when(is_sast, F.col("snippet") if sast_specs else F.lit(None).cast("string")).alias("code"))
     if deps is not None:
         dep = F.when(is_dep, F.get("deps", F.col("h.pos") - 1))
         out += [dep["name"].alias("dep_name"), dep["version"].alias("dep_version")]
     return hits.select(*out)
 
 
+def snippet_of(lines_arr, line_no, n_lines, context: int = 3):
+    lo = F.greatest(line_no - context, F.lit(1))
+    hi = F.least(line_no + context, n_lines)
+    return F.array_join(F.slice(lines_arr, lo, hi - lo + 1), "\n")
+
+
 def skip_leak_lines(lines: DataFrame, line_col: str = "line", max_bytes: int | None = None) -> DataFrame:
     """Drop the lines secret scanning skips (blank, '#' comments, longer than ``max_bytes``)."""
     return lines.where(~skip_leak_line(F.col(line_col), max_bytes))

@@ -9,8 +9,8 @@ from scanforge.constants import IAC_EXTENSION_LANGUAGE
 from scanforge.functions.text import base_name
 from scanforge.operators.catalog import Catalog
 from scanforge.operators.findings import min_severity as _min_severity
-from scanforge.operators.matching import (Rule, explode_lines, lower_for_hints, match_files,
-                                          sast_hits_expr, sast_line)
+from scanforge.operators.matching import (Rule, explode_hits, explode_lines, lower_for_hints, match_files,
+                                          sast_hits_expr, sast_line, snippet_of)
 from scanforge.sources.files import detect_language, ignore_paths, language_of
 
 
@@ -22,11 +22,11 @@ def match_rules(lines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     cat = Catalog(lines.sparkSession, sast_rules=rules, leaks=False)
     line = sast_line(F.col("line"))
     pre = lines.select("*", lower_for_hints(F.col("line")).alias("_lc"), line.alias("_sline"))
-    hits = pre.select("*", F.explode(sast_hits_expr(cat.sast_specs, "_sline", "_lc", "language")).alias("_h"))
+    hits = explode_hits(pre, sast_hits_expr(cat.sast_specs, "_sline", "_lc", "language"), "_sline", [F.col(f"`{c}`") for c in lines.columns] + ["_sline"])
     hits = hits.where(F.col("_h").isNotNull() & (F.col("_h.pos") > 0))
     hits = hits.join(cat.df().select("k", "rule_id"), F.col("_h.k") == F.col("k"))
     col = F.octet_length(F.col("_sline").substr(F.lit(1), F.col("_h.pos") - 1)) + 1
-    return hits.withColumn("column", col).drop("_lc", "_sline", "_h", "k")
+    return hits.withColumn("column", col).drop("_sline", "_h", "k")
 
 
 def finding_id(rule_id, path, line_no):
@@ -85,11 +85,5 @@ def stop_at_overlong_line(files: DataFrame, limit: int = 65536, content_col: str
     return out.withColumn("line_no", (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
-def snippet_of(lines_arr, line_no, n_lines, context: int = 3):
-    lo = F.greatest(line_no - context, F.lit(1))
-    hi = F.least(line_no + context, n_lines)
-    return F.array_join(F.slice(lines_arr, lo, hi - lo + 1), "\n")
-
-
 __all__ = ["match_rules", "sast_scan", "iac_scan", "finding_id", "stop_at_overlong_line",
            "explode_lines", "snippet_of", "Rule"]
