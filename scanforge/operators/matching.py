@@ -103,8 +103,8 @@ def leak_hits_expr(specs: list[Rule], line: str, lc: str) -> Column:
     return F.expr(leak_hits_sql(specs, line, lc))
 
 
-def explode_hits(rows: DataFrame, hits: Column, present: str, columns: list) -> DataFrame:
-    """``columns`` of ``rows`` with each element of ``hits`` as ``_h`` (NULL: none), for rows whose ``present`` is not NULL.
+def explode_hits(rows: DataFrame, hits: Column, present: str, columns: list, name: str = "_h") -> DataFrame:
+    """``columns`` of ``rows`` with each element of ``hits`` as ``name`` (NULL: none), for rows whose ``present`` is not NULL.
 
     Whole-stage code holds an operator's expressions in one method, and the JVM leaves methods above 8,000 bytes of code
     uncompiled: hundreds of rules run several times slower there. A lambda keeps this projection out of it; the
@@ -112,8 +112,8 @@ def explode_hits(rows: DataFrame, hits: Column, present: str, columns: list) ->
     projection apart from the one below. The outer form: the optimizer would infer size(hits) > 0 from the other and
     match every line once more for it."""
     here = F.exists(F.array(F.col(present)), lambda x: x == F.col(present))
-    matched = rows.select(*columns, F.when(here, hits).alias("_hits"))
-    return matched.select(*columns, F.explode_outer("_hits").alias("_h"))
+    matched = rows.select(*columns, F.when(here, hits).alias("_rule_hits"))
+    return matched.select(*columns, F.explode_outer("_rule_hits").alias(name))
 
 
 def sast_line(line: Column) -> Column:
@@ -225,7 +225,7 @@ def match_files(files: DataFrame, sast_specs: list[Rule] | None, leak_specs: lis
     prepared = exploded.select(*[F.col(c) for c in key_cols], *carry)
     empty = F.array().cast(f"array<{HIT_TYPE}>")
     all_hits = F.concat(*[F.coalesce(p, empty) for p in parts]) if len(parts) > 1 else F.coalesce(parts[0], empty)
-    hits = explode_hits(prepared, all_hits, "line_no", [*[F.col(c) for c in key_cols], "line_no", *out_cols]).withColumnRenamed("_h", "h")
+    hits = explode_hits(prepared, all_hits, "line_no", [*[F.col(c) for c in key_cols], "line_no", *out_cols], "h")
     hits = hits.where(F.col("h").isNotNull() & ((F.col("h.pos") > 0) | (F.col("h.m") != "")))
     is_dep = F.col("h.k") < 0 if deps is not None else F.lit(False)
     is_sast = F.col("h.pos").isNotNull() & ~is_dep
