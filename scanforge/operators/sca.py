@@ -67,6 +67,11 @@ def _dep(name: Column, version: Column) -> Column:
     return F.struct(name.alias("name"), version.alias("version"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value worked out once: a column named several times in an expression is worked out as often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _split_lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
@@ -96,12 +101,18 @@ def _json_deps(content: Column, keys: tuple, exclude=()) -> Column:
     root = F.map_entries(F.from_json(content, "map<string,string>"))
     wanted = F.filter(root, lambda e: F.lower(e["key"]).isin(*[k.lower() for k in keys]) & e["value"].isNotNull())
     sections = F.transform(wanted, lambda e: F.map_entries(F.from_json(e["value"], "map<string,variant>")))
-    rows = F.flatten(F.filter(sections, lambda x: x.isNotNull()))
-    good = F.forall(sections, lambda x: x.isNotNull()) & F.forall(
-        rows, lambda r: F.coalesce(F.call_function("schema_of_variant", r["value"]), F.lit("VOID")).isin("STRING", "VOID"))
-    kept = F.filter(rows, lambda r: ~r["key"].isin(*exclude)) if exclude else rows
-    deps = F.transform(kept, lambda r: _dep(r["key"], strip_version_prefix(F.coalesce(r["value"].try_cast("string"), F.lit("")))))
-    return F.when(good, deps)
+    # kinds and texts are read off a value once; everything behind it is bound to them
+    entries = _bound(sections, lambda found: F.when(F.forall(found, lambda x: x.isNotNull()), F.flatten(found)))
+    kept = F.transform(entries, lambda r: F.struct(
+        r["key"].alias("key"), r["value"].try_cast("string").alias("text"),
+        F.coalesce(F.call_function("schema_of_variant", r["value"]), F.lit("VOID")).isin("STRING", "VOID").alias("good")))
+
+    def deps(rows):
+        own = F.filter(rows, lambda r: ~r["key"].isin(*exclude)) if exclude else rows
+        made = F.transform(own, lambda r: _dep(r["key"], strip_version_prefix(F.coalesce(r["text"], F.lit("")))))
+        return F.when(F.forall(rows, lambda r: r["good"]), made)
+
+    return _bound(kept, deps)
 
 
 def _requirements(content: Column) -> Column:
@@ -231,7 +242,9 @@ _PARSERS = {
 def _parse(manifests: DataFrame, formats: list[str]) -> DataFrame:
     """One pass: every manifest row gets its format's dependency array."""
     m = manifests.select("repo", "path", "content", manifest_format("path").alias("_fmt")).where(F.col("_fmt").isin(*formats))
-    rows = m.select("repo", "path", ecosystem_of("path").alias("ecosystem"), F.explode(dependency_array(formats=formats)).alias("_d"))
+    # the outer form: the optimizer would infer size(array) > 0 from the other and parse every manifest once more for it
+    rows = m.select("repo", "path", ecosystem_of("path").alias("ecosystem"), F.explode_outer(dependency_array(formats=formats)).alias("_d"))
+    rows = rows.where(F.col("_d").isNotNull())
     return rows.select("repo", F.col("_d.name").alias("name"), F.col("_d.version").alias("version"), "ecosystem", F.col("path").alias("file"))
 
 

@@ -698,8 +698,7 @@ def _deps_df(spark, sf):
 # Manifest texts of every format, built from the deps view the same way in
 # both engines (entries sorted; each order is one manifest).
 def _manifest_df(spark, sf, fmt):
-    d = _deps_df(spark, sf)
-    key = F.col("manifest")
+    d = V.deps(spark, sf, "l_orderkey")
     if fmt == "npm":
         entry = F.concat(F.lit('"'), F.col("name"), F.lit("-"), F.col("ln").cast("string"), F.lit('": "^'),
                          F.col("version"), F.lit('"'))
@@ -719,9 +718,8 @@ def _manifest_df(spark, sf, fmt):
                          F.lit("</artifactId>\n      <version>"), F.col("version"), F.lit("</version>\n    </dependency>"))
         name, head, tail, sep = "pom.xml", "<project>\n  <artifactId>app</artifactId>\n  <version>${revision}</version>\n  <dependencies>\n", "\n  </dependencies>\n</project>\n", "\n"
     d = d.withColumn("ln", F.regexp_extract("version", r"^1\.([0-9]+)\.", 1))
-    m = d.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(entry)), sep).alias("body"))
-    path = F.regexp_replace(key, "requirements\\.txt$", name)
-    return m.select(F.lit("r").alias("repo"), path.alias("path"), F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("content"))
+    m = d.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(entry)), sep).alias("body"))
+    return m.select(F.lit("r").alias("repo"), V.manifest_path(name).alias("path"), F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("content"))
 
 
 def _manifest_sql(fmt):

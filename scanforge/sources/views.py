@@ -95,11 +95,16 @@ def _ecosystem(key):
             .when(key % 4 == 2, "maven").otherwise("go"))
 
 
-def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(manifest, name, version, ecosystem) from lineitem."""
+def manifest_path(file: str = "requirements.txt"):
+    """Path of an order's manifest."""
+    return F.concat(F.lit("m"), F.col("l_orderkey").cast("string"), F.lit("/" + file))
+
+
+def deps(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """(manifest, name, version, ecosystem) from lineitem, and columns of it."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.concat(F.lit("m"), li.l_orderkey.cast("string"), F.lit("/requirements.txt")).alias("manifest"),
+        *also, manifest_path().alias("manifest"),
         F.concat(F.lit("pkg"), li.l_partkey.cast("string")).alias("name"),
         F.concat(F.lit("1."), li.l_linenumber.cast("string"), F.lit("."),
                  (li.l_suppkey % 12).cast("string")).alias("version"),
@@ -122,10 +127,10 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """requirements-style text per order, lines in sorted order."""
-    d = deps(spark, sf_dir)
-    return d.groupBy("manifest").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat(d.name, F.lit("=="), d.version))), "\n").alias("content")
-    ).withColumnRenamed("manifest", "path")
+    d = deps(spark, sf_dir, "l_orderkey")  # grouped by the number: its text is longer to hash, sort and send
+    m = d.groupBy("l_orderkey").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat(d.name, F.lit("=="), d.version))), "\n").alias("content"))
+    return m.select(manifest_path().alias("path"), "content")
 
 
 def pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
