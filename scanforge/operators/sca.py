@@ -376,21 +376,21 @@ _RANGE_COLS = {"introduced": "string", "fixed": "string", "last_affected": "stri
                "score": "double", "cve": "string", "summary": "string"}
 
 
-def match_advisories(deps: DataFrame, advisories: DataFrame, salts: int = 16) -> DataFrame:
+def match_advisories(deps: DataFrame, advisories: DataFrame, salts: int = 1) -> DataFrame:
     """deps x advisories on (ecosystem, name) with the affected-range test
     introduced <= v < fixed (or v <= last_affected), or v listed.
 
     ``advisories`` has one row per package interval (``explode_advisories``, or
     a flat table). The intervals of a package become one array, so the
     dependencies are read once and joined once; a popular package is spread
-    over ``salts`` tasks. An advisory that hits by several intervals gives one
+    by the adaptive skew join, or over ``salts`` tasks, each with a copy of every package. An advisory that hits by several intervals gives one
     finding per dependency row."""
     j = affected(deps, advisories, "name", "version", "ecosystem", [c for c in ("repo", "file", "version") if c in deps.columns], salts)
     return _sca_finding(j.select(*deps.columns, "_adv.*"))
 
 
 def affected(rows: DataFrame, advisories: DataFrame, name: str, version: str, ecosystem: str, spread_by: list[str],
-             salts: int = 16, outer: bool = False) -> DataFrame:
+             salts: int = 1, outer: bool = False) -> DataFrame:
     """``rows`` with ``_adv`` (adv_id, fixed_version, severity, cve, cvss, description), a row per advisory that hits.
 
     ``outer`` keeps the rows without a name, dealt by ``spread_by`` over all tasks
@@ -403,7 +403,7 @@ def affected(rows: DataFrame, advisories: DataFrame, name: str, version: str, ec
                    version_key(F.col("introduced")).alias("ik"), version_key(F.col("fixed")).alias("fk"),
                    version_key(F.col("last_affected")).alias("lk"))
     packages = a.groupBy("_eco", "_name").agg(F.collect_list(one).alias("_ranges"))
-    packages = packages.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    packages = packages.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0))
     h = F.xxhash64(*spread_by)
     d = rows.withColumns({"_eco": F.lower(ecosystem), "_name": F.col(name),
                           "_salt": F.when(F.col(name).isNull(), F.pmod(h, F.lit(1 << 30))).otherwise(F.pmod(h, F.lit(salts))).cast("int")})
@@ -418,9 +418,11 @@ def affected(rows: DataFrame, advisories: DataFrame, name: str, version: str, ec
     # one finding per advisory: the interval with the lowest fix
     first = F.array_sort(F.transform(hit, lambda r: F.struct(r["id"].alias("id"), r["fk"].alias("fk"), r["cve"].alias("cve"),
                                                                       r["fixed"].alias("fixed"), r["score"].alias("score"), r["summary"].alias("summary"))))
-    names = F.transform(first, lambda r: r["id"])
-    once = F.filter(first, lambda r, k: F.array_position(names, r["id"]) == k + 1)
-    j = j.select(*rows.columns, (F.explode_outer if outer else F.explode)(once).alias("_h"))
+    once = _bound(first, lambda a: F.filter(a, lambda r, k: (k == 0) | (F.array_position(F.transform(a, lambda x: x["id"]), r["id"]) == k + 1)))
+    # the outer form: the optimizer would infer size(once) > 0 from the other and test every dependency once more for it
+    j = j.select(*rows.columns, F.explode_outer(once).alias("_h"))
+    if not outer:
+        j = j.where(F.col("_h").isNotNull())
     score = F.coalesce(F.col("_h.score"), F.lit(0.0))
     adv = F.struct(F.col("_h.id").alias("adv_id"), F.col("_h.fixed").alias("fixed_version"), cvss_severity(score).alias("severity"),
                    F.coalesce(F.col("_h.cve"), F.col("_h.id")).alias("cve"), score.alias("cvss"),
