@@ -37,7 +37,7 @@ class Rule:
 def lower_for_hints(line: Column) -> Column:
     """Lower-case a line the way RE2 case folding reaches ASCII literals
     (KELVIN SIGN lower-cases to 'k'; LONG S is mapped to 's')."""
-    return F.translate(F.lower(line), "\u017f", "s")
+    return F.replace(F.lower(line), F.lit("\u017f"), F.lit("s"))  # translate() walks every character, replace() only looks for one
 
 
 # The match expressions are generated as SQL text and parsed once by the
