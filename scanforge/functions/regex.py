@@ -156,6 +156,28 @@ def to_java(pattern: str) -> str:
     return f"(?{flags})" + "".join(out)
 
 
+def literal_first(java: str) -> str:
+    """A translation (``to_java``) that begins with a word boundary and a word, with the boundary asked for behind the word.
+
+    It matches the same, but the JVM looks for the word (from four letters on it skips through the line) instead of
+    asking for a boundary at every place, and compiles it sooner."""
+    head = "(?d)" + _BOUNDARY
+    m = re.match(f"({_WORD}+)([*+?{{]?)", java[len(head):]) if java.startswith(head) else None
+    word = m.group(1)[:-1] if m and m.group(2) else m.group(1) if m else ""  # a repeat is of the last letter only
+    if len(word) < 4:
+        return java
+    behind = java[len(head) + len(word):]
+    if behind.startswith(_BOUNDARY):  # where a word letter stands before it
+        behind = r"(?!\w)" + behind[len(_BOUNDARY):]
+    return rf"(?d){word}(?<!\w{word}){behind}"  # Java's \w is ASCII
+
+
+def whole_word(pattern: str) -> str | None:
+    """The word, lower-cased, of a pattern that is nothing but a word between word boundaries."""
+    m = re.fullmatch(rf"\\b({_WORD}+)\\b", pattern)
+    return m.group(1).lower() if m else None
+
+
 def literal_hints(pattern: str) -> list[str] | None:
     """Lower-case literals of which every match holds one, read off the pattern's own structure; None where there is none.
 
